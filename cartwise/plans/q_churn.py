@@ -1,0 +1,223 @@
+"""Churn queries: cutoff, RFM features, split, evaluation, correlations, serving.
+
+Keys that need a stored churn score use ``churn.heuristic_score`` (deterministic)
+so an oracle exists; the model-based keys (``churn_model``, ``churn_scores``) are
+rows-only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cartwise import oracle as O
+from cartwise.functions.numeric import BAND_ORDER, round4
+from cartwise.operators import churn as C
+from cartwise.operators import evaluate as E
+from cartwise.operators import serving as V
+from cartwise.plans import churn_job as J
+from cartwise.plans.registry import register
+
+MODEL_ITERATIONS = 20   # rounds used by the registered model keys (jobs default to 100)
+
+# ---- oracle building blocks -------------------------------------------------------
+
+ACT = """act AS (SELECT t.hshd_num, t.basket_num, t.purchase_date, t.spend, h.loyalty_flag
+        FROM transactions t JOIN households h ON h.hshd_num = t.hshd_num)"""
+CUT = """cut AS (SELECT max(purchase_date) AS data_end,
+               CAST(max(purchase_date) - 90 AS DATE) AS cutoff FROM act)"""
+BASKET = """pb AS (SELECT a.hshd_num, a.basket_num,
+         max(CASE WHEN a.purchase_date <= c.cutoff THEN 1 ELSE 0 END) AS b_pre,
+         max(CASE WHEN a.purchase_date > c.cutoff THEN 1 ELSE 0 END) AS b_post,
+         sum(CASE WHEN a.purchase_date <= c.cutoff THEN a.spend END) AS b_spend,
+         max(CASE WHEN a.purchase_date <= c.cutoff THEN a.purchase_date END) AS b_last,
+         min(CASE WHEN a.purchase_date <= c.cutoff THEN a.purchase_date END) AS b_first,
+         sum(CASE WHEN a.purchase_date <= c.cutoff AND a.purchase_date > CAST(c.cutoff - 90 AS DATE)
+                  THEN a.spend END) AS b_recent,
+         sum(CASE WHEN a.purchase_date <= CAST(c.cutoff - 90 AS DATE) THEN a.spend END) AS b_earlier,
+         max(CAST(a.loyalty_flag AS INTEGER)) AS b_loyalty
+       FROM act a, cut c GROUP BY 1, 2)"""
+FEAT = """f AS (SELECT hshd_num, recency_days, frequency, monetary_total, monetary_avg, tenure_days,
+               recent_spend, earlier_spend, recent_spend / (earlier_spend + 1.0) AS trend_ratio,
+               loyalty, churned
+  FROM (SELECT p.hshd_num,
+          CAST(datediff('day', max(b_last), max(c.cutoff)) AS INTEGER) AS recency_days,
+          CAST(sum(b_pre) AS BIGINT) AS frequency,
+          CAST(sum(b_spend) AS DOUBLE) AS monetary_total,
+          CAST(sum(b_spend) AS DOUBLE) / sum(b_pre) AS monetary_avg,
+          CAST(datediff('day', min(b_first), max(b_last)) AS INTEGER) AS tenure_days,
+          CAST(coalesce(sum(b_recent), 0) AS DOUBLE) AS recent_spend,
+          CAST(coalesce(sum(b_earlier), 0) AS DOUBLE) AS earlier_spend,
+          CAST(max(b_loyalty) AS INTEGER) AS loyalty,
+          CASE WHEN max(b_post) = 1 THEN 0 ELSE 1 END AS churned,
+          max(b_pre) AS has_pre
+        FROM pb p, cut c GROUP BY p.hshd_num) WHERE has_pre = 1)"""
+SCORE = """sc AS (SELECT *, CAST(recency_days AS DOUBLE)
+                  / (CAST(recency_days AS DOUBLE) + CAST(tenure_days AS DOUBLE) + 1.0) AS score
+        FROM f)"""
+SPLIT = """sp AS (SELECT *, row_number() OVER (PARTITION BY churned
+                     ORDER BY md5(CAST(hshd_num AS VARCHAR) || ':42'), hshd_num)
+                   <= ceil(count(*) OVER (PARTITION BY churned) * 0.25) AS is_test
+        FROM sc)"""
+STORED = f"""hc AS (SELECT hshd_num, {O.round4('score')} AS churn_probability,
+               CASE WHEN score >= 0.66 THEN 'High' WHEN score >= 0.33 THEN 'Medium'
+                    ELSE 'Low' END AS risk_band FROM sc)"""
+
+
+def churn_sql(*extra: str) -> str:
+    return O.with_views(ACT, CUT, BASKET, FEAT, *extra)
+
+
+def auc_sql(rows: str, label: str, score: str) -> str:
+    """Exact ROC-AUC over ``rows`` (a CTE name) with mid-rank ties."""
+    return f"""per AS (SELECT CAST({score} AS DOUBLE) AS s, sum(CASE WHEN {label} = 1 THEN 1 ELSE 0 END) AS pos,
+                sum(CASE WHEN {label} = 1 THEN 0 ELSE 1 END) AS neg FROM {rows} GROUP BY 1),
+cum AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING
+                                                  AND 1 PRECEDING), 0) AS nb FROM per),
+auc AS (SELECT CASE WHEN sum(pos) * sum(neg) > 0 THEN
+           sum(CAST(pos AS DOUBLE) * CAST(nb AS DOUBLE) + 0.5 * CAST(pos AS DOUBLE) * CAST(neg AS DOUBLE))
+           / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc FROM cum)"""
+
+
+# ---- Spark builders ------------------------------------------------------------------
+
+def _features(spark, sf):
+    features, _ = J.features_frame(spark, sf)
+    if features is None:
+        raise ValueError("no activity: nothing to frame")
+    return features
+
+
+def _scored(spark, sf):
+    return C.heuristic_score(_features(spark, sf))
+
+
+def _stored_scores(spark, sf):
+    return C.scores_table(_scored(spark, sf))
+
+
+def _split(spark, sf):
+    return E.stratified_split(_scored(spark, sf), "hshd_num", "churned")
+
+
+@register("churn_cutoff", "AGG-14", churn_sql() + "SELECT data_end, cutoff FROM cut")
+def q_churn_cutoff(spark, sf):
+    return C.churn_cutoff(J.activity_frame(spark, sf))
+
+
+@register("churn_features", "RFM-1..10 FLT-3 JN-7 SC-15", churn_sql() + "SELECT * FROM f")
+def q_churn_features(spark, sf):
+    return _features(spark, sf)
+
+
+@register("churn_base_rate", "AGG-15", churn_sql() + """
+SELECT avg(CAST(churned AS DOUBLE)) AS churn_rate, count(*) AS households FROM f""")
+def q_churn_base_rate(spark, sf):
+    return C.base_rate(_features(spark, sf))
+
+
+@register("label_class_count", "AGG-16", churn_sql() + """
+SELECT count(DISTINCT churned) AS classes, count(DISTINCT churned) >= 2 AS trainable FROM f""")
+def q_label_class_count(spark, sf):
+    return C.label_class_count(_features(spark, sf))
+
+
+@register("churn_correlations", "AGG-17 SNK-3", churn_sql() + """
+SELECT feature, """ + O.round6("correlation") + """ AS correlation FROM (
+  UNPIVOT (SELECT """ + ",\n".join(
+    f"CASE WHEN var_pop(CAST({c} AS DOUBLE)) * var_pop(CAST(churned AS DOUBLE)) > 0 THEN "
+    f"covar_pop(CAST({c} AS DOUBLE), CAST(churned AS DOUBLE)) / sqrt(var_pop(CAST({c} AS DOUBLE))"
+    f" * var_pop(CAST(churned AS DOUBLE))) END AS {c}" for c in C.FEATURE_COLUMNS) + """
+  FROM f) ON """ + ", ".join(C.FEATURE_COLUMNS) + """ INTO NAME feature VALUE correlation)""")
+def q_churn_correlations(spark, sf):
+    corr = E.feature_correlations(_features(spark, sf), C.FEATURE_COLUMNS, "churned")
+    return corr.select("feature", F.round("correlation", 6).alias("correlation"))
+
+
+@register("stratified_split", "SPL-1", churn_sql(SCORE, SPLIT) + """
+SELECT hshd_num, churned, is_test FROM sp""")
+def q_stratified_split(spark, sf):
+    return _split(spark, sf).select("hshd_num", "churned", "is_test")
+
+
+@register("eval_accuracy", "AGG-18", churn_sql(SCORE, SPLIT) + """
+SELECT avg(CASE WHEN (CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) = churned THEN 1.0 ELSE 0.0 END)
+       AS accuracy FROM sp WHERE is_test""")
+def q_eval_accuracy(spark, sf):
+    test = _split(spark, sf).where("is_test").withColumn(
+        "prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return E.accuracy(test, "churned", "prediction")
+
+
+@register("eval_roc_auc", "AGG-19", churn_sql(SCORE, SPLIT, "tst AS (SELECT * FROM sp WHERE is_test)",
+                                              auc_sql("tst", "churned", "score"))
+          + f"SELECT {O.round6('roc_auc')} AS roc_auc FROM auc")
+def q_eval_roc_auc(spark, sf):
+    test = _split(spark, sf).where("is_test")
+    return E.roc_auc(test, "churned", "score").select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@register("risk_band", "SC-14 SC-11 ML-8", churn_sql(SCORE, STORED) + "SELECT * FROM hc")
+def q_risk_band(spark, sf):
+    return _stored_scores(spark, sf)
+
+
+@register("at_risk", "SRT-4 PRJ-5 ML-10", churn_sql(SCORE, STORED) + """
+SELECT hshd_num, churn_probability, risk_band FROM hc
+ORDER BY churn_probability DESC, hshd_num LIMIT 25""")
+def q_at_risk(spark, sf):
+    return V.at_risk(_stored_scores(spark, sf))
+
+
+@register("risk_band_counts", "AGG-11 JN-8 SRT-8 ML-10", churn_sql(SCORE, STORED) + """,
+bands AS (SELECT * FROM (VALUES ('High', 0), ('Medium', 1), ('Low', 2)) b(band, position))
+SELECT b.band, CAST(coalesce(n.households, 0) AS BIGINT) AS households, b.position
+FROM bands b LEFT JOIN (SELECT risk_band, count(*) AS households FROM hc GROUP BY 1) n
+  ON n.risk_band = b.band""")
+def q_risk_band_counts(spark, sf):
+    return V.risk_band_counts(_stored_scores(spark, sf))
+
+
+@register("churn_scores_valid", "SNK-7", churn_sql(SCORE, STORED) + """
+SELECT hc.* FROM hc WHERE EXISTS (SELECT 1 FROM households h WHERE h.hshd_num = hc.hshd_num)""")
+def q_churn_scores_valid(spark, sf):
+    from cartwise.sources import tables as S
+    return V.valid_scores(_stored_scores(spark, sf), S.households(spark, sf))
+
+
+def _metric_sql() -> str:
+    drivers = (f"""drv AS (SELECT string_agg(feature, ', ' ORDER BY abs(correlation) DESC, feature)
+               AS top_drivers FROM (SELECT feature, correlation FROM (UNPIVOT (SELECT """
+               + ",\n".join(
+                   f"CASE WHEN var_pop(CAST({c} AS DOUBLE)) * var_pop(CAST(churned AS DOUBLE)) > 0 THEN "
+                   f"covar_pop(CAST({c} AS DOUBLE), CAST(churned AS DOUBLE)) / sqrt(var_pop(CAST({c} AS DOUBLE))"
+                   f" * var_pop(CAST(churned AS DOUBLE))) END AS {c}" for c in C.FEATURE_COLUMNS)
+               + " FROM f) ON " + ", ".join(C.FEATURE_COLUMNS)
+               + """ INTO NAME feature VALUE correlation) WHERE correlation IS NOT NULL
+               ORDER BY abs(correlation) DESC, feature LIMIT 6))""")
+    return churn_sql(SCORE, SPLIT, "tst AS (SELECT * FROM sp WHERE is_test)",
+                     auc_sql("tst", "churned", "score"), drivers) + f"""
+SELECT {O.round4('(SELECT avg(CASE WHEN (CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) = churned '
+                 'THEN 1.0 ELSE 0.0 END) FROM tst)')} AS accuracy,
+       {O.round4('(SELECT roc_auc FROM auc)')} AS roc_auc,
+       {O.round4('(SELECT avg(CAST(churned AS DOUBLE)) FROM f)')} AS churn_rate,
+       (SELECT top_drivers FROM drv) AS top_drivers"""
+
+
+@register("latest_metric", "SRT-7 SRT-9 ML-9 ML-10 SNK-4", _metric_sql())
+def q_latest_metric(spark, sf):
+    features = _features(spark, sf)
+    metric = V.heuristic_metric(C.heuristic_score(features), features, C.FEATURE_COLUMNS)
+    return V.latest(V.stamp(metric)).drop("created_at")
+
+
+@register("churn_model", "ML-6 ML-9 SRT-9")
+def q_churn_model(spark, sf):
+    return J.churn_model(spark, sf, MODEL_ITERATIONS)
+
+
+@register("churn_scores", "ML-8 SC-14")
+def q_churn_scores(spark, sf):
+    return J.churn_scores(spark, sf, MODEL_ITERATIONS)
+
+
+__all__ = ["BAND_ORDER", "round4"]
