@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from cartwise.schema import SPEND_TYPE
 
 # The white space that ECMAScript String.prototype.trim removes
-# (white space and line terminators), as a Java regex character class.
-JS_WHITESPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-_TRIM_PATTERN = f"^{JS_WHITESPACE}+|{JS_WHITESPACE}+$"
+# (tab, line feed, vertical tab, form feed, carriage return, space, no-break space,
+# ogham space, en quad .. hair space, line separator, paragraph separator, narrow
+# no-break space, medium mathematical space, ideographic space, byte order mark).
+JS_WHITESPACE = ("\t\n\u000b\f\r \u00a0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 # English month abbreviations of the DD-MON-YY date format, in
 # calendar order, and the two-digit-year pivot (yy < 70 -> 20yy, else 19yy).
@@ -35,7 +38,7 @@ def js_trim(c: Column | str) -> Column:
 
     A missing field (NULL from the CSV reader) is treated as the empty string.
     """
-    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), _TRIM_PATTERN, "")
+    return F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(JS_WHITESPACE))
 
 
 def clean_optional_text(c: Column | str) -> Column:
@@ -83,10 +86,11 @@ def parse_oracle_date(c: Column | str) -> Column:
     """
     v = F.upper(js_trim(c))
     ok = v.rlike(ORACLE_DATE_PATTERN)
-    day = F.regexp_extract(v, ORACLE_DATE_PATTERN, 1).try_cast("int")
-    mon = F.array_position(F.array(*[F.lit(m) for m in MONTHS]),
-                           F.regexp_extract(v, ORACLE_DATE_PATTERN, 2)).cast("int")
-    yy = F.regexp_extract(v, ORACLE_DATE_PATTERN, 3).try_cast("int")
+    parts = F.split(v, "-")
+    day = F.try_element_at(parts, F.lit(1)).try_cast("int")
+    mon = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in MONTHS]),
+                                      F.try_element_at(parts, F.lit(2))).cast("int"), F.lit(0))
+    yy = F.try_element_at(parts, F.lit(3)).try_cast("int")
     year = F.when(yy < YEAR_PIVOT, yy + 2000).otherwise(yy + 1900)
     first = F.make_date(year, F.greatest(mon, F.lit(1)), F.lit(1))
     return F.when(ok & (mon > 0), F.date_add(first, day - 1))

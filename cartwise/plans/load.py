@@ -30,26 +30,53 @@ from cartwise.sources.raw_files import read_raw_csv
 TABLES = ("households", "products", "transactions")
 
 
+# (output column, raw column, parser, what the value must be); ``None`` parser = text.
+Spec = tuple
+
+
+def strict(df: DataFrame, specs: list[Spec], keep: list[str] | None = None) -> DataFrame:
+    """Parse columns, then fail on the first value that did not parse.
+
+    Two projections: the parsed values are computed once, and the check reads
+    them as columns (Spark keeps an expensive expression that is read twice in
+    its own projection instead of inlining it), so no parse runs twice per row.
+    """
+    keep = keep or []
+    parsed = df.select(*keep, *[F.col(raw) for _, raw, parser, _ in specs if parser is not None],
+                       *[(parser(raw) if parser is not None else raw).alias(f"_p_{out}")
+                         for out, raw, parser, _ in specs])
+    checked = []
+    for out, raw, parser, what in specs:
+        p = F.col(f"_p_{out}")
+        if parser is not None and what is not None:
+            msg = F.concat(F.lit(f"Expected {what} in {raw} but got \""),
+                           F.coalesce(F.col(raw), F.lit("<missing>")), F.lit("\""))
+            checked.append(F.when(p.isNull(), F.raise_error(msg)).otherwise(p).alias(out))
+        else:
+            checked.append(p.alias(out))
+    return parsed.select(*keep, *checked)
+
+
 def clean_households(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        C.require_int("HSHD_NUM", "HSHD_NUM").alias("hshd_num"),
-        C.require_yes_no("L", "L").alias("loyalty_flag"),
-        C.clean_optional_text("AGE_RANGE").alias("age_range"),
-        C.clean_optional_text("MARITAL").alias("marital"),
-        C.clean_optional_text("INCOME_RANGE").alias("income_range"),
-        C.clean_optional_text("HOMEOWNER").alias("homeowner"),
-        C.clean_optional_text("HSHD_COMPOSITION").alias("hshd_composition"),
-        C.clean_optional_text("HH_SIZE").alias("hh_size"),
-        C.clean_optional_text("CHILDREN").alias("children"))
+    return strict(raw, [
+        ("hshd_num", "HSHD_NUM", C.parse_int, "an integer"),
+        ("loyalty_flag", "L", C.parse_yes_no, "Y or N"),
+        ("age_range", "AGE_RANGE", C.clean_optional_text, None),
+        ("marital", "MARITAL", C.clean_optional_text, None),
+        ("income_range", "INCOME_RANGE", C.clean_optional_text, None),
+        ("homeowner", "HOMEOWNER", C.clean_optional_text, None),
+        ("hshd_composition", "HSHD_COMPOSITION", C.clean_optional_text, None),
+        ("hh_size", "HH_SIZE", C.clean_optional_text, None),
+        ("children", "CHILDREN", C.clean_optional_text, None)])
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        C.require_int("PRODUCT_NUM", "PRODUCT_NUM").alias("product_num"),
-        C.clean_text("DEPARTMENT").alias("department"),
-        C.clean_text("COMMODITY").alias("commodity"),
-        C.clean_text("BRAND_TY").alias("brand_type"),
-        C.require_yes_no("NATURAL_ORGANIC_FLAG", "NATURAL_ORGANIC_FLAG").alias("is_organic"))
+    return strict(raw, [
+        ("product_num", "PRODUCT_NUM", C.parse_int, "an integer"),
+        ("department", "DEPARTMENT", C.clean_text, None),
+        ("commodity", "COMMODITY", C.clean_text, None),
+        ("brand_type", "BRAND_TY", C.clean_text, None),
+        ("is_organic", "NATURAL_ORGANIC_FLAG", C.parse_yes_no, "Y or N")])
 
 
 def flag_transactions(raw: DataFrame, households: DataFrame, products: DataFrame) -> DataFrame:
@@ -59,10 +86,8 @@ def flag_transactions(raw: DataFrame, households: DataFrame, products: DataFrame
     size is under the broadcast threshold and shuffles otherwise.
     """
     rest = [c for c in raw.columns if c not in ("HSHD_NUM", "PRODUCT_NUM")]
-    keyed = raw.select(
-        *rest,
-        C.require_int("HSHD_NUM", "HSHD_NUM").alias("hshd_num"),
-        C.require_int("PRODUCT_NUM", "PRODUCT_NUM").alias("product_num"))
+    keyed = strict(raw, [("hshd_num", "HSHD_NUM", C.parse_int, "an integer"),
+                         ("product_num", "PRODUCT_NUM", C.parse_int, "an integer")], keep=rest)
     hk = households.select("hshd_num", F.lit(True).alias("_known_h")).distinct()
     pk = products.select("product_num", F.lit(True).alias("_known_p")).distinct()
     flagged = keyed.join(hk, "hshd_num", "left").join(pk, "product_num", "left")
@@ -71,18 +96,22 @@ def flag_transactions(raw: DataFrame, households: DataFrame, products: DataFrame
         "_known_h", "_known_p")
 
 
+def _as_int(parser):
+    return lambda c: parser(c).cast("int")
+
+
 def clean_transactions(flagged: DataFrame) -> DataFrame:
     """Parse the surviving lines strictly (orphans are dropped first)."""
-    return flagged.where(~F.col("orphan")).select(
-        C.require_int("BASKET_NUM", "BASKET_NUM").alias("basket_num"),
-        "hshd_num",
-        C.require_oracle_date("PURCHASE_", "PURCHASE_").alias("purchase_date"),
-        "product_num",
-        C.require_money("SPEND", "SPEND").alias("spend"),
-        C.require_int("UNITS", "UNITS").cast("int").alias("units"),
-        C.clean_text("STORE_R").alias("store_region"),
-        C.require_int("WEEK_NUM", "WEEK_NUM").cast("int").alias("week_num"),
-        C.require_int("YEAR", "YEAR").cast("int").alias("year"))
+    out = strict(flagged.where(~F.col("orphan")), [
+        ("basket_num", "BASKET_NUM", C.parse_int, "an integer"),
+        ("purchase_date", "PURCHASE_", C.parse_oracle_date, "a DD-MON-YY date"),
+        ("spend", "SPEND", C.parse_money, "a money value"),
+        ("units", "UNITS", _as_int(C.parse_int), "an integer"),
+        ("store_region", "STORE_R", C.clean_text, None),
+        ("week_num", "WEEK_NUM", _as_int(C.parse_int), "an integer"),
+        ("year", "YEAR", _as_int(C.parse_int), "an integer")], keep=["hshd_num", "product_num"])
+    return out.select("basket_num", "hshd_num", "purchase_date", "product_num", "spend", "units",
+                      "store_region", "week_num", "year")
 
 
 def read_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:

@@ -45,9 +45,12 @@ def start_incremental_load(spark: SparkSession, source_dir: str, households: Dat
                            max_files_per_trigger: int = 1,
                            available_now: bool = True) -> StreamingQuery:
     header = file_header(spark, source_dir)
+    # The static sides are read by every micro-batch: keep the key sets cached
+    # (recomputable from their lineage if an executor is lost).
+    hk = households.select("hshd_num").distinct().persist()
+    pk = products.select("product_num").distinct().persist()
     flagged = flag_transactions(transaction_stream(spark, source_dir, header,
-                                                   max_files_per_trigger),
-                                households, products)
+                                                   max_files_per_trigger), hk, pk)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         obs = Observation(f"load-batch-{batch_id}")
