@@ -33,17 +33,30 @@ def spend_by_household_month(tx: DataFrame) -> DataFrame:
               .agg(F.sum("spend").alias("spend")))
 
 
-def spend_over_time(tx: DataFrame) -> DataFrame:
+def _sorted(df: DataFrame, ordered: bool, *cols) -> DataFrame:
+    """Panel order for the API shape; skipped inside the long summary, where a
+    per-panel global sort would only add a range shuffle."""
+    return df.orderBy(*cols) if ordered else df
+
+
+def spend_over_time(tx: DataFrame, ordered: bool = True) -> DataFrame:
     """Spend per calendar month ``YYYY-MM``, chronological."""
     by_month = (tx.groupBy(F.trunc("purchase_date", "month").alias("month"))
                   .agg(F.sum("spend").cast("double").alias("spend")))
-    return (by_month.select(F.date_format("month", "yyyy-MM").alias("period"),
-                            round_cents("spend").alias("spend"))
-                    .orderBy("period"))
+    return _sorted(by_month.select(F.date_format("month", "yyyy-MM").alias("period"),
+                                   round_cents("spend").alias("spend")), ordered, "period")
+
+
+def _per_key(tx: DataFrame, key: str) -> DataFrame:
+    """The fact combined to one row per ``key`` unless it already is (pre-aggregates
+    passed in by ``dashboard_summary`` carry the ``_per`` marker column)."""
+    if f"_per_{key}" in tx.columns:
+        return tx.drop(f"_per_{key}")
+    return spend_by_key(tx, key)
 
 
 def _product_panel(tx: DataFrame, products: DataFrame, attr: str) -> DataFrame:
-    per_product = spend_by_key(tx, "product_num")
+    per_product = _per_key(tx, "product_num")
     return (per_product.join(products.select("product_num", attr), "product_num")
                        .groupBy(attr).agg(F.sum("spend").cast("double").alias("spend")))
 
@@ -56,52 +69,52 @@ def spend_by_department(tx: DataFrame, products: DataFrame,
     return top.select("department", round_cents("spend").alias("spend"))
 
 
-def brand_mix(tx: DataFrame, products: DataFrame) -> DataFrame:
+def brand_mix(tx: DataFrame, products: DataFrame, ordered: bool = True) -> DataFrame:
     b = _product_panel(tx, products, "brand_type")
-    return (b.select("brand_type", round_cents("spend").alias("spend"), F.col("spend").alias("_raw"))
-             .orderBy(F.desc("_raw"), F.asc("brand_type")).drop("_raw"))
+    out = b.select("brand_type", round_cents("spend").alias("spend"), F.col("spend").alias("_raw"))
+    return _sorted(out, ordered, F.desc("_raw"), F.asc("brand_type")).drop("_raw")
 
 
-def organic_mix(tx: DataFrame, products: DataFrame) -> DataFrame:
+def organic_mix(tx: DataFrame, products: DataFrame, ordered: bool = True) -> DataFrame:
     o = _product_panel(tx, products, "is_organic")
-    return (o.select(F.col("is_organic").alias("organic"), round_cents("spend").alias("spend"))
-             .orderBy(F.desc("organic")))
+    out = o.select(F.col("is_organic").alias("organic"), round_cents("spend").alias("spend"))
+    return _sorted(out, ordered, F.desc("organic"))
 
 
 def _household_panel(tx: DataFrame, households: DataFrame, group_col) -> DataFrame:
-    per_household = spend_by_key(tx, "hshd_num")
+    per_household = _per_key(tx, "hshd_num")
     joined = per_household.join(households, "hshd_num")
     return joined.groupBy(group_col).agg(
         F.sum("spend").cast("double").alias("spend"),
         F.count(F.lit(1)).alias("households"))
 
 
-def spend_by_income(tx: DataFrame, households: DataFrame) -> DataFrame:
+def spend_by_income(tx: DataFrame, households: DataFrame, ordered: bool = True) -> DataFrame:
     """Spend and distinct households per income range (NULL -> ``Unknown``)."""
     g = _household_panel(tx, households.select("hshd_num", "income_range"),
                          F.coalesce(F.col("income_range"), F.lit(UNKNOWN_INCOME)).alias("income_range"))
-    return (g.select("income_range", round_cents("spend").alias("spend"), "households",
-                     F.col("spend").alias("_raw"))
-             .orderBy(F.desc("_raw"), F.asc("income_range")).drop("_raw"))
+    out = g.select("income_range", round_cents("spend").alias("spend"), "households",
+                   F.col("spend").alias("_raw"))
+    return _sorted(out, ordered, F.desc("_raw"), F.asc("income_range")).drop("_raw")
 
 
-def spend_by_loyalty(tx: DataFrame, households: DataFrame) -> DataFrame:
+def spend_by_loyalty(tx: DataFrame, households: DataFrame, ordered: bool = True) -> DataFrame:
     g = _household_panel(tx, households.select("hshd_num", "loyalty_flag"),
                          F.col("loyalty_flag").alias("loyal"))
-    return (g.select("loyal", round_cents("spend").alias("spend"), "households")
-             .orderBy(F.desc("loyal")))
+    out = g.select("loyal", round_cents("spend").alias("spend"), "households")
+    return _sorted(out, ordered, F.desc("loyal"))
 
 
-def income_engagement(tx: DataFrame, households: DataFrame) -> DataFrame:
+def income_engagement(tx: DataFrame, households: DataFrame, ordered: bool = True) -> DataFrame:
     """Average spend per household by income range (from the cents-rounded sum)."""
-    g = spend_by_income(tx, households)
+    g = spend_by_income(tx, households, ordered)
     return g.select("income_range",
                     avg_per_household("spend", "households").alias("avg_spend_per_household"),
                     "households")
 
 
-def loyalty_engagement(tx: DataFrame, households: DataFrame) -> DataFrame:
-    g = spend_by_loyalty(tx, households)
+def loyalty_engagement(tx: DataFrame, households: DataFrame, ordered: bool = True) -> DataFrame:
+    g = spend_by_loyalty(tx, households, ordered)
     return g.select("loyal",
                     avg_per_household("spend", "households").alias("avg_spend_per_household"),
                     "households")
@@ -130,8 +143,9 @@ def dashboard_summary(tx_lines: DataFrame, tx_household: DataFrame,
     one aggregate (the same plan, so its exchange is reused), the product panels
     read one per-product aggregate. An empty fact gives an empty frame.
     """
-    hm_flat = spend_by_household_month(tx_household)  # trunc(month) is idempotent downstream
-    per_product = spend_by_key(tx_lines, "product_num")
+    hm = spend_by_household_month(tx_household)       # trunc(month) is idempotent downstream
+    per_household = spend_by_key(hm, "hshd_num").withColumn("_per_hshd_num", F.lit(True))
+    per_product = spend_by_key(tx_lines, "product_num").withColumn("_per_product_num", F.lit(True))
 
     def numbered(df: DataFrame, panel: str, label, value, households_col=None) -> DataFrame:
         return df.select(
@@ -142,14 +156,16 @@ def dashboard_summary(tx_lines: DataFrame, tx_household: DataFrame,
             .alias("households"))
 
     panels = [
-        numbered(spend_over_time(hm_flat), "spend_over_time", F.col("period"), F.col("spend")),
+        numbered(spend_over_time(hm, False), "spend_over_time", F.col("period"), F.col("spend")),
         numbered(spend_by_department(per_product, products), "spend_by_department",
                  F.col("department"), F.col("spend")),
-        numbered(brand_mix(per_product, products), "brand_mix", F.col("brand_type"), F.col("spend")),
-        numbered(organic_mix(per_product, products), "organic_mix", F.col("organic"), F.col("spend")),
-        numbered(income_engagement(hm_flat, households), "spend_by_income",
+        numbered(brand_mix(per_product, products, False), "brand_mix", F.col("brand_type"),
+                 F.col("spend")),
+        numbered(organic_mix(per_product, products, False), "organic_mix", F.col("organic"),
+                 F.col("spend")),
+        numbered(income_engagement(per_household, households, False), "spend_by_income",
                  F.col("income_range"), F.col("avg_spend_per_household"), F.col("households")),
-        numbered(loyalty_engagement(hm_flat, households), "loyalty", F.col("loyal"),
+        numbered(loyalty_engagement(per_household, households, False), "loyalty", F.col("loyal"),
                  F.col("avg_spend_per_household"), F.col("households")),
     ]
     out = panels[0]
@@ -162,12 +178,13 @@ def dashboard_panels(tx_lines: DataFrame, tx_household: DataFrame,
                      households: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     """The six panels as separate frames (the API shape), sharing the pre-aggregates."""
     hm = spend_by_household_month(tx_household)
-    per_product = spend_by_key(tx_lines, "product_num")
+    per_household = spend_by_key(hm, "hshd_num").withColumn("_per_hshd_num", F.lit(True))
+    per_product = spend_by_key(tx_lines, "product_num").withColumn("_per_product_num", F.lit(True))
     return {
         "spend_over_time": spend_over_time(hm),
         "spend_by_department": spend_by_department(per_product, products),
         "brand_mix": brand_mix(per_product, products),
         "organic_mix": organic_mix(per_product, products),
-        "spend_by_income": income_engagement(hm, households),
-        "loyalty": loyalty_engagement(hm, households),
+        "spend_by_income": income_engagement(per_household, households),
+        "loyalty": loyalty_engagement(per_household, households),
     }

@@ -40,8 +40,14 @@ def full_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mine(spark: SparkSession, sf_dir: str, top: int = B.TOP_RULES) -> tuple[DataFrame, int]:
-    """(ranked rules with array sides, basket count)."""
-    itemsets = B.basket_itemsets(lines_frame(spark, sf_dir))
+    """(ranked rules with array sides, basket count) over the driver tables."""
+    return mine_lines(lines_frame(spark, sf_dir), top)
+
+
+def mine_lines(lines: DataFrame, top: int = B.TOP_RULES) -> tuple[DataFrame, int]:
+    """(ranked rules with array sides, basket count) from (basket_num, commodity) lines."""
+    spark = lines.sparkSession
+    itemsets = B.basket_itemsets(lines)
     shared_root(spark)
     itemsets = itemsets.checkpoint()       # reused by the count and FP-growth
     n = itemsets.count()
@@ -55,14 +61,20 @@ def mine(spark: SparkSession, sf_dir: str, top: int = B.TOP_RULES) -> tuple[Data
 def copurchase_model(spark: SparkSession, sf_dir: str,
                      iterations: int = DEFAULT_ITERATIONS) -> DataFrame:
     """Metric row (target, accuracy, AUC, top drivers) or an empty frame."""
+    return copurchase_lines(lines_frame(spark, sf_dir), iterations)
+
+
+def copurchase_lines(lines: DataFrame, iterations: int = DEFAULT_ITERATIONS) -> DataFrame:
+    """The co-purchase model from (basket_num, commodity) lines."""
+    spark = lines.sparkSession
     empty = spark.createDataFrame([], "target_commodity string, accuracy double, "
                                       "roc_auc double, top_drivers string")
-    pairs = B.basket_items(lines_frame(spark, sf_dir))
+    pairs = B.basket_items(lines)
     top = B.target_item(B.item_frequency(pairs)).first()
     if top is None:
         return empty
     target = top["commodity"]
-    itemsets = B.basket_itemsets(lines_frame(spark, sf_dir))
+    itemsets = B.basket_itemsets(lines)
     rows = B.copurchase_rows(itemsets, target)
     if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return empty

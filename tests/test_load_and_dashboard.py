@@ -111,3 +111,24 @@ def test_missing_column_is_named(spark, tmp_path):
     from cartwise.sources.raw_files import read_raw_csv
     with pytest.raises(ValueError, match="COMMODITY"):
         read_raw_csv(spark, str(tmp_path / "p"), ["PRODUCT_NUM", "DEPARTMENT", "COMMODITY"])
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    """Model jobs over the smallest driver tables: results written and readable."""
+    from cartwise.plans import jobs as J
+    from cartwise.plans import results as R
+    from conftest import SMALL_SF
+    tables = J.retail_tables(spark, None, SMALL_SF)
+    res, rep = str(tmp_path / "results"), str(tmp_path / "reports")
+    out = J.run_churn(spark, tables, res, rep, iterations=5)
+    scores = R.read_result(spark, res, "household_churn")
+    assert scores.count() == out["scored"] > 0
+    assert scores.where("churn_probability < 0 OR churn_probability > 1").count() == 0
+    bad_band = scores.where("(churn_probability >= 0.6601 AND risk_band <> 'High') OR "
+                            "(churn_probability < 0.3299 AND risk_band <> 'Low')")
+    assert bad_band.count() == 0
+    assert scores.select("hshd_num").distinct().count() == scores.count()
+    assert R.read_result(spark, res, "churn_model_metric").count() == 1
+    assert spark.read.option("header", True).csv(f"{rep}/churn_correlations").count() == 9
+    b = J.run_basket(spark, tables, res, iterations=5)
+    assert b["rules"] == R.read_result(spark, res, "basket_rules").count() > 0
