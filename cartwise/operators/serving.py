@@ -87,3 +87,25 @@ def heuristic_metric(scored: DataFrame, features: DataFrame, feature_cols: list[
                                 "top_drivers string")
     return row.select(round4("accuracy").alias("accuracy"), round4("roc_auc").alias("roc_auc"),
                       round4("churn_rate").alias("churn_rate"), "top_drivers")
+
+
+def churn_summary(scores: DataFrame, metric: DataFrame) -> DataFrame:
+    """Band histogram plus the latest model metric, as one long frame
+    (section, name, value, text); no metric rows when no model has run."""
+    bands = risk_band_counts(scores).select(
+        F.lit("band").alias("section"), F.col("band").alias("name"),
+        F.col("households").cast("double").alias("value"), F.lit(None).cast("string").alias("text"))
+    if "created_at" in metric.columns:
+        metric = latest(metric).drop("created_at")
+    m = metric.select(
+        F.lit("metric").alias("section"),
+        F.explode(F.array(
+            F.struct(F.lit("accuracy").alias("name"), F.col("accuracy").alias("value"),
+                     F.lit(None).cast("string").alias("text")),
+            F.struct(F.lit("roc_auc").alias("name"), F.col("roc_auc").alias("value"),
+                     F.lit(None).cast("string").alias("text")),
+            F.struct(F.lit("churn_rate").alias("name"), F.col("churn_rate").alias("value"),
+                     F.lit(None).cast("string").alias("text")),
+            F.struct(F.lit("top_drivers").alias("name"), F.lit(None).cast("double").alias("value"),
+                     F.col("top_drivers").alias("text")))).alias("m"))
+    return bands.unionByName(m.select("section", "m.name", "m.value", "m.text"))

@@ -184,7 +184,9 @@ def q_churn_scores_valid(spark, sf):
     return V.valid_scores(_stored_scores(spark, sf), S.households(spark, sf))
 
 
-def _metric_sql() -> str:
+def _metric_sql(select: str = "", *extra: str) -> str:
+    """Metric-row CTEs (split, AUC, drivers) + ``extra`` CTEs + ``select``."""
+    select = select or METRIC_ROW
     drivers = (f"""drv AS (SELECT string_agg(feature, ', ' ORDER BY abs(correlation) DESC, feature)
                AS top_drivers FROM (SELECT feature, correlation FROM (UNPIVOT (SELECT """
                + ",\n".join(
@@ -195,7 +197,10 @@ def _metric_sql() -> str:
                + """ INTO NAME feature VALUE correlation) WHERE correlation IS NOT NULL
                ORDER BY abs(correlation) DESC, feature LIMIT 6))""")
     return churn_sql(SCORE, SPLIT, "tst AS (SELECT * FROM sp WHERE is_test)",
-                     auc_sql("tst", "churned", "score"), drivers) + f"""
+                     auc_sql("tst", "churned", "score"), drivers, *extra) + select
+
+
+METRIC_ROW = f"""
 SELECT {O.round4('(SELECT avg(CASE WHEN (CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) = churned '
                  'THEN 1.0 ELSE 0.0 END) FROM tst)')} AS accuracy,
        {O.round4('(SELECT roc_auc FROM auc)')} AS roc_auc,
@@ -221,3 +226,21 @@ def q_churn_scores(spark, sf):
 
 
 __all__ = ["BAND_ORDER", "round4"]
+
+
+@register("churn_summary", "ML-10 AGG-11 JN-8 SRT-7", _metric_sql(
+    """
+SELECT 'band' AS section, b.band AS name,
+       CAST(coalesce((SELECT count(*) FROM hc WHERE hc.risk_band = b.band), 0) AS DOUBLE) AS value,
+       CAST(NULL AS VARCHAR) AS text FROM bands b
+UNION ALL SELECT 'metric', 'accuracy', accuracy, NULL FROM met
+UNION ALL SELECT 'metric', 'roc_auc', roc_auc, NULL FROM met
+UNION ALL SELECT 'metric', 'churn_rate', churn_rate, NULL FROM met
+UNION ALL SELECT 'metric', 'top_drivers', NULL, top_drivers FROM met""",
+    STORED, "bands AS (SELECT * FROM (VALUES ('High', 0), ('Medium', 1), ('Low', 2)) b(band, position))",
+    "met AS (" + METRIC_ROW + ")"))
+def q_churn_summary(spark, sf):
+    features = _features(spark, sf)
+    scored = C.heuristic_score(features)
+    metric = V.stamp(V.heuristic_metric(scored, features, C.FEATURE_COLUMNS))
+    return V.churn_summary(C.scores_table(scored), metric)
