@@ -44,9 +44,14 @@ def basket_items(lines: DataFrame, basket_col: str = "basket_num",
 
 def basket_itemsets(lines: DataFrame, basket_col: str = "basket_num",
                     item_col: str = "commodity") -> DataFrame:
-    """One sorted, de-duplicated itemset per basket; empty baskets dropped."""
-    pairs = basket_items(lines, basket_col, item_col)
-    return (pairs.groupBy("basket_num").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    """One sorted, de-duplicated itemset per basket; empty baskets dropped.
+
+    One shuffle: ``collect_set`` de-duplicates inside the map-side partial
+    aggregate, so what a basket ships is bounded by its distinct items.
+    """
+    items = (lines.select(F.col(basket_col).alias("basket_num"), F.col(item_col).alias("item"))
+                  .where(F.col("item").isNotNull()))
+    return (items.groupBy("basket_num").agg(F.array_sort(F.collect_set("item")).alias("items"))
                  .where(F.size("items") > 0))
 
 
@@ -93,9 +98,8 @@ def min_count(n_baskets: int, min_support: float = MIN_SUPPORT) -> int:
 def frequent_itemsets(itemsets: DataFrame, min_support: float = MIN_SUPPORT,
                       partitions: int | None = None) -> DataFrame:
     """All itemsets in at least ``min_support`` of the baskets: (items sorted, freq)."""
-    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
-    if partitions:
-        fp = fp.setNumPartitions(partitions)
+    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0,
+                  numPartitions=partitions or itemsets.sparkSession.sparkContext.defaultParallelism)
     model = fp.fit(itemsets)
     return model.freqItemsets.select(F.array_sort("items").alias("items"),
                                      F.col("freq").cast("bigint").alias("freq"))

@@ -1,9 +1,10 @@
 """Churn framing: cutoff, leak-free label, RFM features, scores and risk bands.
 
 Features come from lines on or before the cutoff, the label from whether the
-household bought anything after it. Two aggregates, both with map-side combine:
-per (household, basket), then per household. Each line is read once; the
-pre/post split is carried as conditional aggregates, not as a join, so a
+household bought anything after it. ``churn_features`` combines the fact to
+basket-days once (map-side, written to the checkpoint folder), then two
+aggregates with map-side combine: per (household, basket), then per household.
+The pre/post split is carried as conditional aggregates, not as a join, so a
 household holding a third of all lines is combined inside every map task before
 anything is shuffled.
 """
@@ -59,7 +60,8 @@ def household_features(activity: DataFrame, cutoff: dt.date,
         F.min(F.when(pre, d)).alias("b_first"),
         F.sum(F.when(pre & (d > recent_start), F.col("spend"))).alias("b_recent"),
         F.sum(F.when(d <= recent_start, F.col("spend"))).alias("b_earlier"),
-        F.max(F.col("loyalty_flag").cast("int")).alias("b_loyalty"),
+        *([F.max(F.col("loyalty_flag").cast("int")).alias("b_loyalty")]
+          if "loyalty_flag" in activity.columns else []),
     )
     per_household = per_basket.groupBy("hshd_num").agg(
         F.max("b_pre").alias("has_pre"),
@@ -70,7 +72,7 @@ def household_features(activity: DataFrame, cutoff: dt.date,
         F.min("b_first").alias("first"),
         F.coalesce(F.sum("b_recent"), zero).alias("recent"),
         F.coalesce(F.sum("b_earlier"), zero).alias("earlier"),
-        F.max("b_loyalty").alias("loyalty"),
+        *([F.max("b_loyalty").alias("loyalty")] if "loyalty_flag" in activity.columns else []),
     )
     recent = F.col("recent").cast("double")
     earlier = F.col("earlier").cast("double")
@@ -84,7 +86,8 @@ def household_features(activity: DataFrame, cutoff: dt.date,
         recent.alias("recent_spend"),
         earlier.alias("earlier_spend"),
         (recent / (earlier + F.lit(1.0))).alias("trend_ratio"),
-        F.col("loyalty").cast("int").alias("loyalty"),
+        *([F.col("loyalty").cast("int").alias("loyalty")]
+          if "loyalty_flag" in activity.columns else []),
         F.when(F.col("has_post") == 1, F.lit(0)).otherwise(F.lit(1)).alias("churned"),
     )
 
@@ -117,3 +120,34 @@ def scores_table(scored: DataFrame, probability: str = "score") -> DataFrame:
         F.col("hshd_num").cast("bigint").alias("hshd_num"),
         round4(probability).alias("churn_probability"),
         risk_band(F.col(probability)).alias("risk_band"))
+
+
+def basket_days(tx: DataFrame) -> DataFrame:
+    """Lines combined to (household, basket, day, spend): every churn feature is a
+    sum, max or min over these, so any cutoff can be applied to them later."""
+    return tx.groupBy("hshd_num", "basket_num", "purchase_date").agg(
+        F.sum("spend").alias("spend"))
+
+
+def churn_features(tx: DataFrame, households: DataFrame,
+                   holdout_days: int = HOLDOUT_DAYS) -> tuple[DataFrame | None, dt.date | None]:
+    """Features and label from the fact and the households, in one pass over the fact.
+
+    The fact is first combined to basket-days (map-side, so a hot household is
+    reduced before the shuffle), restricted to known households with a semi
+    join on that much smaller frame, and written once to the shared checkpoint
+    folder. The cutoff (one scalar) and the features both read that copy; the
+    loyalty flag is joined per household at the end instead of per line.
+    """
+    from cartwise.session import shared_root
+    shared_root(tx.sparkSession)
+    days = (basket_days(tx).join(households.select("hshd_num"), "hshd_num", "left_semi")
+            .checkpoint())
+    end = days.agg(F.max("purchase_date")).first()[0]
+    if end is None:
+        return None, None
+    cutoff = end - dt.timedelta(days=holdout_days)
+    per_household = household_features(days, cutoff, holdout_days)
+    loyalty = households.select("hshd_num", F.col("loyalty_flag").cast("int").alias("loyalty"))
+    out = per_household.join(loyalty, "hshd_num")
+    return out.select("hshd_num", *FEATURE_COLUMNS, "churned"), cutoff

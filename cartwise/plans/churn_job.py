@@ -35,11 +35,8 @@ def activity_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dt.date | None]:
-    activity = activity_frame(spark, sf_dir)
-    cutoff = C.cutoff_date(activity)
-    if cutoff is None:
-        return None, None
-    return C.household_features(activity, cutoff), cutoff
+    tx = S.transactions(spark, sf_dir, ["hshd_num", "basket_num", "purchase_date", "spend"])
+    return C.churn_features(tx, S.households(spark, sf_dir))
 
 
 def gbt(iterations: int, label: str = "label") -> GBTClassifier:

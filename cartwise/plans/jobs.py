@@ -11,6 +11,7 @@ Each job prints the run summary the reference prints (counts, bands, top rules).
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,6 @@ from cartwise.plans import load as L
 from cartwise.plans import results as R
 from cartwise.session import build_session
 from cartwise.sources import tables as S
-from cartwise.sources.lines import household_activity
 
 
 def retail_tables(spark: SparkSession, warehouse: str | None, sf_dir: str | None) -> dict[str, DataFrame]:
@@ -65,16 +65,13 @@ def run_basket(spark: SparkSession, tables: dict[str, DataFrame], results: str,
 
 def run_churn(spark: SparkSession, tables: dict[str, DataFrame], results: str,
               reports: str | None = None, iterations: int = CJ.DEFAULT_ITERATIONS) -> dict:
-    activity = household_activity(
+    features, cutoff = C.churn_features(
         tables["transactions"].select("hshd_num", "basket_num", "purchase_date", "spend"),
         tables["households"])
-    end = C.data_end(activity)
-    if end is None:
+    if features is None:
         print("No activity.")
         return {"scored": 0}
-    cutoff = C.cutoff_date(activity)
-    print(f"Data ends {end}; cutoff = {cutoff}")
-    features = C.household_features(activity, cutoff)
+    print(f"Data ends {cutoff + dt.timedelta(days=C.HOLDOUT_DAYS)}; cutoff = {cutoff}")
     rate = C.base_rate(features).first()
     print(f"{rate['households']:,} households scored; churn base rate = {rate['churn_rate']:.1%}")
     scores, metric = CJ.fit_churn_model(features, iterations)
