@@ -3,7 +3,7 @@
 The household filter is an equality on ``hshd_num`` that Catalyst pushes into the
 Parquet scan (row groups are skipped by min/max), so the join and the sort only
 see one household's lines. The full pull (every household) is range-partitioned
-on the household and sorted within partitions: no single-task global sort.
+on (household, basket) and sorted within partitions: no single-task global sort.
 """
 
 from __future__ import annotations
@@ -61,14 +61,16 @@ def household_pull_page(tx: DataFrame, products: DataFrame, hshd_num: int,
 
 
 def data_pull_all(tx: DataFrame, products: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Every household's pull: range-partitioned by household, sorted within partitions.
+    """Every household's pull: range-partitioned on the sort prefix, sorted within
+    partitions, so the partitions in order are the whole pull in order.
 
-    Partition boundaries come from Spark's sampling of ``hshd_num``, so a household
-    is never split across partitions and no task sorts more than its range.
+    Boundaries come from Spark's sampling of (household, basket): no task sorts
+    more than its range, and a household with a huge share of the lines is split
+    over several ranges by its baskets instead of landing in one task.
     """
     lines = pull_lines(tx, products)
     n = partitions or lines.sparkSession.sparkContext.defaultParallelism
-    ranged = lines.repartitionByRange(n, "hshd_num")
+    ranged = lines.repartitionByRange(n, "hshd_num", "basket_num")
     return shape_rows(ranged.sortWithinPartitions(*_ordered(tx)))
 
 

@@ -22,7 +22,7 @@ from cartwise.schema import (RAW_HOUSEHOLD_COLUMNS, RAW_PRODUCT_COLUMNS,
 from cartwise.session import scratch_dir
 from cartwise.sources import raw_files as R
 from cartwise.sources import tables as S
-from cartwise.streaming.incremental_load import start_incremental_load, stream_report
+from cartwise.streaming.incremental_load import finish, start_incremental_load, stream_report
 
 STREAM_FILES = 4          # transaction files in the fixture folder -> micro-batches
 _FIXTURES: dict[tuple[str, str], dict[str, str]] = {}
@@ -120,9 +120,7 @@ def q_stream_load_report(spark, sf):
     out = scratch_dir(spark, "stream")
     q = start_incremental_load(spark, paths["transactions"], h, p, f"{out}/data",
                                f"{out}/checkpoint", max_files_per_trigger=1)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(f"stream load failed: {q.exception()}")
+    finish(q)
     return stream_report(spark, f"{out}/data")
 
 

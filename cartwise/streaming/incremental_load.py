@@ -68,7 +68,25 @@ def start_incremental_load(spark: SparkSession, source_dir: str, households: Dat
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="10 seconds")
-    return writer.start()
+    query = writer.start()
+    _CACHED[query.id] = (hk, pk)
+    return query
+
+
+_CACHED: dict = {}
+
+
+def finish(query: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait for the stream to end (an ``availableNow`` run ends by itself), release
+    the cached key sets, and raise if the stream failed."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+    for df in _CACHED.pop(query.id, ()):
+        df.unpersist()
+    if query.exception() is not None:
+        raise RuntimeError(f"stream load failed: {query.exception()}")
 
 
 def stream_report(spark: SparkSession, out_root: str) -> DataFrame:
