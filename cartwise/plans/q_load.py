@@ -207,3 +207,11 @@ def q_split_list(spark, sf):
     parts = text.select("basket_num", split_list("items_text").alias("p"))
     return parts.select("basket_num", F.size("p").alias("parts"),
                         F.array_join("p", "|").alias("rejoined"))
+
+
+@register("line_ids", "SNK-5", O.with_views() + """
+SELECT count(*) AS lines, count(*) AS distinct_ids FROM transactions""")
+def q_line_ids(spark, sf):
+    from cartwise.plans.results import with_line_id
+    ided = with_line_id(S.transactions(spark, sf))
+    return ided.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("id").alias("distinct_ids"))
