@@ -125,6 +125,7 @@ def q_stream_load_report(spark, sf):
 
 
 @register("constraint_report", "SNK-6", O.with_views() + """
+SELECT table_name, check_name, CAST(violations AS BIGINT) AS violations FROM (
 SELECT 'households' AS table_name, 'pk_null' AS check_name, count_if(hshd_num IS NULL) AS violations FROM households
 UNION ALL SELECT 'households', 'not_null', count_if(loyalty_flag IS NULL) FROM households
 UNION ALL SELECT 'households', 'int_range', count_if(hshd_num < -2147483648 OR hshd_num > 2147483647) FROM households
@@ -139,7 +140,7 @@ UNION ALL SELECT 'transactions', 'int_range', count_if(basket_num < -2147483648
     OR hshd_num < -2147483648 OR hshd_num > 2147483647 OR product_num < -2147483648 OR product_num > 2147483647) FROM transactions
 UNION ALL SELECT 'transactions', 'spend_range', count_if(abs(spend) >= 100000000) FROM transactions
 UNION ALL SELECT 'transactions', 'fk_household', count(*) FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM households h WHERE h.hshd_num = t.hshd_num)
-UNION ALL SELECT 'transactions', 'fk_product', count(*) FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_num = t.product_num)""")
+UNION ALL SELECT 'transactions', 'fk_product', count(*) FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_num = t.product_num))""")
 def q_constraint_report(spark, sf):
     return I.constraint_report(S.households(spark, sf), S.products(spark, sf),
                                S.transactions(spark, sf))
