@@ -35,8 +35,8 @@ def activity_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dt.date | None]:
-    tx = S.transactions(spark, sf_dir, ["hshd_num", "basket_num", "purchase_date", "spend"])
-    return C.churn_features(tx, S.households(spark, sf_dir))
+    # Basket totals: every churn feature is a sum / max / min over basket-days.
+    return C.churn_features(S.basket_totals(spark, sf_dir), S.households(spark, sf_dir))
 
 
 def gbt(iterations: int, label: str = "label") -> GBTClassifier:

@@ -9,7 +9,6 @@ from cartwise.operators import dashboard as D
 from cartwise.plans.registry import register
 from cartwise.sources import tables as S
 
-HOUSEHOLD_SIDE = ["hshd_num", "purchase_date", "spend"]
 
 
 def _rc(x: str) -> str:
@@ -21,7 +20,7 @@ SELECT strftime(purchase_date, '%Y-%m') AS period,
        {_rc('CAST(SUM(spend) AS DOUBLE)')} AS spend
 FROM transactions GROUP BY 1 ORDER BY 1""")
 def q_spend_over_time(spark, sf):
-    return D.spend_over_time(S.transactions(spark, sf, ["purchase_date", "spend"]))
+    return D.spend_over_time(S.basket_totals(spark, sf))
 
 
 @register("spend_by_department", "AGG-2 JN-1", O.with_views() + f"""
@@ -67,13 +66,13 @@ GROUP BY 1"""
 
 @register("spend_by_income", "AGG-5 SC-8", _INCOME)
 def q_spend_by_income(spark, sf):
-    return D.spend_by_income(S.transactions(spark, sf, ["hshd_num", "spend"]),
+    return D.spend_by_income(S.basket_totals(spark, sf),
                              S.households(spark, sf))
 
 
 @register("spend_by_loyalty", "AGG-6", _LOYALTY)
 def q_spend_by_loyalty(spark, sf):
-    return D.spend_by_loyalty(S.transactions(spark, sf, ["hshd_num", "spend"]),
+    return D.spend_by_loyalty(S.basket_totals(spark, sf),
                               S.households(spark, sf))
 
 
@@ -85,7 +84,7 @@ def _avg(spend: str, hh: str) -> str:
 SELECT income_range, {_avg('spend', 'households')} AS avg_spend_per_household, households
 FROM ({_INCOME})""")
 def q_income_engagement(spark, sf):
-    return D.income_engagement(S.transactions(spark, sf, ["hshd_num", "spend"]),
+    return D.income_engagement(S.basket_totals(spark, sf),
                                S.households(spark, sf))
 
 
@@ -93,7 +92,7 @@ def q_income_engagement(spark, sf):
 SELECT loyal, {_avg('spend', 'households')} AS avg_spend_per_household, households
 FROM ({_LOYALTY})""")
 def q_loyalty_engagement(spark, sf):
-    return D.loyalty_engagement(S.transactions(spark, sf, ["hshd_num", "spend"]),
+    return D.loyalty_engagement(S.basket_totals(spark, sf),
                                 S.households(spark, sf))
 
 
@@ -144,7 +143,7 @@ SELECT 'loyalty', CAST(loyal AS VARCHAR), {_avg('spend', 'households')}, househo
 def dashboard_summary(spark, sf):
     return D.dashboard_summary(
         S.transactions(spark, sf, ["product_num", "spend"]),
-        S.transactions(spark, sf, HOUSEHOLD_SIDE),
+        S.basket_totals(spark, sf),
         S.households(spark, sf), S.products(spark, sf))
 
 

@@ -135,3 +135,23 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "products": products(spark, sf_dir),
         "transactions": transactions(spark, sf_dir),
     }
+
+
+def basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(basket_num, hshd_num, purchase_date, spend) with one row per basket.
+
+    Household and date come from the order, so they are the same for every line
+    of a basket: summing the lines per basket *before* the orders join is exact
+    (decimal sums) and shrinks the join input by the lines-per-basket factor.
+    Household-level and month-level sums (dashboard, churn) read this instead of
+    the line-level fact.
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    per_basket = li.groupBy(F.col("l_orderkey").alias("basket_num")).agg(
+        F.sum(F.col("l_extendedprice").cast(SPEND_TYPE)).alias("spend"))
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("basket_num"),
+        F.col("o_custkey").alias("hshd_num"),
+        F.col("o_orderdate").cast("date").alias("purchase_date"))
+    return per_basket.join(o, "basket_num").select("basket_num", "hshd_num", "purchase_date",
+                                                   "spend")
