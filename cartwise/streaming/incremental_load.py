@@ -83,6 +83,9 @@ def finish(query: StreamingQuery, timeout_s: float | None = None) -> None:
         query.awaitTermination()
     elif not query.awaitTermination(timeout_s):
         query.stop()
+        for df in _CACHED.pop(query.id, ()):
+            df.unpersist()
+        raise TimeoutError(f"stream load did not finish in {timeout_s} s")
     for df in _CACHED.pop(query.id, ()):
         df.unpersist()
     if query.exception() is not None:
