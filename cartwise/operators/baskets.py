@@ -8,6 +8,8 @@ Scale notes:
   by the item vocabulary, not by the number of lines.
 * Frequent itemsets come from MLlib's parallel FP-growth (conditional trees are
   distributed by item group).
+* Pair rules count item pairs inside each basket's task with a map-side
+  combine over the itemsets (no self-join of baskets).
 * Rules expand every frequent itemset into all its non-empty proper subsets
   (bit masks over the sorted items, no cap on the itemset size) and look the
   support of both sides up with two joins on the itemset key; the itemset
@@ -144,29 +146,37 @@ def rank_rules(rules: DataFrame, min_lift: float = MIN_LIFT,
         round4("confidence").alias("confidence"), round4("lift").alias("lift"))
 
 
-def pair_rules(pairs: DataFrame, n_baskets: int, min_support: float = MIN_SUPPORT,
+def item_pairs(itemsets: DataFrame) -> DataFrame:
+    """(x, y) for every two items x < y of each basket, generated inside the task
+    that holds the basket (no join, no shuffle of baskets); callers aggregate them
+    right away, so only combined pair counts ever leave a task."""
+    items = F.col("items")
+    pairs = F.flatten(F.transform(items, lambda x, i: F.transform(
+        F.slice(items, i + 2, F.size(items) - i - 1),
+        lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return itemsets.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
+
+
+def pair_rules(itemsets: DataFrame, n_baskets: int, min_support: float = MIN_SUPPORT,
                min_lift: float = MIN_LIFT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules with one item on each side, by a path independent of FP-growth.
 
-    Only items that are frequent on their own can be in a frequent pair, so the
-    pairs come from a self-join of the (basket, frequent item) rows on the
-    basket with item < item. A basket holds each item once, so it yields at most
-    v(v-1)/2 pairs for v frequent items however many lines it has.
+    Pair and item counts are plain grouped counts with a map-side combine over
+    the sorted, de-duplicated itemsets: a basket contributes each of its
+    v(v-1)/2 item pairs once, counted in its own task, and what is shuffled is
+    at most one partial count per distinct pair per task (bounded by the item
+    vocabulary, not by baskets or lines). A frequent pair implies frequent items,
+    so no candidate list is needed.
     """
     threshold = min_count(n_baskets, min_support)
-    counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    frequent = counts.where(F.col("n_item") >= threshold)
-    fp = pairs.join(frequent.select("item"), "item")
-    a, b = fp.alias("a"), fp.alias("b")
-    co = (a.join(b, (F.col("a.basket_num") == F.col("b.basket_num"))
-                 & (F.col("a.item") < F.col("b.item")))
-           .groupBy(F.col("a.item").alias("x"), F.col("b.item").alias("y"))
-           .agg(F.count(F.lit(1)).alias("n_xy"))
-           .where(F.col("n_xy") >= threshold))
+    singles = (itemsets.select(F.explode("items").alias("item"))
+               .groupBy("item").agg(F.count(F.lit(1)).alias("n_item")))
+    co = (item_pairs(itemsets).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_xy"))
+          .where(F.col("n_xy") >= threshold))
     both = (co.select(F.col("x").alias("ante"), F.col("y").alias("cons"), "n_xy")
               .unionByName(co.select(F.col("y").alias("ante"), F.col("x").alias("cons"), "n_xy")))
-    na = frequent.select(F.col("item").alias("ante"), F.col("n_item").alias("n_a"))
-    nc = frequent.select(F.col("item").alias("cons"), F.col("n_item").alias("n_c"))
+    na = singles.select(F.col("item").alias("ante"), F.col("n_item").alias("n_a"))
+    nc = singles.select(F.col("item").alias("cons"), F.col("n_item").alias("n_c"))
     n = F.lit(float(n_baskets))
     r = both.join(na, "ante").join(nc, "cons")
     support = F.col("n_xy") / n

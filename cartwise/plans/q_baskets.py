@@ -144,9 +144,9 @@ SELECT ante AS antecedent, cons AS consequent, support, support / sa AS confiden
        (support / sa) / sc AS lift
 FROM r WHERE (support / sa) / sc >= 1.0 AND support / sa >= 0.05""")
 def q_pair_rules(spark, sf):
-    pairs = _pairs(spark, sf)
-    n = pairs.select("basket_num").distinct().count()
-    return B.pair_rules(pairs, n)
+    shared_root(spark)
+    itemsets = B.basket_itemsets(J.lines_frame(spark, sf)).checkpoint()  # counted, then paired
+    return B.pair_rules(itemsets, itemsets.count())
 
 
 @register("copurchase_dataset", "ML-5", O.with_views(BI) + """,

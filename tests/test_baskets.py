@@ -79,11 +79,19 @@ def test_pair_rules_agree_with_fpgrowth_rules(spark):
                            & (F.size("antecedents") == 1) & (F.size("consequents") == 1))
     a = {(r["antecedents"][0], r["consequents"][0], r["support"], r["confidence"], r["lift"])
          for r in kept.collect()}
-    pairs = B.pair_rules(B.basket_items(lines), n).collect()
+    pairs = B.pair_rules(itemsets, n).collect()
     b = {(r["antecedent"], r["consequent"], r["support"], r["confidence"], r["lift"]) for r in pairs}
     assert a == b and len(a) > 0
 
 
+def test_item_pairs_hot_basket(spark):
+    """A basket with many repeated lines yields each pair once."""
+    lines = spark.createDataFrame([(1, c) for c in ["A", "B", "C"] * 500] + [(2, "A"), (2, "C")],
+                                  "basket_num long, commodity string")
+    got = sorted(tuple(r) for r in B.item_pairs(B.basket_itemsets(lines)).collect())
+    assert got == [("A", "B"), ("A", "C"), ("A", "C"), ("B", "C")]
+
+
 def test_rank_rules_orders_before_rounding(spark):
     rules = spark.createDataFrame(
         [(["BREAD"], ["MILK"], 0.02, 0.3, 1.5), (["PASTA", "PASTA SAUCE"], ["PARMESAN"], 0.01, 0.4, 4.2),
