@@ -60,3 +60,28 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, never-reused folder under the shared root for one job run."""
     return f"{shared_root(spark)}/cartwise-{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_settings(input_bytes: int, executor_cores: int, executors: int,
+                   partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of Parquet.
+
+    Shuffle partitions start at about one per ``partition_bytes`` of input (at
+    least two waves of the cluster's cores) and AQE coalesces them down to the
+    advisory size after each stage, so no reducer holds more than it can sort in
+    memory; skewed partitions over 4x the median (and 256 MB) are split.
+    """
+    cores = max(1, executor_cores * executors)
+    shuffle = max(2 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -39,3 +39,11 @@ def test_latest_metric(spark):
     m = spark.createDataFrame([(0.9, dt.datetime(2026, 1, 1)), (0.8, dt.datetime(2026, 2, 1))],
                               "accuracy double, created_at timestamp")
     assert V.latest(m).first()["accuracy"] == 0.8
+
+
+def test_scale_settings():
+    from cartwise.session import scale_settings
+    s = scale_settings(100 * 2**40, executor_cores=8, executors=1000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 819200   # 100 TB / 128 MB
+    small = scale_settings(2**30, executor_cores=8, executors=10)
+    assert int(small["spark.sql.shuffle.partitions"]) == 160  # two waves of 80 cores
