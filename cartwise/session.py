@@ -62,6 +62,9 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/cartwise-{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
 def scale_settings(input_bytes: int, executor_cores: int, executors: int,
                    partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of Parquet.
@@ -72,7 +75,9 @@ def scale_settings(input_bytes: int, executor_cores: int, executors: int,
     memory; skewed partitions over 4x the median (and 256 MB) are split.
     """
     cores = max(1, executor_cores * executors)
-    shuffle = max(2 * cores, -(-input_bytes // partition_bytes))
+    # Capped: every map task writes an index entry per reducer, so past a few
+    # tens of thousands of reducers the map-side bookkeeping dominates.
+    shuffle = min(MAX_SHUFFLE_PARTITIONS, max(2 * cores, -(-input_bytes // partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),
