@@ -42,14 +42,14 @@ def run_load(spark: SparkSession, paths: dict[str, str], warehouse: str) -> dict
 
 
 def run_basket(spark: SparkSession, tables: dict[str, DataFrame], results: str,
-               iterations: int = BJ.DEFAULT_ITERATIONS) -> dict:
+               iterations: int = BJ.DEFAULT_ITERATIONS, source: str | None = None) -> dict:
     lines = tables["transactions"].select("basket_num", "product_num").join(
         tables["products"].select("product_num", "commodity"), "product_num")
     summary = B.basket_items(lines).agg(F.count_distinct("basket_num").alias("baskets"),
                                         F.count_distinct("item").alias("commodities")).first()
     print(f"{summary['baskets']:,} baskets across {summary['commodities']} distinct commodities")
     rules, _ = BJ.mine_lines(lines)
-    written = R.replace_result(rules, results, "basket_rules")
+    written = R.replace_result(rules, results, "basket_rules", source)
     print(f"Wrote {written} association rules to basket_rules")
     V.top_rules(BJ.rules_as_text(R.read_result(spark, results, "basket_rules")), 10).show(
         10, truncate=False)
@@ -58,13 +58,16 @@ def run_basket(spark: SparkSession, tables: dict[str, DataFrame], results: str,
         print("Skipped co-purchase model (target commodity has a single class).")
         return {"rules": written, "model": False}
     R.replace_result(metric.withColumn("top_drivers", F.split("top_drivers", ", ")),
-                     results, "basket_model_metric")
+                     results, "basket_model_metric", source)
     metric.show(truncate=False)
     return {"rules": written, "model": True}
 
 
 def run_churn(spark: SparkSession, tables: dict[str, DataFrame], results: str,
-              reports: str | None = None, iterations: int = CJ.DEFAULT_ITERATIONS) -> dict:
+              reports: str | None = None, iterations: int = CJ.DEFAULT_ITERATIONS,
+              source: str | None = None) -> dict:
+    """``source``: the loaded dataset version the tables come from; the stored
+    scores are tied to it and read as empty after a reload."""
     features, cutoff = C.churn_features(
         tables["transactions"].select("hshd_num", "basket_num", "purchase_date", "spend"),
         tables["households"])
@@ -78,10 +81,10 @@ def run_churn(spark: SparkSession, tables: dict[str, DataFrame], results: str,
     if scores is None:
         print("Only one class present - cannot train. Aborting.")
         return {"scored": 0}
-    written = R.replace_result(scores, results, "household_churn")
+    written = R.replace_result(scores, results, "household_churn", source)
     print(f"Wrote {written} household churn scores")
     V.risk_band_counts(R.read_result(spark, results, "household_churn")).show()
-    R.replace_result(metric, results, "churn_model_metric")
+    R.replace_result(metric, results, "churn_model_metric", source)
     if reports:
         corr = E.feature_correlations(features, C.FEATURE_COLUMNS, "churned")
         R.write_report_csv(corr, f"{reports}/churn_correlations")
@@ -106,10 +109,11 @@ def main(argv: list[str] | None = None) -> None:
                          "transactions": a.transactions}, a.warehouse)
         return
     tables = retail_tables(spark, a.warehouse, a.sf_dir)
+    source = L.current_version(spark, a.warehouse) if a.warehouse else None
     if a.job == "basket":
-        run_basket(spark, tables, a.results, a.iterations)
+        run_basket(spark, tables, a.results, a.iterations, source)
     else:
-        run_churn(spark, tables, a.results, a.reports, a.iterations)
+        run_churn(spark, tables, a.results, a.reports, a.iterations, source)
 
 
 if __name__ == "__main__":

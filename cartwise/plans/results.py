@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def replace_result(df: DataFrame, root: str, name: str) -> int:
+def replace_result(df: DataFrame, root: str, name: str, source: str | None = None) -> int:
+    """Write a new version of result ``name``; ``source`` names the loaded dataset
+    version it was computed from (see ``read_result``)."""
     spark = df.sparkSession
     version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
     path = f"{root}/{name}/v={version}"
@@ -26,18 +28,29 @@ def replace_result(df: DataFrame, root: str, name: str) -> int:
        .observe(obs, F.count(F.lit(1)).alias("n"))
        .write.mode("errorifexists").parquet(path))
     n = int(obs.get.get("n") or 0)
-    spark.createDataFrame([(version, path, n)], "version string, path string, rows long") \
+    spark.createDataFrame([(version, path, n, source)],
+                          "version string, path string, rows long, source string") \
         .coalesce(1).write.mode("append").json(f"{root}/{name}/_versions")
     return n
 
 
-def read_result(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest version of a result table."""
-    log = spark.read.json(f"{root}/{name}/_versions")
-    row = log.orderBy(F.desc("version")).select("path").first()
+def read_result(spark: SparkSession, root: str, name: str,
+                current_source: str | None = None) -> DataFrame:
+    """The newest version of a result table.
+
+    With ``current_source`` (the loaded dataset version now current), a result
+    computed from an older load reads as empty: reloading the data invalidates
+    stored scores, as the cascade on the household table does in the reference.
+    """
+    log = spark.read.schema("version string, path string, rows long, source string") \
+        .json(f"{root}/{name}/_versions")
+    row = log.orderBy(F.desc("version")).select("path", "source").first()
     if row is None:
         raise FileNotFoundError(f"no result {name} under {root}")
-    return spark.read.parquet(row["path"])
+    df = spark.read.parquet(row["path"])
+    if current_source is not None and row["source"] != current_source:
+        return df.limit(0)
+    return df
 
 
 def write_report_csv(df: DataFrame, path: str, max_rows: int = 10_000) -> None:

@@ -132,3 +132,25 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{rep}/churn_correlations").count() == 9
     b = J.run_basket(spark, tables, res, iterations=5)
     assert b["rules"] == R.read_result(spark, res, "basket_rules").count() > 0
+
+
+def test_reload_invalidates_scores(spark, tmp_path):
+    """Scores computed from one load read as empty after the next load."""
+    from cartwise.plans import results as R
+    paths = {}
+    for name, text in [("households", HOUSEHOLDS), ("products", PRODUCTS),
+                       ("transactions", TRANSACTIONS)]:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.csv").write_text(text)
+        paths[name] = str(tmp_path / name)
+    wh, res = str(tmp_path / "wh"), str(tmp_path / "res")
+    L.load_dataset(spark, paths, wh, partitions=2)
+    v1 = L.current_version(spark, wh)
+    scores = spark.createDataFrame([(10, 0.9, "High")], "hshd_num long, churn_probability double, "
+                                                        "risk_band string")
+    R.replace_result(scores, res, "household_churn", source=v1)
+    assert R.read_result(spark, res, "household_churn", v1).count() == 1
+    L.load_dataset(spark, paths, wh, partitions=2)
+    v2 = L.current_version(spark, wh)
+    assert v2 != v1
+    assert R.read_result(spark, res, "household_churn", v2).count() == 0
