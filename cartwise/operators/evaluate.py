@@ -35,8 +35,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str,
     (md5(id || ':' || seed), id) go to the test part. Exact and repeatable.
 
     Ranking inside (label, bucket) keeps every window partition at about
-    n / 65,536 rows; the offsets per bucket come from a (classes x 65,536) aggregate,
-    which is the only thing broadcast.
+    n / 65,536 rows; the offsets per bucket come from a (classes x 65,536) aggregate.
     """
     keyed = (df.withColumn("_h", _split_key(id_col, seed))
                .withColumn("_b", F.substring("_h", 1, SPLIT_BUCKET_CHARS)))
@@ -49,8 +48,10 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str,
         F.sum("_nb").over(per_class).alias("_nclass"))
     in_bucket = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
     ranked = keyed.withColumn("_rn", F.row_number().over(in_bucket))
-    # offsets has at most (number of classes) x 16^4 rows: a proven bound.
-    joined = ranked.join(F.broadcast(offsets), [label_col, "_b"])
+    # ``ranked`` is already hash-partitioned on (label, bucket) by its window, so
+    # joining on those keys shuffles only ``offsets`` (one row per label and
+    # bucket); Spark broadcasts it instead when it measures it small.
+    joined = ranked.join(offsets, [label_col, "_b"])
     n_test = F.ceil(F.col("_nclass") * F.lit(test_fraction))
     return (joined.withColumn("is_test", (F.col("_before") + F.col("_rn")) <= n_test)
                   .drop("_h", "_b", "_rn", "_before", "_nclass"))
