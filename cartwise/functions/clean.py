@@ -41,50 +41,55 @@ def js_trim(c: Column | str) -> Column:
     return F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(JS_WHITESPACE))
 
 
-def clean_optional_text(c: Column | str) -> Column:
+def _t(c: Column | str, trimmed: bool) -> Column:
+    """The trimmed text; ``trimmed=True`` when the caller trimmed it already in an
+    earlier projection (keeps each generated expression small)."""
+    return F.coalesce(_col(c), F.lit("")) if trimmed else js_trim(c)
+
+
+def clean_optional_text(c: Column | str, trimmed: bool = False) -> Column:
     """Trimmed text; empty or the word ``null`` in any case -> NULL."""
-    t = js_trim(c)
+    t = _t(c, trimmed)
     return F.when((t == "") | (F.lower(t) == "null"), F.lit(None).cast("string")).otherwise(t)
 
 
-def clean_text(c: Column | str) -> Column:
+def clean_text(c: Column | str, trimmed: bool = False) -> Column:
     """Required text: trimmed only (an empty value stays empty)."""
-    return js_trim(c)
+    return _t(c, trimmed)
 
 
-def parse_int(c: Column | str) -> Column:
+def parse_int(c: Column | str, trimmed: bool = False) -> Column:
     """Padded (spaces or leading zeros) integer -> bigint; NULL when not an integer.
 
     Whole numbers written as ``1.0`` or ``1e3`` are accepted; the empty string is not.
     """
-    t = js_trim(c)
+    t = _t(c, trimmed)
     direct = t.try_cast("bigint")
     as_double = t.try_cast("double")
     whole = F.when(
         as_double.isNotNull() & (F.abs(as_double) < F.lit(9.2e18))
         & (as_double == F.floor(as_double)),
         F.floor(as_double))
-    return F.when(t == "", F.lit(None).cast("bigint")).otherwise(F.coalesce(direct, whole))
+    return F.coalesce(direct, whole)        # "" fails both casts
 
 
-def parse_yes_no(c: Column | str) -> Column:
-    v = F.upper(js_trim(c))
+def parse_yes_no(c: Column | str, trimmed: bool = False) -> Column:
+    v = F.upper(_t(c, trimmed))
     return F.when(v == "Y", F.lit(True)).when(v == "N", F.lit(False))
 
 
-def parse_money(c: Column | str) -> Column:
+def parse_money(c: Column | str, trimmed: bool = False) -> Column:
     """Money text such as ``.59`` or `` 3.49 `` -> decimal(10,2), rounded half up."""
-    t = js_trim(c)
-    return F.when(t == "", F.lit(None).cast(SPEND_TYPE)).otherwise(t.try_cast(SPEND_TYPE))
+    return _t(c, trimmed).try_cast(SPEND_TYPE)       # "" fails the cast
 
 
-def parse_oracle_date(c: Column | str) -> Column:
+def parse_oracle_date(c: Column | str, trimmed: bool = False) -> Column:
     """``DD-MON-YY`` (any case, 1-2 digit day) -> date; NULL when not that shape.
 
     Day overflow rolls into the next month (31-FEB-18 -> 2018-03-03) and day 0 is
     the last day of the previous month, as with a UTC calendar constructor.
     """
-    v = F.upper(js_trim(c))
+    v = F.upper(_t(c, trimmed))
     ok = v.rlike(ORACLE_DATE_PATTERN)
     parts = F.split(v, "-")
     day = F.try_element_at(parts, F.lit(1)).try_cast("int")

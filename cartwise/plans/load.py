@@ -44,11 +44,17 @@ def strict(df: DataFrame, specs: list[Spec], keep: list[str] | None = None) -> D
     its own projection instead of inlining it), so no parse runs twice per row.
     """
     keep = keep or []
-    parsed = df.select(*keep, *[F.col(raw) for _, raw, parser, _ in specs if parser is not None],
-                       *[(parser(raw) if parser is not None else raw).alias(f"_p_{out}")
-                         for out, raw, parser, _ in specs])
+    raws = sorted({raw for _, raw, _, _ in specs})
+    # 1. trim every raw field once; 2. parse from the trimmed values; 3. check.
+    # Separate projections keep each generated expression small (one huge
+    # projection falls out of whole-stage codegen's fast path).
+    trimmed = df.select(*keep, *raws, *[C.js_trim(r).alias(f"_t_{r}") for r in raws])
+    parsed = trimmed.select(*keep, *raws,
+                            *[(parser(f"_t_{raw}", trimmed=True) if parser is not None
+                               else F.col(f"_t_{raw}")).alias(f"_p_{out}")
+                              for out, raw, parser, _ in specs])
     checked = []
-    for out, raw, parser, what in specs:
+    for out, raw, parser, what in specs:  # raw text kept only for the messages
         p = F.col(f"_p_{out}")
         if parser is not None and what is not None:
             msg = F.concat(F.lit(f"Expected {what} in {raw} but got \""),
@@ -99,7 +105,7 @@ def flag_transactions(raw: DataFrame, households: DataFrame, products: DataFrame
 
 
 def _as_int(parser):
-    return lambda c: parser(c).cast("int")
+    return lambda c, trimmed=False: parser(c, trimmed=trimmed).cast("int")
 
 
 def clean_transactions(flagged: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ from cartwise.sources import raw_files as R
 from cartwise.sources import tables as S
 from cartwise.streaming.incremental_load import finish, start_incremental_load, stream_report
 
-STREAM_FILES = 4          # transaction files in the fixture folder -> micro-batches
+STREAM_FILES = 16         # transaction files in the fixture folder
+FILES_PER_BATCH = 4       # stream micro-batch bound: 4 files, read by 4 parallel tasks
 STREAM_TIMEOUT_S = 3600   # an availableNow run ends by itself; never wait forever
 _FIXTURES: dict[tuple[str, str], dict[str, str]] = {}
 
@@ -120,7 +121,7 @@ def q_stream_load_report(spark, sf):
     h, p = _fixture_dims(spark, sf)
     out = scratch_dir(spark, "stream")
     q = start_incremental_load(spark, paths["transactions"], h, p, f"{out}/data",
-                               f"{out}/checkpoint", max_files_per_trigger=1)
+                               f"{out}/checkpoint", max_files_per_trigger=FILES_PER_BATCH)
     finish(q, timeout_s=STREAM_TIMEOUT_S)
     return stream_report(spark, f"{out}/data")
 
