@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwise import oracle as O
-from cartwise.functions.numeric import BAND_ORDER, round4
+from cartwise.functions.numeric import BAND_ORDER, HIGH_RISK, MEDIUM_RISK
 from cartwise.operators import churn as C
 from cartwise.operators import evaluate as E
 from cartwise.operators import serving as V
@@ -59,8 +59,9 @@ SPLIT = """sp AS (SELECT *, row_number() OVER (PARTITION BY churned
                    <= ceil(count(*) OVER (PARTITION BY churned) * 0.25) AS is_test
         FROM sc)"""
 STORED = f"""hc AS (SELECT hshd_num, {O.round4('score')} AS churn_probability,
-               CASE WHEN score >= 0.66 THEN 'High' WHEN score >= 0.33 THEN 'Medium'
-                    ELSE 'Low' END AS risk_band FROM sc)"""
+               CASE WHEN score >= {HIGH_RISK} THEN '{BAND_ORDER[0]}'
+                    WHEN score >= {MEDIUM_RISK} THEN '{BAND_ORDER[1]}'
+                    ELSE '{BAND_ORDER[2]}' END AS risk_band FROM sc)"""
 
 
 def churn_sql(*extra: str) -> str:
@@ -225,8 +226,6 @@ def q_churn_scores(spark, sf):
     return J.churn_scores(spark, sf, MODEL_ITERATIONS)
 
 
-__all__ = ["BAND_ORDER", "round4"]
-
 
 @register("churn_summary", "ML-10 AGG-11 JN-8 SRT-7", _metric_sql(
     """
