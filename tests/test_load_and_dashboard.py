@@ -154,3 +154,34 @@ def test_reload_invalidates_scores(spark, tmp_path):
     v2 = L.current_version(spark, wh)
     assert v2 != v1
     assert R.read_result(spark, res, "household_churn", v2).count() == 0
+
+
+def _write(d, name, text, file="part.csv"):
+    (d / name).mkdir(exist_ok=True)
+    (d / name / file).write_text(text)
+    return str(d / name)
+
+
+def test_short_row_fails_the_load(spark, tmp_path):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    paths = {"households": _write(tmp_path, "households", HOUSEHOLDS),
+             "products": _write(tmp_path, "products", PRODUCTS),
+             "transactions": _write(tmp_path, "transactions",
+                                    TRANSACTIONS + "5,10,17-AUG-18,100,1.00\n")}
+    with pytest.raises((PySparkException, Py4JJavaError), match="FAILED_READ_FILE|Malformed"):
+        L.load_dataset(spark, paths, str(tmp_path / "wh"), partitions=2)
+
+
+def test_reordered_header_in_second_file_fails(spark, tmp_path):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    _write(tmp_path, "products", PRODUCTS)
+    _write(tmp_path, "products",
+           "DEPARTMENT,PRODUCT_NUM,COMMODITY,BRAND_TY,NATURAL_ORGANIC_FLAG\nFOOD,300,EGGS,PRIVATE,N\n",
+           file="part2.csv")
+    from cartwise.sources.raw_files import read_raw_csv
+    from cartwise.schema import RAW_PRODUCT_COLUMNS
+    with pytest.raises((PySparkException, Py4JJavaError), match="FAILED_READ_FILE|header"):
+        L.clean_products(read_raw_csv(spark, str(tmp_path / "products"),
+                                      RAW_PRODUCT_COLUMNS)).collect()
