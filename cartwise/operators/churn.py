@@ -2,7 +2,7 @@
 
 Features come from lines on or before the cutoff, the label from whether the
 household bought anything after it. ``churn_features`` combines the fact to
-basket-days once (map-side, written to the checkpoint folder), then two
+basket-days once (map-side, staged as Parquet in the shared folder), then two
 aggregates with map-side combine: per (household, basket), then per household.
 The pre/post split is carried as conditional aggregates, not as a join, so a
 household holding a third of all lines is combined inside every map task before
@@ -135,14 +135,13 @@ def churn_features(tx: DataFrame, households: DataFrame,
 
     The fact is first combined to basket-days (map-side, so a hot household is
     reduced before the shuffle), restricted to known households with a semi
-    join on that much smaller frame, and written once to the shared checkpoint
+    join on that much smaller frame, and staged once as Parquet in the shared
     folder. The cutoff (one scalar) and the features both read that copy; the
     loyalty flag is joined per household at the end instead of per line.
     """
-    from cartwise.session import shared_root
-    shared_root(tx.sparkSession)
-    days = (basket_days(tx).join(households.select("hshd_num"), "hshd_num", "left_semi")
-            .checkpoint())
+    from cartwise.session import stage
+    days = stage(basket_days(tx).join(households.select("hshd_num"), "hshd_num", "left_semi"),
+                 "basket-days")
     end = days.agg(F.max("purchase_date")).first()[0]
     if end is None:
         return None, None

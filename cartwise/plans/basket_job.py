@@ -17,7 +17,7 @@ from cartwise.functions.text import join_list
 from cartwise.operators import baskets as B
 from cartwise.operators import evaluate as E
 from cartwise.plans.churn_job import gbt, top_drivers
-from cartwise.session import shared_root
+from cartwise.session import shared_root, stage
 from cartwise.sources import tables as S
 from cartwise.sources.lines import basket_lines
 
@@ -47,13 +47,12 @@ def mine(spark: SparkSession, sf_dir: str, top: int = B.TOP_RULES) -> tuple[Data
 def mine_lines(lines: DataFrame, top: int = B.TOP_RULES) -> tuple[DataFrame, int]:
     """(ranked rules with array sides, basket count) from (basket_num, commodity) lines."""
     spark = lines.sparkSession
-    itemsets = B.basket_itemsets(lines)
-    shared_root(spark)
-    itemsets = itemsets.checkpoint()       # reused by the count and FP-growth
+    itemsets = stage(B.basket_itemsets(lines), "itemsets")   # counted, then mined
     n = itemsets.count()
     if n == 0:
         return spark.createDataFrame([], B.RULES_SCHEMA), 0
-    freq = B.frequent_itemsets(itemsets).checkpoint()   # read three times by the rules
+    shared_root(spark)
+    freq = B.frequent_itemsets(itemsets).checkpoint()   # small; read three times by the rules
     rules = B.rank_rules(B.association_rules(freq, n), top=top)
     return rules, n
 

@@ -11,7 +11,7 @@ to the ``_versions`` log, so a failed load never leaves a cleared or half
 loaded dataset behind.
 
 The report numbers come from ``observe`` placed in the final stage of each job
-(the dimension writes, the checkpoint of the parsed fact), where Spark applies a
+(the dimension writes, the staged write of the parsed fact), where Spark applies a
 task's metrics once, also when tasks are retried.
 """
 
@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.functions import clean as C
-from cartwise.session import shared_root
 from cartwise.schema import (RAW_HOUSEHOLD_COLUMNS, RAW_PRODUCT_COLUMNS,
                              RAW_TRANSACTION_COLUMNS)
 from cartwise.sources.raw_files import read_raw_csv
@@ -148,18 +147,19 @@ def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
     households = spark.read.parquet(f"{vdir}/households")
     products = spark.read.parquet(f"{vdir}/products")
     flagged = flag_transactions(raw["transactions"], households, products)
-    # One pass over the CSV: count, drop orphans, parse, and cut the lineage in the
-    # shared checkpoint folder (the counts are taken in that job's final stage).
+    # One pass over the CSV: count, drop orphans, parse, and stage the parsed lines
+    # as Parquet in the version folder (the counts are taken in that job's final,
+    # writing stage).
     obs_t = Observation("transactions")
     counted = flagged.observe(obs_t, F.count_if(~F.col("orphan")).alias("loaded"),
                               F.count_if(F.col("orphan")).alias("skipped"))
-    shared_root(spark)
-    parsed = clean_transactions(counted).checkpoint()
+    clean_transactions(counted).write.mode("errorifexists").parquet(f"{vdir}/_staged_transactions")
+    parsed = spark.read.parquet(f"{vdir}/_staged_transactions")
     n = partitions or spark.sparkContext.defaultParallelism
     # Range-partition on (household, basket): the written files are clustered by
     # household for pruned pulls, and a household with a huge share of the lines
     # is still split over several ranges by its basket numbers. The range sample
-    # reads the checkpoint, not the CSV again.
+    # reads the staged Parquet, not the CSV again.
     (parsed.repartitionByRange(n, "hshd_num", "basket_num")
         .sortWithinPartitions("hshd_num", "basket_num")
         .write.mode("errorifexists").parquet(f"{vdir}/transactions"))

@@ -10,7 +10,7 @@ from cartwise.operators import baskets as B
 from cartwise.operators import serving as V
 from cartwise.plans import basket_job as J
 from cartwise.plans.registry import register
-from cartwise.session import shared_root
+from cartwise.session import stage
 
 MODEL_ITERATIONS = 20
 # The oracle walks itemset sizes level by level; this is only the depth of that
@@ -105,8 +105,7 @@ def q_basket_onehot(spark, sf):
 SELECT array_to_string(items, ', ') AS items, CAST(len(items) AS INTEGER) AS size,
        freq, CAST(freq AS DOUBLE) / (SELECT n FROM nb) AS support FROM fi""")
 def q_frequent_itemsets(spark, sf):
-    shared_root(spark)
-    itemsets = B.basket_itemsets(J.lines_frame(spark, sf)).checkpoint()  # counted, then mined
+    itemsets = stage(B.basket_itemsets(J.lines_frame(spark, sf)), "itemsets")  # counted, mined
     n = itemsets.count()
     fi = B.frequent_itemsets(itemsets)
     return fi.select(join_list("items").alias("items"), F.size("items").alias("size"), "freq",
@@ -144,8 +143,7 @@ SELECT ante AS antecedent, cons AS consequent, support, support / sa AS confiden
        (support / sa) / sc AS lift
 FROM r WHERE (support / sa) / sc >= 1.0 AND support / sa >= 0.05""")
 def q_pair_rules(spark, sf):
-    shared_root(spark)
-    itemsets = B.basket_itemsets(J.lines_frame(spark, sf)).checkpoint()  # counted, then paired
+    itemsets = stage(B.basket_itemsets(J.lines_frame(spark, sf)), "itemsets")  # counted, paired
     return B.pair_rules(itemsets, itemsets.count())
 
 

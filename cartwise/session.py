@@ -90,3 +90,19 @@ def scale_settings(input_bytes: int, executor_cores: int, executors: int,
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+def stage(df, purpose: str):
+    """Cut the lineage of a large intermediate by writing it as Parquet to a fresh
+    folder under the shared root and reading it back.
+
+    For intermediates that grow with the fact (parsed lines, basket-days,
+    itemsets) this is smaller than an RDD checkpoint (columnar, compressed) and
+    is read back with column pruning; small reused frames use ``checkpoint()``.
+    A lost executor only loses shuffle files: the staged copy is on shared
+    storage and later stages restart from it.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
