@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.session import shared_root
+from cartwise.session import stage
 
 SPLIT_SEED = 42
 TEST_FRACTION = 0.25
@@ -68,9 +68,9 @@ def roc_auc(df: DataFrame, label_col: str, score_col: str,
     per_score = (df.groupBy(F.col(score_col).cast("double").alias("s"))
                    .agg(F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("pos"),
                         F.sum(F.when(F.col(label_col) == 1, 0).otherwise(1)).alias("neg")))
-    # Read twice (quantiles, then the sums): cut the lineage once in the shared folder.
-    shared_root(df.sparkSession)
-    per_score = per_score.checkpoint()
+    # Read twice (quantiles, then the sums): staged once in the shared folder
+    # (one row per distinct score, so it can grow with the data).
+    per_score = stage(per_score, "auc-scores")
     probs = [i / ranges for i in range(1, ranges)]
     qs = per_score.approxQuantile("s", probs, 1.0 / (4 * ranges)) if ranges > 1 else []
     cuts = sorted({q for q in qs if q is not None and not math.isnan(q)})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.numeric import BAND_ORDER, round4
 from cartwise.operators import evaluate as E
-from cartwise.session import shared_root
+from cartwise.session import stage
 
 DEFAULT_LIMIT = 25
 MAX_LIMIT = 200
@@ -73,9 +73,8 @@ def heuristic_metric(scored: DataFrame, features: DataFrame, feature_cols: list[
     """Metric row for a stored score: held-out accuracy and AUC, base rate, and the
     features most correlated with the label as drivers."""
     spark = scored.sparkSession
-    shared_root(spark)
-    # One row per household, read by four metrics: cut the lineage once.
-    split = E.stratified_split(scored, "hshd_num", label).checkpoint()
+    # One row per household, read by four metrics: staged once.
+    split = stage(E.stratified_split(scored, "hshd_num", label), "metric-split")
     features = split
     test = split.where("is_test").withColumn(
         "prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0))

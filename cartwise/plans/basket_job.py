@@ -87,8 +87,8 @@ def copurchase_lines(lines: DataFrame, iterations: int = DEFAULT_ITERATIONS) ->
     vec = CountVectorizerModel.from_vocabulary(vocab, inputCol="other_items",
                                                outputCol="features", binary=True)
     data = vec.transform(rows).withColumn("label_d", F.col("label").cast("double"))
-    shared_root(spark)
-    split = E.stratified_split(data, "basket_num", "label").checkpoint()
+    # One row per basket, read by the fit and the evaluation: staged once.
+    split = stage(E.stratified_split(data, "basket_num", "label"), "copurchase-split")
     model = gbt(iterations, label="label_d").fit(split.where(~F.col("is_test")))
     test = model.transform(split.where(F.col("is_test"))).withColumn(
         "p1", vector_to_array("probability")[1])
