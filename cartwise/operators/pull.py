@@ -76,8 +76,13 @@ def data_pull_all(tx: DataFrame, products: DataFrame, partitions: int | None = N
 
 def household_line_counts(tx: DataFrame, households: DataFrame,
                           page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Lines per household (0 when none) and page count max(1, ceil(total / size))."""
-    counts = tx.groupBy("hshd_num").agg(F.count(F.lit(1)).alias("total"))
+    """Lines per household (0 when none) and page count max(1, ceil(total / size)).
+
+    ``tx`` is the line-level fact, or pre-counted rows carrying a ``lines`` column
+    (e.g. one row per basket), which are summed instead of counted.
+    """
+    n = F.sum("lines") if "lines" in tx.columns else F.count(F.lit(1))
+    counts = tx.groupBy("hshd_num").agg(n.alias("total"))
     out = households.select("hshd_num").join(counts, "hshd_num", "left")
     total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
     return out.select(

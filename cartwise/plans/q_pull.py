@@ -54,7 +54,7 @@ SELECT h.hshd_num, CAST(coalesce(n.total, 0) AS BIGINT) AS total,
 FROM households h LEFT JOIN (SELECT hshd_num, count(*) AS total FROM transactions GROUP BY 1) n
   ON n.hshd_num = h.hshd_num""")
 def q_household_line_count(spark, sf):
-    return P.household_line_counts(S.transactions(spark, sf, ["hshd_num"]), S.households(spark, sf))
+    return P.household_line_counts(S.basket_totals(spark, sf), S.households(spark, sf))
 
 
 @register("household_exists", "FLT-2", QC.churn_sql(QC.SCORE, QC.STORED) + f""",

@@ -138,7 +138,7 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(basket_num, hshd_num, purchase_date, spend) with one row per basket.
+    """(basket_num, hshd_num, purchase_date, spend, lines) with one row per basket.
 
     Household and date come from the order, so they are the same for every line
     of a basket: summing the lines per basket *before* the orders join is exact
@@ -148,10 +148,11 @@ def basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem")
     per_basket = li.groupBy(F.col("l_orderkey").alias("basket_num")).agg(
-        F.sum(F.col("l_extendedprice").cast(SPEND_TYPE)).alias("spend"))
+        F.sum(F.col("l_extendedprice").cast(SPEND_TYPE)).alias("spend"),
+        F.count(F.lit(1)).alias("lines"))
     o = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("basket_num"),
         F.col("o_custkey").alias("hshd_num"),
         F.col("o_orderdate").cast("date").alias("purchase_date"))
     return per_basket.join(o, "basket_num").select("basket_num", "hshd_num", "purchase_date",
-                                                   "spend")
+                                                   "spend", "lines")
