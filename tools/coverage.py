@@ -35,7 +35,8 @@ def main() -> None:
     print("|---|---|---|")
     for ident, desc in rows:
         keys = ", ".join(f"`{k}`" for k in sorted(cover.get(ident, []))) or "MISSING"
-        print(f"| {ident} | {desc.strip()[:70]} | {keys} |")
+        text = re.sub(r"\s+", " ", re.sub(r"`[^`]*`", "", desc)).strip(" .")
+        print(f"| {ident} | {text[:70]} | {keys} |")
     print(f"\n{len(qs)} keys, {sum(1 for q in qs.values() if q.oracle)} with a DuckDB oracle.")
 
 
