@@ -120,8 +120,8 @@ def q_basket_rules(spark, sf):
 
 
 @register("top_rules", "SRT-5 ML-10", mining_sql(RULES) + f"""
-SELECT {RULE_COLS} FROM ranked
-ORDER BY round(lift, 4) DESC, round(confidence, 4) DESC, support DESC, antecedents, consequents
+SELECT * FROM (SELECT {RULE_COLS} FROM ranked)
+ORDER BY lift DESC, confidence DESC, support DESC, antecedents, consequents
 LIMIT 25""")
 def q_top_rules(spark, sf):
     rules, _ = J.mine(spark, sf)
