@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.text import decimal_text
+from cartwise.session import output_partitions
 
 DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200
@@ -69,7 +70,7 @@ def data_pull_all(tx: DataFrame, products: DataFrame, partitions: int | None = N
     over several ranges by its baskets instead of landing in one task.
     """
     lines = pull_lines(tx, products)
-    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
+    n = partitions or output_partitions(lines.sparkSession)
     ranged = lines.repartitionByRange(n, "hshd_num", "basket_num")
     return shape_rows(ranged.sortWithinPartitions(*_ordered(tx)))
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.functions import clean as C
+from cartwise.session import output_partitions
 from cartwise.schema import (RAW_HOUSEHOLD_COLUMNS, RAW_PRODUCT_COLUMNS,
                              RAW_TRANSACTION_COLUMNS)
 from cartwise.sources.raw_files import read_raw_csv
@@ -155,7 +156,7 @@ def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
                               F.count_if(F.col("orphan")).alias("skipped"))
     clean_transactions(counted).write.mode("errorifexists").parquet(f"{vdir}/_staged_transactions")
     parsed = spark.read.parquet(f"{vdir}/_staged_transactions")
-    n = partitions or spark.sparkContext.defaultParallelism
+    n = partitions or output_partitions(spark)
     # Range-partition on (household, basket): the written files are clustered by
     # household for pruned pulls, and a household with a huge share of the lines
     # is still split over several ranges by its basket numbers. The range sample

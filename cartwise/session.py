@@ -57,6 +57,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def output_partitions(spark: SparkSession) -> int:
+    """Partition count for a range-partitioned write of the whole fact: the
+    session's shuffle partition count, which ``scale_settings`` sizes from the
+    input volume (not the core count, which does not grow with the data)."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, never-reused folder under the shared root for one job run."""
     return f"{shared_root(spark)}/cartwise-{purpose}-{uuid.uuid4().hex[:12]}"
