@@ -53,6 +53,8 @@ def top_drivers(importances, names: list[str], k: int) -> list[str]:
 def fit_churn_model(features: DataFrame, iterations: int = DEFAULT_ITERATIONS):
     """Returns (scores frame, metric frame) or (None, None) when only one class exists."""
     spark = features.sparkSession
+    # One row per household, read by the class check, the split and the base rate.
+    features = stage(features, "churn-features")
     classes = C.label_class_count(features).first()["classes"]
     if classes < 2:
         return None, None
