@@ -102,7 +102,12 @@ def _split(spark, sf):
 
 @register("churn_cutoff", "AGG-14", churn_sql() + "SELECT data_end, cutoff FROM cut")
 def q_churn_cutoff(spark, sf):
-    return C.churn_cutoff(J.activity_frame(spark, sf))
+    # Last purchase of a known household: basket totals (one row per order) are
+    # enough for a max over dates, and the household check is a semi join.
+    from cartwise.sources import tables as S
+    days = S.basket_totals(spark, sf).join(S.households(spark, sf).select("hshd_num"),
+                                            "hshd_num", "left_semi")
+    return C.churn_cutoff(days)
 
 
 @register("churn_features", "RFM-1..10 FLT-3 JN-7 SC-15", churn_sql() + "SELECT * FROM f")
