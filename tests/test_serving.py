@@ -47,3 +47,14 @@ def test_scale_settings():
     assert int(s["spark.sql.shuffle.partitions"]) == 50_000   # 100 TB / 128 MB, capped
     small = scale_settings(2**30, executor_cores=8, executors=10)
     assert int(small["spark.sql.shuffle.partitions"]) == 160  # two waves of 80 cores
+
+
+def test_stage_and_scratch_use_the_shared_root(spark):
+    from cartwise.session import scratch_dir, shared_root, stage
+    root = shared_root(spark)
+    a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert a != b and a.startswith(root) and b.startswith(root)
+    df = spark.range(10).withColumnRenamed("id", "k")
+    staged = stage(df, "unit")
+    assert sorted(r["k"] for r in staged.collect()) == list(range(10))
+    assert root.split(":")[-1] in staged.inputFiles()[0]
