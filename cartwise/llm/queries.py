@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartwise.llm.common import table
 from cartwise.llm.decontaminate import contaminated
+from cartwise.llm.fingerprints import fingerprint_documents
 from cartwise.llm.licenses import scan_licenses
 from cartwise.llm.packing import pack_documents
 from cartwise.llm.sharding import shard_documents
+from cartwise.llm.toxicity import score_documents
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +42,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op4_histogram_sharding, op7_license_scan, op9_decontamination, op10_best_fit_packing)}
+    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op7_license_scan, op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
