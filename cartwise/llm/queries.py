@@ -11,6 +11,7 @@ from cartwise.llm.decontaminate import contaminated
 from cartwise.llm.fingerprints import fingerprint_documents
 from cartwise.llm.licenses import scan_licenses
 from cartwise.llm.packing import pack_documents
+from cartwise.llm.sanitise import digest, find_personal_data
 from cartwise.llm.sharding import shard_documents
 from cartwise.llm.toxicity import score_documents
 
@@ -33,6 +34,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op7_license_scan, op9_decontamination, op10_best_fit_packing)}
+    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op7_license_scan, op8_personal_data,
+    op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
