@@ -141,15 +141,22 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
                  .select("_th", F.xxhash64("m.kind", F.lower("m.value")).alias("e")).distinct()
                  .groupBy("e").agg(F.count("*").alias("of_e")))
     pairs = stage(together.join(of_entity, "e"), "op8-pairs")
-    wanted = stage(pairs.select("t").distinct(), "op8-wanted")
-    of_term = (t.select("_th", F.explode(F.array_distinct(
+    total = float(every.select("_th").distinct().count())
+    # A pair can only reveal while of_t stays under this (the disclosure rule, solved for of_t).
+    pairs = pairs.withColumn("most", F.col("both") * F.pow(F.lit(total) / F.col("of_e"), F.lit(1 - disclosure)))
+    words = t.select("_th", F.explode(F.array_distinct(
         F.split(F.lower("text"), r"[^\p{L}\p{N}'_-]+"))).alias("t"))
-        .join(small(wanted), "t").distinct().groupBy("t").agg(F.count("*").alias("of_t")))
-    total = t.select(F.approx_count_distinct("_th", 0.01)).first()[0]
+    # Common words first: the texts' hashes fall into 64 cells, and as many distinct texts hold
+    # a term at least as cells are hit. That sums up before the exchange, one row a term.
+    cells = (words.join(small(stage(pairs.select("t").distinct(), "op8-wanted")), "t")
+             .groupBy("t").agg(F.bit_count(F.expr("bit_or(shiftleft(1L, cast(pmod(_th, 64) as int)))")).alias("least")))
+    pairs = stage(pairs.join(cells, "t").filter(F.col("least") <= F.col("most") * 1.0001), "op8-rarer")
+    of_term = (words.join(small(stage(pairs.select("t").distinct(), "op8-exact")), "t")
+               .distinct().groupBy("t").agg(F.count("*").alias("of_t")))
     revealing = stage(
         pairs.join(of_term, "t")
-        .withColumn("ic", F.log2(F.lit(float(total)) / F.col("of_e")))
-        .withColumn("pmi", F.log2(F.lit(float(total)) * F.col("both") / (F.col("of_e") * F.col("of_t"))))
+        .withColumn("ic", F.log2(F.lit(total) / F.col("of_e")))
+        .withColumn("pmi", F.log2(F.lit(total) * F.col("both") / (F.col("of_e") * F.col("of_t"))))
         .filter((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic")))
         .select("e", "t"), "op8-revealing")
     spans = (terms.join(small(revealing), ["e", "t"]).select("_id", "_th", "start", "end", "value").distinct()
