@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartwise.llm.common import table
 from cartwise.llm.decontaminate import contaminated
 from cartwise.llm.fingerprints import fingerprint_documents
+from cartwise.llm.jaccard_join import jaccard_components
 from cartwise.llm.licenses import scan_licenses
 from cartwise.llm.packing import pack_documents
 from cartwise.llm.sanitise import digest, find_personal_data
@@ -30,6 +31,10 @@ def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90).drop("_id", "_th")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op7_license_scan, op8_personal_data,
+    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join, op7_license_scan, op8_personal_data,
     op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
