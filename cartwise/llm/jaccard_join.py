@@ -139,12 +139,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percen
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[np.array(keep, bool), ["a", "b"]]
+            yield b.loc[np.array(keep, bool), ["a", "b", "sizea", "sizeb"]]
 
     sets = stage(members.mapInPandas(pack, "c long, set binary"), "op5-sets")
     both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b"))
-    return both.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    return both.select("a", "b", "sizea", "sizeb", "sa", "sb").mapInPandas(
+        check, "a long, b long, sizea long, sizeb long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,9 +191,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     classes = stage(rows.filter("n > 0").groupBy("c", "n", "g").agg(
         F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("size")), "op5-classes")
     reps = classes.select("c", "rep._id", "rep._th")
-    by_rep = classes.select("n", "g", "c", "rep._id", "rep._th").alias("x").join(
+    by_rep = classes.select("n", "g", "c", "size", "rep._id", "rep._th").join(
         rows.select("_id", "_th", "prefix", "bits").distinct(), ["_id", "_th"])
-    full = stage(by_rep.select("n", "g", "c", "prefix", "bits"), "op5-sets-by-class")
+    full = stage(by_rep.select("n", "g", "c", "size", "prefix", "bits"), "op5-sets-by-class")
 
     member = stage(full.groupBy("g", "n").agg(F.first("prefix").alias("prefix"))
                    .select("g", "n", F.posexplode("prefix").alias("pos", "member")), "op5-members")
@@ -206,17 +207,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
               .select("ga", "na", "gb", "nb").distinct())
     # Expand to classes; a group also meets itself.
     side = lambda s: full.select(F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"),
-                                 F.col("c").alias(s), F.col("bits").alias(f"bits{s}"))
+                                 F.col("c").alias(s), F.col("bits").alias(f"bits{s}"),
+                                 F.col("size").alias(f"size{s}"))
+    ends = ["a", "b", "sizea", "sizeb"]
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
                          F.lit(0), lambda t, k: t + k)
     bound = differ <= F.col("na") + F.col("nb") - 2 * _limit(F.col("na"), F.col("nb"), percent)
-    across = (groups.join(side("a"), ["ga", "na"]).join(side("b"), ["gb", "nb"]).filter(bound).select("a", "b"))
+    across = (groups.join(side("a"), ["ga", "na"]).join(side("b"), ["gb", "nb"]).filter(bound).select(*ends))
     shared = full.groupBy("g", "n").count().filter("count > 1").select("g", "n")
     own = full.join(shared, ["g", "n"])
-    within = (own.select("g", "n", F.col("c").alias("a"), F.col("bits").alias("bitsa"))
-              .join(own.select("g", "n", F.col("c").alias("b"), F.col("bits").alias("bitsb")), ["g", "n"])
+    half = lambda s: own.select("g", "n", F.col("c").alias(s), F.col("bits").alias(f"bits{s}"),
+                                F.col("size").alias(f"size{s}"))
+    within = (half("a").join(half("b"), ["g", "n"])
               .withColumns({"na": F.col("n"), "nb": F.col("n")})
-              .filter((F.col("a") < F.col("b")) & bound).select("a", "b"))
+              .filter((F.col("a") < F.col("b")) & bound).select(*ends))
     pairs = stage(across.union(within).distinct(), "op5-pairs")
     links = stage(_verified(d, pairs, reps, words, percent), "op5-links")
 
@@ -224,10 +228,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(labels, "c", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "c"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component"))
-    sizes = classes.select("c", "size")
-    degree = (links.select(F.col("a").alias("x"), F.col("b").alias("c"))
-              .union(links.select(F.col("b").alias("x"), F.col("a").alias("c")))
-              .join(sizes, "c").groupBy(F.col("x").alias("c")).agg(F.sum("size").alias("others")))
+    degree = (links.select(F.col("a").alias("c"), F.col("sizeb").alias("w"))
+              .union(links.select("b", "sizea")).groupBy("c").agg(F.sum("w").alias("others")))
     known = stage(labelled.join(lowest, "root").join(degree, "c", "left")
                   .select("c", "component", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links")),
                   "op5-known")
