@@ -14,6 +14,7 @@ from cartwise.llm.licenses import scan_licenses
 from cartwise.llm.packing import pack_documents
 from cartwise.llm.sanitise import digest, find_personal_data
 from cartwise.llm.sharding import shard_documents
+from cartwise.llm.suffix_dedup import remove_repeats
 from cartwise.llm.toxicity import score_documents
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90).drop("_id", "_th")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join, op7_license_scan, op8_personal_data,
+    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join, op6_suffix_dedup, op7_license_scan, op8_personal_data,
     op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
