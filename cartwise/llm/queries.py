@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cartwise.llm.common import table
 from cartwise.llm.decontaminate import contaminated
 from cartwise.llm.fingerprints import fingerprint_documents
+from cartwise.llm.html_extract import extract_pages
 from cartwise.llm.jaccard_join import jaccard_components
 from cartwise.llm.licenses import scan_licenses
 from cartwise.llm.packing import pack_documents
@@ -20,6 +21,10 @@ from cartwise.llm.toxicity import score_documents
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join, op6_suffix_dedup, op7_license_scan, op8_personal_data,
+    op1_html_extraction, op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join, op6_suffix_dedup, op7_license_scan, op8_personal_data,
     op9_decontamination, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}

@@ -135,19 +135,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 24_000, rounds: int
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}
 
 
-def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; see ``score_documents``."""
-    spark = docs.sparkSession
+def _scorer(spark, weights: dict[int, float]):
     model = spark.sparkContext.broadcast((np.array(list(weights), np.int64), np.array(list(weights.values()))))
 
-    def apply(batches):
+    def apply(batches, text="text"):
         at, values = model.value
         w = np.zeros(1 << BITS)
         w[at] = values
         words = _Words()
         for b in batches:
-            logit = np.array([w[features(t, words)].sum() for t in b["text"]], np.float64)
-            b["score"] = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
+            logit = np.array([w[features(t or "", words)].sum() for t in b[text]], np.float64)
+            yield b, 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
+    return apply
+
+
+def reject(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """The documents that score under 0.5, all columns as they were."""
+    scorer = _scorer(docs.sparkSession, weights)
+
+    def keep(batches):
+        for b, p in scorer(batches):
+            yield b[p < 0.5]
+
+    return docs.mapInPandas(keep, docs.schema)
+
+
+def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row; see ``score_documents``."""
+    scorer = _scorer(docs.sparkSession, weights)
+
+    def apply(batches):
+        for b, p in scorer(batches):
+            b["score"] = p
             yield b[["doc_id", "held_out", "score"]]
 
     kept = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
