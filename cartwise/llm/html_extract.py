@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -386,12 +387,11 @@ def extract_pages(pages: DataFrame, model=None) -> DataFrame:
     model = train() if model is None else model
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
-    def extract(batches):
+    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            b["text"] = [main_text(p, shared.value) if p else "" for p in b["html"]]
-            yield b[["page_id", "url", "text"]]
+            yield pd.Series([main_text(p, shared.value) if p else "" for p in b], dtype=object)
 
+    text = F.pandas_udf(extract, "string")
     return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                         F.col("html").cast("string").alias("html"))
-            .mapInPandas(extract, "page_id long, url string, text string")
+                         text(F.col("html").cast("string")).alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))

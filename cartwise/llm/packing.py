@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import texts
+from cartwise.llm.common import NO_ID, texts
 from cartwise.session import stage
 
 SCHEMA = ("chunk long, bin long, slot int, doc_id long, copy long, piece int, first_word long, "
@@ -91,13 +91,12 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, per_source: int = 2,
         .select("doc_id", "source", F.size("w").cast("long").alias("n_words"),
                 F.xxhash64("w").alias("cluster")), "op10-sizes")
     chunks = max(1, -(-thin.count() // chunk_rows))
-    rows = (thin.groupBy("doc_id", "source", "n_words", "cluster").agg(F.count("*").alias("copies"))
+    rows = (thin.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("doc_id", "source", "n_words", "cluster").agg(F.count("*").alias("copies"))
             .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
             .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(chunks))))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out, pieces, n_bins = [], [], 0
-        ids = pdf["doc_id"].astype("Int64")
         for i, (n, source, cluster) in enumerate(zip(pdf["n_words"], pdf["source"], pdf["cluster"])):
             full, rest = divmod(int(n), capacity)
             for k in range(full):
@@ -112,9 +111,10 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, per_source: int = 2,
             n_bins += 1
         o = pd.DataFrame(out, columns=["bin", "slot", "i", "piece", "first_word", "n_words", "bin_words"])
         o["chunk"] = int(pdf["chunk"].iloc[0])
-        o["doc_id"], o["copy"] = ids.iloc[o["i"]].to_numpy(), pdf["copy"].to_numpy()[o["i"]]
+        o["doc_id"], o["copy"] = pdf["doc_id"].to_numpy()[o["i"]], pdf["copy"].to_numpy()[o["i"]]
         return o[["chunk", "bin", "slot", "doc_id", "copy", "piece", "first_word", "n_words", "bin_words"]]
 
     return (rows.groupBy("chunk").applyInPandas(pack, SCHEMA)
-            .select(F.concat_ws("-", "chunk", "bin").alias("bin_id"), "slot", "doc_id", "copy", "piece",
+            .select(F.concat_ws("-", "chunk", "bin").alias("bin_id"), "slot",
+                    F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "copy", "piece",
                     "first_word", "n_words", "bin_words"))

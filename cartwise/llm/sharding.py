@@ -118,14 +118,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.001)
     Law ``bytes``: the shards' sums of size (UTF-8 bytes plus 1) differ by no more than
     the tolerance on either side, or by one row where a row is larger. Equal texts
     share a shard unless a boundary has to cut their group. Null texts count as
-    empty, a null doc_id sorts first, repeated rows stand next to each other, an empty
+    empty, a null doc_id sorts as 0, repeated rows stand next to each other, an empty
     table gives no rows. Slots run without gaps from 0 in key order within a shard.
     """
     spark = docs.sparkSession
     keys = stage(texts(docs).select(
-        "doc_id", (F.octet_length("text").cast("long") + 1).alias("size"),
+        F.col("doc_id").isNull().alias("no_id"), (F.octet_length("text").cast("long") + 1).alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id")), "op4-keys")
+        F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")), "op4-keys")
     per_part = max(4, -(-2 * partitions(spark) // shards))
     cuts, rows, starts = splitters(keys, shards, per_part, tolerance)
     ph, pid = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
@@ -142,8 +142,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.001)
 
     kinds = ", ".join(f"{c} {t}" for c, t in keys.dtypes)
     placed = keys.mapInPandas(place, f"{kinds}, bucket int, shard int, base long")
-    order = Window.partitionBy("bucket").orderBy("h", "id", F.col("doc_id").asc_nulls_first())
+    order = Window.partitionBy("bucket").orderBy("h", "id", F.col("no_id").desc())
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("base") + F.row_number().over(order) - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))

@@ -136,42 +136,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 24_000, rounds: int
 
 
 def _scorer(spark, weights: dict[int, float]):
+    """A column function: text -> probability of label 1."""
     model = spark.sparkContext.broadcast((np.array(list(weights), np.int64), np.array(list(weights.values()))))
 
-    def apply(batches, text="text"):
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, values = model.value
         w = np.zeros(1 << BITS)
         w[at] = values
         words = _Words()
         for b in batches:
-            logit = np.array([w[features(t or "", words)].sum() for t in b[text]], np.float64)
-            yield b, 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
-    return apply
+            logit = np.array([w[features(t, words)].sum() for t in b], np.float64)
+            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30))))
+    return F.pandas_udf(apply, "double")
 
 
 def reject(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """The documents that score under 0.5, all columns as they were."""
-    scorer = _scorer(docs.sparkSession, weights)
-
-    def keep(batches):
-        for b, p in scorer(batches):
-            yield b[p < 0.5]
-
-    return docs.mapInPandas(keep, docs.schema)
+    """The documents that score under 0.5, all columns as they were; null texts score as empty."""
+    p = _scorer(docs.sparkSession, weights)
+    return docs.filter(p(F.coalesce(F.col("text").cast("string"), F.lit(""))) < 0.5)
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; see ``score_documents``."""
-    scorer = _scorer(docs.sparkSession, weights)
-
-    def apply(batches):
-        for b, p in scorer(batches):
-            b["score"] = p
-            yield b[["doc_id", "held_out", "score"]]
-
-    kept = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = kept.mapInPandas(apply, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    p = _scorer(docs.sparkSession, weights)
+    return (texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p("text").alias("score"))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
