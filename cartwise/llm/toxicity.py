@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cartwise.llm.common import texts
 from cartwise.session import stage
 
-BITS = 20
+BITS = 19
 WORD = re.compile(r"[^\W_]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: (distance of the second word, salt): bigrams and skip-grams.
@@ -128,8 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 24_000, rounds: int
         state = spark.sparkContext.broadcast((at, z[at], n[at]))
         learn = _learner(state, turn, alpha, beta, l1, l2)
         got = (train.groupBy("share").applyInPandas(learn, "at int, z double, n double")
-               .groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas())
-        z[got["at"]], n[got["at"]] = got["z"], got["n"]
+               .groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow())
+        at = got["at"].to_numpy()
+        z[at], n[at] = got["z"].to_numpy(), got["n"].to_numpy()
         state.destroy()
     w = _weights(z, n, alpha, beta, l1, l2)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}
