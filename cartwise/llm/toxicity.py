@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cartwise.llm.common import texts
 from cartwise.session import stage
 
-BITS = 19
+BITS = 18
 WORD = re.compile(r"[^\W_]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: (distance of the second word, salt): bigrams and skip-grams.
@@ -78,22 +78,26 @@ def ftrl_pass(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarr
         n[x] = ni + g * g
 
 
-def _learner(state, turn: int, *rates: float):
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+def _learner(state, turn: int, passes: int, *rates: float):
+    """One task's part of a round: some passes over its own training texts."""
+    def learn(batches):
+        words = _Words()
+        rows = [(features(t, words), int(y)) for b in batches for t, y in zip(b["text"], b["y"])]
+        if not rows:
+            return
         at, z0, n0 = state.value
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         z[at], n[at] = z0, n0
         before = n.copy()
-        # An order that depends on the rows alone, another one each round.
-        key = [zlib.crc32(x.tobytes(), turn) for x in pdf["x"]]
-        order = np.argsort(np.array(key, np.int64), kind="stable")
-        ftrl_pass(((pdf["x"].iloc[i], int(pdf["y"].iloc[i])) for i in order), z, n, *rates)
+        for k in range(passes):  # an order that depends on the rows alone, another one each pass
+            rows.sort(key=lambda r: zlib.crc32(r[0].tobytes(), turn * passes + k))
+            ftrl_pass(rows, z, n, *rates)
         new = np.flatnonzero(n != before)
-        return pd.DataFrame({"at": new, "z": z[new], "n": n[new]})
+        yield pd.DataFrame({"at": new, "z": z[new], "n": n[new]})
     return learn
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 24_000, rounds: int = 6, shares: int = 3,
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 24_000, rounds: int = 3, passes: int = 2, shares: int = 3,
         alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> dict[int, float]:
     """Weights learned from labelled rows that are not held out.
 
@@ -111,23 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 24_000, rounds: int
     y = (y.filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
          .groupBy("_id").agg(F.max("_y").alias("_y")))
 
-    def vectors(batches):
-        words = _Words()
-        for b in batches:
-            yield pd.DataFrame({"share": b["share"], "y": b["y"],
-                                "x": [features(t, words) for t in b["text"]]})
-
+    # Stored as one file, so one task, for each share: the rounds read them where they are.
     train = stage(
         texts(docs).join(F.broadcast(y), F.col("doc_id") == F.col("_id"))  # at most max_train rows
-        .select(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shares)).cast("int").alias("share"),
-                F.col("_y").alias("y"), "text")
-        .mapInPandas(vectors, "share int, y int, x array<int>"), "op3-train")
+        .select(F.col("_y").alias("y"), "text").repartition(shares), "op3-train")
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for turn in range(rounds):
         at = np.flatnonzero(n)
         state = spark.sparkContext.broadcast((at, z[at], n[at]))
-        learn = _learner(state, turn, alpha, beta, l1, l2)
-        got = (train.groupBy("share").applyInPandas(learn, "at int, z double, n double")
+        learn = _learner(state, turn, passes, alpha, beta, l1, l2)
+        got = (train.mapInPandas(learn, "at int, z double, n double")
                .groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow())
         at = got["at"].to_numpy()
         z[at], n[at] = got["z"].to_numpy(), got["n"].to_numpy()
