@@ -82,9 +82,10 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
     hits = stage(hits.distinct(), "op9-hits")
 
     # The words around each hit: only documents with a hit come to the verification.
-    places = (hits.join(bench.select("item_id", F.xxhash64("w").alias("iw"), F.col("w").alias("item")),
-                        ["item_id", "iw"])
-              .join(train.select("doc_id", "_id", "_th", "w"), ["_id", "_th"])
+    # Few hits travel to the texts; beyond a million both sides are exchanged.
+    item = bench.select("item_id", F.xxhash64("w").alias("iw"), F.col("w").alias("item"))
+    places = (train.select("doc_id", "_id", "_th", "w").join(small(hits), ["_id", "_th"])
+              .select("doc_id", "_id", "item_id", "iw", "diagonal", "w").join(small(item), ["item_id", "iw"])
               .select("doc_id", "_id", "item_id", "item", "diagonal",
                       F.slice("w", F.greatest(F.lit(0), F.col("diagonal")) + 1,
                               F.greatest(F.lit(0), F.size("item") + F.least(F.lit(0), F.col("diagonal"))))
@@ -111,5 +112,5 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
 def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """The documents without a verified overlap, all columns as they were. Rows whose doc_id
     is null are judged together under that id."""
-    bad = contaminated(docs, items, **limits).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = stage(contaminated(docs, items, **limits).select(F.col("doc_id").alias("_bad")).distinct(), "op9-bad")
+    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
