@@ -12,7 +12,6 @@ from cartwise.plans import basket_job as J
 from cartwise.plans.registry import register
 from cartwise.session import stage
 
-MODEL_ITERATIONS = 20
 # The oracle walks itemset sizes level by level; this is only the depth of that
 # check query (no basket in the driver data has more distinct items), the Spark
 # miner has no size limit.
@@ -176,4 +175,4 @@ def q_basket_summary(spark, sf):
 
 @register("copurchase_model", "ML-5 ML-6 ML-7 SPL-1 SRT-9")
 def q_copurchase_model(spark, sf):
-    return J.copurchase_model(spark, sf, MODEL_ITERATIONS)
+    return J.copurchase_model(spark, sf)

@@ -17,7 +17,6 @@ from cartwise.operators import serving as V
 from cartwise.plans import churn_job as J
 from cartwise.plans.registry import register
 
-MODEL_ITERATIONS = 20   # rounds used by the registered model keys (jobs default to 100)
 
 # ---- oracle building blocks -------------------------------------------------------
 
@@ -223,12 +222,12 @@ def q_latest_metric(spark, sf):
 
 @register("churn_model", "ML-6 ML-9 SRT-9")
 def q_churn_model(spark, sf):
-    return J.churn_model(spark, sf, MODEL_ITERATIONS)
+    return J.churn_model(spark, sf)
 
 
 @register("churn_scores", "ML-8 SC-14")
 def q_churn_scores(spark, sf):
-    return J.churn_scores(spark, sf, MODEL_ITERATIONS)
+    return J.churn_scores(spark, sf)
 
 
 

@@ -20,8 +20,7 @@ def build_session(master: str | None = None, app: str = "cartwise",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings every job here assumes: AQE on, UTC, no UI."""
-    master = master or os.environ.get("CARTWISE_MASTER", "local[*]")
-    b = (SparkSession.builder.master(master).appName(app)
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
@@ -29,6 +28,9 @@ def build_session(master: str | None = None, app: str = "cartwise",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    master = master or os.environ.get("CARTWISE_MASTER")
+    if master:      # else the submitted master stays
+        b = b.master(master)
     if shuffle_partitions is not None:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -69,9 +71,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/cartwise-{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-MAX_SHUFFLE_PARTITIONS = 50_000
-
-
 def scale_settings(input_bytes: int, executor_cores: int, executors: int,
                    partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of Parquet.
@@ -82,9 +81,7 @@ def scale_settings(input_bytes: int, executor_cores: int, executors: int,
     memory; skewed partitions over 4x the median (and 256 MB) are split.
     """
     cores = max(1, executor_cores * executors)
-    # Capped: every map task writes an index entry per reducer, so past a few
-    # tens of thousands of reducers the map-side bookkeeping dominates.
-    shuffle = min(MAX_SHUFFLE_PARTITIONS, max(2 * cores, -(-input_bytes // partition_bytes)))
+    shuffle = max(2 * cores, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),

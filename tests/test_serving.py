@@ -44,7 +44,7 @@ def test_latest_metric(spark):
 def test_scale_settings():
     from cartwise.session import scale_settings
     s = scale_settings(100 * 2**40, executor_cores=8, executors=1000)
-    assert int(s["spark.sql.shuffle.partitions"]) == 50_000   # 100 TB / 128 MB, capped
+    assert int(s["spark.sql.shuffle.partitions"]) == 819_200  # 100 TB / 128 MB
     small = scale_settings(2**30, executor_cores=8, executors=10)
     assert int(small["spark.sql.shuffle.partitions"]) == 160  # two waves of 80 cores
 
