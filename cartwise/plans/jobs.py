@@ -87,7 +87,7 @@ def run_churn(spark: SparkSession, tables: dict[str, DataFrame], results: str,
     R.replace_result(metric, results, "churn_model_metric", source)
     if reports:
         corr = E.feature_correlations(features, C.FEATURE_COLUMNS, "churned")
-        R.write_report_csv(corr, f"{reports}/churn_correlations")
+        R.write_report_csv(corr.coalesce(1), f"{reports}/churn_correlations")  # a row per feature
     return {"scored": written}
 
 
