@@ -28,6 +28,9 @@ from cartwise.session import stage
 SKETCH_BITS = 21
 SLICES = 64
 BITMAP_WORDS = 8
+#: Turns in which classes meet hubs, and drawings of hubs in each. They set how many pairs
+#: are left for the exact turn after them, never the result.
+HUB_TURNS, HUB_KINDS = 2, 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 S33, S29 = np.uint64(33), np.uint64(29)
 
@@ -122,16 +125,19 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         describe, "_id long, _th long, n int, s1 long, s2 long, g long, prefix array<long>, bits array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets meet the limit."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(reps, "c")
-    members = stage(docs.join(wanted, ["_id", "_th"]).dropDuplicates(["c"]).select("c", "text"), "op5-texts")
-
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(c, set): the whole sets of the wanted classes (c, _id, _th)."""
     def pack(batches):
         words = _Words()
         for b in batches:
             yield pd.DataFrame({"c": b["c"], "set": [shingle_set(t, n, words).tobytes() for t in b["text"]]})
 
+    return docs.join(wanted, ["_id", "_th"]).dropDuplicates(["c"]).select("c", "text").mapInPandas(
+        pack, "c long, set binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets meet the limit."""
     def check(batches):
         for b in batches:
             keep = []
@@ -141,7 +147,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percen
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[np.array(keep, bool), ["a", "b", "sizea", "sizeb"]]
 
-    sets = stage(members.mapInPandas(pack, "c long, set binary"), "op5-sets")
     both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b"))
     return both.select("a", "b", "sizea", "sizeb", "sa", "sb").mapInPandas(
@@ -149,6 +154,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, percen
 
 
 def components(edges: DataFrame) -> DataFrame:
+    """(c, root) for every end of the edges (a, b); root is the smallest end reachable.
+
+    Every end first keeps the edge to its smallest neighbour only, found by grouping. That
+    forest is no larger than the ends and is joined up by stars; edges are then drawn
+    between its roots, until none is left. So dense edges never meet in a join of edges."""
+    e, known = edges.filter("a <> b").select("a", "b"), None
+    while True:
+        both = e.union(e.select("b", "a"))
+        forest = _stars(both.groupBy("a").agg(F.min("b").alias("b")))
+        known = forest if known is None else stage(
+            known.join(forest.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left")
+            .select("c", F.coalesce("to", "root").alias("root")), "cc-known")
+        end = lambda s: forest.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
+        e = stage(e.join(end("a"), "a").join(end("b"), "b").filter("ra <> rb")
+                  .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-left")
+        if e.isEmpty():
+            return known
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     """(c, root) for every end of an edge, by alternating large and small stars: a hub's
     neighbours are only ever grouped by minimum, never gathered."""
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -167,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    low = stage(e.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
     return low.select(F.col("u").alias("c"), F.col("m").alias("root")).union(
         low.select(F.col("m").alias("c"), F.col("m").alias("root")).distinct())
 
@@ -177,7 +202,80 @@ def _limit(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def _bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that their sizes and parity bitmaps allow, with their rows."""
+    side = lambda s: full.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"),
+                                 F.col("bits").alias(f"bits{s}"), F.col("size").alias(f"size{s}"))
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                         F.lit(0), lambda t, k: t + k)
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                    & (differ <= F.col("na") + F.col("nb") - 2 * _limit(F.col("na"), F.col("nb"), percent)))
+            .select("a", "b", "sizea", "sizeb").distinct())
+
+
+def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs of classes to try first, a few for each class: a class with the hub of its
+    group, and a group's hub with the hub of each prefix member. Only different roots."""
+    hubs = nodes.groupBy("g", "n").agg(
+        F.min_by(F.struct("c", "root"), F.xxhash64("c", F.lit(turn))).alias("hub"))
+    inside = nodes.join(hubs, ["g", "n"]).select("c", "root", "hub")
+    posted = live.select("member", "g", "n").join(hubs.select("g", "n", "hub.*"), ["g", "n"])
+    # Members of one kind rank the classes alike, so groups that share many members meet few hubs.
+    kind = F.pmod(F.col("member"), F.lit(HUB_KINDS))
+    top = posted.groupBy("member").agg(
+        F.min_by(F.struct("c", "root"), F.xxhash64("c", kind, F.lit(turn))).alias("hub"))
+    across = posted.join(top, "member").select("c", "root", "hub")
+    return (inside.union(across).filter(F.col("root") != F.col("hub.root"))
+            .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct())
+
+
+def _group_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Every pair of classes that the prefix, size and position filters allow."""
+    x, y = (live.select("member", F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
+            for s in "ab")
+    groups = (x.join(y, "member")
+              .filter((F.struct("na", "ga") < F.struct("nb", "gb"))
+                      & (100 * F.col("na") >= percent * F.col("nb"))
+                      & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+                         >= _limit(F.col("na"), F.col("nb"), percent)))
+              .select("ga", "na", "gb", "nb").distinct())
+    # Expand to classes; a group also meets itself.
+    side = lambda s: nodes.select(F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"),
+                                  F.col("c").alias(s))
+    across = groups.join(side("a"), ["ga", "na"]).join(side("b"), ["gb", "nb"]).select("a", "b")
+    own = nodes.join(nodes.groupBy("g", "n").count().filter("count > 1").select("g", "n"), ["g", "n"])
+    half = lambda s: own.select("g", "n", F.col("c").alias(s))
+    within = half("a").join(half("b"), ["g", "n"]).filter("a < b").select("a", "b")
+    return across.union(within)
+
+
+def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Every pair of classes of different roots that the prefix and position filters allow.
+
+    Roots are paired on their shared members first, so no pair inside a root is formed."""
+    grouped = nodes.select("g", "n", "root").distinct()
+    posted = live.join(grouped, ["g", "n"])
+    mixed = posted.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    posted = stage(posted.join(mixed.select("member"), "member"), "op5-mixed")
+    roots = posted.select("member", "root").distinct()
+    meet = (roots.select("member", F.col("root").alias("ra"))
+            .join(roots.select("member", F.col("root").alias("rb")), "member").filter("ra < rb"))
+    side = lambda s: posted.select("member", F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
+                                   F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
+    groups = (meet.join(side("a"), ["member", "ra"]).join(side("b"), ["member", "rb"])
+              .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                      & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+                         >= _limit(F.col("na"), F.col("nb"), percent)))
+              .select("ra", "ga", "na", "rb", "gb", "nb").distinct())
+    # Expand the groups' parts to their classes.
+    end = lambda s: nodes.select(F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
+                                 F.col("n").alias(f"n{s}"), F.col("c").alias(s))
+    return (groups.join(end("a"), ["ra", "ga", "na"]).join(end("b"), ["rb", "gb", "nb"])
+            .select("a", "b").distinct())
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, _id, _th) for every row.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets.
@@ -185,67 +283,70 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     rows linked directly. Rows without words (null and empty texts too) link with nothing.
     Repeated rows are rows with equal sets. A null doc_id counts as the smallest and gives a
     null component_id. An empty table gives no rows.
+
+    A group of near copies has links in the square of its size, and their number takes
+    them all. Without ``count_links`` (no ``n_links`` then) classes are verified with a few hubs
+    first, and then only the pairs that no chain of links joins yet: components stay exact.
     """
     d = texts(docs).select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
     rows = stage(_classes(d, words, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "op5-rows")
     classes = stage(rows.filter("n > 0").groupBy("c", "n", "g").agg(
         F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("size")), "op5-classes")
-    reps = classes.select("c", "rep._id", "rep._th")
-    by_rep = classes.select("n", "g", "c", "size", "rep._id", "rep._th").join(
-        rows.select("_id", "_th", "prefix", "bits").distinct(), ["_id", "_th"])
-    full = stage(by_rep.select("n", "g", "c", "size", "prefix", "bits"), "op5-sets-by-class")
-
-    member = stage(full.groupBy("g", "n").agg(F.first("prefix").alias("prefix"))
-                   .select("g", "n", F.posexplode("prefix").alias("pos", "member")), "op5-members")
-    x = member.select("member", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = member.select("member", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    groups = (x.join(y, "member")
-              .filter((F.struct("na", "ga") < F.struct("nb", "gb"))
-                      & (100 * F.col("na") >= percent * F.col("nb"))
-                      & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-                         >= _limit(F.col("na"), F.col("nb"), percent)))
-              .select("ga", "na", "gb", "nb").distinct())
-    # Expand to classes; a group also meets itself.
-    side = lambda s: full.select(F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"),
-                                 F.col("c").alias(s), F.col("bits").alias(f"bits{s}"),
-                                 F.col("size").alias(f"size{s}"))
-    ends = ["a", "b", "sizea", "sizeb"]
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-                         F.lit(0), lambda t, k: t + k)
-    bound = differ <= F.col("na") + F.col("nb") - 2 * _limit(F.col("na"), F.col("nb"), percent)
-    across = (groups.join(side("a"), ["ga", "na"]).join(side("b"), ["gb", "nb"]).filter(bound).select(*ends))
-    shared = full.groupBy("g", "n").count().filter("count > 1").select("g", "n")
-    own = full.join(shared, ["g", "n"])
-    half = lambda s: own.select("g", "n", F.col("c").alias(s), F.col("bits").alias(f"bits{s}"),
-                                F.col("size").alias(f"size{s}"))
-    within = (half("a").join(half("b"), ["g", "n"])
-              .withColumns({"na": F.col("n"), "nb": F.col("n")})
-              .filter((F.col("a") < F.col("b")) & bound).select(*ends))
-    pairs = stage(across.union(within).distinct(), "op5-pairs")
-    links = stage(_verified(d, pairs, reps, words, percent), "op5-links")
-
-    labels = components(links)
-    labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(labels, "c", "left")
+    reps = classes.select("n", "g", "c", "size", "rep._id", "rep._th")
+    full = stage(reps.join(rows.select("_id", "_th", "prefix", "bits").distinct(), ["_id", "_th"]),
+                 "op5-sets-by-class")
+
+    # Prefix members that only one class holds bring nothing together.
+    member = (full.groupBy("g", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("classes"))
+              .select("g", "n", "classes", F.posexplode("prefix").alias("pos", "member")))
+    member = stage(member, "op5-members")
+    shared = member.groupBy("member").agg(F.sum("classes").alias("k")).filter("k > 1").select("member")
+    live = stage(member.join(shared, "member").select("member", "g", "n", "pos"), "op5-live")
+    few = stage(full.join(live.select("g", "n").distinct(), ["g", "n"])
+                .select("g", "n", "c", "size", "bits", "_id", "_th"), "op5-few")
+    sets = stage(_sets(d, few.select("c", "_id", "_th"), words), "op5-sets")
+
+    roots = few.select("c", F.col("c").alias("root"))
+    turns = 0 if count_links else HUB_TURNS
+    for turn in range(turns + 1):
+        nodes = few.select("g", "n", "c").join(roots, "c")
+        if count_links:
+            pairs = _group_pairs(live, few, percent)
+        else:
+            pairs = _hub_pairs(live, nodes, turn) if turn < turns else _cross_pairs(live, nodes, percent)
+        pairs = stage(_bounded(pairs, few, percent), "op5-pairs")
+        links = stage(_verified(pairs, sets, percent), "op5-links")
+        if links.isEmpty():
+            continue
+        ends = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
+        merged = components(links if turn == 0 else links.join(ends("a"), "a").join(ends("b"), "b").select(
+            F.col("ra").alias("a"), F.col("rb").alias("b")))
+        merged = merged.select(F.col("c").alias("root"), F.col("root").alias("to"))
+        roots = stage(roots.join(merged, "root", "left").select("c", F.coalesce("to", "root").alias("root")),
+                      "op5-roots")
+
+    labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(roots, "c", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "c"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component"))
-    degree = (links.select(F.col("a").alias("c"), F.col("sizeb").alias("w"))
-              .union(links.select("b", "sizea")).groupBy("c").agg(F.sum("w").alias("others")))
-    known = stage(labelled.join(lowest, "root").join(degree, "c", "left")
-                  .select("c", "component", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links")),
-                  "op5-known")
+    known = labelled.join(lowest, "root").select("c", "component", "size")
+    if count_links:
+        degree = (links.select(F.col("a").alias("c"), F.col("sizeb").alias("w"))
+                  .union(links.select("b", "sizea")).groupBy("c").agg(F.sum("w").alias("others")))
+        known = known.join(degree, "c", "left").withColumn(
+            "n_links", F.col("size") - 1 + F.coalesce("others", F.lit(0)))
+    known = stage(known.drop("size"), "op5-known")
     no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    degree = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     return (rows.select("_id", "_th", "n", "c").join(known, "c", "left")
             .withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")))
             .select(no_id("_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                    no_id("component").alias("component_id"),
-                    F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"),
-                    "_id", "_th"))
+                    no_id("component").alias("component_id"), *degree, "_id", "_th"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id (then text hash); of
     repeated rows one. Rows without words all stay. Columns as they were."""
-    found = stage(jaccard_components(docs, words, percent).withColumn(
+    found = stage(jaccard_components(docs, words, percent, count_links=False).withColumn(
         "k", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.lit(NO_ID)))), "op5-found")
     first = (found.filter(F.col("k").isNotNull()).groupBy("k")
              .agg(F.min(F.struct("_id", "_th")).alias("r")).select("r.*"))
