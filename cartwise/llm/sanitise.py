@@ -140,10 +140,13 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
     of_entity = (found.select("_th", F.explode("base").alias("m"))
                  .select("_th", F.xxhash64("m.kind", F.lower("m.value")).alias("e")).distinct()
                  .groupBy("e").agg(F.count("*").alias("of_e")))
-    pairs = stage(together.join(of_entity, "e"), "op8-pairs")
     total = float(every.select("_th").distinct().count())
     # A pair can only reveal while of_t stays under this (the disclosure rule, solved for of_t).
-    pairs = pairs.withColumn("most", F.col("both") * F.pow(F.lit(total) / F.col("of_e"), F.lit(1 - disclosure)))
+    most = F.col("both") * F.pow(F.lit(total) / F.col("of_e"), F.lit(1 - disclosure))
+    # At least as many texts hold a term as hold it near any entity: common words go here.
+    beside = terms.select("_th", "t").distinct().groupBy("t").agg(F.count("*").alias("beside"))
+    pairs = stage(together.join(of_entity, "e").withColumn("most", most).join(beside, "t")
+                  .filter(F.col("beside") <= F.col("most") * 1.0001).drop("beside"), "op8-pairs")
     words = t.select("_th", F.explode(F.array_distinct(
         F.split(F.lower("text"), r"[^\p{L}\p{N}'_-]+"))).alias("t"))
     # Common words first: the texts' hashes fall into 64 cells, and as many distinct texts hold
