@@ -58,6 +58,10 @@ def clean_text(c: Column | str, trimmed: bool = False) -> Column:
     return _t(c, trimmed)
 
 
+#: Digits with an optional sign, fraction and exponent.
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def parse_int(c: Column | str, trimmed: bool = False) -> Column:
     """Padded (spaces or leading zeros) integer -> bigint; NULL when not an integer.
 
@@ -65,7 +69,8 @@ def parse_int(c: Column | str, trimmed: bool = False) -> Column:
     """
     t = _t(c, trimmed)
     direct = t.try_cast("bigint")
-    as_double = t.try_cast("double")
+    # A cast to double alone would take a type suffix (``5d``, ``5f``) too.
+    as_double = F.when(t.rlike(NUMBER_PATTERN), t).try_cast("double")
     whole = F.when(
         as_double.isNotNull() & (F.abs(as_double) < F.lit(9.2e18))
         & (as_double == F.floor(as_double)),

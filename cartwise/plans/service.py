@@ -87,8 +87,7 @@ def churn_at_risk(spark: SparkSession, results: str, warehouse: str | None = Non
 def churn_summary(spark: SparkSession, results: str, warehouse: str | None = None) -> dict:
     scores = _result(spark, results, "household_churn", HOUSEHOLD_CHURN, warehouse)
     bands = [(r["band"], r["households"]) for r in V.risk_band_counts(scores).collect()]
-    latest = V.latest(_result(spark, results, "churn_model_metric", CHURN_MODEL_METRIC,
-                              warehouse)).collect()
+    latest = V.latest(_result(spark, results, "churn_model_metric", CHURN_MODEL_METRIC)).collect()
     model = None
     if latest:
         m = latest[0]

@@ -124,10 +124,12 @@ def read_raw_csv(spark: SparkSession, path: str, expected: list[str]) -> DataFra
     """All-string CSV scan bound by header name (names trimmed), FAILFAST.
 
     ``enforceSchema=false`` makes Spark check every file's header against the
-    columns, so a file with reordered columns fails instead of being mis-read.
+    columns, so a file with reordered columns fails instead of being mis-read. A quote
+    inside a quoted field is doubled; a backslash is a character like any other.
     """
     df = (spark.read.option("header", "true").option("inferSchema", "false")
-          .option("mode", "FAILFAST").option("enforceSchema", "false").csv(path))
+          .option("mode", "FAILFAST").option("enforceSchema", "false")
+          .option("escape", '"').csv(path))
     renamed = df.toDF(*[c.strip() for c in df.columns])
     missing = [c for c in expected if c not in renamed.columns]
     if missing:

@@ -23,7 +23,8 @@ from cartwise.schema import RAW_TRANSACTION_COLUMNS
 
 def file_header(spark: SparkSession, source_dir: str) -> list[str]:
     """Header names exactly as written in the files (padding kept)."""
-    return spark.read.option("header", "true").option("inferSchema", "false").csv(source_dir).columns
+    return spark.read.option("header", "true").option("inferSchema", "false") \
+        .option("escape", '"').csv(source_dir).columns
 
 
 def transaction_stream(spark: SparkSession, source_dir: str, header: list[str],
@@ -31,7 +32,7 @@ def transaction_stream(spark: SparkSession, source_dir: str, header: list[str],
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     stream = (spark.readStream.schema(schema)
               .option("header", "true").option("enforceSchema", "false")
-              .option("mode", "FAILFAST").option("maxFilesPerTrigger", max_files_per_trigger)
+              .option("mode", "FAILFAST").option("escape", '"').option("maxFilesPerTrigger", max_files_per_trigger)
               .csv(source_dir))
     renamed = stream.toDF(*[c.strip() for c in header])
     missing = [c for c in RAW_TRANSACTION_COLUMNS if c not in renamed.columns]
