@@ -65,17 +65,17 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 def parse_int(c: Column | str, trimmed: bool = False) -> Column:
     """Padded (spaces or leading zeros) integer -> bigint; NULL when not an integer.
 
-    Whole numbers written as ``1.0`` or ``1e3`` are accepted; the empty string is not.
+    Whole numbers written as ``1.0`` or ``1e3`` are accepted; an empty field is 0.
     """
     t = _t(c, trimmed)
-    direct = t.try_cast("bigint")
+    direct = F.when(t == "", F.lit(0).cast("bigint")).otherwise(t.try_cast("bigint"))
     # A cast to double alone would take a type suffix (``5d``, ``5f``) too.
     as_double = F.when(t.rlike(NUMBER_PATTERN), t).try_cast("double")
     whole = F.when(
         as_double.isNotNull() & (F.abs(as_double) < F.lit(9.2e18))
         & (as_double == F.floor(as_double)),
         F.floor(as_double))
-    return F.coalesce(direct, whole)        # "" fails both casts
+    return F.coalesce(direct, whole)
 
 
 def parse_yes_no(c: Column | str, trimmed: bool = False) -> Column:
@@ -84,8 +84,10 @@ def parse_yes_no(c: Column | str, trimmed: bool = False) -> Column:
 
 
 def parse_money(c: Column | str, trimmed: bool = False) -> Column:
-    """Money text such as ``.59`` or `` 3.49 `` -> decimal(10,2), rounded half up."""
-    return _t(c, trimmed).try_cast(SPEND_TYPE)       # "" fails the cast
+    """Money text such as ``.59`` or `` 3.49 `` -> decimal(10,2), rounded half up;
+    an empty field is 0."""
+    t = _t(c, trimmed)
+    return F.when(t == "", F.lit(0).cast(SPEND_TYPE)).otherwise(t.try_cast(SPEND_TYPE))
 
 
 def parse_oracle_date(c: Column | str, trimmed: bool = False) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.numeric import round4
 from cartwise.functions.text import join_list
+from cartwise.session import output_partitions
 
 # The reference's mining thresholds.
 MIN_SUPPORT = 0.001
@@ -101,7 +102,7 @@ def frequent_itemsets(itemsets: DataFrame, min_support: float = MIN_SUPPORT,
                       partitions: int | None = None) -> DataFrame:
     """All itemsets in at least ``min_support`` of the baskets: (items sorted, freq)."""
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0,
-                  numPartitions=partitions or itemsets.sparkSession.sparkContext.defaultParallelism)
+                  numPartitions=partitions or output_partitions(itemsets.sparkSession))
     model = fp.fit(itemsets)
     return model.freqItemsets.select(F.array_sort("items").alias("items"),
                                      F.col("freq").cast("bigint").alias("freq"))
@@ -116,9 +117,13 @@ def association_rules(freq: DataFrame, n_baskets: int) -> DataFrame:
     n = F.lit(float(n_baskets))
     multi = freq.where(F.size("items") >= 2)
     size = F.size("items")
-    masks = multi.withColumn(
-        "mask", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                     F.pow(F.lit(2), size).cast("bigint") - 2)))
+    # The masks 1 .. 2^k - 2 as high and low bits, so no array holds them all.
+    half = F.floor(size / 2)
+    upto = lambda bits: F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), bits).cast("bigint") - 1)
+    masks = (multi.withColumn("high", F.explode(upto(size - half)))
+             .withColumn("low", F.explode(upto(half)))
+             .withColumn("mask", F.col("high") * F.pow(F.lit(2), half).cast("bigint") + F.col("low"))
+             .where((F.col("mask") > 0) & (F.col("mask") < F.pow(F.lit(2), size).cast("bigint") - 1)))
     def in_antecedent(i):  # bit i of the mask set -> item i is on the left side
         return F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("bigint")) != 0
     sides = masks.select(
@@ -149,12 +154,11 @@ def rank_rules(rules: DataFrame, min_lift: float = MIN_LIFT,
 def item_pairs(itemsets: DataFrame) -> DataFrame:
     """(x, y) for every two items x < y of each basket, generated inside the task
     that holds the basket (no join, no shuffle of baskets); callers aggregate them
-    right away, so only combined pair counts ever leave a task."""
-    items = F.col("items")
-    pairs = F.flatten(F.transform(items, lambda x, i: F.transform(
-        F.slice(items, i + 2, F.size(items) - i - 1),
-        lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    return itemsets.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
+    right away, so only combined pair counts ever leave a task. Two steps, so that no
+    array holds more than the items of one basket."""
+    each = itemsets.select("items", F.posexplode("items").alias("i", "x"))
+    return each.select("x", F.explode(F.slice(
+        "items", F.col("i") + 2, F.size("items") - F.col("i") - 1)).alias("y"))
 
 
 def pair_rules(itemsets: DataFrame, n_baskets: int, min_support: float = MIN_SUPPORT,

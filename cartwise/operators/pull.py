@@ -3,7 +3,7 @@
 The household filter is an equality on ``hshd_num`` that Catalyst pushes into the
 Parquet scan (row groups are skipped by min/max), so the join and the sort only
 see one household's lines. The full pull (every household) is range-partitioned
-on (household, basket) and sorted within partitions: no single-task global sort.
+on the sort key and sorted within partitions: no single-task global sort.
 """
 
 from __future__ import annotations
@@ -48,9 +48,13 @@ def shape_rows(lines: DataFrame) -> DataFrame:
     return lines.withColumn("spend", decimal_text("spend"))
 
 
-def household_pull(tx: DataFrame, products: DataFrame, hshd_num: int) -> DataFrame:
-    """All pages of one household, sorted."""
-    return shape_rows(pull_lines(tx, products, hshd_num).orderBy(*_ordered(tx)))
+def household_pull(tx: DataFrame, products: DataFrame, hshd_num: int,
+                   scores: DataFrame | None = None) -> DataFrame:
+    """All pages of one household, sorted; with ``scores`` its churn score beside the lines."""
+    lines = pull_lines(tx, products, hshd_num)
+    if scores is not None:      # joined before the sort, which a shuffle join would undo
+        lines = attach_risk(lines, scores)
+    return shape_rows(lines.orderBy(*_ordered(tx)))
 
 
 def household_pull_page(tx: DataFrame, products: DataFrame, hshd_num: int,
@@ -65,13 +69,13 @@ def data_pull_all(tx: DataFrame, products: DataFrame, partitions: int | None = N
     """Every household's pull: range-partitioned on the sort prefix, sorted within
     partitions, so the partitions in order are the whole pull in order.
 
-    Boundaries come from Spark's sampling of (household, basket): no task sorts
-    more than its range, and a household with a huge share of the lines is split
-    over several ranges by its baskets instead of landing in one task.
+    Boundaries come from Spark's sampling of the whole sort key: no task sorts
+    more than its range, and a household or a single basket with a huge share of the
+    lines is split over several ranges instead of landing in one task.
     """
     lines = pull_lines(tx, products)
     n = partitions or output_partitions(lines.sparkSession)
-    ranged = lines.repartitionByRange(n, "hshd_num", "basket_num")
+    ranged = lines.repartitionByRange(n, *PULL_SORT, *TIE_BREAK)
     return shape_rows(ranged.sortWithinPartitions(*_ordered(tx)))
 
 

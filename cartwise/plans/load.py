@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.functions import clean as C
+from cartwise.operators.integrity import constraint_report
 from cartwise.session import output_partitions
 from cartwise.schema import (RAW_HOUSEHOLD_COLUMNS, RAW_PRODUCT_COLUMNS,
                              RAW_TRANSACTION_COLUMNS)
@@ -132,7 +133,14 @@ def read_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFra
 
 def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
                  partitions: int | None = None) -> dict:
-    """Load the three files into a new version under ``target_root``; return the report."""
+    """Load the three files into a new version under ``target_root``; return the report.
+
+    A missing file, a NULL or out-of-range value and a repeated household or product
+    number reject the load; the version before stays current.
+    """
+    absent = [t for t in TABLES if not paths.get(t)]
+    if absent:
+        raise ValueError(f"missing input files: {', '.join(absent)}")
     raw = read_inputs(spark, paths)
     version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
     vdir = f"{target_root}/v={version}"
@@ -156,12 +164,17 @@ def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
                               F.count_if(F.col("orphan")).alias("skipped"))
     clean_transactions(counted).write.mode("errorifexists").parquet(f"{vdir}/_staged_transactions")
     parsed = spark.read.parquet(f"{vdir}/_staged_transactions")
+    broken = [f"{r['table_name']}.{r['check_name']}: {r['violations']}" for r in constraint_report(
+        households, products, parsed, foreign_keys=False).where("violations > 0").collect()]
+    if broken:      # before anything is published
+        raise ValueError(f"load rejected, constraint violations: {', '.join(broken)}")
     n = partitions or output_partitions(spark)
-    # Range-partition on (household, basket): the written files are clustered by
-    # household for pruned pulls, and a household with a huge share of the lines
-    # is still split over several ranges by its basket numbers. The range sample
+    # Range-partition on the whole line, household first: the written files are
+    # clustered by household for pruned pulls, and a household or a single basket with
+    # a huge share of the lines is still split over several ranges. The range sample
     # reads the staged Parquet, not the CSV again.
-    (parsed.repartitionByRange(n, "hshd_num", "basket_num")
+    line = ["hshd_num", "basket_num", *[c for c in parsed.columns if c not in ("hshd_num", "basket_num")]]
+    (parsed.repartitionByRange(n, *line)
         .sortWithinPartitions("hshd_num", "basket_num")
         .write.mode("errorifexists").parquet(f"{vdir}/transactions"))
 

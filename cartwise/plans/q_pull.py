@@ -74,5 +74,5 @@ FROM transactions t JOIN products p ON p.product_num = t.product_num
 LEFT JOIN hc ON hc.hshd_num = t.hshd_num
 WHERE t.hshd_num = {DEMO_HOUSEHOLD}""")
 def q_household_pull_risk(spark, sf):
-    pull = P.household_pull(S.transactions(spark, sf), S.products(spark, sf), DEMO_HOUSEHOLD)
-    return P.attach_risk(pull, QC._stored_scores(spark, sf))
+    return P.household_pull(S.transactions(spark, sf), S.products(spark, sf), DEMO_HOUSEHOLD,
+                            QC._stored_scores(spark, sf))

@@ -3,9 +3,10 @@
 ``render_raw_files`` writes the three input files of the load job (households,
 products, transactions) from the retail views with the quirks the cleaners must
 undo: padded and zero-padded numbers, ``null`` / ``NULL`` / empty demographics,
-``.59`` money, ``DD-MON-YY`` dates in mixed case, padded header names. The
-households file leaves out the AUTOMOBILE segment and the products file the
-PROMO type, so the transactions file has orphan lines for the load to skip.
+``.59`` money, ``DD-MON-YY`` dates in mixed case, padded header names. The load's
+households file leaves out the AUTOMOBILE segment and its products file the
+PROMO type, so the transactions file has orphan lines for the load to skip; the
+files ``all_households`` and ``all_products`` are whole.
 
 ``read_raw_csv`` is the load's CSV scan: every value a string, bound to columns
 by (trimmed) header name, malformed records fail the job.
@@ -59,10 +60,13 @@ def _date_text(d: Column, key: Column) -> Column:
     return F.when(key % 2 == 0, upper).otherwise(F.concat(F.lit(" "), short_day))
 
 
-def households_text(households: DataFrame, customer: DataFrame) -> DataFrame:
-    kept = households.join(
+def listed_households(households: DataFrame, customer: DataFrame) -> DataFrame:
+    return households.join(
         customer.where(F.col("c_mktsegment") != MISSING_SEGMENT)
                 .select(F.col("c_custkey").alias("hshd_num")), "hshd_num", "left_semi")
+
+
+def households_text(kept: DataFrame) -> DataFrame:
     k = F.col("hshd_num")
     names = dict(zip(RAW_HOUSEHOLD_COLUMNS, RAW_HOUSEHOLD_COLUMNS))
     names["HSHD_NUM"] = "HSHD_NUM  "                # padded header name
@@ -75,10 +79,13 @@ def households_text(households: DataFrame, customer: DataFrame) -> DataFrame:
              ("hh_size", "HH_SIZE"), ("children", "CHILDREN")])])
 
 
-def products_text(products: DataFrame, part: DataFrame) -> DataFrame:
-    kept = products.join(
+def listed_products(products: DataFrame, part: DataFrame) -> DataFrame:
+    return products.join(
         part.where(F.col("p_type") != MISSING_PART_TYPE)
             .select(F.col("p_partkey").alias("product_num")), "product_num", "left_semi")
+
+
+def products_text(kept: DataFrame) -> DataFrame:
     k = F.col("product_num")
     return kept.select(
         _num_text(k, k).alias("PRODUCT_NUM"),
@@ -107,12 +114,17 @@ def transactions_text(tx: DataFrame) -> DataFrame:
 
 def render_raw_files(spark: SparkSession, sf_dir: str, out_dir: str,
                      transaction_files: int | None = None) -> dict[str, str]:
-    """Write households/products/transactions CSV folders under ``out_dir``."""
-    paths = {name: f"{out_dir}/{name}" for name in ("households", "products", "transactions")}
-    households_text(S.households(spark, sf_dir), S.read_table(spark, sf_dir, "customer")) \
-        .write.options(**CSV_WRITE).mode("overwrite").csv(paths["households"])
-    products_text(S.products(spark, sf_dir), S.read_table(spark, sf_dir, "part")) \
-        .write.options(**CSV_WRITE).mode("overwrite").csv(paths["products"])
+    """Write households/products/transactions CSV folders under ``out_dir``, and the whole
+    dimensions as all_households/all_products."""
+    households, products = S.households(spark, sf_dir), S.products(spark, sf_dir)
+    texts = {
+        "households": households_text(listed_households(households, S.read_table(spark, sf_dir, "customer"))),
+        "products": products_text(listed_products(products, S.read_table(spark, sf_dir, "part"))),
+        "all_households": households_text(households),
+        "all_products": products_text(products)}
+    paths = {name: f"{out_dir}/{name}" for name in (*texts, "transactions")}
+    for name, text in texts.items():
+        text.write.options(**CSV_WRITE).mode("overwrite").csv(paths[name])
     tx = transactions_text(S.transactions(spark, sf_dir))
     if transaction_files:
         tx = tx.repartition(transaction_files)

@@ -29,7 +29,7 @@ def test_required_text_keeps_empty(spark):
 
 @pytest.mark.parametrize("raw,expected", [
     (" 1600 ", 1600), ("0159", 159), ("00072499", 72499), ("1.0", 1), ("1e3", 1000),
-    ("abc", None), ("", None), ("1.5", None),
+    ("abc", None), ("", 0), ("  ", 0), ("1.5", None), ("5d", None),
 ])
 def test_parse_int(spark, raw, expected):
     assert one(spark, C.parse_int, raw) == expected

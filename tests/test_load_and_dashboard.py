@@ -173,6 +173,29 @@ def test_short_row_fails_the_load(spark, tmp_path):
         L.load_dataset(spark, paths, str(tmp_path / "wh"), partitions=2)
 
 
+@pytest.mark.parametrize("name,line,what", [
+    ("households", "10,N,null,null,null,null,null,null,null\n", "households.pk_duplicate: 1"),
+    ("products", "100,FOOD,EGGS,PRIVATE,N\n", "products.pk_duplicate: 1"),
+    ("products", "3000000000,FOOD,EGGS,PRIVATE,N\n", "products.int_range: 1"),
+    ("transactions", "3000000000,10,17-AUG-18,100,1.00,1,WEST,32,2018\n", "transactions.int_range: 1")])
+def test_broken_constraint_rejects_the_load(spark, tmp_path, name, line, what):
+    texts = {"households": HOUSEHOLDS, "products": PRODUCTS, "transactions": TRANSACTIONS}
+    good = {n: _write(tmp_path, n, t) for n, t in texts.items()}
+    wh = str(tmp_path / "wh")
+    L.load_dataset(spark, good, wh, partitions=2)
+    before = L.current_version(spark, wh)
+    (tmp_path / "bad").mkdir()
+    bad = {**good, name: _write(tmp_path / "bad", name, texts[name] + line)}
+    with pytest.raises(ValueError, match=what):
+        L.load_dataset(spark, bad, wh, partitions=2)
+    assert L.current_version(spark, wh) == before
+
+
+def test_missing_files_are_named(spark, tmp_path):
+    with pytest.raises(ValueError, match="products, transactions"):
+        L.load_dataset(spark, {"households": "h", "products": None}, str(tmp_path / "wh"))
+
+
 def test_reordered_header_in_second_file_fails(spark, tmp_path):
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
