@@ -4,17 +4,18 @@ Base spans are the emails, IP addresses, card and phone numbers of the text. Eac
 distinct value is a protected entity e with information content IC(e) = log(N / df(e)).
 A term t near an entity reveals it by PMI(e, t) = log(N df(e, t) / (df(e) df(t))); document
 frequencies are counted over the whole corpus. Where PMI reaches ``disclosure`` of IC(e)
-(1: the term tells the entity for sure) the term's spans in the entity's
-context are sanitised too: digits and capitalised names are removed, other terms
+(1: the term tells the entity for sure) all spans of the term in the texts that hold
+the entity are sanitised too: digits and capitalised names are removed, other terms
 generalised to a word class.
 
-Terms are looked at within ``window`` code points of a mention, so pairs grow with the
-mentions and not with documents times terms.
+All terms of the texts that hold an entity are looked at, wherever they stand. PMI reaches
+the disclosure only while df(t) <= df(e, t) (N / df(e)) ** (1 - disclosure), and df(e, t) is
+at most df(e): terms above that leave before any pair is formed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Runs of fewer than 13 digits fail anyway and, being maximal, hide no other match.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{3,}"
+TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]*"
+#: Matches that are walked through at a time, so that no long list is copied for each match.
+BLOCK = 512
+#: Rows that carry lists are broadcast below this count.
+LIST_ROWS = 100_000
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -57,6 +62,30 @@ def matches(text: Column, pattern: str, kind: str, when: Column) -> Column:
     return F.when(when & (F.size(found) > 0), spans).otherwise(F.array().cast(SPAN))
 
 
+def occurrences(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column]) -> Column:
+    """As ``matches``, those spans that ``keep`` holds for. Time grows with the matches, not
+    with their square: what is not kept copies nothing, and lists are joined in blocks."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)),
+                       lambda v, p: F.struct(F.length(p).cast("long").alias("gap"), v.alias("value")))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(BLOCK)),
+                         lambda b: F.slice(steps, b + 1, BLOCK))
+    none = F.array().cast(SPAN)
+    state = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
+        return state(end, F.when(keep(span), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]))
+
+    return F.aggregate(
+        blocks, F.struct(state(F.lit(0).cast("long"), none).alias("now"), F.array().cast(f"array<{SPAN}>").alias("out")),
+        lambda acc, block: F.struct(F.aggregate(block, state(acc["now"]["at"], none), add).alias("now"),
+                                    F.concat(acc["out"], F.array(acc["now"]["spans"])).alias("out")),
+        lambda acc: F.concat(F.flatten(acc["out"]), acc["now"]["spans"]))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -89,8 +118,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int = 2,
-                       window: int = 60) -> DataFrame:
+def all_terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased one by one."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int = 2) -> DataFrame:
     """(doc_id, base, terms, n_email, n_ip, n_card, n_phone and the row key) for every row.
 
     ``base`` and ``terms`` are arrays of (kind, start, end, value); terms (kind ``term``) never
@@ -108,64 +141,56 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
                 F.concat(*KINDS).alias("base")), "op8-base")
     found = every.filter(F.size("base") > 0)
 
-    # Contexts of the mentions; a row's copies give the same (text, entity, term).
-    ctx = lambda start, end: F.struct(start.alias("start"), F.substring("text", (start + 1).cast("int"), (end - start).cast("int")).alias("part"))  # noqa: E731,E501
-    n = F.length("text").cast("long")
-    before = F.greatest(F.col("m.start") - window, F.lit(0))
-    after = F.least(F.col("m.end") + window, n)
-    near = (t.join(small(found.select("_id", "_th", "base").distinct()), ["_id", "_th"])
-            .withColumn("m", F.explode("base"))
-            .select("_id", "_th", "base", F.xxhash64("m.kind", F.lower("m.value")).alias("e"),
-                    ctx(before, F.col("m.start")).alias("l"), ctx(F.col("m.end"), after).alias("r"),
-                    (before > 0).alias("cut_l"), (after < n).alias("cut_r")))
-    # A word that the window's edge cuts is left out.
-    left = F.when(F.col("cut_l"), F.regexp_extract("l.part", r"^[\p{L}\p{N}'_-]*", 0)).otherwise("")
-    right = F.when(F.col("cut_r"), F.regexp_extract("r.part", r"[\p{L}\p{N}'_-]*$", 0)).otherwise("")
-    near = near.select(
-        "_id", "_th", "base", "e", F.explode(F.array(
-            F.struct((F.col("l.start") + F.length(left)).alias("start"),
-                     F.expr("l.part").substr(F.length(left) + 1, F.length("l.part")).alias("part")),
-            F.struct(F.col("r.start"), F.expr("r.part").substr(
-                F.lit(1), F.length("r.part") - F.length(right)).alias("part")))).alias("c"))
-    terms = (near.withColumn("s", F.explode(matches(F.col("c.part"), TERM, "term", F.lit(True))))
-             .select("_id", "_th", "base", "e", (F.col("s.start") + F.col("c.start")).alias("start"),
-                     (F.col("s.end") + F.col("c.start")).alias("end"), F.col("s.value").alias("value"))
-             .filter(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
-             .withColumn("t", F.lower("value")).drop("base"))
-    terms = stage(terms.distinct(), "op8-terms")
-
-    # Frequencies over distinct texts.
-    together = (terms.select("_th", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("both"))
-                .filter(F.col("both") >= support))
-    of_entity = (found.select("_th", F.explode("base").alias("m"))
-                 .select("_th", F.xxhash64("m.kind", F.lower("m.value")).alias("e")).distinct()
-                 .groupBy("e").agg(F.count("*").alias("of_e")))
+    # Frequencies over distinct texts; a text's copies are answered by the least of their ids.
     total = float(every.select("_th").distinct().count())
-    # A pair can only reveal while of_t stays under this (the disclosure rule, solved for of_t).
-    most = F.col("both") * F.pow(F.lit(total) / F.col("of_e"), F.lit(1 - disclosure))
-    # At least as many texts hold a term as hold it near any entity: common words go here.
-    beside = terms.select("_th", "t").distinct().groupBy("t").agg(F.count("*").alias("beside"))
-    pairs = stage(together.join(of_entity, "e").withColumn("most", most).join(beside, "t")
-                  .filter(F.col("beside") <= F.col("most") * 1.0001).drop("beside"), "op8-pairs")
-    words = t.select("_th", F.explode(F.array_distinct(
-        F.split(F.lower("text"), r"[^\p{L}\p{N}'_-]+"))).alias("t"))
-    # Common words first: the texts' hashes fall into 64 cells, and as many distinct texts hold
-    # a term at least as cells are hit. That sums up before the exchange, one row a term.
-    cells = (words.join(small(stage(pairs.select("t").distinct(), "op8-wanted")), "t")
-             .groupBy("t").agg(F.bit_count(F.expr("bit_or(shiftleft(1L, cast(pmod(_th, 64) as int)))")).alias("least")))
-    pairs = stage(pairs.join(cells, "t").filter(F.col("least") <= F.col("most") * 1.0001), "op8-rarer")
-    of_term = (words.join(small(stage(pairs.select("t").distinct(), "op8-exact")), "t")
-               .distinct().groupBy("t").agg(F.count("*").alias("of_t")))
+    mentions = (found.select("_th", F.explode("base").alias("m"))
+                .select("_th", F.xxhash64("m.kind", F.lower("m.value")).alias("e")).distinct())
+    of_entity = stage(mentions.groupBy("e").agg(F.count("*").alias("of_e"))
+                      .filter((F.col("of_e") >= support) & (F.col("of_e") < total)), "op8-entities")
+    # The disclosure rule, solved for of_t with ``both`` texts that hold the pair.
+    most = lambda both, of_e: both * F.pow(F.lit(total) / of_e, F.lit(1 - disclosure)) * 1.0001
+    held = stage(mentions.join(small(of_entity), "e").groupBy("_th")
+                 .agg(F.collect_list(F.struct("e", "of_e")).alias("es")), "op8-held")
+    first = stage(found.select("_id", "_th").join(small(held, LIST_ROWS), "_th").groupBy("_th")
+                  .agg(F.min("_id").alias("_id"), F.first("es").alias("es")), "op8-first")
+    words = stage(t.join(small(first, LIST_ROWS), ["_id", "_th"]).select("_th", "es", all_terms(F.col("text")).alias("ts"))
+                  .dropDuplicates(["_th"]), "op8-words")
+
+    # How many distinct texts hold a term, summed up before the exchange; of copies one is read.
+    copies = stage(every.groupBy("_th").agg(F.min("_id").alias("_id"), F.count("*").alias("n"))
+                   .filter(F.col("n") > 1).drop("n"), "op8-copies")
+    once = (t.join(small(copies.select("_th")), "_th", "left_anti").select("text").unionByName(
+        t.join(small(copies), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text")))
+    of_term = (once.select(F.explode(F.array_distinct(
+                   F.split(F.lower("text"), r"[^\p{L}\p{N}'_-]+"))).alias("t"))
+               .groupBy("t").agg(F.count("*").alias("of_t")))
+    limit = of_entity.agg(F.max(most(F.col("of_e"), F.col("of_e")))).first()[0] or 0.0
+    beside = (words.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+              .filter(F.col("n") >= support).select("t"))
+    rare = stage(of_term.filter(F.col("of_t") <= limit).join(beside, "t"), "op8-rare")
+
+    pairs = stage(
+        words.select("_th", "es", F.explode("ts").alias("t")).join(small(rare), "t")
+        .select("_th", "t", "of_t", F.explode(F.filter(
+            "es", lambda e: F.col("of_t") <= most(e["of_e"], e["of_e"]))).alias("x"))
+        .select("_th", "t", "of_t", "x.e", "x.of_e"), "op8-pairs")
     revealing = stage(
-        pairs.join(of_term, "t")
+        pairs.groupBy("e", "t", "of_e", "of_t").agg(F.count("*").alias("both"))
+        .filter(F.col("both") >= support)
         .withColumn("ic", F.log2(F.lit(total) / F.col("of_e")))
         .withColumn("pmi", F.log2(F.lit(total) * F.col("both") / (F.col("of_e") * F.col("of_t"))))
         .filter((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic")))
         .select("e", "t"), "op8-revealing")
-    spans = (terms.join(small(revealing), ["e", "t"]).select("_id", "_th", "start", "end", "value").distinct()
-             .groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct(
-                 F.lit("term").alias("kind"), "start", "end", "value"))).alias("terms")))
-    return (every.join(small(stage(spans, "op8-spans")), ["_id", "_th"], "left")
+
+    # Every occurrence in every text that holds the entity.
+    sets = stage(pairs.join(small(revealing), ["e", "t"]).groupBy("_th").agg(F.collect_set("t").alias("ts")), "op8-sets")
+    wanted = stage(found.select("_id", "_th", "base").distinct().join(small(sets, LIST_ROWS), "_th"), "op8-wanted")
+    keep = lambda s: F.array_contains("ts", F.lower(s["value"])) & ~F.exists(
+        "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    spans = (t.join(small(wanted, LIST_ROWS), ["_id", "_th"])
+             .select("_id", "_th", occurrences(F.col("text"), TERM, "term", keep).alias("terms"))
+             .dropDuplicates(["_id", "_th"]))
+    return (every.join(small(stage(spans, "op8-spans"), LIST_ROWS), ["_id", "_th"], "left")
             .withColumn("terms", F.coalesce("terms", F.array().cast(SPAN))))
 
 
@@ -198,7 +223,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
             F.col("text").substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), mark(x))))
         .alias("out")))
     some = stage(spans.filter(F.size("base") > 0).select("_id", "_th", "base", "terms").distinct(), "op8-found")
-    clean = (row_key(texts(docs)).select("_id", "_th", "text").join(small(some), ["_id", "_th"])
+    clean = (row_key(texts(docs)).select("_id", "_th", "text").join(small(some, LIST_ROWS), ["_id", "_th"])
              .withColumn("w", walked)
              .select("_id", "_th", F.concat(
                  F.array_join("w.out", ""),

@@ -245,6 +245,19 @@ def test_revealing_terms(spark):
     assert all(got[i]["spans"] == "" for i, _ in rows[6:])
 
 
+def test_revealing_terms_of_the_whole_text(spark):
+    """A name far from the mention, short names, and every place of a revealing term."""
+    rows = [(i, f"Quillfeather, Wu {i}. {prose(random.Random(i), 90)}. mail quill@mail.example.org now, "
+                f"{prose(random.Random(50 + i), 60)} Quillfeather") for i in range(6)]
+    rows += [(100 + i, prose(random.Random(100 + i), 150) + " mail now") for i in range(300)]
+    found = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = {r["doc_id"]: [s["value"] for s in r["terms"]] for r in found}
+    assert [terms[i] for i in range(6)] == [["Quillfeather", "Wu", "Quillfeather"]] * 6
+    assert not any(terms[i] for i, _ in rows[6:])
+    for r in found[:6]:
+        assert all(dict(rows)[r["doc_id"]][s["start"]:s["end"]] == s["value"] for s in r["terms"])
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(8)
     items = [(i, prose(rng, 30)) for i in range(20)] + [(90, "tiny item here"), (91, ""), (92, None)]
