@@ -32,7 +32,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Runs of fewer than 13 digits fail anyway and, being maximal, hide no other match.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]*"
+#: ' _ - join a word, they never begin or end it: a name in quotes, underscores or dashes is the
+#: name. Mentions' texts and frequencies are read by this one pattern.
+TERM = r"[\p{L}\p{N}]++(?:['_-]++[\p{L}\p{N}]++)*+"
 #: Matches that are walked through at a time, so that no long list is copied for each match.
 BLOCK = 512
 #: Rows that carry lists are broadcast below this count.
@@ -161,8 +163,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
                    .filter(F.col("n") > 1).drop("n"), "op8-copies")
     once = (t.join(small(copies.select("_th")), "_th", "left_anti").select("text").unionByName(
         t.join(small(copies), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text")))
-    of_term = (once.select(F.explode(F.array_distinct(
-                   F.split(F.lower("text"), r"[^\p{L}\p{N}'_-]+"))).alias("t"))
+    of_term = (once.select(F.explode(all_terms(F.col("text"))).alias("t"))
                .groupBy("t").agg(F.count("*").alias("of_t")))
     limit = of_entity.agg(F.max(most(F.col("of_e"), F.col("of_e")))).first()[0] or 0.0
     beside = (words.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n"))

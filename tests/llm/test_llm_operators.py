@@ -258,6 +258,17 @@ def test_revealing_terms_of_the_whole_text(spark):
         assert all(dict(rows)[r["doc_id"]][s["start"]:s["end"]] == s["value"] for s in r["terms"])
 
 
+def test_marks_around_a_term_do_not_change_it(spark):
+    marked = ["'Quillfeather'", "_Quillfeather_", "-Quillfeather", "Quillfeather-", "Quillfeather"]
+    common = ["'harbour'", "_harbour_", "-harbour", "harbour'", "harbour"]
+    rows = [(i, f"{m} at the {common[i]}: quill@mail.example.org") for i, m in enumerate(marked)]
+    rows += [(100 + i, f"at the {common[i % 5]}, no. {i}") for i in range(100)]
+    found = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = {r["doc_id"]: [s["value"] for s in r["terms"]] for r in found}
+    assert [terms[i] for i in range(5)] == [["Quillfeather"]] * 5
+    assert not any(terms[i] for i, _ in rows[5:])
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(8)
     items = [(i, prose(rng, 30)) for i in range(20)] + [(90, "tiny item here"), (91, ""), (92, None)]
