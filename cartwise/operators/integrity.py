@@ -42,9 +42,12 @@ def _missing_parent(tx: DataFrame, key: str, parent: DataFrame, name: str) -> Da
 
 
 def constraint_report(households: DataFrame, products: DataFrame, tx: DataFrame,
-                      foreign_keys: bool = True) -> DataFrame:
+                      foreign_keys: bool = True,
+                      parents: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(table_name, check_name, violations); a clean dataset has zero everywhere. The load
-    leaves the foreign keys out: it has just dropped the lines that break them."""
+    leaves the foreign keys out: it has just dropped the lines that break them. ``parents``
+    are the households and products that the foreign keys refer to, if not the checked ones."""
+    known_h, known_p = parents or (households, products)
     parts = [
         _checks(households, "households", {
             "pk_null": F.col("hshd_num").isNull(),
@@ -71,8 +74,8 @@ def constraint_report(households: DataFrame, products: DataFrame, tx: DataFrame,
         }),
     ]
     if foreign_keys:
-        parts += [_missing_parent(tx, "hshd_num", households, "fk_household"),
-                  _missing_parent(tx, "product_num", products, "fk_product")]
+        parts += [_missing_parent(tx, "hshd_num", known_h, "fk_household"),
+                  _missing_parent(tx, "product_num", known_p, "fk_product")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

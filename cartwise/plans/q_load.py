@@ -151,8 +151,10 @@ UNION ALL SELECT 'transactions', 'spend_range', count_if(abs(spend) >= 100000000
 UNION ALL SELECT 'transactions', 'fk_household', count(*) FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM fh h WHERE h.hshd_num = t.hshd_num)
 UNION ALL SELECT 'transactions', 'fk_product', count(*) FROM transactions t WHERE NOT EXISTS (SELECT 1 FROM fp p WHERE p.product_num = t.product_num))""")
 def q_constraint_report(spark, sf):
-    h, p = _fixture_dims(spark, sf)     # without some rows: the foreign keys count the orphan lines
-    return I.constraint_report(h, p, S.transactions(spark, sf))
+    whole = _whole(spark, sf)
+    # Only the foreign keys refer to the files without some rows: they count the orphan lines.
+    return I.constraint_report(L.clean_households(whole["households"]), L.clean_products(whole["products"]),
+                               S.transactions(spark, sf), parents=_fixture_dims(spark, sf))
 
 
 @register("valid_transactions", "JN-3", O.with_views(FIX_DIMS, VALID) + f"SELECT {TX_COLS} FROM vt")

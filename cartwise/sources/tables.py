@@ -4,10 +4,10 @@ The driver ships a TPC-H-like star; this module maps it onto the three retail
 tables once, as plain DataFrame expressions, so every job reads Parquet with
 predicate pushdown and column pruning intact.
 
-``transactions`` only joins what the requested columns need. The retail schema
-declares every line's order, household and product as foreign keys (checked by
-``operators.integrity.constraint_report``), so leaving out the ``orders`` join when
-no order-side column is asked for cannot change the rows; it removes the largest
+``transactions`` only joins what the requested columns need, by left joins: a line
+whose order or household is unknown stays, with NULLs, for
+``operators.integrity.constraint_report`` to count. So leaving out the ``orders`` join
+when no order-side column is asked for cannot change the rows; it removes the largest
 join of the model from the panels that only need product and spend.
 """
 
@@ -123,9 +123,9 @@ def transactions(spark: SparkSession, sf_dir: str,
             F.weekofyear("o_orderdate").alias("week_num"),
             F.year("o_orderdate").alias("year"),
         )
-        fact = fact.join(o, "basket_num")
+        fact = fact.join(o, "basket_num", "left")
     if "store_region" in cols:
-        fact = fact.join(household_regions(spark, sf_dir), "hshd_num")
+        fact = fact.join(household_regions(spark, sf_dir), "hshd_num", "left")
     return fact.select(*cols)
 
 

@@ -208,3 +208,26 @@ def test_reordered_header_in_second_file_fails(spark, tmp_path):
     with pytest.raises((PySparkException, Py4JJavaError), match="FAILED_READ_FILE|header"):
         L.clean_products(read_raw_csv(spark, str(tmp_path / "products"),
                                       RAW_PRODUCT_COLUMNS)).collect()
+
+
+def test_constraint_report_sees_all_rows_and_real_orphans(spark, tmp_path):
+    """Faults in rows that the load's files leave out, and lines without order or customer."""
+    from cartwise.plans.q_load import q_constraint_report
+    from cartwise.sources import tables as S
+    sf = str(tmp_path)
+    day = "timestamp'1995-03-04'"
+    for name, columns, rows in [
+            ("region", "r_regionkey, r_name", "(0, 'ASIA')"),
+            ("nation", "n_nationkey, n_regionkey", "(0, 0)"),
+            ("customer", "c_custkey, c_mktsegment, c_acctbal, c_nationkey",
+             "(1L, 'BUILDING', 1.0D, 0), (2L, 'AUTOMOBILE', 1.0D, 0), (2L, 'AUTOMOBILE', 1.0D, 0), (3000000001L, 'AUTOMOBILE', 1.0D, 0)"),
+            ("part", "p_partkey, p_type, p_brand, p_size", "(1L, 'TIN', 'B', 1), (2L, 'PROMO', 'B', 1), (2L, 'PROMO', 'B', 1)"),
+            ("orders", "o_orderkey, o_custkey, o_orderdate", f"(1L, 1L, {day}), (2L, 99L, {day})"),
+            ("lineitem", "l_orderkey, l_partkey, l_extendedprice, l_quantity",
+             "(1L, 1L, 2.5D, 1.0D), (2L, 1L, 2.5D, 1.0D), (2L, 1L, 3.5D, 1.0D), (77L, 1L, 2.5D, 1.0D), (1L, 2L, 2.5D, 1.0D)")]:
+        spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})").write.parquet(f"{sf}/{name}.parquet")
+    got = {(r["table_name"], r["check_name"]): r["violations"] for r in q_constraint_report(spark, sf).collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        ("households", "pk_duplicate"): 1, ("households", "int_range"): 1, ("products", "pk_duplicate"): 1,
+        ("transactions", "not_null"): 3, ("transactions", "fk_household"): 3, ("transactions", "fk_product"): 1}
+    assert {S.transactions(spark, sf, c).count() for c in (["spend"], ["spend", "hshd_num"], ["store_region"], None)} == {5}
