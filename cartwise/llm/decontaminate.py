@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import row_key, small, texts
+from cartwise.llm.common import NO_ID, row_key, small, texts
 from cartwise.session import stage
 
 #: Token offsets that a seed reads (weight 6, the span differs).
@@ -40,18 +40,10 @@ def _seeds(df: DataFrame, at: str) -> DataFrame:
             .withColumn("seed", F.explode(seeds)).filter(F.col("seed").isNotNull()))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
-                 stretch: int = 20, stretch_similarity: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_match, n_item, similarity, first_word, n_places) per document and item.
-
-    Tokens are lower-cased runs of letters and digits. A pair is reported when on one diagonal
-    at least ``similarity`` of the item's tokens stand in the document, or a window of
-    ``stretch`` tokens has ``stretch_similarity`` of them. The values are those of the best
-    diagonal, ``n_places`` counts the verified ones. Items with fewer tokens than the shortest
-    mask spans are matched whole, as exact token sequences. Null or empty texts and items
-    without tokens match nothing, repeated rows are reported once per (doc_id, item_id), an
-    empty table on either side gives no rows.
-    """
+def _verified(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
+              stretch: int = 20, stretch_similarity: float = 0.8) -> DataFrame:
+    """The verified diagonals: (doc_id, _id, _th, item_id, diagonal, n_match, n_item, similarity),
+    each with the key of its row. See ``contaminated``."""
     bench = (items.select(F.col("item_id").cast("long").alias("item_id"),
                           tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w"))
              .filter(F.size("w") > 0).distinct())
@@ -85,8 +77,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
     # Few hits travel to the texts; beyond a million both sides are exchanged.
     item = bench.select("item_id", F.xxhash64("w").alias("iw"), F.col("w").alias("item"))
     places = (train.select("doc_id", "_id", "_th", "w").join(small(hits), ["_id", "_th"])
-              .select("doc_id", "_id", "item_id", "iw", "diagonal", "w").join(small(item), ["item_id", "iw"])
-              .select("doc_id", "_id", "item_id", "item", "diagonal",
+              .select("doc_id", "_id", "_th", "item_id", "iw", "diagonal", "w").join(small(item), ["item_id", "iw"])
+              .select("doc_id", "_id", "_th", "item_id", "item", "diagonal",
                       F.slice("w", F.greatest(F.lit(0), F.col("diagonal")) + 1,
                               F.greatest(F.lit(0), F.size("item") + F.least(F.lit(0), F.col("diagonal"))))
                       .alias("near")))
@@ -101,8 +93,23 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
         lambda s: F.aggregate(F.slice("equal", s, stretch), F.lit(0), lambda a, x: a + x)))).otherwise(0)
     kept = scored.filter((F.col("similarity") >= similarity)
                          | (best_stretch >= stretch * stretch_similarity))
+    return kept.select("doc_id", "_id", "_th", "item_id", "diagonal", "n_match", "n_item", "similarity")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
+                 stretch: int = 20, stretch_similarity: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, n_match, n_item, similarity, first_word, n_places) per document and item.
+
+    Tokens are lower-cased runs of letters and digits. A pair is reported when on one diagonal
+    at least ``similarity`` of the item's tokens stand in the document, or a window of
+    ``stretch`` tokens has ``stretch_similarity`` of them. The values are those of the best
+    diagonal, ``n_places`` counts the verified ones. Items with fewer tokens than the shortest
+    mask spans are matched whole, as exact token sequences. Null or empty texts and items
+    without tokens match nothing, repeated rows are reported once per (doc_id, item_id), an
+    empty table on either side gives no rows.
+    """
     best = F.max(F.struct("n_match", (-F.col("diagonal")).alias("back"), "n_item", "similarity"))
-    return (kept.groupBy("doc_id", "item_id")
+    return (_verified(docs, items, similarity, stretch, stretch_similarity).groupBy("doc_id", "item_id")
             .agg(best.alias("b"), F.countDistinct("diagonal").alias("n_places"))
             .select("doc_id", "item_id", F.col("b.n_match").cast("long").alias("n_match"),
                     F.col("b.n_item").cast("long").alias("n_item"), "b.similarity",
@@ -110,7 +117,10 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
-    """The documents without a verified overlap, all columns as they were. Rows whose doc_id
-    is null are judged together under that id."""
-    bad = stage(contaminated(docs, items, **limits).select(F.col("doc_id").alias("_bad")).distinct(), "op9-bad")
-    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents without a verified overlap, all columns as they were. A row is judged by its
+    own text: others of its id, or other rows without an id, don't take it with them."""
+    bad = stage(_verified(docs, items, **limits).select(
+        F.col("_id").alias("_bad_id"), F.col("_th").alias("_bad_th")).distinct(), "op9-bad")
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    own_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(small(bad), (own_id == F.col("_bad_id")) & (own_hash == F.col("_bad_th")), "left_anti")

@@ -285,6 +285,19 @@ def test_decontamination(spark, docs, empty):
     assert contaminated(empty, it).collect() == [] and contaminated(docs, it.limit(0)).collect() == []
 
 
+def test_decontamination_keeps_clean_rows_of_a_bad_id(spark):
+    rng = random.Random(9)
+    item, clean = prose(rng, 30), [prose(rng, 60) for _ in range(3)]
+    d = spark.createDataFrame([(None, item), (None, clean[0]), (None, None), (7, item + " end"), (7, clean[1]),
+                               (8, clean[2]), (8, item), (8, item)], SCHEMA.split(", lang")[0])
+    it = spark.createDataFrame([(1, item)], "item_id long, text string")
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, decontaminate(d, it).collect()), key=key) == sorted(
+        [(None, clean[0]), (None, None), (7, clean[1]), (8, clean[2])], key=key)
+    assert {(r["doc_id"], r["item_id"], r["n_places"]) for r in contaminated(d, it).collect()} == {
+        (None, 1, 1), (7, 1, 1), (8, 1, 1)}
+
+
 def test_packing(docs, texts, empty):
     rows = pack_documents(docs, capacity=256).collect()
     bins = collections.defaultdict(list)
