@@ -149,7 +149,10 @@ def _scorer(spark, weights: dict[int, float]):
 
 
 def reject(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """The documents that score under 0.5, all columns as they were; null texts score as empty."""
+    """The documents that score under 0.5, all columns as they were; null texts score as empty.
+    An empty model (no usable training row, or nothing learned) tells nothing and rejects none."""
+    if not weights:
+        return docs
     p = _scorer(docs.sparkSession, weights)
     return docs.filter(p(F.coalesce(F.col("text").cast("string"), F.lit(""))) < 0.5)
 

@@ -19,7 +19,7 @@ from cartwise.llm.packing import best_fit, pack_documents
 from cartwise.llm.sanitise import digest, find_personal_data, sanitise
 from cartwise.llm.sharding import shard_documents
 from cartwise.llm.suffix_dedup import remove_repeats
-from cartwise.llm.toxicity import score_documents
+from cartwise.llm.toxicity import fit, reject, score_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, w int, seed string"
 RNG = random.Random(5)
@@ -344,3 +344,41 @@ def test_extraction(spark):
 def test_pipeline_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near duplicates", "decontamination", "personal data", "packing"]
+
+
+def test_an_empty_model_rejects_nothing(spark, docs):
+    labels = "doc_id long, toxic int"
+    unusable = [[], [(0, None), (None, 1)], [(10 ** 9 + i, i % 2) for i in range(40)]]
+    assert [i for i in range(0, 60, 3) if zlib.crc32(str(i).encode()) % 5 == 0]
+    unusable.append([(i, 1) for i in range(0, 60, 3) if zlib.crc32(str(i).encode()) % 5 == 0])
+    for rows in unusable:
+        kept = reject(docs, fit(docs, spark.createDataFrame(rows, labels)))
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_pipeline_run(spark, tmp_path):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(700):
+        w = prose(rng, 40).split()
+        if i % 3 == 0:
+            w[rng.randrange(40)] = rng.choice(["vile", "rotten"])
+        rows.append((i, " ".join(w), "en", f"s{i % 5}"))
+        labels.append((i, int(i % 3 == 0)))
+    item, base = prose(rng, 30), prose(rng, 60)
+    planted = {1000: item, 1001: base, 1002: base + " more", 1003: "write to joe.q@mail.example.org " + prose(rng, 30)}
+    rows += [(i, t, "en", "s") for i, t in planted.items()]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for name, known in (("labels", y), ("none", y.limit(0))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        known.write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        kept = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()}
+        assert kept & set(planted) == {1001, 1003}
+        toxic, fine = {i for i, v in labels if v}, {i for i, v in labels if not v}
+        if name == "none":
+            assert kept == toxic | fine | {1001, 1003}
+        else:
+            assert len(kept & toxic) < 0.1 * len(toxic) and len(kept & fine) > 0.95 * len(fine)
