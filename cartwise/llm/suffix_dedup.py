@@ -1,19 +1,19 @@
-"""Removal of repeated 400-byte strings by merged shard Burrows-Wheeler orders.
+"""Removal of repeated 400-byte strings: anchor partitioning, then grouping by content.
+
+No Burrows-Wheeler transform is built and no suffix orders are interleaved; the steps below
+take the place of merging the shards' transforms by interleave refinement.
 
 1. Candidates. Every 400-byte string holds 337 64-byte grams; the one with the least hash
    (the leftmost of equals) is its anchor. Equal strings have equal anchors, so only runs
    of strings whose anchor hash occurs more than once can repeat; all others are settled.
 2. Shards. The runs are dealt by anchor into shards of bounded bytes, an anchor with very
-   many runs over several. A shard sorts its suffixes once (prefix doubling up to 400
-   bytes), which gives its suffix order, the byte before each suffix (its BWT) and the common
-   prefixes of neighbours. A block of the order is all suffixes with one 400-byte prefix.
-   Blocks of two or more are repeats. A block whose suffixes all follow the same byte
-   as the block one byte to the left is a shift of it; starts are joined to runs.
-3. Merge. Only anchors dealt over several shards need more: the shards' orders are
-   interleaved by refinement. At each depth the shards' blocks are merged by their common
-   prefix so far, blocks with one suffix in all are dropped, the rest is refined at the
-   next depth, with one row per shard and block. Nothing is sorted again; what is left at
-   depth 400 are the repeats across shards.
+   many runs over several. A shard ranks its 400-byte strings by prefix doubling; equal ranks
+   are a block. Blocks of two or more are repeats, neighbouring repeated starts one interval.
+   All strings of an anchor that lies in one shard are settled there.
+3. Anchors of several shards (more than ANCHOR_RUNS runs). Each shard gives one row a block
+   with 64-bit content hashes of its first 64, 144 and 400 bytes. Rows are grouped by the
+   first hash, then by two, then by all three; at each depth what stands once in all is
+   dropped. What is left are the repeats across shards, equal by hash, not by bytes.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _ranks(data: np.ndarray, starts: np.ndarray):
 
 
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: intervals of locally repeated strings, and the blocks to interleave."""
+    """One shard: intervals of locally repeated strings, and the blocks that other shards may hold."""
     # Equal contexts stand for each other; each is sorted once.
     seen: dict[bytes, int] = {}
     which = np.array([seen.setdefault(c, len(seen)) for c in pdf["bytes"]], np.int64)
@@ -191,7 +191,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     local = stage(contexts.groupBy("shard").applyInPandas(
         _repeats, "th long, s long, e long, k0 long, k1 long, k2 long, n long"), "op6-shards")
 
-    # The interleave of the shards' blocks, refined depth by depth.
+    # The shards' blocks, grouped by the hashes of longer and longer prefixes.
     alive = local.filter(F.col("n").isNotNull())
     key: list[str] = []
     for i in range(len(DEPTHS)):
