@@ -12,7 +12,10 @@ from cartwise.llm.fingerprints import fingerprint_documents
 from cartwise.llm.html_extract import extract_pages
 from cartwise.llm.jaccard_join import jaccard_components
 from cartwise.llm.licenses import scan_licenses
+from cartwise.llm.oracles import PREFIX_TRIE, RESAMPLING
 from cartwise.llm.packing import pack_documents
+from cartwise.llm.prefix_trie import conversation_trie
+from cartwise.llm.resampling import resample
 from cartwise.llm.sanitise import digest, find_personal_data
 from cartwise.llm.sharding import shard_documents
 from cartwise.llm.suffix_dedup import remove_repeats
@@ -61,8 +64,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_html_extraction, op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join, op6_suffix_dedup, op7_license_scan, op8_personal_data,
-    op9_decontamination, op10_best_fit_packing)}
+    op1_html_extraction, op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join,
+    op6_suffix_dedup, op7_license_scan, op8_personal_data, op9_decontamination, op10_best_fit_packing,
+    op12_conversation_trie, op13_importance_resampling)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_conversation_trie": PREFIX_TRIE, "op13_importance_resampling": RESAMPLING}
