@@ -11,6 +11,7 @@ from cartwise.llm.decontaminate import contaminated
 from cartwise.llm.fingerprints import fingerprint_documents
 from cartwise.llm.html_extract import extract_pages
 from cartwise.llm.jaccard_join import jaccard_components
+from cartwise.llm.language import identify_languages
 from cartwise.llm.licenses import scan_licenses
 from cartwise.llm.oracles import PREFIX_TRIE, RESAMPLING
 from cartwise.llm.packing import pack_documents
@@ -64,6 +65,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -75,6 +80,6 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_html_extraction, op2_minhash_fingerprints, op3_toxicity, op4_histogram_sharding, op5_ngram_jaccard_join,
     op6_suffix_dedup, op7_license_scan, op8_personal_data, op9_decontamination, op10_best_fit_packing,
-    op12_conversation_trie, op13_importance_resampling)}
+    op11_language_id, op12_conversation_trie, op13_importance_resampling)}
 
 ORACLES: dict[str, str] = {"op12_conversation_trie": PREFIX_TRIE, "op13_importance_resampling": RESAMPLING}
