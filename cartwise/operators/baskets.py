@@ -8,8 +8,8 @@ Scale notes:
   by the item vocabulary, not by the number of lines.
 * Frequent itemsets come from MLlib's parallel FP-growth (conditional trees are
   distributed by item group).
-* Pair rules count item pairs inside each basket's task with a map-side
-  combine over the itemsets (no self-join of baskets).
+* Pair rules remove infrequent items first, then count item pairs inside each
+  basket's task with a map-side combine (no self-join of baskets).
 * Rules expand every frequent itemset into all its non-empty proper subsets
   (bit masks over the sorted items, no cap on the itemset size) and look the
   support of both sides up with two joins on the itemset key; the itemset
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.numeric import round4
 from cartwise.functions.text import join_list
-from cartwise.session import output_partitions
+from cartwise.operators.numbering import dense_index
+from cartwise.session import output_partitions, stage
 
 # The reference's mining thresholds.
 MIN_SUPPORT = 0.001
@@ -70,14 +71,13 @@ def target_item(freq: DataFrame) -> DataFrame:
 
 
 def vocabulary_index(pairs: DataFrame) -> DataFrame:
-    """(item, index) with items sorted by name. One row per distinct item: the
-    window runs over the vocabulary, which is bounded by the product dimension."""
-    vocab = pairs.select("item").distinct()
-    return vocab.withColumn("index", F.row_number().over(Window.orderBy("item")) - 1)
+    """(item, index) with items sorted by name, numbered by range (``numbering.dense_index``)."""
+    return dense_index(pairs.select("item").distinct(), ["item"])
 
 
 def onehot_indices(pairs: DataFrame) -> DataFrame:
-    """Sparse one-hot rows: basket -> sorted column indices (columns = items by name)."""
+    """Sparse one-hot rows: basket -> sorted column indices (columns = items by name).
+    ``pairs`` is read twice (vocabulary, join): store it first."""
     idx = vocabulary_index(pairs)
     width = idx.count()  # one number: the vocabulary size
     rows = (pairs.join(idx, "item")
@@ -161,21 +161,32 @@ def item_pairs(itemsets: DataFrame) -> DataFrame:
         "items", F.col("i") + 2, F.size("items") - F.col("i") - 1)).alias("y"))
 
 
+def frequent_baskets(itemsets: DataFrame, singles: DataFrame, threshold: int) -> DataFrame:
+    """Baskets reduced to their items of at least ``threshold`` baskets (baskets with fewer
+    than two of them dropped): a pair cannot be more frequent than either of its items."""
+    frequent = singles.where(F.col("n_item") >= threshold).select("item")
+    return (itemsets.select("basket_num", F.explode("items").alias("item"))
+            .join(frequent, "item", "left_semi")
+            .groupBy("basket_num").agg(F.array_sort(F.collect_list("item")).alias("items"))
+            .where(F.size("items") > 1))
+
+
 def pair_rules(itemsets: DataFrame, n_baskets: int, min_support: float = MIN_SUPPORT,
                min_lift: float = MIN_LIFT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules with one item on each side, by a path independent of FP-growth.
 
-    Pair and item counts are plain grouped counts with a map-side combine over
-    the sorted, de-duplicated itemsets: a basket contributes each of its
-    v(v-1)/2 item pairs once, counted in its own task, and what is shuffled is
-    at most one partial count per distinct pair per task (bounded by the item
-    vocabulary, not by baskets or lines). A frequent pair implies frequent items,
-    so no candidate list is needed.
+    Items below the support are removed before baskets are paired, so rare items make no
+    pairs however many of them a basket has; frequent items number at most (items per
+    basket) / ``min_support``. Pairs are counted in the task that holds the basket, with a
+    map-side combine over the sorted, de-duplicated itemsets: what is shuffled is at most
+    one partial count per distinct frequent pair per task.
     """
     threshold = min_count(n_baskets, min_support)
-    singles = (itemsets.select(F.explode("items").alias("item"))
-               .groupBy("item").agg(F.count(F.lit(1)).alias("n_item")))
-    co = (item_pairs(itemsets).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_xy"))
+    # One row per item; read four times.
+    singles = stage(itemsets.select(F.explode("items").alias("item"))
+                    .groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "item-counts")
+    co = (item_pairs(frequent_baskets(itemsets, singles, threshold))
+          .groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_xy"))
           .where(F.col("n_xy") >= threshold))
     both = (co.select(F.col("x").alias("ante"), F.col("y").alias("cons"), "n_xy")
               .unionByName(co.select(F.col("y").alias("ante"), F.col("x").alias("cons"), "n_xy")))
@@ -197,3 +208,16 @@ def copurchase_rows(itemsets: DataFrame, target: str) -> DataFrame:
         "basket_num",
         F.array_contains("items", F.lit(target)).cast("int").alias("label"),
         F.array_remove("items", F.lit(target)).alias("other_items"))
+
+
+def sparse_features(rows: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    """(basket_num, label, features): each basket's items as a sparse 0/1 vector of ``width``
+    columns, in the layout in which Spark stores ML vectors. The items meet their column
+    numbers in a join, so no vocabulary passes the driver; a basket without other items is
+    the zero vector."""
+    items = rows.select("basket_num", "label", F.explode_outer("other_items").alias("item"))
+    grouped = (items.join(index.select("item", F.col("index").cast("int").alias("index")), "item", "left")
+               .groupBy("basket_num", "label").agg(F.array_sort(F.collect_list("index")).alias("indices")))
+    return grouped.select("basket_num", "label", F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(width).cast("int").alias("size"), "indices",
+        F.transform("indices", lambda i: F.lit(1.0)).alias("values")).alias("features"))

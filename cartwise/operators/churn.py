@@ -19,26 +19,17 @@ from pyspark.sql import functions as F
 from cartwise.functions.numeric import risk_band, round4
 
 HOLDOUT_DAYS = 90
+# The feature names, in the order of the model and of the reports.
 FEATURE_COLUMNS = ["recency_days", "frequency", "monetary_total", "monetary_avg",
                    "tenure_days", "recent_spend", "earlier_spend", "trend_ratio", "loyalty"]
 
 
-def data_end(activity: DataFrame) -> dt.date | None:
-    """Last purchase date (one scalar; Parquet answers max from column statistics)."""
-    return activity.agg(F.max("purchase_date")).first()[0]
-
-
 def churn_cutoff(activity: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> DataFrame:
     """One row: data_end and cutoff = data_end - holdout_days."""
     end = activity.agg(F.max("purchase_date").alias("data_end"))
     return end.select("data_end", F.date_sub("data_end", holdout_days).alias("cutoff"))
 
 
-def cutoff_date(activity: DataFrame, holdout_days: int = HOLDOUT_DAYS) -> dt.date | None:
-    end = data_end(activity)
-    return None if end is None else end - dt.timedelta(days=holdout_days)
-
-
 def household_features(activity: DataFrame, cutoff: dt.date,
                        recent_window_days: int = HOLDOUT_DAYS) -> DataFrame:
     """One row per household with activity on or before ``cutoff``.

@@ -2,8 +2,8 @@
 
 All of these avoid a window over raw rows in one partition:
 
-* the split ranks rows inside (label, md5-bucket) partitions and adds the count of
-  the buckets before, taken from a small per-bucket aggregate;
+* the split finds each class's threshold key from counts per (label, md5-bucket) and
+  ranks only the rows of the bucket in which the threshold lies;
 * the AUC first collapses rows to distinct scores, then takes the running count
   of negatives per score range (ranges from approximate quantiles) and within
   each range, so no task holds more than one range.
@@ -29,32 +29,50 @@ def _split_key(id_col: str, seed: int):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
+def split_thresholds(df: DataFrame, id_col: str, label_col: str,
+                     test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED) -> DataFrame:
+    """Per class, the key (md5, id) of its last test row: (_label, _last_h, _last_id).
+
+    An order statistic by histogram: rows are counted per (class, hash bucket), the counts
+    tell the bucket in which the ceil(fraction * n)-th row lies and its place there, and
+    only the rows of that one bucket per class (about n / 65,536) are ranked. Repeated ids
+    are counted once per bucket entry, so a hot id is one row of the ranking.
+    """
+    keyed = df.select(F.col(label_col).alias("_label"), F.col(id_col).alias("_id"),
+                      _split_key(id_col, seed).alias("_h"))
+    bucket = F.substring("_h", 1, SPLIT_BUCKET_CHARS)
+    counts = keyed.groupBy("_label", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    per_class = Window.partitionBy("_label")
+    to_here = F.sum("_n").over(per_class.orderBy("_b"))
+    wanted = F.ceil(F.sum("_n").over(per_class) * F.lit(test_fraction))
+    # One row per class; stored, so that Spark knows its size when it plans the joins.
+    edge = stage(counts.withColumns({"_to": to_here, "_wanted": wanted})
+                       .where((F.col("_to") - F.col("_n") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_to")))
+                       .select(F.col("_label").alias("_class"), F.col("_b").alias("_edge"),
+                               (F.col("_wanted") - F.col("_to") + F.col("_n")).alias("_place")), "split-edge")
+    inside = keyed.join(edge, F.col("_label").eqNullSafe(F.col("_class")) & (bucket == F.col("_edge")))
+    each = inside.groupBy("_class", "_place", "_h", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy("_class").orderBy("_h", "_id"))
+    return (each.withColumn("_so_far", so_far)
+                .where((F.col("_so_far") - F.col("_n") < F.col("_place")) & (F.col("_place") <= F.col("_so_far")))
+                .select(F.col("_class").alias("_label"), F.col("_h").alias("_last_h"), F.col("_id").alias("_last_id")))
+
+
 def stratified_split(df: DataFrame, id_col: str, label_col: str,
                      test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED) -> DataFrame:
     """Adds ``is_test``: per class, the ceil(fraction * class size) rows first by
-    (md5(id || ':' || seed), id) go to the test part. Exact and repeatable.
+    (md5(id || ':' || seed), id) go to the test part. Exact and repeatable; rows that repeat
+    an id go to the same part.
 
-    Ranking inside (label, bucket) keeps every window partition at about
-    n / 65,536 rows; the offsets per bucket come from a (classes x 65,536) aggregate.
+    No row is shuffled or sorted for it: each compares its own key with its class's
+    threshold (``split_thresholds``). ``df`` is read three times, the first two times for
+    its id and label only: store it first if it is costly to compute.
     """
-    keyed = (df.withColumn("_h", _split_key(id_col, seed))
-               .withColumn("_b", F.substring("_h", 1, SPLIT_BUCKET_CHARS)))
-    counts = keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    per_class = Window.partitionBy(label_col)
-    before = per_class.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        label_col, "_b",
-        F.coalesce(F.sum("_nb").over(before), F.lit(0)).alias("_before"),
-        F.sum("_nb").over(per_class).alias("_nclass"))
-    in_bucket = Window.partitionBy(label_col, "_b").orderBy("_h", id_col)
-    ranked = keyed.withColumn("_rn", F.row_number().over(in_bucket))
-    # ``ranked`` is already hash-partitioned on (label, bucket) by its window, so
-    # joining on those keys shuffles only ``offsets`` (one row per label and
-    # bucket); Spark broadcasts it instead when it measures it small.
-    joined = ranked.join(offsets, [label_col, "_b"])
-    n_test = F.ceil(F.col("_nclass") * F.lit(test_fraction))
-    return (joined.withColumn("is_test", (F.col("_before") + F.col("_rn")) <= n_test)
-                  .drop("_h", "_b", "_rn", "_before", "_nclass"))
+    last = stage(split_thresholds(df, id_col, label_col, test_fraction, seed), "split-threshold")
+    h = _split_key(id_col, seed)
+    flagged = df.join(last, F.col(label_col).eqNullSafe(F.col("_label")), "left")
+    is_test = (h < F.col("_last_h")) | ((h == F.col("_last_h")) & (F.col(id_col) <= F.col("_last_id")))
+    return flagged.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_label", "_last_h", "_last_id")
 
 
 def accuracy(df: DataFrame, label_col: str, prediction_col: str) -> DataFrame:

@@ -41,45 +41,44 @@ def _missing_parent(tx: DataFrame, key: str, parent: DataFrame, name: str) -> Da
         F.col("violations").cast("bigint").alias("violations"))
 
 
-def constraint_report(households: DataFrame, products: DataFrame, tx: DataFrame,
-                      foreign_keys: bool = True,
-                      parents: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(table_name, check_name, violations); a clean dataset has zero everywhere. The load
-    leaves the foreign keys out: it has just dropped the lines that break them. ``parents``
-    are the households and products that the foreign keys refer to, if not the checked ones."""
-    known_h, known_p = parents or (households, products)
-    parts = [
-        _checks(households, "households", {
-            "pk_null": F.col("hshd_num").isNull(),
-            "not_null": F.col("loyalty_flag").isNull(),
-            "int_range": _out_of_int32("hshd_num"),
-        }),
-        _duplicates(households, "households", "hshd_num"),
-        _checks(products, "products", {
+def transaction_checks() -> dict[str, Column]:
+    """Row checks of the fact; the load takes their counts in the job that writes it."""
+    return {
+        "not_null": (F.col("basket_num").isNull() | F.col("hshd_num").isNull()
+                     | F.col("product_num").isNull() | F.col("purchase_date").isNull()
+                     | F.col("spend").isNull() | F.col("units").isNull()
+                     | F.col("store_region").isNull() | F.col("week_num").isNull()
+                     | F.col("year").isNull()),
+        "int_range": (_out_of_int32("basket_num") | _out_of_int32("hshd_num")
+                      | _out_of_int32("product_num")),
+        "spend_range": F.abs(F.col("spend")) >= F.lit(100000000),
+    }
+
+
+def dimension_report(households: DataFrame, products: DataFrame) -> DataFrame:
+    """Key, NULL, range and duplicate checks of the two dimensions."""
+    return (_checks(households, "households", {
+        "pk_null": F.col("hshd_num").isNull(),
+        "not_null": F.col("loyalty_flag").isNull(),
+        "int_range": _out_of_int32("hshd_num"),
+    }).unionByName(_duplicates(households, "households", "hshd_num"))
+        .unionByName(_checks(products, "products", {
             "pk_null": F.col("product_num").isNull(),
             "not_null": (F.col("department").isNull() | F.col("commodity").isNull()
                          | F.col("brand_type").isNull() | F.col("is_organic").isNull()),
             "int_range": _out_of_int32("product_num"),
-        }),
-        _duplicates(products, "products", "product_num"),
-        _checks(tx, "transactions", {
-            "not_null": (F.col("basket_num").isNull() | F.col("hshd_num").isNull()
-                         | F.col("product_num").isNull() | F.col("purchase_date").isNull()
-                         | F.col("spend").isNull() | F.col("units").isNull()
-                         | F.col("store_region").isNull() | F.col("week_num").isNull()
-                         | F.col("year").isNull()),
-            "int_range": (_out_of_int32("basket_num") | _out_of_int32("hshd_num")
-                          | _out_of_int32("product_num")),
-            "spend_range": F.abs(F.col("spend")) >= F.lit(100000000),
-        }),
-    ]
-    if foreign_keys:
-        parts += [_missing_parent(tx, "hshd_num", known_h, "fk_household"),
-                  _missing_parent(tx, "product_num", known_p, "fk_product")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        })).unionByName(_duplicates(products, "products", "product_num")))
+
+
+def constraint_report(households: DataFrame, products: DataFrame, tx: DataFrame,
+                      parents: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(table_name, check_name, violations); a clean dataset has zero everywhere. ``parents``
+    are the households and products that the foreign keys refer to, if not the checked ones."""
+    known_h, known_p = parents or (households, products)
+    return (dimension_report(households, products)
+            .unionByName(_checks(tx, "transactions", transaction_checks()))
+            .unionByName(_missing_parent(tx, "hshd_num", known_h, "fk_household"))
+            .unionByName(_missing_parent(tx, "product_num", known_p, "fk_product")))
 
 
 def referential_split(tx: DataFrame, households: DataFrame, products: DataFrame) -> DataFrame:

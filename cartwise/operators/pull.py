@@ -4,6 +4,11 @@ The household filter is an equality on ``hshd_num`` that Catalyst pushes into th
 Parquet scan (row groups are skipped by min/max), so the join and the sort only
 see one household's lines. The full pull (every household) is range-partitioned
 on the sort key and sorted within partitions: no single-task global sort.
+
+Pages are read by position. ``page_index`` counts a key's lines per sorted range of a
+stored, range-sorted copy; a page is then a seek: the ranges that overlap it come from the
+index, and the scan is filtered to its places in them. The cost of a page does not depend
+on its number, and neither a task nor the driver holds the pages before it.
 """
 
 from __future__ import annotations
@@ -12,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.text import decimal_text
-from cartwise.session import output_partitions
+from cartwise.operators.numbering import in_ranges, range_starts
+from cartwise.session import output_partitions, stage
 
 DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200
@@ -57,12 +63,35 @@ def household_pull(tx: DataFrame, products: DataFrame, hshd_num: int,
     return shape_rows(lines.orderBy(*_ordered(tx)))
 
 
+def page_index(stored: DataFrame, key: str = "hshd_num") -> DataFrame:
+    """(key, _part, _first, _rows, _before): where each key's lines lie in a stored table that
+    ``numbering.in_ranges`` laid out with ``key`` first in its order. One row per key and range."""
+    return range_starts(stored, key)
+
+
+def read_page(stored: DataFrame, index: DataFrame, value: int, page: int = 1,
+              page_size: int = DEFAULT_PAGE_SIZE, key: str = "hshd_num") -> DataFrame:
+    """The lines of page ``page`` of one key, in order, from the stored table and its index.
+    At most ``page_size`` ranges overlap a page; they become a filter on range and place."""
+    p, s = clamp_page(page, page_size)
+    skip = (p - 1) * s
+    here = index.where((F.col(key) == F.lit(value)) & (F.col("_before") < skip + s)
+                       & (F.col("_before") + F.col("_rows") > skip)).collect()
+    wanted = F.lit(False)
+    for r in here:
+        start = r["_first"] + max(0, skip - r["_before"])
+        stop = r["_first"] + min(r["_rows"], skip + s - r["_before"])
+        wanted = wanted | ((F.col("_part") == r["_part"]) & F.col("_pos").between(start, stop - 1))
+    return stored.where(wanted & (F.col(key) == F.lit(value))).orderBy("_part", "_pos")
+
+
 def household_pull_page(tx: DataFrame, products: DataFrame, hshd_num: int,
                         page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page: skip (page-1)*size lines of the sorted pull, take size."""
-    p, s = clamp_page(page, page_size)
-    ordered = pull_lines(tx, products, hshd_num).orderBy(*_ordered(tx))
-    return shape_rows(ordered.offset((p - 1) * s).limit(s))
+    """One page of a household's pull: its lines are laid out and indexed once (the whole
+    fact, where the load has done that: ``service.household_pull``), then the page is read."""
+    lines = pull_lines(tx, products, hshd_num)
+    stored = stage(in_ranges(lines, _ordered(tx)), "pull-pages")
+    return shape_rows(read_page(stored, page_index(stored), hshd_num, page, page_size).select(*PULL_COLUMNS))
 
 
 def data_pull_all(tx: DataFrame, products: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -95,11 +124,15 @@ def household_line_counts(tx: DataFrame, households: DataFrame,
         F.greatest(F.lit(1), F.ceil(total / F.lit(page_size))).cast("bigint").alias("pages"))
 
 
-def household_exists(households: DataFrame, scores: DataFrame, requested: DataFrame) -> DataFrame:
-    """For each requested household number: does it exist, and its churn score or NULL."""
-    known = households.select("hshd_num", F.lit(True).alias("exists"))
-    s = scores.select("hshd_num", "churn_probability", "risk_band")
-    return (requested.select("hshd_num").distinct()
+def household_exists(households: DataFrame, scores: DataFrame, requested: list[int]) -> DataFrame:
+    """For each requested household number: does it exist, and its churn score or NULL. The
+    numbers (a request's few) filter the scans of both stored tables."""
+    spark = households.sparkSession
+    numbers = sorted(set(requested))
+    known = (households.where(F.col("hshd_num").isin(numbers))
+             .select("hshd_num", F.lit(True).alias("exists")).distinct())
+    s = scores.where(F.col("hshd_num").isin(numbers)).select("hshd_num", "churn_probability", "risk_band")
+    return (spark.createDataFrame([(n,) for n in numbers], "hshd_num bigint")
             .join(known, "hshd_num", "left")
             .join(s, "hshd_num", "left")
             .select("hshd_num", F.coalesce("exists", F.lit(False)).alias("exists"),

@@ -64,8 +64,8 @@ def stamp(df: DataFrame) -> DataFrame:
 
 
 def latest(metrics: DataFrame) -> DataFrame:
-    """The newest metric row (by created_at)."""
-    return metrics.orderBy(F.desc("created_at")).limit(1)
+    """The newest metric row (by created_at, then by id where rows have one)."""
+    return metrics.orderBy(*[F.desc(c) for c in ("created_at", "id") if c in metrics.columns]).limit(1)
 
 
 def heuristic_metric(scored: DataFrame, features: DataFrame, feature_cols: list[str],
@@ -73,8 +73,8 @@ def heuristic_metric(scored: DataFrame, features: DataFrame, feature_cols: list[
     """Metric row for a stored score: held-out accuracy and AUC, base rate, and the
     features most correlated with the label as drivers."""
     spark = scored.sparkSession
-    # One row per household, read by four metrics: staged once.
-    split = stage(E.stratified_split(scored, "hshd_num", label), "metric-split")
+    # One row per household, read by the split and four metrics: staged once.
+    split = E.stratified_split(stage(scored, "metric-scored"), "hshd_num", label)
     features = split
     test = split.where("is_test").withColumn(
         "prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0))

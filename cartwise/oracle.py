@@ -51,10 +51,10 @@ TRANSACTIONS = """transactions AS (
          r_name AS store_region, CAST(weekofyear(o_orderdate) AS INTEGER) AS week_num,
          CAST(year(o_orderdate) AS INTEGER) AS year
   FROM lineitem
-  JOIN orders ON o_orderkey = l_orderkey
-  JOIN customer ON c_custkey = o_custkey
-  JOIN nation ON n_nationkey = c_nationkey
-  JOIN region ON r_regionkey = n_regionkey)"""
+  LEFT JOIN orders ON o_orderkey = l_orderkey
+  LEFT JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN region ON r_regionkey = n_regionkey)"""
 
 VIEWS = "WITH " + ",\n".join([_households(), PRODUCTS, TRANSACTIONS])
 

@@ -1,16 +1,17 @@
 """The basket job: lines -> itemsets -> FP-growth -> rules, and the co-purchase model.
 
 Outputs are the two result tables (``basket_rules`` and ``basket_model_metric``);
-only scalars (basket count, target item, vocabulary for the feature vector,
-metric row, importances) reach the driver.
+only scalars (basket count, target item, vocabulary size, metric row, importances of
+the items that trees use) reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwise.functions.numeric import round4
 from cartwise.functions.text import join_list
@@ -19,13 +20,12 @@ from cartwise.operators import evaluate as E
 from cartwise.plans.churn_job import gbt, top_drivers
 from cartwise.session import shared_root, stage
 from cartwise.sources import tables as S
-from cartwise.sources.lines import basket_lines
 
 TOP_DRIVERS = 8
 DEFAULT_ITERATIONS = 100
-# The feature vector needs the vocabulary on the driver; refuse absurd sizes
-# instead of building a vector no tree learner could use.
-MAX_VOCABULARY = 1 << 20
+FEATURE_ROWS = T.StructType([
+    T.StructField("basket_num", T.LongType()), T.StructField("label", T.IntegerType()),
+    T.StructField("features", VectorUDT())])
 
 
 def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,6 @@ def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.join(S.products(spark, sf_dir).select("product_num", "commodity"), "product_num")
 
 
-def full_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = S.transactions(spark, sf_dir, ["basket_num", "hshd_num", "product_num",
-                                        "purchase_date", "spend", "units"])
-    return basket_lines(tx, S.products(spark, sf_dir))
-
-
 def mine(spark: SparkSession, sf_dir: str, top: int = B.TOP_RULES) -> tuple[DataFrame, int]:
     """(ranked rules with array sides, basket count) over the driver tables."""
     return mine_lines(lines_frame(spark, sf_dir), top)
@@ -57,6 +51,18 @@ def mine_lines(lines: DataFrame, top: int = B.TOP_RULES) -> tuple[DataFrame, int
     return rules, n
 
 
+def basket_summary(lines: DataFrame) -> DataFrame:
+    """One row: lines, baskets with an item, distinct items. Lines are combined to one row
+    per basket, once; both counts are read from those."""
+    per_basket = stage(lines.groupBy("basket_num").agg(
+        F.count(F.lit(1)).alias("lines"), F.collect_set("commodity").alias("items")), "basket-summary")
+    distinct = (per_basket.select(F.explode("items").alias("item")).distinct()
+                .agg(F.count(F.lit(1)).alias("commodities")).first()[0])
+    return per_basket.agg(F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("lines"),
+                          F.count_if(F.size("items") > 0).alias("baskets")).withColumn(
+        "commodities", F.lit(distinct).cast("bigint"))
+
+
 def copurchase_model(spark: SparkSession, sf_dir: str,
                      iterations: int = DEFAULT_ITERATIONS) -> DataFrame:
     """Metric row (target, accuracy, AUC, top drivers) or an empty frame."""
@@ -64,37 +70,34 @@ def copurchase_model(spark: SparkSession, sf_dir: str,
 
 
 def copurchase_lines(lines: DataFrame, iterations: int = DEFAULT_ITERATIONS) -> DataFrame:
-    """The co-purchase model from (basket_num, commodity) lines."""
+    """The co-purchase model from (basket_num, commodity) lines, which are read once."""
     spark = lines.sparkSession
     empty = spark.createDataFrame([], "target_commodity string, accuracy double, "
                                       "roc_auc double, top_drivers string")
-    pairs = B.basket_items(lines)
+    itemsets = stage(B.basket_itemsets(lines), "itemsets")
+    pairs = itemsets.select("basket_num", F.explode("items").alias("item"))
     top = B.target_item(B.item_frequency(pairs)).first()
     if top is None:
         return empty
     target = top["commodity"]
-    itemsets = B.basket_itemsets(lines)
     rows = B.copurchase_rows(itemsets, target)
     if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return empty
-    vocab_rows = (pairs.select("item").distinct().where(F.col("item") != target)
-                  .orderBy("item").limit(MAX_VOCABULARY + 1).collect())
-    if len(vocab_rows) > MAX_VOCABULARY:
-        raise ValueError("item vocabulary too large for a one-hot feature vector")
-    vocab = [r["item"] for r in vocab_rows]
-    if not vocab:
+    index = B.vocabulary_index(pairs.where(F.col("item") != target))
+    width = index.count()
+    if width == 0:
         return empty
-    vec = CountVectorizerModel.from_vocabulary(vocab, inputCol="other_items",
-                                               outputCol="features", binary=True)
-    data = vec.transform(rows).withColumn("label_d", F.col("label").cast("double"))
-    # One row per basket, read by the fit and the evaluation: staged once.
-    split = stage(E.stratified_split(data, "basket_num", "label"), "copurchase-split")
+    # One row per basket, read by the split, the fit and the evaluation: staged once, and
+    # read back with the vector type over the stored layout.
+    data = stage(B.sparse_features(rows, index, width), "copurchase-rows", FEATURE_ROWS)
+    split = (E.stratified_split(data, "basket_num", "label")
+             .withColumn("label_d", F.col("label").cast("double")))
     model = gbt(iterations, label="label_d").fit(split.where(~F.col("is_test")))
     test = model.transform(split.where(F.col("is_test"))).withColumn(
         "p1", vector_to_array("probability")[1])
     acc = E.accuracy(test, "label_d", "prediction").first()["accuracy"]
     auc = E.roc_auc(test, "label", "p1").first()["roc_auc"]
-    drivers = top_drivers(model.featureImportances.toArray(), vocab, TOP_DRIVERS)
+    drivers = item_drivers(model.featureImportances, index)
     row = spark.createDataFrame([(target, float(acc), None if auc is None else float(auc),
                                   ", ".join(drivers))],
                                 "target_commodity string, accuracy double, roc_auc double, "
@@ -103,6 +106,15 @@ def copurchase_lines(lines: DataFrame, iterations: int = DEFAULT_ITERATIONS) ->
                       round4("roc_auc").alias("roc_auc"), "top_drivers")
 
 
+def item_drivers(importances, index: DataFrame, k: int = TOP_DRIVERS) -> list[str]:
+    """The ``k`` most important items (ties by name). Only items that a tree uses have an
+    importance; those and the first ``k`` by name, which fill up, are looked up."""
+    used = {int(i): float(v) for i, v in zip(importances.indices, importances.values) if v}
+    wanted = sorted({*used, *range(len(used) + k)})
+    names = {r["index"]: r["item"] for r in index.where(F.col("index").isin(wanted)).collect()}
+    return top_drivers([used.get(i, 0.0) for i in names], list(names.values()), k)
+
+
 def rules_as_text(rules: DataFrame) -> DataFrame:
     return rules.select(join_list("antecedents").alias("antecedents"),
                         join_list("consequents").alias("consequents"),

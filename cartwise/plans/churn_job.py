@@ -23,20 +23,15 @@ from cartwise.operators import churn as C
 from cartwise.operators import evaluate as E
 from cartwise.session import stage
 from cartwise.sources import tables as S
-from cartwise.sources.lines import household_activity
 
 TOP_DRIVERS = 6
 DEFAULT_ITERATIONS = 100
 
 
-def activity_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = S.transactions(spark, sf_dir, ["hshd_num", "basket_num", "purchase_date", "spend"])
-    return household_activity(tx, S.households(spark, sf_dir))
-
-
-def features_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dt.date | None]:
+def features_frame(spark: SparkSession, sf_dir: str,
+                   holdout_days: int = C.HOLDOUT_DAYS) -> tuple[DataFrame, dt.date | None]:
     # Basket totals: every churn feature is a sum / max / min over basket-days.
-    return C.churn_features(S.basket_totals(spark, sf_dir), S.households(spark, sf_dir))
+    return C.churn_features(S.basket_totals(spark, sf_dir), S.households(spark, sf_dir), holdout_days)
 
 
 def gbt(iterations: int, label: str = "label") -> GBTClassifier:
@@ -60,8 +55,8 @@ def fit_churn_model(features: DataFrame, iterations: int = DEFAULT_ITERATIONS):
         return None, None
     assembled = VectorAssembler(inputCols=C.FEATURE_COLUMNS, outputCol="features").transform(
         features.withColumn("label", F.col("churned").cast("double")))
-    # One row per household, read by the fit and the evaluation: staged once.
-    split = stage(E.stratified_split(assembled, "hshd_num", "churned"), "churn-split")
+    # Features are stored; the split adds a comparison with one threshold per class.
+    split = E.stratified_split(assembled, "hshd_num", "churned")
     model = gbt(iterations).fit(split.where(~F.col("is_test")))
     predicted = model.transform(split).withColumn(
         "p1", vector_to_array("probability")[1])

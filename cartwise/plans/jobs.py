@@ -25,7 +25,7 @@ from cartwise.plans import basket_job as BJ
 from cartwise.plans import churn_job as CJ
 from cartwise.plans import load as L
 from cartwise.plans import results as R
-from cartwise.session import build_session
+from cartwise.session import build_session, scale_settings
 from cartwise.sources import tables as S
 
 
@@ -45,20 +45,21 @@ def run_basket(spark: SparkSession, tables: dict[str, DataFrame], results: str,
                iterations: int = BJ.DEFAULT_ITERATIONS, source: str | None = None) -> dict:
     lines = tables["transactions"].select("basket_num", "product_num").join(
         tables["products"].select("product_num", "commodity"), "product_num")
-    summary = B.basket_items(lines).agg(F.count_distinct("basket_num").alias("baskets"),
-                                        F.count_distinct("item").alias("commodities")).first()
-    print(f"{summary['baskets']:,} baskets across {summary['commodities']} distinct commodities")
+    summary = BJ.basket_summary(lines).first()
+    print(f"{summary['lines']:,} lines, {summary['baskets']:,} baskets across "
+          f"{summary['commodities']} distinct commodities")
     rules, _ = BJ.mine_lines(lines)
-    written = R.replace_result(rules, results, "basket_rules", source)
+    written = R.replace_result(rules, results, "basket_rules", source, id_order=[
+        F.desc("lift"), F.desc("confidence"), F.desc("support"), "antecedents", "consequents"])
     print(f"Wrote {written} association rules to basket_rules")
-    V.top_rules(BJ.rules_as_text(R.read_result(spark, results, "basket_rules")), 10).show(
-        10, truncate=False)
+    stored = R.read_result(spark, results, "basket_rules").drop("id", "created_at")
+    V.top_rules(BJ.rules_as_text(stored), 10).show(10, truncate=False)
     metric = BJ.copurchase_lines(lines, iterations)
     if metric.count() == 0:
         print("Skipped co-purchase model (target commodity has a single class).")
         return {"rules": written, "model": False}
     R.replace_result(metric.withColumn("top_drivers", F.split("top_drivers", ", ")),
-                     results, "basket_model_metric", source)
+                     results, "basket_model_metric", source, id_order=["target_commodity"])
     metric.show(truncate=False)
     return {"rules": written, "model": True}
 
@@ -81,10 +82,12 @@ def run_churn(spark: SparkSession, tables: dict[str, DataFrame], results: str,
     if scores is None:
         print("Only one class present - cannot train. Aborting.")
         return {"scored": 0}
-    written = R.replace_result(scores, results, "household_churn", source)
+    written = R.replace_result(scores, results, "household_churn", source, cluster_by="hshd_num", keep=2)
     print(f"Wrote {written} household churn scores")
     V.risk_band_counts(R.read_result(spark, results, "household_churn")).show()
-    R.replace_result(metric, results, "churn_model_metric", source)
+    R.replace_result(metric, results, "churn_model_metric", source, id_order=["accuracy"])
+    m = metric.first()
+    print(f"Held-out accuracy {m['accuracy']}, ROC-AUC {m['roc_auc']}; drivers: {', '.join(m['top_drivers'])}")
     if reports:
         corr = E.feature_correlations(features, C.FEATURE_COLUMNS, "churned")
         R.write_report_csv(corr.coalesce(1), f"{reports}/churn_correlations")  # a row per feature
@@ -102,8 +105,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--results")
     ap.add_argument("--reports")
     ap.add_argument("--iterations", type=int, default=CJ.DEFAULT_ITERATIONS)
+    ap.add_argument("--input-bytes", type=int, help="size the shuffles for an input of this many bytes")
+    ap.add_argument("--executors", type=int, default=1)
+    ap.add_argument("--executor-cores", type=int, default=8)
     a = ap.parse_args(argv)
-    spark = build_session()
+    sized = scale_settings(a.input_bytes, a.executor_cores, a.executors) if a.input_bytes else None
+    spark = build_session(extra=sized)
     if a.job == "load":
         run_load(spark, {"households": a.households, "products": a.products,
                          "transactions": a.transactions}, a.warehouse)

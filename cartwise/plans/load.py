@@ -24,13 +24,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.functions import clean as C
-from cartwise.operators.integrity import constraint_report
-from cartwise.session import output_partitions
+from cartwise.operators.integrity import dimension_report, transaction_checks
+from cartwise.operators.numbering import with_line_id
+from cartwise.operators.pull import page_index
 from cartwise.schema import (RAW_HOUSEHOLD_COLUMNS, RAW_PRODUCT_COLUMNS,
                              RAW_TRANSACTION_COLUMNS)
+from cartwise.session import delete_folder, output_partitions, retire_versions
 from cartwise.sources.raw_files import read_raw_csv
 
 TABLES = ("households", "products", "transactions")
+# All columns of a line, in the pull's order (department and commodity follow from the product).
+LINE = ["hshd_num", "basket_num", "purchase_date", "product_num", "spend", "units",
+        "store_region", "week_num", "year"]
 
 
 # (output column, raw column, parser, what the value must be); ``None`` parser = text.
@@ -132,11 +137,13 @@ def read_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFra
 
 
 def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
-                 partitions: int | None = None) -> dict:
+                 partitions: int | None = None, keep: int = 2, grace_s: float = 86_400) -> dict:
     """Load the three files into a new version under ``target_root``; return the report.
 
     A missing file, a NULL or out-of-range value and a repeated household or product
-    number reject the load; the version before stays current.
+    number reject the load; the version before stays current. After publishing, the
+    staged copy of the fact goes, and so do versions before the last ``keep`` once they
+    are ``grace_s`` seconds old (``session.retire_versions``).
     """
     absent = [t for t in TABLES if not paths.get(t)]
     if absent:
@@ -156,27 +163,30 @@ def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
     households = spark.read.parquet(f"{vdir}/households")
     products = spark.read.parquet(f"{vdir}/products")
     flagged = flag_transactions(raw["transactions"], households, products)
-    # One pass over the CSV: count, drop orphans, parse, and stage the parsed lines
-    # as Parquet in the version folder (the counts are taken in that job's final,
-    # writing stage).
-    obs_t = Observation("transactions")
+    # One pass over the CSV: count, drop orphans, parse, check, and stage the parsed lines
+    # as Parquet in the version folder (all counts are taken in that job's final, writing
+    # stage). The staged copy is what the range sample below reads, not the CSV again.
+    staged = f"{vdir}/_staged_transactions"
+    obs_t, obs_c = Observation("transactions"), Observation("checks")
     counted = flagged.observe(obs_t, F.count_if(~F.col("orphan")).alias("loaded"),
                               F.count_if(F.col("orphan")).alias("skipped"))
-    clean_transactions(counted).write.mode("errorifexists").parquet(f"{vdir}/_staged_transactions")
-    parsed = spark.read.parquet(f"{vdir}/_staged_transactions")
-    broken = [f"{r['table_name']}.{r['check_name']}: {r['violations']}" for r in constraint_report(
-        households, products, parsed, foreign_keys=False).where("violations > 0").collect()]
+    checks = transaction_checks()
+    (clean_transactions(counted)
+        .observe(obs_c, *[F.count_if(c).alias(name) for name, c in checks.items()])
+        .write.mode("errorifexists").parquet(staged))
+    broken = [f"{r['table_name']}.{r['check_name']}: {r['violations']}" for r in
+              dimension_report(households, products).where("violations > 0").collect()]
+    broken += [f"transactions.{name}: {n}" for name in checks if (n := obs_c.get.get(name))]
     if broken:      # before anything is published
+        delete_folder(spark, staged)
         raise ValueError(f"load rejected, constraint violations: {', '.join(broken)}")
-    n = partitions or output_partitions(spark)
-    # Range-partition on the whole line, household first: the written files are
-    # clustered by household for pruned pulls, and a household or a single basket with
-    # a huge share of the lines is still split over several ranges. The range sample
-    # reads the staged Parquet, not the CSV again.
-    line = ["hshd_num", "basket_num", *[c for c in parsed.columns if c not in ("hshd_num", "basket_num")]]
-    (parsed.repartitionByRange(n, *line)
-        .sortWithinPartitions("hshd_num", "basket_num")
-        .write.mode("errorifexists").parquet(f"{vdir}/transactions"))
+    # Range-partitioned on the whole line in the pull's order, household first: files are
+    # clustered by household for pruned pulls, a household or a single basket with a huge
+    # share of the lines is split over several ranges, and pages are read by range and place.
+    lines = with_line_id(spark.read.parquet(staged), LINE, partitions or output_partitions(spark))
+    lines.write.mode("errorifexists").parquet(f"{vdir}/transactions")
+    (page_index(spark.read.parquet(f"{vdir}/transactions")).repartitionByRange("hshd_num")
+        .sortWithinPartitions("hshd_num", "_part").write.mode("errorifexists").parquet(f"{vdir}/page_index"))
 
     report = {
         "households": int(obs_h.get["n"]),
@@ -190,6 +200,9 @@ def load_dataset(spark: SparkSession, paths: dict[str, str], target_root: str,
                           "version string, path string, households long, products long, "
                           "transactions long, skipped long") \
         .coalesce(1).write.mode("append").json(f"{target_root}/_versions")
+    delete_folder(spark, staged)
+    published = [r["version"] for r in spark.read.json(f"{target_root}/_versions").select("version").collect()]
+    retire_versions(spark, target_root, published, keep, grace_s)
     return report
 
 
@@ -202,9 +215,16 @@ def current_version(spark: SparkSession, target_root: str) -> str:
 
 
 def read_loaded(spark: SparkSession, target_root: str) -> dict[str, DataFrame]:
-    """The three tables of the current version."""
+    """The three tables of the current version (the fact with its ``line_id``)."""
     vdir = current_version(spark, target_root)
-    return {t: spark.read.parquet(f"{vdir}/{t}") for t in TABLES}
+    tables = {t: spark.read.parquet(f"{vdir}/{t}") for t in TABLES}
+    return {**tables, "transactions": tables["transactions"].drop("_part", "_pos")}
+
+
+def read_pages(spark: SparkSession, target_root: str) -> tuple[DataFrame, DataFrame]:
+    """The current version's fact with range and place, and its page index."""
+    vdir = current_version(spark, target_root)
+    return spark.read.parquet(f"{vdir}/transactions"), spark.read.parquet(f"{vdir}/page_index")
 
 
 def report_frame(spark: SparkSession, report: dict) -> DataFrame:

@@ -9,8 +9,9 @@ from cartwise.functions.text import join_list
 from cartwise.operators import baskets as B
 from cartwise.operators import serving as V
 from cartwise.plans import basket_job as J
+from cartwise.plans import results as R
 from cartwise.plans.registry import register
-from cartwise.session import stage
+from cartwise.session import scratch_dir, stage
 
 # The oracle walks itemset sizes level by level; this is only the depth of that
 # check query (no basket in the driver data has more distinct items), the Spark
@@ -95,7 +96,7 @@ SELECT basket_num, string_agg(CAST(idx AS VARCHAR), ', ' ORDER BY idx) AS indice
        (SELECT count(*) FROM voc) AS width
 FROM bi JOIN voc USING (item) GROUP BY basket_num""")
 def q_basket_onehot(spark, sf):
-    oh = B.onehot_indices(_pairs(spark, sf))
+    oh = B.onehot_indices(stage(_pairs(spark, sf), "basket-items"))
     return oh.select("basket_num", F.array_join(F.transform("indices", lambda x: x.cast("string")),
                                                 ", ").alias("indices"), "width")
 
@@ -115,7 +116,9 @@ def q_frequent_itemsets(spark, sf):
           + f"SELECT {RULE_COLS} FROM ranked")
 def q_basket_rules(spark, sf):
     rules, _ = J.mine(spark, sf)
-    return J.rules_as_text(rules)
+    root = scratch_dir(spark, "rules")      # written as a result table and read back
+    R.replace_result(rules, root, "basket_rules")
+    return J.rules_as_text(R.read_result(spark, root, "basket_rules"))
 
 
 @register("top_rules", "SRT-5 ML-10", mining_sql(RULES) + f"""
@@ -153,9 +156,9 @@ SELECT basket_num, CAST(list_contains(items, tgt.item) AS INTEGER) AS label,
        array_to_string(list_filter(items, lambda x, i: x <> tgt.item), ', ') AS features
 FROM its, tgt""")
 def q_copurchase_dataset(spark, sf):
-    lines = J.lines_frame(spark, sf)
-    target = B.target_item(B.item_frequency(B.basket_items(lines))).first()["commodity"]
-    rows = B.copurchase_rows(B.basket_itemsets(lines), target)
+    itemsets = stage(B.basket_itemsets(J.lines_frame(spark, sf)), "itemsets")
+    top = B.target_item(B.item_frequency(itemsets.select(F.explode("items").alias("item")))).first()
+    rows = B.copurchase_rows(itemsets, top["commodity"] if top else "")
     return rows.select("basket_num", "label", F.array_join("other_items", ", ").alias("features"))
 
 
@@ -165,12 +168,7 @@ SELECT (SELECT count(*) FROM transactions t JOIN products p ON p.product_num = t
        (SELECT count(DISTINCT basket_num) FROM bi) AS baskets,
        (SELECT count(DISTINCT item) FROM bi) AS commodities""")
 def q_basket_summary(spark, sf):
-    lines = J.lines_frame(spark, sf)
-    pairs = B.basket_items(lines)
-    n_lines = lines.count()
-    agg = pairs.agg(F.count_distinct("basket_num").alias("baskets"),
-                    F.count_distinct("item").alias("commodities"))
-    return agg.select(F.lit(n_lines).cast("bigint").alias("lines"), "baskets", "commodities")
+    return J.basket_summary(J.lines_frame(spark, sf))
 
 
 @register("copurchase_model", "ML-5 ML-6 ML-7 SPL-1 SRT-9")

@@ -15,7 +15,11 @@ from cartwise.operators import churn as C
 from cartwise.operators import evaluate as E
 from cartwise.operators import serving as V
 from cartwise.plans import churn_job as J
+from cartwise.plans import results as R
 from cartwise.plans.registry import register
+from cartwise.session import scratch_dir, stage
+from cartwise.sources import raw_files
+from cartwise.sources import tables as S
 
 
 # ---- oracle building blocks -------------------------------------------------------
@@ -91,19 +95,35 @@ def _scored(spark, sf):
     return C.heuristic_score(_features(spark, sf))
 
 
-def _stored_scores(spark, sf):
-    return C.scores_table(_scored(spark, sf))
+_RESULTS: dict[tuple[str, str], str] = {}
+
+
+def results_root(spark, sf: str) -> str:
+    """The result folder of this session and scale. The first query that needs stored scores
+    writes them there (laid out by household); all others only read them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RESULTS:
+        root = scratch_dir(spark, "results")
+        R.replace_result(C.scores_table(_scored(spark, sf)), root, "household_churn", cluster_by="hshd_num")
+        _RESULTS[key] = root
+    return _RESULTS[key]
+
+
+def stored_scores(spark, sf):
+    """The stored score table: lookups of households prune it by ``hshd_num``."""
+    return R.read_result(spark, results_root(spark, sf), "household_churn").drop("created_at")
 
 
 def _split(spark, sf):
-    return E.stratified_split(_scored(spark, sf), "hshd_num", "churned")
+    # One row per household; the split reads it three times.
+    scored = stage(_scored(spark, sf), "churn-scored")
+    return E.stratified_split(scored, "hshd_num", "churned")
 
 
 @register("churn_cutoff", "AGG-14", churn_sql() + "SELECT data_end, cutoff FROM cut")
 def q_churn_cutoff(spark, sf):
     # Last purchase of a known household: basket totals (one row per order) are
     # enough for a max over dates, and the household check is a semi join.
-    from cartwise.sources import tables as S
     days = S.basket_totals(spark, sf).join(S.households(spark, sf).select("hshd_num"),
                                             "hshd_num", "left_semi")
     return C.churn_cutoff(days)
@@ -135,7 +155,10 @@ SELECT feature, """ + O.round6("correlation") + """ AS correlation FROM (
   FROM f) ON """ + ", ".join(C.FEATURE_COLUMNS) + """ INTO NAME feature VALUE correlation)""")
 def q_churn_correlations(spark, sf):
     corr = E.feature_correlations(_features(spark, sf), C.FEATURE_COLUMNS, "churned")
-    return corr.select("feature", F.round("correlation", 6).alias("correlation"))
+    path = f"{scratch_dir(spark, 'report')}/churn_correlations"
+    R.write_report_csv(corr.coalesce(1), path)     # a row per feature; read back from the file
+    report = spark.read.option("header", "true").schema("feature string, correlation double").csv(path)
+    return report.select("feature", F.round("correlation", 6).alias("correlation"))
 
 
 @register("stratified_split", "SPL-1", churn_sql(SCORE, SPLIT) + """
@@ -163,14 +186,14 @@ def q_eval_roc_auc(spark, sf):
 
 @register("risk_band", "SC-14 SC-11 ML-8", churn_sql(SCORE, STORED) + "SELECT * FROM hc")
 def q_risk_band(spark, sf):
-    return _stored_scores(spark, sf)
+    return stored_scores(spark, sf)
 
 
 @register("at_risk", "SRT-4 PRJ-5 ML-10", churn_sql(SCORE, STORED) + """
 SELECT hshd_num, churn_probability, risk_band FROM hc
 ORDER BY churn_probability DESC, hshd_num LIMIT 25""")
 def q_at_risk(spark, sf):
-    return V.at_risk(_stored_scores(spark, sf))
+    return V.at_risk(stored_scores(spark, sf))
 
 
 @register("risk_band_counts", "AGG-11 JN-8 SRT-8 ML-10", churn_sql(SCORE, STORED) + """,
@@ -179,14 +202,16 @@ SELECT b.band, CAST(coalesce(n.households, 0) AS BIGINT) AS households, b.positi
 FROM bands b LEFT JOIN (SELECT risk_band, count(*) AS households FROM hc GROUP BY 1) n
   ON n.risk_band = b.band""")
 def q_risk_band_counts(spark, sf):
-    return V.risk_band_counts(_stored_scores(spark, sf))
+    return V.risk_band_counts(stored_scores(spark, sf))
 
 
-@register("churn_scores_valid", "SNK-7", churn_sql(SCORE, STORED) + """
-SELECT hc.* FROM hc WHERE EXISTS (SELECT 1 FROM households h WHERE h.hshd_num = hc.hshd_num)""")
+@register("churn_scores_valid", "SNK-7", churn_sql(SCORE, STORED) + f"""
+SELECT hc.* FROM hc WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = hc.hshd_num
+                                  AND c.c_mktsegment <> '{raw_files.MISSING_SEGMENT}')""")
 def q_churn_scores_valid(spark, sf):
-    from cartwise.sources import tables as S
-    return V.valid_scores(_stored_scores(spark, sf), S.households(spark, sf))
+    """The stored scores that outlive a reload with the load's households file, which lacks a segment."""
+    reloaded = raw_files.listed_households(S.households(spark, sf), S.read_table(spark, sf, "customer"))
+    return V.valid_scores(stored_scores(spark, sf), reloaded)
 
 
 def _metric_sql(select: str = "", *extra: str) -> str:
@@ -213,11 +238,24 @@ SELECT {O.round4('(SELECT avg(CASE WHEN (CASE WHEN score >= 0.5 THEN 1 ELSE 0 EN
        (SELECT top_drivers FROM drv) AS top_drivers"""
 
 
-@register("latest_metric", "SRT-7 SRT-9 ML-9 ML-10 SNK-4", _metric_sql())
+METRIC_RUNS = 3      # metric rows in the history from which the latest is read
+
+
+@register("latest_metric", "SRT-7 SRT-9 ML-9 ML-10 SNK-2 SNK-4", "SELECT *, 3 AS id, true AS stamped FROM ("
+          + _metric_sql() + ")")
 def q_latest_metric(spark, sf):
-    features = _features(spark, sf)
-    metric = V.heuristic_metric(C.heuristic_score(features), features, C.FEATURE_COLUMNS)
-    return V.latest(V.stamp(metric)).drop("created_at")
+    """The newest row of a metric table with a history: runs with longer holdouts wrote theirs
+    before, each a version of its own with the next id."""
+    root = scratch_dir(spark, "metrics")
+    for run in range(METRIC_RUNS, 0, -1):
+        features, _ = J.features_frame(spark, sf, holdout_days=C.HOLDOUT_DAYS * run)
+        if features is None:
+            raise ValueError("no activity: nothing to frame")
+        metric = V.heuristic_metric(C.heuristic_score(features), features, C.FEATURE_COLUMNS)
+        R.replace_result(metric, root, "churn_model_metric", id_order=["accuracy"])
+    last = V.latest(R.read_history(spark, root, "churn_model_metric"))
+    return last.select("accuracy", "roc_auc", "churn_rate", "top_drivers", F.col("id").cast("int").alias("id"),
+                       F.col("created_at").isNotNull().alias("stamped"))
 
 
 @register("churn_model", "ML-6 ML-9 SRT-9")
@@ -244,6 +282,5 @@ UNION ALL SELECT 'metric', 'top_drivers', NULL, top_drivers FROM met""",
     "met AS (" + METRIC_ROW + ")"))
 def q_churn_summary(spark, sf):
     features = _features(spark, sf)
-    scored = C.heuristic_score(features)
-    metric = V.stamp(V.heuristic_metric(scored, features, C.FEATURE_COLUMNS))
-    return V.churn_summary(C.scores_table(scored), metric)
+    metric = V.stamp(V.heuristic_metric(C.heuristic_score(features), features, C.FEATURE_COLUMNS))
+    return V.churn_summary(stored_scores(spark, sf), metric)

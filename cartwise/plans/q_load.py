@@ -14,6 +14,7 @@ from cartwise.functions import clean as C
 from cartwise.functions.text import join_list, split_list
 from cartwise.operators import baskets as B
 from cartwise.operators import integrity as I
+from cartwise.operators.numbering import with_line_id
 from cartwise.plans import basket_job as BJ
 from cartwise.plans import load as L
 from cartwise.plans.registry import register
@@ -24,8 +25,6 @@ from cartwise.sources import raw_files as R
 from cartwise.sources import tables as S
 from cartwise.streaming.incremental_load import finish, start_incremental_load, stream_report
 
-STREAM_FILES = 16         # transaction files in the fixture folder
-FILES_PER_BATCH = 4       # stream micro-batch bound: 4 files, read by 4 parallel tasks
 STREAM_TIMEOUT_S = 3600   # an availableNow run ends by itself; never wait forever
 _FIXTURES: dict[tuple[str, str], dict[str, str]] = {}
 
@@ -33,8 +32,7 @@ _FIXTURES: dict[tuple[str, str], dict[str, str]] = {}
 def raw_fixture(spark, sf: str) -> dict[str, str]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FIXTURES:
-        _FIXTURES[key] = R.render_raw_files(spark, sf, scratch_dir(spark, "raw"),
-                                            transaction_files=STREAM_FILES)
+        _FIXTURES[key] = R.render_raw_files(spark, sf, scratch_dir(spark, "raw"))
     return _FIXTURES[key]
 
 
@@ -101,7 +99,7 @@ def q_clean_transactions(spark, sf):
     return _tx_double(L.clean_transactions(flagged))
 
 
-@register("load_dataset", "SNK-1 SNK-2", O.with_views(FIX_DIMS, VALID) + f"SELECT {TX_COLS} FROM vt")
+@register("load_dataset", "SNK-1", O.with_views(FIX_DIMS, VALID) + f"SELECT {TX_COLS} FROM vt")
 def q_load_dataset(spark, sf):
     root = scratch_dir(spark, "load")
     L.load_dataset(spark, raw_fixture(spark, sf), root)
@@ -128,7 +126,7 @@ def q_stream_load_report(spark, sf):
     h, p = _fixture_dims(spark, sf)
     out = scratch_dir(spark, "stream")
     q = start_incremental_load(spark, paths["transactions"], h, p, f"{out}/data",
-                               f"{out}/checkpoint", max_files_per_trigger=FILES_PER_BATCH)
+                               f"{out}/checkpoint")
     finish(q, timeout_s=STREAM_TIMEOUT_S)
     return stream_report(spark, f"{out}/data")
 
@@ -221,9 +219,10 @@ def q_split_list(spark, sf):
                         F.array_join("p", "|").alias("rejoined"))
 
 
-@register("line_ids", "SNK-5", O.with_views() + """
-SELECT count(*) AS lines, count(*) AS distinct_ids FROM transactions""")
+@register("line_ids", "SNK-5", O.with_views() + f"""
+SELECT md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in L.LINE)},
+                     CAST(row_number() OVER (PARTITION BY {', '.join(L.LINE)}) AS VARCHAR))) AS line_id,
+       basket_num, product_num FROM transactions""")
 def q_line_ids(spark, sf):
-    from cartwise.plans.results import with_line_id
-    ided = with_line_id(S.transactions(spark, sf))
-    return ided.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("id").alias("distinct_ids"))
+    lines = with_line_id(S.transactions(spark, sf), L.LINE)
+    return lines.select("line_id", "basket_num", "product_num")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cartwise import oracle as O
 from cartwise.operators import pull as P
 from cartwise.plans import q_churn as QC
@@ -32,15 +34,16 @@ FROM transactions t JOIN products p ON p.product_num = t.product_num
 @register("household_pull", "SRT-1 FLT-1 JN-5 PRJ-4 SC-16",
           _pull_sql(f"WHERE t.hshd_num = {DEMO_HOUSEHOLD}"))
 def q_household_pull(spark, sf):
-    return P.household_pull(S.transactions(spark, sf), S.products(spark, sf), DEMO_HOUSEHOLD)
+    return P.household_pull(S.household_transactions(spark, sf, DEMO_HOUSEHOLD), S.products(spark, sf),
+                            DEMO_HOUSEHOLD)
 
 
 @register("household_pull_page", "SRT-2",
           _pull_sql(f"WHERE t.hshd_num = {DEMO_HOUSEHOLD}",
                     f"LIMIT {DEMO_PAGE_SIZE} OFFSET {(DEMO_PAGE - 1) * DEMO_PAGE_SIZE}"))
 def q_household_pull_page(spark, sf):
-    return P.household_pull_page(S.transactions(spark, sf), S.products(spark, sf),
-                                 DEMO_HOUSEHOLD, DEMO_PAGE, DEMO_PAGE_SIZE)
+    return P.household_pull_page(S.household_transactions(spark, sf, DEMO_HOUSEHOLD),
+                                 S.products(spark, sf), DEMO_HOUSEHOLD, DEMO_PAGE, DEMO_PAGE_SIZE)
 
 
 @register("data_pull_all", "SRT-3", _pull_sql(""))
@@ -64,8 +67,7 @@ SELECT CAST(r.hshd_num AS BIGINT) AS hshd_num,
        hc.churn_probability, hc.risk_band
 FROM req r LEFT JOIN hc ON hc.hshd_num = r.hshd_num""")
 def q_household_exists(spark, sf):
-    requested = spark.createDataFrame([(h,) for h in LOOKUP_HOUSEHOLDS], "hshd_num bigint")
-    return P.household_exists(S.households(spark, sf), QC._stored_scores(spark, sf), requested)
+    return P.household_exists(S.households(spark, sf), QC.stored_scores(spark, sf), LOOKUP_HOUSEHOLDS)
 
 
 @register("household_pull_risk", "JN-6", QC.churn_sql(QC.SCORE, QC.STORED) + f"""
@@ -74,5 +76,6 @@ FROM transactions t JOIN products p ON p.product_num = t.product_num
 LEFT JOIN hc ON hc.hshd_num = t.hshd_num
 WHERE t.hshd_num = {DEMO_HOUSEHOLD}""")
 def q_household_pull_risk(spark, sf):
-    return P.household_pull(S.transactions(spark, sf), S.products(spark, sf), DEMO_HOUSEHOLD,
-                            QC._stored_scores(spark, sf))
+    scores = QC.stored_scores(spark, sf).where(F.col("hshd_num") == DEMO_HOUSEHOLD)
+    return P.household_pull(S.household_transactions(spark, sf, DEMO_HOUSEHOLD), S.products(spark, sf),
+                            DEMO_HOUSEHOLD, scores)

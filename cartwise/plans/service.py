@@ -39,7 +39,7 @@ def _result(spark: SparkSession, results: str, name: str, schema,
     source = L.current_version(spark, warehouse) if warehouse else None
     try:
         return R.read_result(spark, results, name, source)
-    except Exception:  # noqa: BLE001 - no result written yet reads as empty
+    except FileNotFoundError:   # no result written yet reads as empty; other failures are raised
         return spark.createDataFrame([], schema).withColumn(
             "created_at", F.current_timestamp())
 
@@ -52,13 +52,18 @@ def dashboard(spark: SparkSession, warehouse: str) -> dict[str, DataFrame]:
 
 def household_pull(spark: SparkSession, warehouse: str, hshd_num: int, page: int = 1,
                    page_size: int = P.DEFAULT_PAGE_SIZE, results: str | None = None):
-    """None when the household does not exist (the reference answers 404)."""
+    """None when the household does not exist (the reference answers 404); a number that is not
+    positive is an error. The page and the total come from the load's page index."""
+    if int(hshd_num) < 1:
+        raise ValueError(f"household number must be positive, got {hshd_num}")
     t = L.read_loaded(spark, warehouse)
     if t["households"].where(F.col("hshd_num") == hshd_num).limit(1).count() == 0:
         return None
     p, s = P.clamp_page(page, page_size)
-    rows = P.household_pull_page(t["transactions"], t["products"], hshd_num, p, s)
-    total = t["transactions"].where(F.col("hshd_num") == hshd_num).count()
+    stored, index = L.read_pages(spark, warehouse)
+    lines = P.read_page(stored, index, hshd_num, p, s)
+    rows = P.household_pull(lines, t["products"], hshd_num)    # at most a page of lines
+    total = index.where(F.col("hshd_num") == hshd_num).agg(F.sum("_rows")).first()[0] or 0
     churn = None
     if results:
         scores = _result(spark, results, "household_churn", HOUSEHOLD_CHURN, warehouse)
@@ -71,11 +76,14 @@ def household_pull(spark: SparkSession, warehouse: str, hshd_num: int, page: int
 
 def basket_rules(spark: SparkSession, results: str, limit: int | None = None) -> DataFrame:
     rules = _result(spark, results, "basket_rules", BASKET_RULES)
-    return V.top_rules(rules.drop("created_at"), limit)
+    return V.top_rules(rules.drop("created_at", "id"), limit)
 
 
 def basket_models(spark: SparkSession, results: str) -> DataFrame:
-    m = _result(spark, results, "basket_model_metric", BASKET_MODEL_METRIC)
+    try:
+        m = R.read_history(spark, results, "basket_model_metric")
+    except FileNotFoundError:
+        m = spark.createDataFrame([], BASKET_MODEL_METRIC).withColumn("created_at", F.current_timestamp())
     return m.orderBy(F.desc("created_at"))
 
 

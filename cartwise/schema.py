@@ -66,7 +66,7 @@ CHURN_MODEL_METRIC = T.StructType([
     T.StructField("top_drivers", T.ArrayType(T.StringType()), False),
 ])
 
-# Raw CSV headers of the three input files, in file order.
+# Raw CSV headers of the three input files, in file order.
 RAW_HOUSEHOLD_COLUMNS = ["HSHD_NUM", "L", "AGE_RANGE", "MARITAL", "INCOME_RANGE",
                          "HOMEOWNER", "HSHD_COMPOSITION", "HH_SIZE", "CHILDREN"]
 RAW_PRODUCT_COLUMNS = ["PRODUCT_NUM", "DEPARTMENT", "COMMODITY", "BRAND_TY",

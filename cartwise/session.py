@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -96,7 +97,7 @@ def scale_settings(input_bytes: int, executor_cores: int, executors: int,
     }
 
 
-def stage(df, purpose: str):
+def stage(df, purpose: str, schema=None):
     """Cut the lineage of a large intermediate by writing it as Parquet to a fresh
     folder under the shared root and reading it back.
 
@@ -104,9 +105,45 @@ def stage(df, purpose: str):
     itemsets) this is smaller than an RDD checkpoint (columnar, compressed) and
     is read back with column pruning; small reused frames use ``checkpoint()``.
     A lost executor only loses shuffle files: the staged copy is on shared
-    storage and later stages restart from it.
+    storage and later stages restart from it. ``schema`` reads it back with other types of
+    the same layout (vectors).
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+def folder_names(spark, path: str) -> list[str]:
+    """Names of the folders directly under ``path``, on whatever file system it is."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(jpath) if f.isDirectory())
+
+
+def delete_folder(spark, path: str) -> None:
+    """Deletes a folder that a job of this library wrote and no reader needs any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def retire_versions(spark, root: str, published: list[str], keep: int, grace_s: float) -> list[str]:
+    """Deletes version folders ``v=<milliseconds>-<tag>`` under ``root``; returns their names.
+
+    The newest ``keep`` published versions stay, and so does every version younger than
+    ``grace_s`` seconds, published or not: a reader may have resolved it, a writer may be
+    at work in it. What a failed load left behind goes once it is older than that.
+    """
+    now = time.time() * 1000
+    kept = set(sorted(published)[-keep:])
+    gone = []
+    for folder in folder_names(spark, root):
+        version = folder.removeprefix("v=")
+        if folder == version or version in kept or not version[:15].isdigit():
+            continue
+        if now - int(version[:15]) >= grace_s * 1000:
+            delete_folder(spark, f"{root}/{folder}")
+            gone.append(version)
+    return gone

@@ -24,6 +24,8 @@ from cartwise.sources import tables as S
 # Rows of the two dimensions that the load fixture's files do not carry.
 MISSING_SEGMENT = "AUTOMOBILE"
 MISSING_PART_TYPE = "PROMO"
+CSV_READ = {"header": "true", "inferSchema": "false", "mode": "FAILFAST", "enforceSchema": "false",
+            "escape": '"', "columnPruning": "false"}
 CSV_WRITE = {"header": "true", "ignoreLeadingWhiteSpace": "false",
              "ignoreTrailingWhiteSpace": "false"}
 
@@ -112,8 +114,7 @@ def transactions_text(tx: DataFrame) -> DataFrame:
         _num_text(F.col("year"), k + 2).alias("YEAR"))
 
 
-def render_raw_files(spark: SparkSession, sf_dir: str, out_dir: str,
-                     transaction_files: int | None = None) -> dict[str, str]:
+def render_raw_files(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
     """Write households/products/transactions CSV folders under ``out_dir``, and the whole
     dimensions as all_households/all_products."""
     households, products = S.households(spark, sf_dir), S.products(spark, sf_dir)
@@ -126,8 +127,6 @@ def render_raw_files(spark: SparkSession, sf_dir: str, out_dir: str,
     for name, text in texts.items():
         text.write.options(**CSV_WRITE).mode("overwrite").csv(paths[name])
     tx = transactions_text(S.transactions(spark, sf_dir))
-    if transaction_files:
-        tx = tx.repartition(transaction_files)
     tx.write.options(**CSV_WRITE).mode("overwrite").csv(paths["transactions"])
     return paths
 
@@ -137,11 +136,11 @@ def read_raw_csv(spark: SparkSession, path: str, expected: list[str]) -> DataFra
 
     ``enforceSchema=false`` makes Spark check every file's header against the
     columns, so a file with reordered columns fails instead of being mis-read. A quote
-    inside a quoted field is doubled; a backslash is a character like any other.
+    inside a quoted field is doubled; a backslash is a character like any other. Every
+    record's fields are counted, also when a query reads few columns or none: the scan
+    prunes columns after parsing whole records, so a short or long line always fails.
     """
-    df = (spark.read.option("header", "true").option("inferSchema", "false")
-          .option("mode", "FAILFAST").option("enforceSchema", "false")
-          .option("escape", '"').csv(path))
+    df = spark.read.options(**CSV_READ).csv(path)
     renamed = df.toDF(*[c.strip() for c in df.columns])
     missing = [c for c in expected if c not in renamed.columns]
     if missing:

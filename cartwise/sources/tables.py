@@ -44,6 +44,9 @@ LOYAL_SEGMENTS = ["HOUSEHOLD", "BUILDING"]
 PRIVATE_MAX_SIZE = 25      # p_size <= 25 -> PRIVATE brand, else NATIONAL
 ORGANIC_SIZE_STEP = 5      # p_size % 5 = 0 -> organic
 
+# Basket numbers that a point lookup passes to the scan of the lines as a filter.
+FILTER_KEYS = 10_000
+
 ORDER_SIDE = {"hshd_num", "purchase_date", "week_num", "year", "store_region"}
 ALL_TRANSACTION_COLUMNS = [f.name for f in TRANSACTIONS.fields]
 
@@ -96,19 +99,40 @@ def household_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return (c.join(n, c.c_nationkey == n.n_nationkey)
-             .join(r, F.col("n_regionkey") == r.r_regionkey)
+    return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
+             .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
              .select(F.col("c_custkey").alias("hshd_num"), F.col("r_name").alias("store_region")))
 
 
-def transactions(spark: SparkSession, sf_dir: str,
-                 columns: Iterable[str] | None = None) -> DataFrame:
-    """The fact, one row per purchased line, restricted to ``columns``."""
+def household_baskets(spark: SparkSession, sf_dir: str, hshd_num: int) -> list[int] | None:
+    """Basket numbers of one household (a pushed-down read of ``orders``), or None when they
+    are more than a filter can carry."""
+    o = read_table(spark, sf_dir, "orders").where(F.col("o_custkey") == F.lit(hshd_num))
+    keys = [r[0] for r in o.select("o_orderkey").distinct().limit(FILTER_KEYS + 1).collect()]
+    return keys if len(keys) <= FILTER_KEYS else None
+
+
+def household_transactions(spark: SparkSession, sf_dir: str, hshd_num: int,
+                           columns: Iterable[str] | None = None) -> DataFrame:
+    """One household's lines. The line-level table has no household column, so its baskets
+    are looked up first and their numbers filter the scan of the lines: only that
+    household's lines reach the joins. A household of over ``FILTER_KEYS`` baskets is
+    filtered through the join with its orders instead (same rows)."""
+    keys = household_baskets(spark, sf_dir, hshd_num)
+    lines = transactions(spark, sf_dir, columns, keys)
+    return lines.where(F.col("hshd_num") == F.lit(hshd_num))
+
+
+def transactions(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
+                 baskets: list[int] | None = None) -> DataFrame:
+    """The fact, one row per purchased line, restricted to ``columns`` (and to ``baskets``)."""
     cols = list(columns) if columns is not None else ALL_TRANSACTION_COLUMNS
     unknown = set(cols) - set(ALL_TRANSACTION_COLUMNS)
     if unknown:
         raise ValueError(f"unknown transaction columns: {sorted(unknown)}")
     li = read_table(spark, sf_dir, "lineitem")
+    if baskets is not None:
+        li = li.where(F.col("l_orderkey").isin(baskets))
     fact = li.select(
         F.col("l_orderkey").alias("basket_num"),
         F.col("l_partkey").alias("product_num"),
@@ -154,5 +178,5 @@ def basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("basket_num"),
         F.col("o_custkey").alias("hshd_num"),
         F.col("o_orderdate").cast("date").alias("purchase_date"))
-    return per_basket.join(o, "basket_num").select("basket_num", "hshd_num", "purchase_date",
+    return per_basket.join(o, "basket_num", "left").select("basket_num", "hshd_num", "purchase_date",
                                                    "spend", "lines")

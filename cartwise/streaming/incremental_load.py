@@ -1,7 +1,7 @@
 """Incremental transaction load with Structured Streaming.
 
 Transaction files are picked up as they arrive in a folder (file source,
-``maxFilesPerTrigger`` bounds a micro-batch), joined to the static dimension
+``maxBytesPerTrigger`` bounds a micro-batch), joined to the static dimension
 keys (stream-static left joins), and each micro-batch is written by
 ``foreachBatch``: the valid lines into ``lines/b=<id>`` and the
 batch's loaded / skipped counts into ``report/b=<id>``. Both writes
@@ -19,21 +19,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cartwise.plans.load import clean_transactions, flag_transactions
 from cartwise.schema import RAW_TRANSACTION_COLUMNS
+from cartwise.session import output_partitions
+from cartwise.sources.raw_files import CSV_READ
 
 
 def file_header(spark: SparkSession, source_dir: str) -> list[str]:
     """Header names exactly as written in the files (padding kept)."""
-    return spark.read.option("header", "true").option("inferSchema", "false") \
-        .option("escape", '"').csv(source_dir).columns
+    return spark.read.options(**CSV_READ).csv(source_dir).columns
+
+
+def _scan_bytes(spark: SparkSession) -> int:
+    """spark.sql.files.maxPartitionBytes in bytes."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
+    number, unit = size.rstrip("bkmgt"), size[len(size.rstrip("bkmgt")):].removesuffix("b")
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
 def transaction_stream(spark: SparkSession, source_dir: str, header: list[str],
-                       max_files_per_trigger: int = 1) -> DataFrame:
+                       max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """The files of a folder as a stream; a micro-batch takes files of ``max_bytes_per_trigger``
+    together (at least one file), by default what one task per shuffle partition reads."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    stream = (spark.readStream.schema(schema)
-              .option("header", "true").option("enforceSchema", "false")
-              .option("mode", "FAILFAST").option("escape", '"').option("maxFilesPerTrigger", max_files_per_trigger)
-              .csv(source_dir))
+    most = max_bytes_per_trigger or output_partitions(spark) * _scan_bytes(spark)
+    stream = (spark.readStream.schema(schema).options(**CSV_READ)
+              .option("maxBytesPerTrigger", str(most)).csv(source_dir))
     renamed = stream.toDF(*[c.strip() for c in header])
     missing = [c for c in RAW_TRANSACTION_COLUMNS if c not in renamed.columns]
     if missing:
@@ -43,7 +52,7 @@ def transaction_stream(spark: SparkSession, source_dir: str, header: list[str],
 
 def start_incremental_load(spark: SparkSession, source_dir: str, households: DataFrame,
                            products: DataFrame, out_root: str, checkpoint: str,
-                           max_files_per_trigger: int = 1,
+                           max_bytes_per_trigger: int | None = None,
                            available_now: bool = True) -> StreamingQuery:
     header = file_header(spark, source_dir)
     # The static sides are read by every micro-batch: keep the key sets cached
@@ -51,7 +60,7 @@ def start_incremental_load(spark: SparkSession, source_dir: str, households: Dat
     hk = households.select("hshd_num").distinct().persist()
     pk = products.select("product_num").distinct().persist()
     flagged = flag_transactions(transaction_stream(spark, source_dir, header,
-                                                   max_files_per_trigger), hk, pk)
+                                                   max_bytes_per_trigger), hk, pk)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         obs = Observation(f"load-batch-{batch_id}")

@@ -99,3 +99,37 @@ def test_rank_rules_orders_before_rounding(spark):
          (["Y"], ["X"], 0.5, 0.9, 0.99)], B.RULES_SCHEMA)
     got = [r["lift"] for r in B.rank_rules(rules).collect()]
     assert got == [4.2, 2.1, 1.5]
+
+
+def test_rare_items_make_no_pairs(spark):
+    """A basket of 6,000 items that no other basket holds is pruned before pairing; rules stay."""
+    rows = [(0, [f"rare{i:05d}" for i in range(6000)] + ["MILK", "BREAD"])]
+    rows += [(i, ["BREAD", "MILK"] if i % 2 else ["BREAD", "EGGS"]) for i in range(1, 2001)]
+    itemsets = spark.createDataFrame([(b, sorted(x)) for b, x in rows], "basket_num long, items array<string>")
+    singles = itemsets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+    kept = B.frequent_baskets(itemsets, singles, B.min_count(2001))
+    assert kept.where("basket_num = 0").first()["items"] == ["BREAD", "MILK"]
+    assert B.item_pairs(kept).count() == 2001
+    got = {(r["antecedent"], r["consequent"]) for r in B.pair_rules(itemsets, 2001).collect()}
+    assert got == {("BREAD", "EGGS"), ("EGGS", "BREAD"), ("BREAD", "MILK"), ("MILK", "BREAD")}
+
+
+def test_sparse_features_need_no_vocabulary_on_the_driver(spark):
+    """Vectors equal those of a vectorizer that is given the vocabulary."""
+    from pyspark.ml.feature import CountVectorizerModel
+    from cartwise.session import stage
+    baskets = [(1, ["A", "B", "T"]), (2, ["T"]), (3, ["B", "C"]), (4, ["A"]), (5, ["C", "T", "Z"])]
+    itemsets = spark.createDataFrame(baskets, "basket_num long, items array<string>")
+    rows = B.copurchase_rows(itemsets, "T")
+    pairs = itemsets.select(F.explode("items").alias("item")).where("item <> 'T'")
+    index = B.vocabulary_index(pairs)
+    data = stage(B.sparse_features(rows, index, index.count()), "test-features", J.FEATURE_ROWS)
+    vec = CountVectorizerModel.from_vocabulary(["A", "B", "C", "Z"], inputCol="other_items", outputCol="f", binary=True)
+    want = {r["basket_num"]: (r["label"], r["f"]) for r in vec.transform(rows).collect()}
+    assert {r["basket_num"]: (r["label"], r["features"]) for r in data.collect()} == want
+
+
+def test_basket_summary_counts_lines_once(spark):
+    lines = spark.createDataFrame([(1, "A"), (1, "A"), (1, None), (2, "B"), (3, None)], "basket_num long, commodity string")
+    assert tuple(J.basket_summary(lines).first()) == (5, 2, 2)
+    assert tuple(J.basket_summary(lines.limit(0)).first()) == (0, 0, 0)

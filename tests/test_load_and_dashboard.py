@@ -231,3 +231,99 @@ def test_constraint_report_sees_all_rows_and_real_orphans(spark, tmp_path):
         ("households", "pk_duplicate"): 1, ("households", "int_range"): 1, ("products", "pk_duplicate"): 1,
         ("transactions", "not_null"): 3, ("transactions", "fk_household"): 3, ("transactions", "fk_product"): 1}
     assert {S.transactions(spark, sf, c).count() for c in (["spend"], ["spend", "hshd_num"], ["store_region"], None)} == {5}
+
+
+@pytest.mark.parametrize("line", ["5,10,17-AUG-18,100,1.00\n", "5,10,17-AUG-18,100,1.00,1,EAST,32,2018,extra\n"])
+def test_field_counts_are_checked_when_few_columns_are_read(spark, tmp_path, line):
+    """A short or long line fails a count and a two-column read, not only a read of all columns."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+    from cartwise.functions import clean as C
+    from cartwise.schema import RAW_TRANSACTION_COLUMNS
+    from cartwise.sources.raw_files import read_raw_csv
+    good = read_raw_csv(spark, _write(tmp_path, "good", TRANSACTIONS), RAW_TRANSACTION_COLUMNS)
+    assert good.agg(F.count(F.lit(1))).first()[0] == 4
+    bad = read_raw_csv(spark, _write(tmp_path, "bad", TRANSACTIONS + line), RAW_TRANSACTION_COLUMNS)
+    for read in (bad.agg(F.count(F.lit(1))), bad.select(C.parse_money("SPEND"))):
+        with pytest.raises((PySparkException, Py4JJavaError), match="FAILED_READ_FILE|Malformed|MALFORMED"):
+            read.collect()
+
+
+def test_one_copy_of_the_fact_and_old_versions_retire(spark, tmp_path):
+    import os
+    import time
+    from cartwise.session import retire_versions
+    paths = {n: _write(tmp_path, n, t) for n, t in
+             [("households", HOUSEHOLDS), ("products", PRODUCTS), ("transactions", TRANSACTIONS)]}
+    wh = tmp_path / "wh"
+    for _ in range(3):
+        L.load_dataset(spark, paths, str(wh), partitions=2, keep=2, grace_s=3600)
+    versions = sorted(p.name for p in wh.glob("v=*"))
+    assert len(versions) == 3       # within the grace time nothing goes
+    assert {p.name for p in wh.glob("v=*/*") if p.is_dir()} == {"households", "products", "transactions", "page_index"}
+    L.load_dataset(spark, paths, str(wh), partitions=2, keep=2, grace_s=0)
+    left = sorted(p.name for p in wh.glob("v=*"))
+    assert len(left) == 2 and left[0] == versions[-1]
+    assert L.read_loaded(spark, str(wh))["transactions"].count() == 3
+    # What a load that failed left behind goes once it is old; a young one stays.
+    for age in (7200, 10):
+        os.makedirs(wh / f"v={int((time.time() - age) * 1000):015d}-dead" / "households")
+    published = [v.removeprefix("v=") for v in left]
+    assert [v[-4:] for v in retire_versions(spark, str(wh), published, 2, 3600)] == ["dead"]
+    assert len(list(wh.glob("v=*"))) == 3
+
+
+def test_loaded_line_ids_and_pages(spark, tmp_path):
+    """The same lines get the same ids in every load; pages come from the index."""
+    from cartwise.plans import service as S
+    many = TRANSACTIONS + "".join(f"{50 + i // 7},10,1{i % 9}-AUG-18,100,{i % 13}.00,1,EAST,32,2018\n" for i in range(400))
+    paths = {n: _write(tmp_path, n, t) for n, t in [("households", HOUSEHOLDS), ("products", PRODUCTS), ("transactions", many)]}
+    wh = str(tmp_path / "wh")
+    ids = []
+    for partitions in (1, 5):
+        L.load_dataset(spark, paths, wh, partitions=partitions)
+        ids.append(sorted(r[0] for r in L.read_loaded(spark, wh)["transactions"].select("line_id").collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == len(ids[0]) == 403
+    t = L.read_loaded(spark, wh)
+    from cartwise.operators import pull as P
+    whole = [tuple(r) for r in P.household_pull(t["transactions"], t["products"], 10).collect()]
+    pages = []
+    for page in range(1, 10):
+        got = S.household_pull(spark, wh, 10, page, 50)
+        assert (got["total"], got["pages"]) == (len(whole), -(-len(whole) // 50))
+        pages += [tuple(r) for r in got["rows"].collect()]
+    assert pages == whole
+    with pytest.raises(ValueError, match="positive"):
+        S.household_pull(spark, wh, 0)
+
+
+def test_results_keep_ids_and_history(spark, tmp_path):
+    from cartwise.operators import serving as V
+    from cartwise.plans import results as R
+    root = str(tmp_path / "res")
+    with pytest.raises(FileNotFoundError):
+        R.read_result(spark, root, "churn_model_metric")
+    for run in range(3):
+        rows = spark.createDataFrame([(run + i / 10,) for i in range(2)], "accuracy double")
+        assert R.replace_result(rows, root, "churn_model_metric", id_order=["accuracy"]) == 2
+    assert [(r["id"], r["accuracy"]) for r in R.read_result(spark, root, "churn_model_metric").orderBy("id").collect()] == [(5, 2.0), (6, 2.1)]
+    history = R.read_history(spark, root, "churn_model_metric")
+    assert sorted(r["id"] for r in history.collect()) == [1, 2, 3, 4, 5, 6] and history.where("created_at is null").count() == 0
+    assert V.latest(history).first()["id"] == 6
+
+
+def test_failures_are_not_served_as_empty(spark, tmp_path):
+    """No result yet reads as empty; a result that cannot be read is an error."""
+    from cartwise.plans import results as R
+    from cartwise.plans import service as S
+    root = tmp_path / "res"
+    assert S.basket_models(spark, str(root)).count() == 0
+    rows = spark.createDataFrame([(["A"], ["B"], 0.1, 0.2, 1.5)],
+                                 "antecedents array<string>, consequents array<string>, support double, confidence double, lift double")
+    R.replace_result(rows, str(root), "basket_rules")
+    assert S.basket_rules(spark, str(root)).count() == 1
+    for part in root.glob("basket_rules/v=*/*.parquet"):
+        part.write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        S.basket_rules(spark, str(root)).count()
