@@ -10,27 +10,37 @@ their whole sets. Every filter is a bound, so no link is lost.
 
 The order is the count of a member's cell in a fixed-size count sketch over all documents,
 then its hash. Any order gives the same links; this one keeps common passages out of
-the prefixes, so a hot passage doesn't bring its documents together.
+the prefixes, so a hot passage doesn't bring its documents together. (The sketch tells
+rare from common the less finely the more shingles there are for each of its cells.)
+
+Components need far fewer links than there are: first classes meet hubs, a few pairs each,
+turn by turn, and only pairs of different components are formed after that.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import NO_ID, texts
+from cartwise.llm.common import NO_ID, small, texts
 from cartwise.session import stage
 
-#: Cells of the count sketch: its size is the same for any input (8 MB).
-SKETCH_BITS = 21
+#: Cells of the count sketch, the same number for any input: 32 MB of counts in a task, 16 MB
+#: of their logarithms on the driver and in tasks.
+SKETCH_BITS = 24
 SLICES = 64
 BITMAP_WORDS = 8
-#: Turns in which classes meet hubs, and drawings of hubs in each. They set how many pairs
-#: are left for the exact turn after them, never the result.
-HUB_TURNS, HUB_KINDS = 2, 4
+#: Turns in which classes meet hubs go on while a turn joins more than this share of the
+#: classes. It sets how many pairs are left for the exact turn after them, never the result.
+HUB_SHARE = 0.02
+#: Groups whose prefix a task remembers to have given out.
+GIVEN = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 S33, S29 = np.uint64(33), np.uint64(29)
 
@@ -70,41 +80,46 @@ def _cells(s: np.ndarray) -> np.ndarray:
 
 
 def order_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many (document, shingle) fall into each cell, over all documents."""
+    """How many (document, shingle) fall into each cell, over all documents, as an order: the
+    counts' logarithms in 255 steps (counts of a task go up to 65,535)."""
     width = (1 << SKETCH_BITS) // SLICES
 
     def count(batches):
-        words, total = _Words(), np.zeros(1 << SKETCH_BITS, np.int32)
+        words, total = _Words(), np.zeros(1 << SKETCH_BITS, np.uint16)
         for b in batches:
-            for t in b["text"]:
-                np.add.at(total, _cells(shingle_set(t, n, words)), 1)
+            for part in range(0, len(b), 500):
+                found = [_cells(shingle_set(t, n, words)) for t in b["text"].iloc[part:part + 500]]
+                at, c = np.unique(np.concatenate(found), return_counts=True)
+                total[at] = np.minimum(total[at].astype(np.int64) + c, 65_535)
         if total.any():
             yield pd.DataFrame({"slice": range(SLICES), "counts": [
-                total[i * width:(i + 1) * width].tobytes() for i in range(SLICES)]})
+                zlib.compress(total[i * width:(i + 1) * width].tobytes(), 1) for i in range(SLICES)]})
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for s, c in zip(b["slice"], b["counts"]):
-                c = np.frombuffer(c, np.int32).astype(np.int64)
+                c = np.frombuffer(zlib.decompress(c), np.uint16).astype(np.int64)
                 sums[s] = sums[s] + c if s in sums else c
         for s, c in sums.items():
-            yield pd.DataFrame({"slice": [s], "counts": [np.minimum(c, 2**31 - 1).astype(np.int32).tobytes()]})
+            steps = np.minimum(255, np.ceil(8 * np.log2(c + 1.0))).astype(np.uint8)
+            yield pd.DataFrame({"slice": [s], "counts": [steps.tobytes()]})
 
     per_task = docs.select("text").mapInPandas(count, "slice int, counts binary")
-    got = per_task.repartition(SLICES // 4, "slice").mapInPandas(merge, per_task.schema).collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int32)
+    got = per_task.repartition(SLICES, "slice").mapInPandas(merge, per_task.schema).collect()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in got:
-        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int32)
+        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
 def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row: its set's size and identity, its group key, prefix and bitmap."""
+    """Per row: its set's size and identity, its group (a hash of prefix and size) and bitmap. The
+    prefix comes with the first row of a group that a task meets, so copies carry it once a task."""
     sketch = docs.sparkSession.sparkContext.broadcast(order_sketch(docs, n))
 
     def describe(batches):
-        words, counts = _Words(), sketch.value
+        words, counts, given = _Words(), sketch.value, set()
         for b in batches:
             rows = []
             for i, t, h in zip(b["_id"], b["text"], b["_th"]):
@@ -115,25 +130,41 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 np.bitwise_xor.at(bits, (m >> np.uint64(58)).astype(np.int64) % BITMAP_WORDS,
                                   np.uint64(1) << (m & np.uint64(63)))
                 ranked = s[np.lexsort((s, counts[_cells(s)]))][:k - -(-percent * k // 100) + 1] if k else s
+                g = xxhash.xxh64_intdigest(ranked.tobytes(), k) - (1 << 63)
+                first = g not in given
+                if first and k:
+                    given.add(g)
+                    if len(given) > GIVEN:
+                        given.clear()
                 rows.append((i, h, k, int(m.sum(dtype=np.uint64).view(np.int64)),
                              int(np.bitwise_xor.reduce(_mix(m)).view(np.int64)) if k else 0,
-                             xxhash.xxh64_intdigest(ranked.tobytes()) - (1 << 63),
-                             ranked.view(np.int64), bits.view(np.int64)))
+                             g, ranked.view(np.int64) if first and k else None, bits.view(np.int64)))
             yield pd.DataFrame(rows, columns=["_id", "_th", "n", "s1", "s2", "g", "prefix", "bits"])
 
     return docs.select("_id", "_th", "text").mapInPandas(
         describe, "_id long, _th long, n int, s1 long, s2 long, g long, prefix array<long>, bits array<long>")
 
 
+def _live_postings(rows: DataFrame) -> DataFrame:
+    """(member, g, n, pos): the prefix members that two groups or more hold, one row per group and
+    member. One exchange by member; the sorted rows are compared with their neighbours only, so a
+    member that very many groups hold is never gathered."""
+    postings = rows.filter("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "member"))
+    by = Window.partitionBy("member").orderBy("g")
+    once = postings.withColumn("last", F.lag("g").over(by)).filter("last IS NULL OR last <> g").drop("last")
+    return (once.withColumns({"before": F.lag("g").over(by), "after": F.lead("g").over(by)})
+            .filter("before IS NOT NULL OR after IS NOT NULL").select("member", "g", "n", "pos"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, set): the whole sets of the wanted classes (c, _id, _th)."""
+    """(c, set): the whole sets of the wanted classes (c, _id, _th), a stored frame."""
     def pack(batches):
         words = _Words()
         for b in batches:
             yield pd.DataFrame({"c": b["c"], "set": [shingle_set(t, n, words).tobytes() for t in b["text"]]})
 
-    return docs.join(wanted, ["_id", "_th"]).dropDuplicates(["c"]).select("c", "text").mapInPandas(
-        pack, "c long, set binary")
+    found = docs.join(small(wanted), ["_id", "_th"]).select("c", "text").mapInPandas(pack, "c long, set binary")
+    return found.dropDuplicates(["c"])  # of repeated rows one
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,65 +245,78 @@ def _bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "sizea", "sizeb").distinct())
 
 
-def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+def _fits(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """The size and position filters for groups that share a member at these places."""
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & (F.least(na - pa, nb - pb) >= _limit(na, nb, percent)))
+
+
+def _mixed(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The postings with their groups' roots, of members that several roots hold."""
+    posted = live.join(nodes.select("g", "root").distinct(), "g")
+    mixed = posted.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    return posted.join(mixed.select("member"), "member")
+
+
+def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of classes to try first, a few for each class: a class with the hub of its
     group, and a group's hub with the hub of each prefix member. Only different roots."""
-    hubs = nodes.groupBy("g", "n").agg(
-        F.min_by(F.struct("c", "root"), F.xxhash64("c", F.lit(turn))).alias("hub"))
-    inside = nodes.join(hubs, ["g", "n"]).select("c", "root", "hub")
-    posted = live.select("member", "g", "n").join(hubs.select("g", "n", "hub.*"), ["g", "n"])
-    # Members of one kind rank the classes alike, so groups that share many members meet few hubs.
-    kind = F.pmod(F.col("member"), F.lit(HUB_KINDS))
-    top = posted.groupBy("member").agg(
-        F.min_by(F.struct("c", "root"), F.xxhash64("c", kind, F.lit(turn))).alias("hub"))
-    across = posted.join(top, "member").select("c", "root", "hub")
-    return (inside.union(across).filter(F.col("root") != F.col("hub.root"))
-            .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct())
+    hubs = nodes.groupBy("g").agg(F.min_by(F.struct("c", "root"), F.xxhash64("c", F.lit(turn))).alias("hub"))
+    inside = (nodes.join(hubs, "g").filter(F.col("root") != F.col("hub.root"))
+              .select("c", F.col("hub.c").alias("other")))
+    posted = _mixed(live, nodes).select("member", "g", "n", "pos").distinct().join(hubs, "g")
+    posted = stage(posted.select("member", "n", "pos", "hub.c", "hub.root"), "op5-hubs")
+    top = posted.groupBy("member").agg(F.min_by(F.struct("n", "pos", "c", "root"), F.xxhash64("c", F.lit(turn))).alias("top"))
+    across = (posted.join(top, "member").filter((F.col("root") != F.col("top.root")) & _fits(
+        F.col("n"), F.col("pos"), F.col("top.n"), F.col("top.pos"), percent)).select("c", F.col("top.c").alias("other")))
+    return inside.union(across).select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
 
 
 def _group_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes that the prefix, size and position filters allow."""
     x, y = (live.select("member", F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
             for s in "ab")
-    groups = (x.join(y, "member")
-              .filter((F.struct("na", "ga") < F.struct("nb", "gb"))
-                      & (100 * F.col("na") >= percent * F.col("nb"))
-                      & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-                         >= _limit(F.col("na"), F.col("nb"), percent)))
-              .select("ga", "na", "gb", "nb").distinct())
+    groups = (x.join(y, "member").filter((F.col("ga") < F.col("gb")) & _fits(
+        F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)).select("ga", "gb").distinct())
     # Expand to classes; a group also meets itself.
-    side = lambda s: nodes.select(F.col("g").alias(f"g{s}"), F.col("n").alias(f"n{s}"),
-                                  F.col("c").alias(s))
-    across = groups.join(side("a"), ["ga", "na"]).join(side("b"), ["gb", "nb"]).select("a", "b")
-    own = nodes.join(nodes.groupBy("g", "n").count().filter("count > 1").select("g", "n"), ["g", "n"])
-    half = lambda s: own.select("g", "n", F.col("c").alias(s))
-    within = half("a").join(half("b"), ["g", "n"]).filter("a < b").select("a", "b")
-    return across.union(within)
+    side = lambda s: nodes.select(F.col("g").alias(f"g{s}"), F.col("c").alias(s))
+    across = groups.join(side("a"), "ga").join(side("b"), "gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    own = nodes.join(nodes.groupBy("g").count().filter("count > 1").select("g"), "g")
+    half = lambda s: own.select("g", F.col("c").alias(s))
+    return across.union(half("a").join(half("b"), "g").filter("a < b").select("a", "b"))
 
 
 def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes of different roots that the prefix and position filters allow.
-
-    Roots are paired on their shared members first, so no pair inside a root is formed."""
-    grouped = nodes.select("g", "n", "root").distinct()
-    posted = live.join(grouped, ["g", "n"])
-    mixed = posted.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    posted = stage(posted.join(mixed.select("member"), "member"), "op5-mixed")
-    roots = posted.select("member", "root").distinct()
-    meet = (roots.select("member", F.col("root").alias("ra"))
-            .join(roots.select("member", F.col("root").alias("rb")), "member").filter("ra < rb"))
+    """Every pair of classes of different roots that the prefix, size and position filters allow.
+
+    Roots are paired first: for each member and size band a root is summed up by its range of sizes
+    and its longest rest behind the member, so no pair inside a root is formed and a pair of roots
+    is dropped before its groups meet. Sizes that the limit allows lie in the same band or in neighbours."""
+    posted = stage(_mixed(live, nodes), "op5-mixed")
+    width = math.log(100 / percent * 1.0001)
+    band = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int")
+    roots = stage(posted.groupBy("member", "root", band.alias("band")).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest")), "op5-roots-by-member")
+    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest")])
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
+    meet = (of("a", F.col("band")).join(of("b", near), ["member", "band"])
+            .filter((F.col("roota") != F.col("rootb")) & (F.col("loa") <= F.col("hib"))
+                    & (100 * F.col("hia") >= percent * F.col("lob")) & (100 * F.col("hib") >= percent * F.col("loa"))
+                    & (F.least("resta", "restb") >= _limit(F.col("loa"), F.col("lob"), percent)))
+            .select("member", F.least("roota", "rootb").alias("ra"), F.greatest("roota", "rootb").alias("rb")).distinct())
     side = lambda s: posted.select("member", F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
                                    F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
     groups = (meet.join(side("a"), ["member", "ra"]).join(side("b"), ["member", "rb"])
-              .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                      & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-                         >= _limit(F.col("na"), F.col("nb"), percent)))
-              .select("ra", "ga", "na", "rb", "gb", "nb").distinct())
-    # Expand the groups' parts to their classes.
-    end = lambda s: nodes.select(F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
-                                 F.col("n").alias(f"n{s}"), F.col("c").alias(s))
-    return (groups.join(end("a"), ["ra", "ga", "na"]).join(end("b"), ["rb", "gb", "nb"])
-            .select("a", "b").distinct())
+              .filter(_fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
+              .select("ra", "ga", "rb", "gb").distinct())
+    # Expand the groups' parts to their classes; a group of several roots also meets itself.
+    end = lambda s: nodes.select(F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"), F.col("c").alias(s))
+    across = groups.join(end("a"), ["ra", "ga"]).join(end("b"), ["rb", "gb"]).select("a", "b")
+    split = nodes.join(nodes.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                       .filter("lo < hi").select("g"), "g")
+    half = lambda s: split.select("g", F.col("c").alias(s), F.col("root").alias(f"r{s}"))
+    within = half("a").join(half("b"), "g").filter("ra < rb").select("a", "b")
+    return (across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
@@ -292,38 +336,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
     rows = stage(_classes(d, words, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "op5-rows")
     classes = stage(rows.filter("n > 0").groupBy("c", "n", "g").agg(
         F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("size")), "op5-classes")
-    reps = classes.select("n", "g", "c", "size", "rep._id", "rep._th")
-    full = stage(reps.join(rows.select("_id", "_th", "prefix", "bits").distinct(), ["_id", "_th"]),
-                 "op5-sets-by-class")
-
-    # Prefix members that only one class holds bring nothing together.
-    member = (full.groupBy("g", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("classes"))
-              .select("g", "n", "classes", F.posexplode("prefix").alias("pos", "member")))
-    member = stage(member, "op5-members")
-    shared = member.groupBy("member").agg(F.sum("classes").alias("k")).filter("k > 1").select("member")
-    live = stage(member.join(shared, "member").select("member", "g", "n", "pos"), "op5-live")
-    few = stage(full.join(live.select("g", "n").distinct(), ["g", "n"])
-                .select("g", "n", "c", "size", "bits", "_id", "_th"), "op5-few")
-    sets = stage(_sets(d, few.select("c", "_id", "_th"), words), "op5-sets")
-
-    roots = few.select("c", F.col("c").alias("root"))
-    turns = 0 if count_links else HUB_TURNS
-    for turn in range(turns + 1):
+    live = stage(_live_postings(rows), "op5-live")
+    groups = live.select("g").union(classes.groupBy("g").count().filter("count > 1").select("g")).distinct()
+    few = stage(classes.join(groups, "g").select("g", "n", "c", "size", "rep._id", "rep._th")
+                .join(rows.select("_id", "_th", "bits").distinct(), ["_id", "_th"]), "op5-few")
+
+    roots, known_sets, links, turn = stage(few.select("c", F.col("c").alias("root")), "op5-roots"), None, None, 0
+    total, exact = few.count(), count_links
+    while True:
         nodes = few.select("g", "n", "c").join(roots, "c")
-        if count_links:
-            pairs = _group_pairs(live, few, percent)
-        else:
-            pairs = _hub_pairs(live, nodes, turn) if turn < turns else _cross_pairs(live, nodes, percent)
+        pairs = (_group_pairs(live, few, percent) if count_links else
+                 _cross_pairs(live, nodes, percent) if exact else _hub_pairs(live, nodes, turn, percent))
         pairs = stage(_bounded(pairs, few, percent), "op5-pairs")
-        links = stage(_verified(pairs, sets, percent), "op5-links")
-        if links.isEmpty():
-            continue
-        ends = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
-        merged = components(links if turn == 0 else links.join(ends("a"), "a").join(ends("b"), "b").select(
-            F.col("ra").alias("a"), F.col("rb").alias("b")))
-        merged = merged.select(F.col("c").alias("root"), F.col("root").alias("to"))
-        roots = stage(roots.join(merged, "root", "left").select("c", F.coalesce("to", "root").alias("root")),
-                      "op5-roots")
+        ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        wanted = few.join(ends, "c", "left_semi").select("c", "_id", "_th")
+        if known_sets is not None:
+            wanted = wanted.join(known_sets.select("c"), "c", "left_anti")
+        more = stage(_sets(d, stage(wanted, "op5-wanted"), words), "op5-sets")
+        known_sets = more if known_sets is None else known_sets.union(more)
+        links = stage(_verified(pairs, known_sets, percent), "op5-links")
+        joined = 0
+        if not links.isEmpty():
+            of = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
+            merged = components(links.join(of("a"), "a").join(of("b"), "b").select(
+                F.col("ra").alias("a"), F.col("rb").alias("b")))
+            joined = merged.filter("c <> root").count()
+            roots = stage(roots.join(merged.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left")
+                          .select("c", F.coalesce("to", "root").alias("root")), "op5-roots")
+        if exact:
+            break
+        turn, exact = turn + 1, joined <= HUB_SHARE * total
 
     labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(roots, "c", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "c"))
@@ -345,15 +387,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id (then text hash); of
-    repeated rows one. Rows without words all stay. Columns as they were."""
+    repeated rows one. Rows without words all stay. Columns as they were, whatever their names."""
     found = stage(jaccard_components(docs, words, percent, count_links=False).withColumn(
         "k", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.lit(NO_ID)))), "op5-found")
     first = (found.filter(F.col("k").isNotNull()).groupBy("k")
              .agg(F.min(F.struct("_id", "_th")).alias("r")).select("r.*"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                              "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     empty = found.filter(F.col("k").isNull()).select("_id", "_th").distinct()
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), F.struct("*").alias("row"))
     kept = keyed.join(first, ["_id", "_th"], "left_semi")
     if found.groupBy("_id", "_th").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["_id", "_th"])
-    return kept.unionByName(keyed.join(empty, ["_id", "_th"], "left_semi")).select(*docs.columns)
+    return kept.unionByName(keyed.join(empty, ["_id", "_th"], "left_semi")).select("row.*")

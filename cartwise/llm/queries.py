@@ -42,7 +42,7 @@ def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90).drop("_id", "_th")
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90, count_links=False).drop("_id", "_th")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
