@@ -38,7 +38,7 @@ SLICES = 64
 BITMAP_WORDS = 8
 #: Turns in which classes meet hubs go on while a turn joins more than this share of the
 #: classes. It sets how many pairs are left for the exact turn after them, never the result.
-HUB_SHARE = 0.02
+HUB_SHARE = 0.1
 #: Groups whose prefix a task remembers to have given out.
 GIVEN = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -355,17 +355,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
         more = stage(_sets(d, stage(wanted, "op5-wanted"), words), "op5-sets")
         known_sets = more if known_sets is None else known_sets.union(more)
         links = stage(_verified(pairs, known_sets, percent), "op5-links")
-        joined = 0
-        if not links.isEmpty():
-            of = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
-            merged = components(links.join(of("a"), "a").join(of("b"), "b").select(
-                F.col("ra").alias("a"), F.col("rb").alias("b")))
-            joined = merged.filter("c <> root").count()
-            roots = stage(roots.join(merged.select(F.col("c").alias("root"), F.col("root").alias("to")), "root", "left")
-                          .select("c", F.coalesce("to", "root").alias("root")), "op5-roots")
+        of = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
+        across = links.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        if exact:
+            if across.isEmpty():
+                break
+            merged = components(across).select(F.col("c").alias("root"), F.col("root").alias("to"))
+        else:  # hubs need no closure: a root joins its smallest neighbour's, what that leaves apart the next turn finds
+            merged = (across.union(across.select("b", "a")).groupBy(F.col("a").alias("root"))
+                      .agg(F.min("b").alias("to")).filter("to < root"))
+            step = merged.select(F.col("root").alias("to"), F.col("to").alias("next"))
+            merged = merged.join(step, "to", "left").select("root", F.coalesce("next", "to").alias("to"))
+        roots = stage(roots.join(merged, "root", "left").select(
+            "c", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")), "op5-roots")
         if exact:
             break
-        turn, exact = turn + 1, joined <= HUB_SHARE * total
+        turn, exact = turn + 1, roots.filter("moved").count() <= HUB_SHARE * total
 
     labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(roots, "c", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "c"))
