@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 #: Elements by their role in HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
+#: Their text is not the page's; math is read as text of the block in which it stands.
 SILENT = frozenset("script style noscript template svg math iframe object canvas textarea select button title head "
                    "audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +46,9 @@ OTHER_STEMS = ("advert adsense banner sponsor promo sidebar widget related recom
                "disclaimer skip alert").split()
 CONTENT_STEMS = "article content entry post story body main text".split()
 STEMS = (*OTHER_STEMS, *CONTENT_STEMS)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+#: A tag ends at its > and, outside quotes, before the next <; so a page of tags that never end is
+#: read once. What looks like a tag and isn't one stays text.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>|<[!?][^<>]*+>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -60,33 +64,69 @@ def _names(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
-    """(path, text, share of link text) of each non-empty block, in page order.
+def _root(element: tuple[str, tuple]) -> bool:
+    return element[0] in ("article", "main") or any(n[1:] in CONTENT_STEMS for n in element[1])
+
+
+class Node:
+    """An open element with what the elements down to it add up to. Elements of one name many
+    times over add nothing, so deep nesting costs no more than the names in it."""
+    __slots__ = ("tag", "last", "tags", "names", "below", "inside")
+
+    def __init__(self, tag: str, names: tuple, parent: "Node | None"):
+        self.tag = tag
+        none = frozenset()
+        self.last, self.tags, self.names, self.below, self.inside = (
+            (parent.last, parent.tags, parent.names, parent.below, parent.inside) if parent else ("", none, none, none, False))
+        if tag in INLINE and not names:
+            return  # says nothing about its blocks
+        self.last = tag
+        if self.inside:  # stands below the article element
+            self.below = self.below | {f"below={tag}", *(f"below={n}" for n in names)}
+        if tag not in ("html", "body"):
+            self.tags = self.tags | {tag}
+        self.names = self.names | {f"any={n}" for n in names}
+        self.inside = self.inside or _root((tag, names))
+
+
+ROOT = Node("", (), None)
+
 
-    The path holds (tag, names) from the root. White space inside a block is one space."""
+def leaf_blocks(page: str) -> list[tuple[Node, str, float]]:
+    """(innermost element, text, share of link text) of each non-empty block, in page order.
+
+    White space inside a block is one space. A silent element (and math) without end tag ends at the end
+    tag of an element that it stands in; svg and math also end at a block's start tag."""
     out: list = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[Node] = []
+    opened: Counter = Counter()
+    inner: Counter = Counter()
     parts: list[str] = []
     linked = 0
     at = silent = 0
     skip: str | None = None
 
-    def flush(path):
+    def flush():
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x for x in path if x[0] not in INLINE or x[1]), text, min(1.0, linked / len(text))))
+                out.append((stack[-1] if stack else ROOT, text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def add(raw):
         nonlocal linked
-        if raw and skip is None:
+        if raw and skip in (None, "math"):
             parts.append(raw)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(n.tag == "a" for n in stack[-4:]):
                 linked += len(raw.strip())
 
+    def close(k):
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
     for m in TOKEN.finditer(page):
         if m.start() < silent:
             continue
@@ -96,71 +136,67 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
         if not tag:
             continue
         if skip is not None:  # in a silent element that has children
-            if tag == skip and m[1]:
-                skip = None
-            continue
+            if m[1]:
+                if inner[tag]:
+                    inner[tag] -= 1
+                    continue
+                if tag == skip or not opened[tag]:
+                    skip = None if tag == skip else skip
+                    continue
+            elif skip not in ("svg", "math") or not (tag in ENDS_P or tag in CLOSES):
+                inner[tag] += tag not in VOID and not m[3].rstrip().endswith("/")
+                continue
+            skip = None  # ended from outside: the tag counts as any other
         if m[1]:
-            if tag == "br" or not any(t == tag for t, _ in stack):
+            if tag == "br" or not opened[tag]:
                 continue
             if tag not in INLINE:
-                flush(stack)
-            while stack:
-                t, _ = stack.pop()
-                if t == tag:
-                    break
+                flush()
+            close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in ("script", "style", "title", "textarea", "noscript", "iframe"):
             if tag not in INLINE and tag not in ("script", "style"):
-                flush(stack)
+                flush()
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = silent = end.end() if end else len(page)
             continue
         if tag in SILENT and tag != "head":
             if not m[3].rstrip().endswith("/"):
                 skip = tag
+                inner.clear()
             continue
         if tag in VOID:
             if tag not in INLINE:
-                flush(stack)
+                flush()
             continue
         if tag not in INLINE:
-            flush(stack)
+            flush()
             closes = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            if any(opened[t] for t in closes):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in closes:
+                        close(k)
+                        break
+                    if stack[k].tag in SCOPES:
+                        break
         if not m[3].rstrip().endswith("/") or tag not in INLINE:
-            stack.append((tag, _names(m[3]) if m[3] else ()))
+            stack.append(Node(tag, _names(m[3]) if m[3] else (), stack[-1] if stack else None))
+            opened[tag] += 1
     add(page[at:])
-    flush(stack)
+    flush()
     return out
 
 
-def _root(element: tuple[str, tuple]) -> bool:
-    return element[0] in ("article", "main") or any(n[1:] in CONTENT_STEMS for n in element[1])
-
-
 def block_features(blocks: list) -> list[list[str]]:
     out = []
-    for i, (path, text, link) in enumerate(blocks):
-        inside = any(_root(x) for x in path)
-        where = "in" if inside else "out"
-        f = {"bias", f"last={path[-1][0] if path else ''}", where}
-        for t, names in path:
-            if t not in ("html", "body"):
-                f |= {f"any={t}", f"any={t}@{where}"}
-            f |= {f"any={n}" for n in names}
-        below = False
-        for t, names in path:  # what stands below the article element
-            if below:
-                f |= {f"below={t}", *(f"below={n}" for n in names)}
-            below = below or _root((t, names))
+    for i, (node, text, link) in enumerate(blocks):
+        where = "in" if node.inside else "out"
+        f = {"bias", f"last={node.last}", where, *node.names, *node.below}
+        for t in node.tags:
+            f |= {f"any={t}", f"any={t}@{where}"}
         words = text.count(" ") + 1
         f.add(f"words={min(6, words.bit_length())}")
         f.add(f"link={int(link * 4)}")
