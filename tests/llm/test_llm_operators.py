@@ -4,12 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
 
 import corpus_pipeline
-from cartwise.llm import html_extract, suffix_dedup
+from cartwise.llm import html_extract, licenses, suffix_dedup
 from cartwise.llm.decontaminate import contaminated, decontaminate
 from cartwise.llm.fingerprints import fingerprint_documents
 from cartwise.llm.html_extract import extract_pages, main_text
@@ -130,6 +131,35 @@ def test_sharding_splits_a_hot_group_evenly(spark):
     assert max(abs(v - mean) for v in size.values()) < 0.01 * mean + 12
 
 
+def test_sharding_cuts_repeated_rows(spark):
+    """One row (id and text) repeated 1,500 times among 4,000 rows, and 800 rows without an id."""
+    d = spark.range(4000).selectExpr("if(id < 1500, 7, if(id < 2300, null, id)) as doc_id",
+                                     "if(id < 1500, 'same text', concat('t ', id)) as text").repartition(5)
+    rows = shard_documents(d).collect()
+    size, n = collections.Counter(), collections.Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        n[r["doc_id"]] += 1
+    assert n[7] == 1500 and n[None] == 800 and len(rows) == 4000
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and max(abs(v - mean) for v in size.values()) < 0.01 * mean + 12
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_near_duplicates_keep_a_callers_columns(spark):
+    """Columns named as the private ones keep their values; of repeated rows one stays."""
+    rng = random.Random(12)
+    base = prose(rng, 80)
+    rows = [(1, base, "u1", "k1", 5), (2, base + " end", "u2", "k2", 6), (3, prose(rng, 60), "u3", "k3", 7),
+            (3, None, "u4", "k4", 8), (None, "", "u5", None, 9)]
+    rows = [*rows, rows[2], rows[2]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, _th string, row int")
+    kept = drop_near_duplicates(d)
+    assert kept.columns == d.columns and kept.dtypes == d.dtypes
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], *rows[2:5]], key=str)
+
+
 def _jaccard(texts, n, percent):
     sets = {}
     for i, t in enumerate(texts):
@@ -163,6 +193,8 @@ def test_jaccard_join(docs, texts, empty, n, percent):
         assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[i]), low[i] * 3, links[i]), i
     assert got[None]["component_id"] is None
     assert jaccard_components(empty).collect() == []
+    alone = by_id(jaccard_components(docs, n, percent, count_links=False))  # by hubs, then across components
+    assert {i: r["component_id"] for i, r in alone.items()} == {i: r["component_id"] for i, r in got.items()}
     kept = drop_near_duplicates(docs, n, percent)
     assert kept.columns == docs.columns
     want = {i * 3 for i in sets if low[i] == i} | {None}
@@ -213,6 +245,16 @@ def test_license_template_with_a_word_put_in(spark):
     assert r["labels"] == "mit" and r["base_labels"] == "" and r["n_base"] == 0 and 0.7 <= r["score"] <= 1
 
 
+def test_whole_license_texts_and_equal_hashes(spark):
+    """A long license with a paragraph missing; a passage of one; words of one in another order."""
+    whole = next(t for la, t in licenses.TEMPLATES if la == "mit" and len(t) > 400).split()
+    rows = [(1, " ".join(whole[:60] + whole[90:])), (2, "see " + " ".join(whole[20:70]) + " there"), (3, " ".join(sorted(whole))),
+            (4, " ".join(whole[100:125])), (5, "This work is licensed under the GNU General Public License, version 3.")]
+    got = by_id(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["labels"] for i in range(1, 6)] == ["mit", "mit", "", "", "gpl"]
+    assert got[4]["score"] < 0.7 and got[5]["base_labels"] == ""
+
+
 def test_personal_data(docs, texts, empty):
     def luhn(v):
         ds = [int(c) for c in v if c in "0123456789"][::-1]
@@ -341,6 +383,28 @@ def test_extraction(spark):
         [(0, "", 0), (1, want, len(want)), (1, want, len(want)), (2, "", 0)]
 
 
+def test_unclosed_elements_lose_no_article_text():
+    """A silent element without end tag ends where its surroundings end; formulas stay."""
+    blocks = lambda page: [b[1] for b in html_extract.leaf_blocks(page)]
+    for tag in ("object", "video", "audio", "canvas", "select", "template", "button", "svg", "math"):
+        got = blocks(f"<article><h1>Head</h1><p>First <{tag}><i>in</i></p><p>Second</p></article><footer>f</footer>")
+        assert [g for g in got if g not in ("First", "First in")] == ["Head", "Second", "f"] and len(got) == 4
+    assert blocks("<p>so <math><mi>a</mi><mo>+</mo><mn>1</mn></math> holds</p><p>next</p>") == ["so a+1 holds", "next"]
+    assert blocks("<div><p>one <svg><path d='x'><p>two</div>three") == ["one", "two", "three"]
+    assert blocks("<p>a <object><p>in</p><object>in</object> in</object> b</p>") == ["a b"]
+    assert blocks("x <y and z") == ["x <y and z"]
+
+
+def test_block_reading_is_linear():
+    def seconds(page):
+        began = time.perf_counter()
+        html_extract.block_features(html_extract.leaf_blocks(page))
+        return time.perf_counter() - began
+
+    for unit in ("<a href=x ", "<div>x", "<b>", "<!x", '<a b="', "<p>x", "<ul><li>x", "<svg>", "&amp", "<"):
+        assert seconds(unit * 20_000) < 3, unit
+
+
 def test_pipeline_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near duplicates", "decontamination", "personal data", "packing"]
