@@ -233,15 +233,22 @@ def _limit(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
+def _differ(bitsa: str, bitsb: str) -> Column:
+    """Least size of the symmetric difference that two parity bitmaps tell."""
+    return F.aggregate(F.zip_with(bitsa, bitsb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+
+
+def _close(na: Column, nb: Column, percent: int) -> Column:
+    """The size and bitmap filters for rows with bitsa and bitsb."""
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & (_differ("bitsa", "bitsb") <= na + nb - 2 * _limit(na, nb, percent)))
+
+
 def _bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that their sizes and parity bitmaps allow, with their rows."""
     side = lambda s: full.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"),
                                  F.col("bits").alias(f"bits{s}"), F.col("size").alias(f"size{s}"))
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))),
-                         F.lit(0), lambda t, k: t + k)
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                    & (differ <= F.col("na") + F.col("nb") - 2 * _limit(F.col("na"), F.col("nb"), percent)))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(F.col("na"), F.col("nb"), percent))
             .select("a", "b", "sizea", "sizeb").distinct())
 
 
@@ -287,22 +294,27 @@ def _group_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes of different roots that the prefix, size and position filters allow.
+    """Every pair of classes of different roots that the prefix, size, position and bitmap filters allow.
 
     Roots are paired first: for each member and size band a root is summed up by its range of sizes
-    and its longest rest behind the member, so no pair inside a root is formed and a pair of roots
-    is dropped before its groups meet. Sizes that the limit allows lie in the same band or in neighbours."""
+    and its longest rest behind the member (and, if it is a single class, its bitmap), so no pair inside
+    a root is formed and a pair of roots is dropped where it meets, before its groups are joined to it.
+    Sizes that the limit allows lie in the same band or in neighbours."""
     posted = stage(_mixed(live, nodes), "op5-mixed")
     width = math.log(100 / percent * 1.0001)
     band = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int")
+    single = nodes.groupBy("root").agg(F.count("*").alias("k"), F.first("bits").alias("bits")).select(
+        "root", F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
     roots = stage(posted.groupBy("member", "root", band.alias("band")).agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest")), "op5-roots-by-member")
-    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest")])
-    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
-    meet = (of("a", F.col("band")).join(of("b", near), ["member", "band"])
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+        .join(single, "root"), "op5-roots-by-member")
+    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest", "bits")])
+    above = F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")  # b is the larger one
+    meet = (of("a", F.col("band")).join(of("b", above), ["member", "band"])
             .filter((F.col("roota") != F.col("rootb")) & (F.col("loa") <= F.col("hib"))
-                    & (100 * F.col("hia") >= percent * F.col("lob")) & (100 * F.col("hib") >= percent * F.col("loa"))
-                    & (F.least("resta", "restb") >= _limit(F.col("loa"), F.col("lob"), percent)))
+                    & (100 * F.col("hia") >= percent * F.col("lob"))
+                    & (F.least("resta", "restb") >= _limit(F.col("loa"), F.col("lob"), percent))
+                    & (F.col("bitsa").isNull() | F.col("bitsb").isNull() | _close(F.col("loa"), F.col("lob"), percent)))
             .select("member", F.least("roota", "rootb").alias("ra"), F.greatest("roota", "rootb").alias("rb")).distinct())
     side = lambda s: posted.select("member", F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
                                    F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
@@ -344,7 +356,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
     roots, known_sets, links, turn = stage(few.select("c", F.col("c").alias("root")), "op5-roots"), None, None, 0
     total, exact = few.count(), count_links
     while True:
-        nodes = few.select("g", "n", "c").join(roots, "c")
+        nodes = few.select("g", "n", "c", "bits").join(roots.select("c", "root"), "c")
         pairs = (_group_pairs(live, few, percent) if count_links else
                  _cross_pairs(live, nodes, percent) if exact else _hub_pairs(live, nodes, turn, percent))
         pairs = stage(_bounded(pairs, few, percent), "op5-pairs")
@@ -366,13 +378,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
                       .agg(F.min("b").alias("to")).filter("to < root"))
             step = merged.select(F.col("root").alias("to"), F.col("to").alias("next"))
             merged = merged.join(step, "to", "left").select("root", F.coalesce("next", "to").alias("to"))
-        roots = stage(roots.join(merged, "root", "left").select(
+        roots = stage(roots.select("c", "root").join(merged, "root", "left").select(
             "c", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")), "op5-roots")
         if exact:
             break
         turn, exact = turn + 1, roots.filter("moved").count() <= HUB_SHARE * total
 
-    labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(roots, "c", "left")
+    labelled = classes.select("c", "size", F.col("rep._id").alias("low")).join(roots.select("c", "root"), "c", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "c"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component"))
     known = labelled.join(lowest, "root").select("c", "component", "size")
