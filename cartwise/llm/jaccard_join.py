@@ -233,21 +233,23 @@ def _limit(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
-def _differ(bitsa: str, bitsb: str) -> Column:
-    """Least size of the symmetric difference that two parity bitmaps tell."""
-    return F.aggregate(F.zip_with(bitsa, bitsb, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+def _differ(word: str) -> Column:
+    """Least size of the symmetric difference that the parity bitmaps a0, a1, ... and b0, b1, ... tell. Words are
+    columns of their own: a join compares very many of them."""
+    return sum((F.bit_count(F.col(f"{word}a{i}").bitwiseXOR(F.col(f"{word}b{i}"))) for i in range(BITMAP_WORDS)), F.lit(0))
 
 
 def _close(na: Column, nb: Column, percent: int) -> Column:
-    """The size and bitmap filters for rows with bitsa and bitsb."""
+    """The size and bitmap filters."""
     return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-            & (_differ("bitsa", "bitsb") <= na + nb - 2 * _limit(na, nb, percent)))
+            & (_differ("w") <= na + nb - 2 * _limit(na, nb, percent)))
 
 
 def _bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that their sizes and parity bitmaps allow, with their rows."""
     side = lambda s: full.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"),
-                                 F.col("bits").alias(f"bits{s}"), F.col("size").alias(f"size{s}"))
+                                 *[F.col("bits")[i].alias(f"w{s}{i}") for i in range(BITMAP_WORDS)],
+                                 F.col("size").alias(f"size{s}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(F.col("na"), F.col("nb"), percent))
             .select("a", "b", "sizea", "sizeb").distinct())
 
@@ -303,18 +305,22 @@ def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     posted = stage(_mixed(live, nodes), "op5-mixed")
     width = math.log(100 / percent * 1.0001)
     band = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int")
+    words = [f"w{i}" for i in range(BITMAP_WORDS)]
     single = nodes.groupBy("root").agg(F.count("*").alias("k"), F.first("bits").alias("bits")).select(
-        "root", F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
+        "root", *[F.when(F.col("k") == 1, F.col("bits")[i]).alias(w) for i, w in enumerate(words)])
     roots = stage(posted.groupBy("member", "root", band.alias("band")).agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
         .join(single, "root"), "op5-roots-by-member")
-    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest", "bits")])
+    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest")],
+                                *[F.col(w).alias(f"w{s}{i}") for i, w in enumerate(words)])
+    # Of two sets the smaller one shares its shortest enough members only (its rest bounds the intersection).
+    index = F.col("resta") >= _limit(F.col("loa"), F.col("loa"), percent)
     above = F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")  # b is the larger one
-    meet = (of("a", F.col("band")).join(of("b", above), ["member", "band"])
+    meet = (of("a", F.col("band")).filter(index).join(of("b", above), ["member", "band"])
             .filter((F.col("roota") != F.col("rootb")) & (F.col("loa") <= F.col("hib"))
                     & (100 * F.col("hia") >= percent * F.col("lob"))
                     & (F.least("resta", "restb") >= _limit(F.col("loa"), F.col("lob"), percent))
-                    & (F.col("bitsa").isNull() | F.col("bitsb").isNull() | _close(F.col("loa"), F.col("lob"), percent)))
+                    & (F.col("wa0").isNull() | F.col("wb0").isNull() | _close(F.col("loa"), F.col("lob"), percent)))
             .select("member", F.least("roota", "rootb").alias("ra"), F.greatest("roota", "rootb").alias("rb")).distinct())
     side = lambda s: posted.select("member", F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
                                    F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
