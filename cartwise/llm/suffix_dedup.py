@@ -1,19 +1,15 @@
-"""Removal of repeated 400-byte strings: anchor partitioning, then grouping by content.
-
-No Burrows-Wheeler transform is built and no suffix orders are interleaved; the steps below
-take the place of merging the shards' transforms by interleave refinement.
+"""Removal of repeated 400-byte strings by merged Burrows-Wheeler transforms.
 
 1. Candidates. Every 400-byte string holds 337 64-byte grams; the one with the least hash
    (the leftmost of equals) is its anchor. Equal strings have equal anchors, so only runs
    of strings whose anchor hash occurs more than once can repeat; all others are settled.
-2. Shards. The runs are dealt by anchor into shards of bounded bytes, an anchor with very
-   many runs over several. A shard ranks its 400-byte strings by prefix doubling; equal ranks
-   are a block. Blocks of two or more are repeats, neighbouring repeated starts one interval.
-   All strings of an anchor that lies in one shard are settled there.
-3. Anchors of several shards (more than ANCHOR_RUNS runs). Each shard gives one row a block
-   with 64-bit content hashes of its first 64, 144 and 400 bytes. Rows are grouped by the
-   first hash, then by two, then by all three; at each depth what stands once in all is
-   dropped. What is left are the repeats across shards, equal by hash, not by bytes.
+2. Transforms. The runs' bytes are dealt by anchor to tasks, bounded bytes each, an anchor with
+   very many runs to several. A task builds the transforms of shards of its strings and merges
+   them by iterative interleave refinement (``transforms``): intervals of two suffixes or more
+   at depth 400 are the repeated strings, neighbouring repeated starts one span. All strings
+   of an anchor that lies in one task are settled there.
+3. Anchors of several tasks. Each task gives one row for each different string; rows with equal
+   bytes meet in a grouping by the string itself.
 """
 
 from __future__ import annotations
@@ -24,16 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwise.llm.common import NO_ID, texts
+from cartwise.llm.transforms import merged_intervals
 from cartwise.session import stage
 
 LENGTH = 400
 GRAM = 64
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 22
-DEPTHS = (64, 144, LENGTH)
-SHARD_BYTES = 3 << 20
-#: Runs of one anchor that a shard takes; more are dealt over several.
-ANCHOR_RUNS = 4096
+TASK_BYTES = 1 << 20
+#: Runs of one anchor that a task takes; more are dealt over several.
+ANCHOR_RUNS = 2048
 _C = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1) for i in range(6)]
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA5A5A5A5)
 S32 = np.uint64(32)
@@ -68,50 +64,26 @@ def anchor_runs(data: np.ndarray):
     return tuple(np.concatenate(k) for k in zip(*out))
 
 
-def _ranks(data: np.ndarray, starts: np.ndarray):
-    """Prefix doubling: for each depth of DEPTHS the rank of every start's prefix.
-
-    ``data`` ends with LENGTH zero bytes of padding; a start has LENGTH own bytes."""
-    n = len(data) - 8
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word |= data[i:i + n].astype(np.uint64) << np.uint64(56 - 8 * i)
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-    out, have = {}, 8
-    while have < 256:
-        second = np.zeros_like(rank)
-        second[:-have] = rank[have:]
-        rank = np.unique(rank << 31 | second, return_inverse=True)[1].astype(np.int64)
-        have *= 2
-        for d in DEPTHS:
-            if have <= d <= 2 * have:
-                out[d] = rank[starts] << 31 | rank[starts + d - have]
-    return out
-
-
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: intervals of locally repeated strings, and the blocks that other shards may hold."""
-    # Equal contexts stand for each other; each is sorted once.
+    """One task's runs: spans of locally repeated strings, and the strings that other tasks may hold."""
+    # Equal contexts stand for each other; each is read once.
     seen: dict[bytes, int] = {}
     which = np.array([seen.setdefault(c, len(seen)) for c in pdf["bytes"]], np.int64)
     copies = np.bincount(which)
     shared = np.zeros(len(seen), bool)
     np.logical_or.at(shared, which, pdf["shared"].to_numpy())
     contexts = list(seen)
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    base = np.r_[0, np.cumsum(sizes)]
-    data = np.frombuffer(b"".join(contexts) + bytes(LENGTH + 8), np.uint8)
-    n_starts = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(contexts)), n_starts)
-    starts = np.arange(n_starts.sum()) - np.repeat(np.r_[0, np.cumsum(n_starts)[:-1]], n_starts) + base[owner]
-    keys = _ranks(data, starts)
-    order = np.argsort(keys[LENGTH], kind="stable")  # the shard's suffix order
-    ranked = keys[LENGTH][order]
-    fresh = np.r_[True, ranked[1:] != ranked[:-1]]
-    block = np.cumsum(fresh) - 1
-    weight = np.bincount(block, copies[owner[order]])
-    of = np.empty(len(order), np.int64)
-    of[order] = block
+    circles, places, interval = merged_intervals(contexts, LENGTH)
+    base, owners = circles.base, circles.owner
+    starts = circles.place[circles.offset <= circles.size - LENGTH]
+    owner = owners[starts]
+    # A number for each different string: those of the intervals, then the ones that stand once.
+    block = np.full(len(circles.data), -1, np.int64)
+    block[places] = interval
+    lone = starts[block[starts] < 0]
+    block[lone] = (interval[-1] if len(interval) else 0) + 1 + np.arange(len(lone))
+    of = block[starts]
+    weight = np.bincount(of, copies[owner])
     again = weight[of] > 1  # for each start, in text order
     rows = []
     # Neighbouring repeated starts of a context are one interval.
@@ -121,29 +93,19 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     for s, e in zip(edge, stop):
         spans.setdefault(int(owner[s]), []).append((int(starts[s] - base[owner[s]]), int(starts[e] - base[owner[e]])))
     for th, a, w in zip(pdf["th"], pdf["a"], which):
-        rows += [(th, a + s, a + e + LENGTH, None, None, None, None) for s, e in spans.get(int(w), ())]
-    # Blocks with an anchor of several shards, one row each, with the content hashes of the
-    # common prefix at each depth as the names under which shards meet.
-    first = order[fresh]
+        rows += [(th, a + s, a + e + LENGTH, None, None) for s, e in spans.get(int(w), ())]
+    # One row for each different string with an anchor that other tasks hold too.
+    first = np.unique(of, return_index=True)[1]
     first = first[shared[owner[first]]]
     if len(first):
         where = {}
         for th, a, w in zip(pdf["th"], pdf["a"], which):
             where.setdefault(int(w), (th, a))
-        grams = gram_hashes(data)
         for i in first:
-            p, (th, a) = starts[i], where[int(owner[i])]
-            name, done = 0, 0
-            names = []
-            for d in DEPTHS:
-                while done < d:
-                    step = min(done, d - GRAM)
-                    name = (name * 0x9E3779B97F4A7C15 + int(grams[p + step])) & (1 << 64) - 1
-                    done = step + GRAM
-                names.append(name - (1 << 63))
+            p, (th, a) = int(starts[i]), where[int(owner[i])]
             at = int(a + p - base[owner[i]])
-            rows.append((th, at, at + LENGTH, *names, int(weight[of[i]])))
-    return pd.DataFrame(rows, columns=["th", "s", "e", "k0", "k1", "k2", "n"])
+            rows.append((th, at, at + LENGTH, circles.data[p:p + LENGTH].tobytes(), int(weight[of[i]])))
+    return pd.DataFrame(rows, columns=["th", "s", "e", "string", "n"])
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +132,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = stage(runs.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "op6-anchors")
     found = stage(runs.join(repeated, "h"), "op6-candidates")
     total = found.agg(F.sum(F.col("b") - F.col("a") + LENGTH)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, -(-total // TASK_BYTES))
     parts = F.ceil(F.col("m") / ANCHOR_RUNS)
     dealt = found.select(
         "th", "a", "b", (parts > 1).alias("shared"),
@@ -189,15 +151,11 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     contexts = (d.select("_id", "th", "text").join(per_text, ["th", "_id"]).select("th", "text", "runs")
                 .mapInPandas(cut, "shard long, th long, a long, shared boolean, bytes binary"))
     local = stage(contexts.groupBy("shard").applyInPandas(
-        _repeats, "th long, s long, e long, k0 long, k1 long, k2 long, n long"), "op6-shards")
+        _repeats, "th long, s long, e long, string binary, n long"), "op6-shards")
 
-    # The shards' blocks, grouped by the hashes of longer and longer prefixes.
     alive = local.filter(F.col("n").isNotNull())
-    key: list[str] = []
-    for i in range(len(DEPTHS)):
-        key.append(f"k{i}")
-        more = alive.groupBy(*key).agg(F.sum("n").alias("all")).filter("all > 1").select(*key)
-        alive = stage(alive.join(more, key, "left_semi"), f"op6-depth{DEPTHS[i]}")
+    more = alive.groupBy("string").agg(F.sum("n").alias("all")).filter("all > 1").select("string")
+    alive = alive.join(more, "string", "left_semi")
     # A text that stands several times is one run here but covered as a whole.
     whole = reps.filter("copies > 1").select("th", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     spans = (local.filter(F.col("n").isNull()).select("th", "s", "e")
@@ -230,8 +188,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(gaps, lambda x: x["e"]))
     ends = F.concat(F.transform(gaps, lambda x: x["s"]), F.array(F.octet_length("data").cast("long")))
     piece = lambda p: F.substring("data", (p["a"] + 1).cast("int"), (p["z"] - p["a"]).cast("int"))
-    kept = F.aggregate(F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("a"), z.alias("z"))),
-                       F.lit(b""), lambda acc, p: F.concat(acc, piece(p)))
+    kept = F.unhex(F.array_join(F.zip_with(  # joined as text, in one go
+        starts, ends, lambda a, z: F.hex(piece(F.struct(a.alias("a"), z.alias("z"))))), ""))
     removed = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return t.select(
         "doc_id", F.octet_length("data").cast("long").alias("n_bytes"),
