@@ -119,8 +119,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.7,
 def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """The documents without a verified overlap, all columns as they were. A row is judged by its
     own text: others of its id, or other rows without an id, don't take it with them."""
-    bad = stage(_verified(docs, items, **limits).select(
-        F.col("_id").alias("_bad_id"), F.col("_th").alias("_bad_th")).distinct(), "op9-bad")
-    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    own_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(small(bad), (own_id == F.col("_bad_id")) & (own_hash == F.col("_bad_th")), "left_anti")
+    bad = stage(_verified(docs, items, **limits).select("_id", "_th").distinct(), "op9-bad")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), F.struct("*").alias("row"))
+    return keyed.join(small(bad), ["_id", "_th"], "left_anti").select("row.*")

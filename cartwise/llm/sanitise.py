@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import row_key, small, texts
+from cartwise.llm.common import NO_ID, row_key, small, texts
 from cartwise.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,44 +48,38 @@ def matches(text: Column, pattern: str, kind: str, when: Column) -> Column:
     A split by the same pattern gives the texts between the matches, so a match starts after
     all the pieces and matches before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(F.struct(
-            F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"),
-            pair["value"].alias("value")))).alias("spans"))
-
-    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)),
-                       lambda v, p: F.struct(p.alias("piece"), v.alias("value")))
-    spans = F.aggregate(pairs, zero, add, lambda acc: acc["spans"])
-    return F.when(when & (F.size(found) > 0), spans).otherwise(F.array().cast(SPAN))
+    return F.when(when & (F.size(found) > 0), occurrences(text, pattern, kind, lambda s: F.lit(True))).otherwise(
+        F.array().cast(SPAN))
+
+
+def in_blocks(items: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """(at, out) after all items: ``step(state, item)`` gives the next state, ``out`` grown by at most
+    one element of type ``kind``. Lists are joined block by block, so no long list is copied for
+    each item and time grows with the items, not with their square."""
+    none = F.array().cast(f"array<{kind}>")
+    state = lambda at: F.struct(at.alias("at"), none.alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)),
+                         lambda b: F.slice(items, b + 1, BLOCK))
+    return F.aggregate(
+        blocks, F.struct(state(F.lit(0).cast("long")).alias("now"), F.array().cast(f"array<array<{kind}>>").alias("before")),
+        lambda acc, block: F.struct(F.aggregate(block, state(acc["now"]["at"]), step).alias("now"),
+                                    F.concat(acc["before"], F.array(acc["now"]["out"])).alias("before")),
+        lambda acc: F.struct(acc["now"]["at"].alias("at"), F.concat(F.flatten(acc["before"]), acc["now"]["out"]).alias("out")))
 
 
 def occurrences(text: Column, pattern: str, kind: str, keep: Callable[[Column], Column]) -> Column:
-    """As ``matches``, those spans that ``keep`` holds for. Time grows with the matches, not
-    with their square: what is not kept copies nothing, and lists are joined in blocks."""
+    """The spans of all matches that ``keep`` holds for; what is not kept copies nothing."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)),
                        lambda v, p: F.struct(F.length(p).cast("long").alias("gap"), v.alias("value")))
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(BLOCK)),
-                         lambda b: F.slice(steps, b + 1, BLOCK))
-    none = F.array().cast(SPAN)
-    state = lambda at, spans: F.struct(at.alias("at"), spans.alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return state(end, F.when(keep(span), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]))
+        return F.struct(end.alias("at"), F.when(keep(span), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(
-        blocks, F.struct(state(F.lit(0).cast("long"), none).alias("now"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, block: F.struct(F.aggregate(block, state(acc["now"]["at"], none), add).alias("now"),
-                                    F.concat(acc["out"], F.array(acc["now"]["spans"])).alias("out")),
-        lambda acc: F.concat(F.flatten(acc["out"]), acc["now"]["spans"]))
+    return in_blocks(steps, "struct<kind:string,start:bigint,end:bigint,value:string>", add)["out"]
 
 
 def _digits(value: Column) -> Column:
@@ -125,6 +119,11 @@ def all_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def _signature(texts_of: str) -> list[Column]:
+    """A set of texts in two aggregates: equal sets have equal ones."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), texts_of)).alias(f"x{i}") for i in (1, 2)]
+
+
 def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int = 2) -> DataFrame:
     """(doc_id, base, terms, n_email, n_ip, n_card, n_phone and the row key) for every row.
 
@@ -147,12 +146,14 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
     total = float(every.select("_th").distinct().count())
     mentions = (found.select("_th", F.explode("base").alias("m"))
                 .select("_th", F.xxhash64("m.kind", F.lower("m.value")).alias("e")).distinct())
-    of_entity = stage(mentions.groupBy("e").agg(F.count("*").alias("of_e"))
-                      .filter((F.col("of_e") >= support) & (F.col("of_e") < total)), "op8-entities")
+    # Entities of the same texts reveal and are revealed alike: one class, known by its texts.
+    of_entity = stage(mentions.groupBy("e").agg(F.count("*").alias("of_e"), *_signature("_th"))
+                      .filter((F.col("of_e") >= support) & (F.col("of_e") < total))
+                      .select("e", "of_e", F.xxhash64("of_e", "x1", "x2").alias("ec")), "op8-entities")
     # The disclosure rule, solved for of_t with ``both`` texts that hold the pair.
     most = lambda both, of_e: both * F.pow(F.lit(total) / of_e, F.lit(1 - disclosure)) * 1.0001
-    held = stage(mentions.join(small(of_entity), "e").groupBy("_th")
-                 .agg(F.collect_list(F.struct("e", "of_e")).alias("es")), "op8-held")
+    held = stage(mentions.join(small(of_entity), "e").select("_th", "ec", "of_e").distinct().groupBy("_th")
+                 .agg(F.collect_list(F.struct("ec", "of_e")).alias("es")), "op8-held")
     first = stage(found.select("_id", "_th").join(small(held, LIST_ROWS), "_th").groupBy("_th")
                   .agg(F.min("_id").alias("_id"), F.first("es").alias("es")), "op8-first")
     words = stage(t.join(small(first, LIST_ROWS), ["_id", "_th"]).select("_th", "es", all_terms(F.col("text")).alias("ts"))
@@ -170,21 +171,26 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
               .filter(F.col("n") >= support).select("t"))
     rare = stage(of_term.filter(F.col("of_t") <= limit).join(beside, "t"), "op8-rare")
 
+    # Terms of the same texts, beside entities and in all, are one class too.
+    posted = stage(words.select("_th", F.explode("ts").alias("t")).join(small(rare), "t"), "op8-posted")
+    classes = stage(posted.groupBy("t", "of_t").agg(F.count("*").alias("n"), *_signature("_th"))
+                    .select("t", F.xxhash64("of_t", "n", "x1", "x2").alias("tc")), "op8-terms")
     pairs = stage(
-        words.select("_th", "es", F.explode("ts").alias("t")).join(small(rare), "t")
-        .select("_th", "t", "of_t", F.explode(F.filter(
+        posted.join(small(classes), "t").select("_th", "tc", "of_t").distinct().join(words.select("_th", "es"), "_th")
+        .select("_th", "tc", "of_t", F.explode(F.filter(
             "es", lambda e: F.col("of_t") <= most(e["of_e"], e["of_e"]))).alias("x"))
-        .select("_th", "t", "of_t", "x.e", "x.of_e"), "op8-pairs")
+        .select("_th", "tc", "of_t", "x.ec", "x.of_e"), "op8-pairs")
     revealing = stage(
-        pairs.groupBy("e", "t", "of_e", "of_t").agg(F.count("*").alias("both"))
+        pairs.groupBy("ec", "tc", "of_e", "of_t").agg(F.count("*").alias("both"))
         .filter(F.col("both") >= support)
         .withColumn("ic", F.log2(F.lit(total) / F.col("of_e")))
         .withColumn("pmi", F.log2(F.lit(total) * F.col("both") / (F.col("of_e") * F.col("of_t"))))
         .filter((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic")))
-        .select("e", "t"), "op8-revealing")
+        .select("ec", "tc"), "op8-revealing")
 
     # Every occurrence in every text that holds the entity.
-    sets = stage(pairs.join(small(revealing), ["e", "t"]).groupBy("_th").agg(F.collect_set("t").alias("ts")), "op8-sets")
+    told = pairs.join(small(revealing), ["ec", "tc"]).select("_th", "tc").distinct()
+    sets = stage(told.join(small(classes), "tc").groupBy("_th").agg(F.collect_set("t").alias("ts")), "op8-sets")
     wanted = stage(found.select("_id", "_th", "base").distinct().join(small(sets, LIST_ROWS), "_th"), "op8-wanted")
     keep = lambda s: F.array_contains("ts", F.lower(s["value"])) & ~F.exists(
         "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -217,11 +223,10 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
         .when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(0))
     mark = lambda x: F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))) \
         .when(x["value"].rlike(r"[\p{Lu}\p{N}]"), F.lit("[REMOVED]")).otherwise(F.lit("[WORD]"))  # noqa: E731,E501
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate(s, zero, lambda acc, x: F.struct(
+    walked = in_blocks(s, "string", lambda acc, x: F.struct(
         F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(
-            F.col("text").substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), mark(x))))
+        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(
+            F.col("text").substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), mark(x)))))
         .alias("out")))
     some = stage(spans.filter(F.size("base") > 0).select("_id", "_th", "base", "terms").distinct(), "op8-found")
     clean = (row_key(texts(docs)).select("_id", "_th", "text").join(small(some, LIST_ROWS), ["_id", "_th"])
@@ -231,9 +236,9 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
                  F.col("text").substr((F.col("w.at") + 1).cast("int"), F.length("text"))).alias("_clean"))
              .dropDuplicates(["_id", "_th"]))
     clean = stage(clean, "op8-clean")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-                              "_th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    out = keyed.join(clean, ["_id", "_th"], "left").withColumn("text", F.coalesce("_clean", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), F.struct("*").alias("row"))
+    out = keyed.join(clean, ["_id", "_th"], "left")
+    text = F.coalesce("_clean", F.col("row")["text"])
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
