@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from cartwise.llm.common import NO_ID, texts
 from cartwise.session import stage
 
+#: Repeats of a row that one array numbers.
+REPEATS = 4096
 SCHEMA = ("chunk long, bin long, slot int, doc_id long, copy long, piece int, first_word long, "
           "n_words long, bin_words long")
 
@@ -92,7 +94,10 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, per_source: int = 2,
                 F.xxhash64("w").alias("cluster")), "op10-sizes")
     chunks = max(1, -(-thin.count() // chunk_rows))
     rows = (thin.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).groupBy("doc_id", "source", "n_words", "cluster").agg(F.count("*").alias("copies"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+            # Repeats are numbered in two steps, so that no array holds them all.
+            .withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / REPEATS))))
+            .withColumn("copy", F.explode(F.sequence(F.col("many") * REPEATS, F.least(
+                F.col("copies") - 1, F.col("many") * REPEATS + (REPEATS - 1))))).drop("many")
             .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(chunks))))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
