@@ -137,7 +137,7 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.7, drift: int = 3, passag
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
     A band gives its label when it verified ``coverage`` of the template's words, or ``passage``
-    words of a longer template. ``score`` is 1.0 where a base phrase stands, else the largest
+    words of a longer template; of bands over the same words the fullest counts. ``score`` is 1.0 where a base phrase stands, else the largest
     share of a template (or of a passage) that a band verified (bands under the limits give no
     label but keep their score), 0.0 without any vote. Null and empty texts have no words and
     no labels; repeated rows get equal answers; an empty table gives no rows.
@@ -158,13 +158,21 @@ def scan_licenses(docs: DataFrame, coverage: float = 0.7, drift: int = 3, passag
              .withColumn("new", F.when(step <= drift, 0).otherwise(1))
              .withColumn("band", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy(*key, "band")
-             .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
-             .withColumn("covered", F.size(F.array_distinct(F.flatten(
-                 F.transform("at", lambda p: F.sequence(p, p + (K - 1)))))) / F.least(
-                     F.col("t_words"), F.lit(passage / coverage))))
+             .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
+                  F.min(F.col("diagonal") + F.array_min("at")).alias("lo"),
+                  (F.max(F.col("diagonal") + F.array_max("at")) + (K - 1)).alias("hi"))
+             .withColumn("words", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (K - 1)))))))
+             .withColumn("covered", F.col("words") / F.least(F.col("t_words"), F.lit(passage / coverage))))
+    # Of bands over the same words the one that verified most gives its label (equals all do).
+    along = Window.partitionBy("_id", "_th").orderBy("lo", "hi", "template")
+    apart = F.when(F.col("lo") <= F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    enough = (bands.filter(F.col("covered") >= coverage).withColumn("new", apart)
+              .withColumn("place", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))))
+    best = F.max("words").over(Window.partitionBy("_id", "_th", "place"))
+    labelled = enough.withColumn("best", best).filter(F.col("words") == F.col("best"))
     found = (base.select("_id", "_th", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
-             .unionByName(bands.select("_id", "_th",
-                                       F.when(F.col("covered") >= coverage, F.col("label")).alias("label"),
+             .unionByName(labelled.select("_id", "_th", "label", F.lit(None).cast("int").alias("start"), F.lit(0.0).alias("share")))
+             .unionByName(bands.select("_id", "_th", F.lit(None).cast("string").alias("label"),
                                        F.lit(None).cast("int").alias("start"), F.least(F.lit(1.0), "covered").alias("share")))
              .groupBy("_id", "_th")
              .agg(F.count("start").alias("n_base"), F.min("start").cast("long").alias("first_word"),

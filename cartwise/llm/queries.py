@@ -13,7 +13,7 @@ from cartwise.llm.html_extract import extract_pages
 from cartwise.llm.jaccard_join import jaccard_components
 from cartwise.llm.language import identify_languages
 from cartwise.llm.licenses import scan_licenses
-from cartwise.llm.oracles import PREFIX_TRIE, RESAMPLING
+from cartwise.llm.oracles import CONTAMINATED, JACCARD, LICENSES, PREFIX_TRIE, RESAMPLING
 from cartwise.llm.packing import pack_documents
 from cartwise.llm.prefix_trie import conversation_trie
 from cartwise.llm.resampling import resample
@@ -82,4 +82,6 @@ QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op6_suffix_dedup, op7_license_scan, op8_personal_data, op9_decontamination, op10_best_fit_packing,
     op11_language_id, op12_conversation_trie, op13_importance_resampling)}
 
-ORACLES: dict[str, str] = {"op12_conversation_trie": PREFIX_TRIE, "op13_importance_resampling": RESAMPLING}
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": JACCARD, "op7_license_scan": LICENSES, "op9_decontamination": CONTAMINATED,
+    "op12_conversation_trie": PREFIX_TRIE, "op13_importance_resampling": RESAMPLING}

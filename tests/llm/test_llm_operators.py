@@ -201,9 +201,10 @@ def test_jaccard_join(docs, texts, empty, n, percent):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("anchor_runs", [4096, 2])
-def test_repeats(docs, texts, empty, anchor_runs, monkeypatch):
+@pytest.mark.parametrize("anchor_runs,task_bytes", [(2048, 1 << 20), (2, 1 << 12)])
+def test_repeats(docs, texts, empty, anchor_runs, task_bytes, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ANCHOR_RUNS", anchor_runs)
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task_bytes)
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i:i + 400] for b in data for i in range(len(b) - 399))
     got = by_id(remove_repeats(docs))
@@ -223,6 +224,22 @@ def test_repeats(docs, texts, empty, anchor_runs, monkeypatch):
     assert remove_repeats(empty).collect() == []
 
 
+def test_repeats_marks_passages_of_400_bytes_alone(spark):
+    """n_removed tells rows with a repeated 400-byte string from the others, exactly: a passage of 60 words that
+    is shorter than 400 bytes is no such string, one of 400 bytes is."""
+    rng = random.Random(40)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(n)) for _ in range(60))
+    short, long = word(5), word(9)
+    assert len(short) < 400 < len(long)
+    rows = [(i, f"{prose(rng, 80)} {short if i % 2 else long} {prose(rng, 80)}") for i in range(20)]
+    rows += [(100 + i, prose(rng, 200)) for i in range(20)]
+    got = by_id(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, _ in rows:
+        planted = i < 100 and i % 2 == 0
+        assert (got[i]["n_removed"] >= len(long)) == planted and (got[i]["n_removed"] == 0) == (not planted)
+        assert got[i]["n_spans"] == int(planted)
+
+
 def test_licenses(docs, texts, empty):
     got = by_id(scan_licenses(docs))
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -287,6 +304,52 @@ def test_revealing_terms(spark):
     assert all(got[i]["spans"] == "" for i, _ in rows[6:])
 
 
+def test_callers_columns_and_their_values_pass(spark):
+    """Columns with the names of private ones keep types and values through every filtering stage; repeated
+    rows stay repeated."""
+    rng = random.Random(21)
+    item = prose(rng, 30)
+    rows = [(1, "write to joe.q@mail.example.org", "u1", "k1", 5, 3, b"a"), (2, prose(rng, 30), "u2", "k2", 6, 4, b"b"),
+            (3, item, "u3", "k3", 7, 5, b"c"), (None, None, "u4", None, 8, None, None)]
+    rows += [rows[1], rows[0]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, _th string, row int, _bad_id int, es binary")
+    key = lambda r: str(tuple(r))
+    clean = sanitise(d)
+    assert clean.dtypes == d.dtypes
+    want = [(r[0], "write to [EMAIL]" if r[0] == 1 else r[1], *r[2:]) for r in rows]
+    assert sorted(map(tuple, clean.collect()), key=key) == sorted(want, key=key)
+    kept = decontaminate(d, spark.createDataFrame([(1, item, "x")], "item_id long, text string, _id string"))
+    assert kept.dtypes == d.dtypes
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted([r for r in rows if r[0] != 3], key=key)
+
+
+def test_empty_tables(spark, empty):
+    """No rows in, no rows and the same columns out."""
+    for out in (sanitise(empty), drop_near_duplicates(empty), reject(empty, {1: 1.0}),
+                decontaminate(empty, spark.createDataFrame([(1, "x")], "item_id long, text string"))):
+        assert out.columns == empty.columns and out.collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert extract_pages(pages).collect() == []
+
+
+def test_many_mentions_and_terms_in_one_text(spark):
+    """Two texts that share 3,000 addresses and 3,000 names: one class of entities, one of terms, no product."""
+    rng = random.Random(31)
+    names = [f"Zq{i}x" for i in range(3000)]
+    long = " ".join(f"{n} {n.lower()}@mail.example.org" for n in names)
+    rows = [(1, long), (2, long + " and so on")] + [(100 + i, prose(rng, 40)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    found = {r["doc_id"]: r for r in find_personal_data(d).collect()}
+    assert time.perf_counter() - began < 120
+    for i in (1, 2):
+        assert found[i]["n_email"] == 3000
+        assert {s["value"] for s in found[i]["terms"]} >= set(names)
+    assert all(not found[100 + i]["terms"] for i in range(200))
+    text = {r["doc_id"]: r["text"] for r in sanitise(d).collect()}
+    assert text[1] == " ".join(["[REMOVED] [EMAIL]"] * 3000)
+
+
 def test_revealing_terms_of_the_whole_text(spark):
     """A name far from the mention, short names, and every place of a revealing term."""
     rows = [(i, f"Quillfeather, Wu {i}. {prose(random.Random(i), 90)}. mail quill@mail.example.org now, "
@@ -446,3 +509,30 @@ def test_pipeline_run(spark, tmp_path):
             assert kept == toxic | fine | {1001, 1003}
         else:
             assert len(kept & toxic) < 0.1 * len(toxic) and len(kept & fine) > 0.95 * len(fine)
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"),
+                         ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_rows_everywhere(spark):
+    """Rows repeated with id and text, equal ids with other texts, ids that are null: an answer for each row."""
+    rng = random.Random(50)
+    base = prose(rng, 120)
+    rows = [(1, base)] * 5 + [(1, prose(rng, 40)), (1, None), (2, base + " more")] + [(None, base)] * 3 + [(None, None), (3, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = collections.Counter(i for i, _ in rows)
+    for out in (fingerprint_documents(d), shard_documents(d), jaccard_components(d, 3, 90, count_links=False),
+                remove_repeats(d), scan_licenses(d), digest(find_personal_data(d)), pack_documents(d)):
+        assert collections.Counter(r["doc_id"] for r in out.collect()) == ids
+    groups = collections.defaultdict(set)
+    for r in jaccard_components(d, 3, 90, count_links=False).collect():
+        groups[r["doc_id"]].add((r["n_shingles"], r["component_id"]))
+    assert groups[3] == {(0, 3)} and groups[2] == {(119, None)} and (118, None) in groups[None]
+    removed = collections.Counter((r["n_bytes"], r["n_removed"]) for r in remove_repeats(d).collect())
+    assert removed[(len(base.encode()), len(base.encode()))] == 8
+    copies = [r["copy"] for r in pack_documents(d).collect() if r["doc_id"] == 1]
+    assert sorted(copies) == [0, 0, 0, 1, 2, 3, 4]
