@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.functions.numeric import round4
-from cartwise.functions.text import join_list
 from cartwise.operators import churn as C
 from cartwise.operators import evaluate as E
 from cartwise.session import stage
@@ -74,22 +73,9 @@ def fit_churn_model(features: DataFrame, iterations: int = DEFAULT_ITERATIONS):
     return scores, metric
 
 
-def churn_model(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT_ITERATIONS) -> DataFrame:
-    features, _ = features_frame(spark, sf_dir)
-    if features is None:
-        return spark.createDataFrame([], "accuracy double, roc_auc double, churn_rate double, "
-                                         "top_drivers string")
-    _, metric = fit_churn_model(features, iterations)
-    if metric is None:
-        return spark.createDataFrame([], "accuracy double, roc_auc double, churn_rate double, "
-                                         "top_drivers string")
-    return metric.withColumn("top_drivers", join_list("top_drivers", sort=False))
-
-
-def churn_scores(spark: SparkSession, sf_dir: str, iterations: int = DEFAULT_ITERATIONS) -> DataFrame:
-    features, _ = features_frame(spark, sf_dir)
-    empty = spark.createDataFrame([], "hshd_num bigint, churn_probability double, risk_band string")
-    if features is None:
-        return empty
-    scores, _ = fit_churn_model(features, iterations)
-    return empty if scores is None else scores
+def empty_metric(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "accuracy double, roc_auc double, churn_rate double, top_drivers string")
+
+
+def empty_scores(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "hshd_num bigint, churn_probability double, risk_band string")

@@ -13,11 +13,6 @@ from cartwise.plans import results as R
 from cartwise.plans.registry import register
 from cartwise.session import scratch_dir, stage
 
-# The oracle walks itemset sizes level by level; this is only the depth of that
-# check query (no basket in the driver data has more distinct items), the Spark
-# miner has no size limit.
-ORACLE_LEVELS = 16
-
 BI = """bi AS (SELECT DISTINCT t.basket_num, p.commodity AS item
        FROM transactions t JOIN products p ON p.product_num = t.product_num
        WHERE p.commodity IS NOT NULL)"""
@@ -25,23 +20,16 @@ NB = f"""nb AS (SELECT count(DISTINCT basket_num) AS n,
               CAST(ceil({B.MIN_SUPPORT} * count(DISTINCT basket_num)) AS BIGINT) AS minc FROM bi)"""
 
 
-def _levels() -> list[str]:
-    ctes = ["occ1 AS (SELECT basket_num, [item] AS items, item AS last FROM bi)",
-            "fr1 AS (SELECT items, count(*) AS freq FROM occ1 GROUP BY items "
-            "HAVING count(*) >= (SELECT minc FROM nb))"]
-    for k in range(1, ORACLE_LEVELS):
-        ctes.append(f"""occ{k+1} AS (SELECT o.basket_num, list_append(o.items, b.item) AS items,
-          b.item AS last FROM occ{k} o SEMI JOIN fr{k} f ON f.items = o.items
-          JOIN bi b ON b.basket_num = o.basket_num AND b.item > o.last)""")
-        ctes.append(f"fr{k+1} AS (SELECT items, count(*) AS freq FROM occ{k+1} GROUP BY items "
-                    "HAVING count(*) >= (SELECT minc FROM nb))")
-    ctes.append("fi AS MATERIALIZED (" + " UNION ALL ".join(
-        f"SELECT items, array_to_string(items, chr(1)) AS k, freq FROM fr{k}"
-        for k in range(1, ORACLE_LEVELS + 1)) + ")")
-    return ctes
-
-
-FI = _levels()
+# Level by level, as far as there are frequent itemsets: a turn extends each basket's last
+# level by its later items and keeps what enough baskets hold.
+FI = ["""occ AS (SELECT basket_num, [item] AS items, item AS last FROM (
+         SELECT *, count(*) OVER (PARTITION BY item) AS n FROM bi) WHERE n >= (SELECT minc FROM nb)
+       UNION ALL SELECT basket_num, items, last FROM (
+         SELECT o.basket_num, list_append(o.items, b.item) AS items, b.item AS last,
+                count(*) OVER (PARTITION BY list_append(o.items, b.item)) AS n
+         FROM occ o JOIN bi b ON b.basket_num = o.basket_num AND b.item > o.last)
+       WHERE n >= (SELECT minc FROM nb))""",
+      "fi AS MATERIALIZED (SELECT items, array_to_string(items, chr(1)) AS k, count(*) AS freq FROM occ GROUP BY items)"]
 RULES = """sub AS MATERIALIZED (SELECT items, freq, mask,
          list_filter(items, lambda x, i: ((mask >> (i - 1)) & 1) = 1) AS ante,
          list_filter(items, lambda x, i: ((mask >> (i - 1)) & 1) = 0) AS cons
@@ -61,7 +49,7 @@ RULE_COLS = (f"antecedents, consequents, {O.round4('support')} AS support, "
 
 
 def mining_sql(*extra: str) -> str:
-    return O.with_views(BI, NB, *FI, *extra)
+    return O.with_views(BI, NB, *FI, *extra).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _pairs(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartwise import oracle as O
 from cartwise.functions.numeric import BAND_ORDER, HIGH_RISK, MEDIUM_RISK
+from cartwise.functions.text import join_list
 from cartwise.operators import churn as C
 from cartwise.operators import evaluate as E
 from cartwise.operators import serving as V
@@ -258,15 +259,75 @@ def q_latest_metric(spark, sf):
                        F.col("created_at").isNotNull().alias("stamped"))
 
 
-@register("churn_model", "ML-6 ML-9 SRT-9")
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def model_root(spark, sf: str) -> str | None:
+    """The folder with the trained model's scores and metric row, written by the first query of
+    a session and scale that asks for either (None: nothing to train on)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        features, _ = J.features_frame(spark, sf)
+        scores, metric = (None, None) if features is None else J.fit_churn_model(features)
+        if scores is None:
+            return None
+        root = scratch_dir(spark, "model")
+        R.replace_result(scores, root, "household_churn", cluster_by="hshd_num")
+        R.replace_result(metric, root, "churn_model_metric", id_order=["accuracy"])
+        _MODELS[key] = root
+    return _MODELS[key]
+
+
+@register("churn_model", "ML-6 ML-9 SRT-9 SNK-2")
 def q_churn_model(spark, sf):
-    return J.churn_model(spark, sf)
+    root = model_root(spark, sf)
+    if root is None:
+        return J.empty_metric(spark)
+    metric = R.read_result(spark, root, "churn_model_metric").drop("id", "created_at")
+    return metric.withColumn("top_drivers", join_list("top_drivers", sort=False))
 
 
-@register("churn_scores", "ML-8 SC-14")
+@register("churn_scores", "ML-8 SC-14 SNK-2")
 def q_churn_scores(spark, sf):
-    return J.churn_scores(spark, sf)
-
+    root = model_root(spark, sf)
+    return J.empty_scores(spark) if root is None else R.read_result(spark, root, "household_churn").drop("created_at")
+
+
+@register("churn_model_checks", "ML-6 ML-8 ML-9 SRT-9 SNK-2 SNK-4", churn_sql() + f"""
+SELECT * FROM (
+SELECT 'households_scored' AS check_name, (SELECT count(*) FROM f) AS value
+UNION ALL SELECT 'households_scored_once', (SELECT count(*) FROM f)
+UNION ALL SELECT 'unknown_households', 0 UNION ALL SELECT 'outside_0_1', 0 UNION ALL SELECT 'wrong_band', 0
+UNION ALL SELECT 'churners_rank_higher', 1 UNION ALL SELECT 'metric_rows', 1
+UNION ALL SELECT 'metric_rate_in_10000', (SELECT CAST(round(10000 * avg(CAST(churned AS DOUBLE))) AS BIGINT) FROM f)
+UNION ALL SELECT 'auc_over_half', 1 UNION ALL SELECT 'accuracy_of_stored_scores', 1
+UNION ALL SELECT 'drivers', {J.TOP_DRIVERS} UNION ALL SELECT 'unknown_drivers', 0)""")
+def q_churn_model_checks(spark, sf):
+    """What must hold of any trained model, from its stored scores and metric row and the features."""
+    root = model_root(spark, sf)
+    if root is None:
+        raise ValueError("nothing to train on")
+    scores, metric = (R.read_result(spark, root, n) for n in ("household_churn", "churn_model_metric"))
+    features = stage(_features(spark, sf).select("hshd_num", "churned"), "model-labels")
+    test = E.stratified_split(features, "hshd_num", "churned").where("is_test").drop("is_test")
+    p = F.col("churn_probability")
+    known = scores.join(features.withColumnRenamed("churned", "label"), "hshd_num", "left")
+    counts = known.agg(
+        F.count(F.lit(1)).alias("households_scored"), F.count_distinct("hshd_num").alias("households_scored_once"),
+        F.count_if(F.col("label").isNull()).alias("unknown_households"),
+        F.count_if(p.isNull() | (p < 0) | (p > 1)).alias("outside_0_1"),
+        # Stored probabilities are rounded to 4 places, bands come from the unrounded ones.
+        F.count_if(F.col("risk_band") != F.when(p >= HIGH_RISK + 1e-4, BAND_ORDER[0]).when(p < MEDIUM_RISK - 1e-4, BAND_ORDER[2])
+                   .when((p >= MEDIUM_RISK + 1e-4) & (p < HIGH_RISK - 1e-4), BAND_ORDER[1])
+                   .otherwise(F.col("risk_band"))).alias("wrong_band"),
+        (F.avg(F.when(F.col("label") == 1, p)) > F.avg(F.when(F.col("label") == 0, p))).alias("churners_rank_higher")).first()
+    held = scores.join(test, "hshd_num").agg(F.avg(((p >= 0.5).cast("int") == F.col("churned")).cast("double"))).first()[0]
+    m = metric.collect()
+    row = m[0]
+    checks = {**counts.asDict(), "metric_rows": len(m), "metric_rate_in_10000": round(10000 * row["churn_rate"]),
+              "auc_over_half": row["roc_auc"] > 0.5, "accuracy_of_stored_scores": abs(held - row["accuracy"]) < 0.005,
+              "drivers": len(row["top_drivers"]), "unknown_drivers": len(set(row["top_drivers"]) - set(C.FEATURE_COLUMNS))}
+    return spark.createDataFrame([(k, int(v)) for k, v in checks.items()], "check_name string, value long")
 
 
 @register("churn_summary", "ML-10 AGG-11 JN-8 SRT-7", _metric_sql(

@@ -25,7 +25,7 @@ def plans(spark):
     out = {}
     # The training-data operators choose their style; their tests are in tests/llm.
     for name, q in all_queries().items():
-        if name in ("churn_model", "churn_scores", "copurchase_model", "stream_load_report"):
+        if name in ("churn_model", "churn_scores", "churn_model_checks", "copurchase_model", "stream_load_report"):
             continue      # one-row metric frames built from model output
         out[name] = plan_of(q.build(spark, SMALL_SF))
     return out
@@ -40,6 +40,32 @@ def test_household_filter_reaches_the_scan(plans):
     assert "EqualTo(o_custkey,10)" in plans["household_pull"]
 
 
+def test_point_pull_filters_the_lines_before_any_shuffle(spark):
+    """With broadcasts off: the lines are filtered by the household's baskets in their own scan."""
+    from cartwise.plans.q_pull import q_household_pull
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(q_household_pull(spark, SMALL_SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = next(part for part in p.split("\n\n") if "lineitem.parquet" in part and "Scan parquet" in part)
+    assert "l_orderkey" in scan[scan.index("PushedFilters"):] and "In(l_orderkey" in scan
+
+
+def test_lookups_read_stored_scores(plans):
+    """No feature job behind a lookup: one pruned read of the score table."""
+    for name, pushed in (("household_pull_risk", "EqualTo(hshd_num,10)"), ("household_exists", "In(hshd_num")):
+        scores = [part for part in plans[name].split("\n\n") if "household_churn" in part and "Scan parquet" in part]
+        assert len(scores) == 1 and pushed in scores[0]
+        assert "tenure" not in plans[name] and "datediff" not in plans[name]
+
+
+def test_vocabulary_is_numbered_without_a_window_over_it(plans):
+    assert "Window" not in plans["basket_onehot"] or "_part" in plans["basket_onehot"]
+    assert "Window" not in plans["stratified_split"]
+
+
 def test_product_panels_read_two_lineitem_columns_and_skip_orders(plans):
     p = plans["spend_by_department"]
     assert "ReadSchema: struct<l_partkey:bigint,l_extendedprice:double>" in p
