@@ -1,14 +1,15 @@
 """Burrows-Wheeler transforms of collections of byte strings, and their merge.
 
-A string is read as a circle. A shard's transform lists, for its suffixes (rotations) in
-sorted order, the ``step`` bytes that stand before each, and where the suffix that begins
-with them stands in that order. Transforms of several shards are merged by refining an
-interleave: at depth 0 the suffixes of one shard after the other's are one interval; a turn
-sorts them stably by the bytes before them and steps to the longer suffixes, so they are in
-order to ``step`` bytes more, and an interval splits where bytes or former intervals differ.
+A string is read as a circle. A shard's transform lists, for its suffixes in sorted order,
+the ``step`` bytes that stand before each, and where the suffix that begins with them
+stands in that order. Transforms of several shards are merged by refining an interleave: at
+depth 0 the suffixes of one shard after the other's are one interval; a turn sorts them
+stably by the bytes before them and steps to the longer suffixes, so they are in order to
+``step`` bytes more, and an interval splits where bytes or former intervals differ.
 Suffixes of an interval at depth d have a common prefix of d bytes: repeated strings of a
 length are the intervals of two or more at that depth. No suffixes are compared or sorted
-anew, only the transforms are read. What is alone in its interval stays alone and leaves.
+anew, only the transforms are read. What is alone in its interval stays alone and leaves;
+so does a suffix that is shorter than the depth.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ import numpy as np
 
 #: Bytes of one shard.
 SHARD_BYTES = 1 << 18
-#: Bytes that a turn may advance; the largest with few enough different values is taken.
-STEPS = (8, 4, 2)
+#: Bytes that a turn advances.
+STEP = 16
+#: Suffixes of a shard are sorted by so many bytes; what is equal that far keeps its place, and the
+#: merge refines it like the rest.
+SORTED = 64
 
 
 class Circles:
@@ -29,33 +33,43 @@ class Circles:
         self.base = np.r_[0, np.cumsum(self.sizes)][:-1].astype(np.int64)
         self.data = np.frombuffer(b"".join(strings), np.uint8)
         self.owner = np.repeat(np.arange(len(strings)), self.sizes)
-        self.first, self.size = self.base[self.owner], self.sizes[self.owner]
+        self.size = self.sizes[self.owner]
         self.place = np.arange(len(self.data))
-        self.offset = self.place - self.first
-
-    def moved(self, by: int) -> np.ndarray:
-        """For each place the one ``by`` further round its circle."""
-        return self.first + (self.offset + by) % self.size
-
-    def grams(self, n: int, back: int = 0) -> np.ndarray:
-        """The n bytes (at most 8) from ``back`` bytes before each place, as a number."""
-        out = np.zeros(len(self.data), np.uint64)
-        for i in range(n):
-            out = out << np.uint64(8) | self.data[self.moved(i - back)].astype(np.uint64)
-        return out
-
-
-def suffix_order(c: Circles, depth: int) -> np.ndarray:
-    """The places of a shard in the order of the ``depth`` bytes or more from each (prefix doubling)."""
-    rank = np.unique(c.grams(8), return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while have < depth:
-        ahead = rank[c.moved(have)]
-        if have + have >= depth:
-            return np.lexsort((ahead, rank))
-        rank = np.unique(rank << 31 | ahead, return_inverse=True)[1].astype(np.int64)
+        self.offset = self.place - self.base[self.owner]
+
+    def back(self, by: int) -> np.ndarray:
+        """For each place the one ``by`` back round its circle (strings have ``by`` bytes at least)."""
+        return np.where(self.offset >= by, self.place - by, self.place - by + self.size)
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+
+
+def _ahead(rank: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(rank)
+    out[:-by] = rank[by:]
+    return out
+
+
+def step_ranks(data: np.ndarray) -> np.ndarray:
+    """For each place a number in the order of the STEP bytes from it (past the end: zeros)."""
+    padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
+    word = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        word |= padded[i:i + len(data)] << np.uint64(56 - 8 * i)
+    rank = _ranks(word)
+    return _ranks(rank << 32 | _ahead(rank, 8))
+
+
+def suffix_order(rank: np.ndarray, depth: int) -> np.ndarray:
+    """The places of a shard in the order of the ``depth`` bytes or more from each, from the ranks
+    of their first STEP bytes (prefix doubling)."""
+    have = STEP
+    while 2 * have < min(depth, len(rank)):
+        rank = _ranks(rank << 32 | _ahead(rank, have))
         have *= 2
-    return np.argsort(rank, kind="stable")
+    return np.lexsort((_ahead(rank, have), rank)) if have < len(rank) else np.argsort(rank, kind="stable")
 
 
 def shards_of(strings: list[bytes]) -> list[tuple[int, int]]:
@@ -69,37 +83,43 @@ def shards_of(strings: list[bytes]) -> list[tuple[int, int]]:
     return out + [(first, len(strings))] * (first < len(strings))
 
 
+def _stable_order(rank: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of small whole numbers, by radix."""
+    turn = np.argsort((rank & 0xFFFF).astype(np.uint16), kind="stable")
+    return turn[np.argsort((rank >> 16).astype(np.uint16)[turn], kind="stable")] if most > 1 << 16 else turn
+
+
 def merged_intervals(strings: list[bytes], length: int) -> tuple[Circles, np.ndarray, np.ndarray]:
-    """(circles, places, intervals): the places whose ``length`` bytes (not round the end) stand
-    at another place too, sorted by them, and a number for each interval of equal ones."""
+    """(circles, places, intervals): the places whose ``length`` bytes (a multiple of STEP; within their
+    string) stand at another place too, sorted by them, and a number for each interval of equal ones."""
     c = Circles(strings)
-    for step in STEPS:
-        before = c.grams(step, back=step)
-        values, symbol = np.unique(before, return_inverse=True)
-        if len(values) <= 1 << 16:
-            break
-    symbol = symbol.astype(np.uint16)
+    if not strings:
+        return c, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    rank = step_ranks(c.data)
+    most = int(rank.max()) + 1
     # The shards' orders, one behind the other; a suffix is known by its index there.
-    order = np.concatenate([np.zeros(0, np.int64), *(
-        c.base[a] + suffix_order(Circles(strings[a:b]), length) for a, b in shards_of(strings))])
+    order = np.concatenate([
+        lo + suffix_order(rank[lo:hi], SORTED) for lo, hi in
+        ((int(c.base[a]), int(c.base[b - 1] + c.sizes[b - 1])) for a, b in shards_of(strings))])
     index = np.empty(len(order), np.int32)
     index[order] = np.arange(len(order), dtype=np.int32)
-    transform = symbol[order]
-    longer = index[c.moved(-step)][order]
+    before = c.back(STEP)
+    transform = rank.astype(np.int32)[before][order]
+    longer = index[before][order]
     rest = (c.size - c.offset)[order].astype(np.int32)  # bytes from the suffix to its string's end
 
     at, interval = np.arange(len(order), dtype=np.int32), np.zeros(len(order), np.int32)
-    for depth in range(step, length + 1, step):
-        said = transform[at]
-        turn = np.argsort(said, kind="stable")
-        at, said, interval = longer[at[turn]], said[turn], interval[turn]
+    for depth in range(STEP, length + 1, STEP):
+        at, said = longer[at], transform[at]
         keep = rest[at] >= depth  # its prefix ends in its own string
-        at, said, interval = at[keep], said[keep], interval[keep]
+        at, interval, said = at[keep], interval[keep], said[keep]
+        turn = _stable_order(said, most)
+        at, interval, said = at[turn], interval[turn], said[turn]
         new = np.ones(len(at) + 1, bool)
         new[1:-1] = (said[1:] != said[:-1]) | (interval[1:] != interval[:-1])
-        alone = new[:-1] & new[1:]
-        interval = np.cumsum(new[:-1], dtype=np.int32)[~alone]
-        at = at[~alone]
+        several = ~(new[:-1] & new[1:])
+        interval = np.cumsum(new[:-1], dtype=np.int32)[several]
+        at = at[several]
         if not len(at):
             break
     return c, order[at], interval
