@@ -321,7 +321,12 @@ def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     & (100 * F.col("hia") >= percent * F.col("lob"))
                     & (F.least("resta", "restb") >= _limit(F.col("loa"), F.col("lob"), percent))
                     & (F.col("wa0").isNull() | F.col("wb0").isNull() | _close(F.col("loa"), F.col("lob"), percent)))
-            .select("member", F.least("roota", "rootb").alias("ra"), F.greatest("roota", "rootb").alias("rb")).distinct())
+            .select("member", F.least("roota", "rootb").alias("ra"), F.greatest("roota", "rootb").alias("rb"),
+                    (F.col("wa0").isNotNull() & F.col("wb0").isNotNull()).alias("plain")).distinct())
+    meet = stage(meet, "op5-meet")
+    # Two roots of one class each are a pair as they are; others meet group by group.
+    plain = meet.filter("plain").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    meet = meet.filter("NOT plain").select("member", "ra", "rb")
     side = lambda s: posted.select("member", F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
                                    F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
     groups = (meet.join(side("a"), ["member", "ra"]).join(side("b"), ["member", "rb"])
@@ -334,7 +339,7 @@ def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                        .filter("lo < hi").select("g"), "g")
     half = lambda s: split.select("g", F.col("c").alias(s), F.col("root").alias(f"r{s}"))
     within = half("a").join(half("b"), "g").filter("ra < rb").select("a", "b")
-    return (across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return (plain.union(across).union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
@@ -362,7 +367,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
     roots, known_sets, links, turn = stage(few.select("c", F.col("c").alias("root")), "op5-roots"), None, None, 0
     total, exact = few.count(), count_links
     while True:
-        nodes = few.select("g", "n", "c", "bits").join(roots.select("c", "root"), "c")
+        nodes = stage(few.select("g", "n", "c", "bits").join(roots.select("c", "root"), "c"), "op5-nodes")
         pairs = (_group_pairs(live, few, percent) if count_links else
                  _cross_pairs(live, nodes, percent) if exact else _hub_pairs(live, nodes, turn, percent))
         pairs = stage(_bounded(pairs, few, percent), "op5-pairs")
