@@ -300,7 +300,7 @@ UNION ALL SELECT 'households_scored_once', (SELECT count(*) FROM f)
 UNION ALL SELECT 'unknown_households', 0 UNION ALL SELECT 'outside_0_1', 0 UNION ALL SELECT 'wrong_band', 0
 UNION ALL SELECT 'churners_rank_higher', 1 UNION ALL SELECT 'metric_rows', 1
 UNION ALL SELECT 'metric_rate_in_10000', (SELECT CAST(round(10000 * avg(CAST(churned AS DOUBLE))) AS BIGINT) FROM f)
-UNION ALL SELECT 'auc_over_half', 1 UNION ALL SELECT 'accuracy_of_stored_scores', 1
+UNION ALL SELECT 'auc_of_stored_scores', 1 UNION ALL SELECT 'accuracy_of_stored_scores', 1
 UNION ALL SELECT 'drivers', {J.TOP_DRIVERS} UNION ALL SELECT 'unknown_drivers', 0)""")
 def q_churn_model_checks(spark, sf):
     """What must hold of any trained model, from its stored scores and metric row and the features."""
@@ -321,11 +321,13 @@ def q_churn_model_checks(spark, sf):
                    .when((p >= MEDIUM_RISK + 1e-4) & (p < HIGH_RISK - 1e-4), BAND_ORDER[1])
                    .otherwise(F.col("risk_band"))).alias("wrong_band"),
         (F.avg(F.when(F.col("label") == 1, p)) > F.avg(F.when(F.col("label") == 0, p))).alias("churners_rank_higher")).first()
-    held = scores.join(test, "hshd_num").agg(F.avg(((p >= 0.5).cast("int") == F.col("churned")).cast("double"))).first()[0]
+    judged = stage(scores.join(test, "hshd_num"), "model-judged")
+    auc = E.roc_auc(judged, "churned", "churn_probability").first()["roc_auc"]
+    held = judged.agg(F.avg(((p >= 0.5).cast("int") == F.col("churned")).cast("double"))).first()[0]
     m = metric.collect()
     row = m[0]
     checks = {**counts.asDict(), "metric_rows": len(m), "metric_rate_in_10000": round(10000 * row["churn_rate"]),
-              "auc_over_half": row["roc_auc"] > 0.5, "accuracy_of_stored_scores": abs(held - row["accuracy"]) < 0.005,
+              "auc_of_stored_scores": abs((auc or 0.0) - (row["roc_auc"] or 0.0)) < 0.02, "accuracy_of_stored_scores": abs(held - row["accuracy"]) < 0.005,
               "drivers": len(row["top_drivers"]), "unknown_drivers": len(set(row["top_drivers"]) - set(C.FEATURE_COLUMNS))}
     return spark.createDataFrame([(k, int(v)) for k, v in checks.items()], "check_name string, value long")
 
