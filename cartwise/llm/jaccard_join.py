@@ -38,7 +38,7 @@ SLICES = 64
 BITMAP_WORDS = 8
 #: Turns in which classes meet hubs go on while a turn joins more than this share of the
 #: classes. It sets how many pairs are left for the exact turn after them, never the result.
-HUB_SHARE = 0.1
+HUB_SHARE = 0.01
 #: Groups whose prefix a task remembers to have given out.
 GIVEN = 500_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
