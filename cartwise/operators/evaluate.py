@@ -75,17 +75,23 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str,
     return flagged.withColumn("is_test", F.coalesce(is_test, F.lit(False))).drop("_label", "_last_h", "_last_id")
 
 
-def accuracy(df: DataFrame, label_col: str, prediction_col: str) -> DataFrame:
-    return df.agg(F.avg(F.when(F.col(prediction_col) == F.col(label_col), 1.0)
-                        .otherwise(0.0)).alias("accuracy"))
+def accuracy(df: DataFrame, label_col: str, prediction_col: str, weight_col: str | None = None) -> DataFrame:
+    """Share of right predictions; ``weight_col`` counts the rows that a row stands for."""
+    right = F.when(F.col(prediction_col) == F.col(label_col), 1.0).otherwise(0.0)
+    if weight_col is None:
+        return df.agg(F.avg(right).alias("accuracy"))
+    return df.agg(F.try_divide(F.sum(right * F.col(weight_col)),
+                               F.sum(F.col(weight_col).cast("double"))).alias("accuracy"))
 
 
 def roc_auc(df: DataFrame, label_col: str, score_col: str,
-            ranges: int = AUC_RANGES) -> DataFrame:
-    """Exact ROC-AUC (ties count one half), as a one-row frame; NULL for one class."""
+            ranges: int = AUC_RANGES, weight_col: str | None = None) -> DataFrame:
+    """Exact ROC-AUC (ties count one half), as a one-row frame; NULL for one class.
+    ``weight_col`` counts the rows that a row stands for."""
+    n = F.lit(1) if weight_col is None else F.col(weight_col).cast("bigint")
     per_score = (df.groupBy(F.col(score_col).cast("double").alias("s"))
-                   .agg(F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("pos"),
-                        F.sum(F.when(F.col(label_col) == 1, 0).otherwise(1)).alias("neg")))
+                   .agg(F.sum(F.when(F.col(label_col) == 1, n).otherwise(0)).alias("pos"),
+                        F.sum(F.when(F.col(label_col) == 1, 0).otherwise(n)).alias("neg")))
     # Read twice (quantiles, then the sums): staged once in the shared folder
     # (one row per distinct score, so it can grow with the data).
     per_score = stage(per_score, "auc-scores")

@@ -26,6 +26,9 @@ DEFAULT_ITERATIONS = 100
 FEATURE_ROWS = T.StructType([
     T.StructField("basket_num", T.LongType()), T.StructField("label", T.IntegerType()),
     T.StructField("features", VectorUDT())])
+ALIKE_ROWS = T.StructType([
+    T.StructField("label", T.IntegerType()), T.StructField("is_test", T.BooleanType()),
+    T.StructField("features", VectorUDT()), T.StructField("baskets", T.DoubleType())])
 
 
 def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,16 +90,13 @@ def copurchase_lines(lines: DataFrame, iterations: int = DEFAULT_ITERATIONS) ->
     width = index.count()
     if width == 0:
         return empty
-    # One row per basket, read by the split, the fit and the evaluation: staged once, and
-    # read back with the vector type over the stored layout.
-    data = stage(B.sparse_features(rows, index, width), "copurchase-rows", FEATURE_ROWS)
-    split = (E.stratified_split(data, "basket_num", "label")
-             .withColumn("label_d", F.col("label").cast("double")))
-    model = gbt(iterations, label="label_d").fit(split.where(~F.col("is_test")))
+    split = alike(E.stratified_split(stage(B.sparse_features(rows, index, width), "copurchase-rows"),
+                                     "basket_num", "label"))
+    model = gbt(iterations, label="label_d", weight="baskets").fit(split.where(~F.col("is_test")))
     test = model.transform(split.where(F.col("is_test"))).withColumn(
         "p1", vector_to_array("probability")[1])
-    acc = E.accuracy(test, "label_d", "prediction").first()["accuracy"]
-    auc = E.roc_auc(test, "label", "p1").first()["roc_auc"]
+    acc = E.accuracy(test, "label_d", "prediction", "baskets").first()["accuracy"]
+    auc = E.roc_auc(test, "label", "p1", weight_col="baskets").first()["roc_auc"]
     drivers = item_drivers(model.featureImportances, index)
     row = spark.createDataFrame([(target, float(acc), None if auc is None else float(auc),
                                   ", ".join(drivers))],
@@ -106,6 +106,16 @@ def copurchase_lines(lines: DataFrame, iterations: int = DEFAULT_ITERATIONS) ->
                       round4("roc_auc").alias("roc_auc"), "top_drivers")
 
 
+def alike(split: DataFrame) -> DataFrame:
+    """Split baskets with the same items, label and part as one row with their number
+    (``baskets``), which the fit and the metrics take as its weight: the trees read each of
+    these rows hundreds of times. Stored, and read back with the vector type over the
+    stored layout."""
+    rows = (split.groupBy("label", "is_test", "features")
+            .agg(F.count(F.lit(1)).cast("double").alias("baskets")))
+    return stage(rows, "copurchase-alike", ALIKE_ROWS).withColumn("label_d", F.col("label").cast("double"))
+
+
 def item_drivers(importances, index: DataFrame, k: int = TOP_DRIVERS) -> list[str]:
     """The ``k`` most important items (ties by name). Only items that a tree uses have an
     importance; those and the first ``k`` by name, which fill up, are looked up."""

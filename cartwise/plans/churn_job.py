@@ -33,10 +33,11 @@ def features_frame(spark: SparkSession, sf_dir: str,
     return C.churn_features(S.basket_totals(spark, sf_dir), S.households(spark, sf_dir), holdout_days)
 
 
-def gbt(iterations: int, label: str = "label") -> GBTClassifier:
+def gbt(iterations: int, label: str = "label", weight: str | None = None) -> GBTClassifier:
     """Library defaults of the reference's booster: depth 3, step 0.1, seed 42."""
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=iterations,
-                         maxDepth=3, stepSize=0.1, seed=42)
+    booster = GBTClassifier(featuresCol="features", labelCol=label, maxIter=iterations,
+                            maxDepth=3, stepSize=0.1, seed=42)
+    return booster if weight is None else booster.setWeightCol(weight)
 
 
 def top_drivers(importances, names: list[str], k: int) -> list[str]:

@@ -133,3 +133,28 @@ def test_basket_summary_counts_lines_once(spark):
     lines = spark.createDataFrame([(1, "A"), (1, "A"), (1, None), (2, "B"), (3, None)], "basket_num long, commodity string")
     assert tuple(J.basket_summary(lines).first()) == (5, 2, 2)
     assert tuple(J.basket_summary(lines.limit(0)).first()) == (0, 0, 0)
+
+
+def test_baskets_alike_are_one_weighted_row_of_the_model(spark):
+    """Repeating every basket many times leaves as many rows to fit, and the same metric as rows apart."""
+    from pyspark.ml.functions import vector_to_array
+    from cartwise.operators import evaluate as E
+    from cartwise.plans.churn_job import gbt
+    from cartwise.session import stage
+    baskets = [(i, [x for x, d in (("A", 2), ("B", 3), ("C", 5), ("T", 4)) if i % d == 0 or i % 7 == d]) for i in range(1, 400)]
+    itemsets = spark.createDataFrame([b for b in baskets if b[1]], "basket_num long, items array<string>")
+    rows = B.copurchase_rows(itemsets, "T")
+    index = B.vocabulary_index(itemsets.select(F.explode("items").alias("item")).where("item <> 'T'"))
+    data = E.stratified_split(stage(B.sparse_features(rows, index, 3), "test-alike"), "basket_num", "label")
+    got = J.alike(data)
+    assert got.count() <= 2 * 2 * 8 and got.agg(F.sum("baskets")).first()[0] == itemsets.count()
+    weighted = gbt(5, "label_d", "baskets").fit(got.where("not is_test")).transform(got.where("is_test"))
+    plain = stage(B.sparse_features(rows, index, 3), "test-apart", J.FEATURE_ROWS)
+    plain = E.stratified_split(plain, "basket_num", "label").withColumn("label_d", F.col("label").cast("double"))
+    apart = gbt(5, "label_d").fit(plain.where("not is_test")).transform(plain.where("is_test"))
+    p1 = vector_to_array("probability")[1]
+    a = (E.accuracy(weighted, "label_d", "prediction", "baskets").first()[0],
+         E.roc_auc(weighted.withColumn("p1", F.round(p1, 9)), "label", "p1", weight_col="baskets").first()[0])
+    b = (E.accuracy(apart, "label_d", "prediction").first()[0],
+         E.roc_auc(apart.withColumn("p1", F.round(p1, 9)), "label", "p1").first()[0])
+    assert abs(a[0] - b[0]) < 1e-9 and abs(a[1] - b[1]) < 1e-9
