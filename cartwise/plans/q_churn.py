@@ -260,6 +260,7 @@ def q_latest_metric(spark, sf):
 
 
 _MODELS: dict[tuple[str, str], str] = {}
+_LABELS: dict = {}     # of the households that the model was made from, stored
 
 
 def model_root(spark, sf: str) -> str | None:
@@ -268,13 +269,17 @@ def model_root(spark, sf: str) -> str | None:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         features, _ = J.features_frame(spark, sf)
-        scores, metric = (None, None) if features is None else J.fit_churn_model(features)
+        if features is None:
+            return None
+        features = stage(features, "model-features")
+        scores, metric = J.fit_churn_model(features)
         if scores is None:
             return None
         root = scratch_dir(spark, "model")
         R.replace_result(scores, root, "household_churn", cluster_by="hshd_num")
         R.replace_result(metric, root, "churn_model_metric", id_order=["accuracy"])
         _MODELS[key] = root
+        _LABELS[key] = features.select("hshd_num", "churned")
     return _MODELS[key]
 
 
@@ -308,7 +313,7 @@ def q_churn_model_checks(spark, sf):
     if root is None:
         raise ValueError("nothing to train on")
     scores, metric = (R.read_result(spark, root, n) for n in ("household_churn", "churn_model_metric"))
-    features = stage(_features(spark, sf).select("hshd_num", "churned"), "model-labels")
+    features = _LABELS[spark.sparkContext.applicationId, sf]
     test = E.stratified_split(features, "hshd_num", "churned").where("is_test").drop("is_test")
     p = F.col("churn_probability")
     known = scores.join(features.withColumnRenamed("churned", "label"), "hshd_num", "left")
