@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import NO_ID, small, texts
+from cartwise.llm.common import NO_ID, batches_of, small, texts
 from cartwise.session import stage
 
 #: Cells of the count sketch, the same number for any input: 32 MB of counts in a task, 16 MB
@@ -38,9 +38,11 @@ SLICES = 64
 BITMAP_WORDS = 8
 #: Turns in which classes meet hubs go on while a turn joins more than this share of the
 #: classes. It sets how many pairs are left for the exact turn after them, never the result.
-HUB_SHARE = 0.01
+HUB_SHARE = 0.03
+#: Hubs of a prefix member or group in a turn.
+HUBS = 4
 #: Groups whose prefix a task remembers to have given out.
-GIVEN = 500_000
+GIVEN = 100_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 S33, S29 = np.uint64(33), np.uint64(29)
 
@@ -106,7 +108,8 @@ def order_sketch(docs: DataFrame, n: int) -> np.ndarray:
             yield pd.DataFrame({"slice": [s], "counts": [steps.tobytes()]})
 
     per_task = docs.select("text").mapInPandas(count, "slice int, counts binary")
-    got = per_task.repartition(SLICES, "slice").mapInPandas(merge, per_task.schema).collect()
+    with batches_of(docs.sparkSession):
+        got = per_task.repartition(SLICES, "slice").mapInPandas(merge, per_task.schema).collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in got:
         out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
@@ -161,27 +164,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def pack(batches):
         words = _Words()
         for b in batches:
-            yield pd.DataFrame({"c": b["c"], "set": [shingle_set(t, n, words).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"c": b["c"], "set": [shingle_set(t, n, words).view(np.int64) for t in b["text"]]})
 
-    found = docs.join(small(wanted), ["_id", "_th"]).select("c", "text").mapInPandas(pack, "c long, set binary")
+    found = docs.join(small(wanted), ["_id", "_th"]).select("c", "text").mapInPandas(pack, "c long, set array<long>")
     return found.dropDuplicates(["c"])  # of repeated rows one
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets meet the limit."""
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b["sa"], b["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[np.array(keep, bool), ["a", "b", "sizea", "sizeb"]]
-
+    """The pairs (a, b) of classes whose whole sets meet the limit, with the columns they came with."""
     both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b"))
-    return both.select("a", "b", "sizea", "sizeb", "sa", "sb").mapInPandas(
-        check, "a long, b long, sizea long, sizeb long")
+            .join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b")
+            .withColumn("both", F.size(F.array_intersect("sa", "sb"))))
+    return both.filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select(pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,24 +227,40 @@ def _limit(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
-def _differ(word: str) -> Column:
-    """Least size of the symmetric difference that the parity bitmaps a0, a1, ... and b0, b1, ... tell. Words are
-    columns of their own: a join compares very many of them."""
-    return sum((F.bit_count(F.col(f"{word}a{i}").bitwiseXOR(F.col(f"{word}b{i}"))) for i in range(BITMAP_WORDS)), F.lit(0))
+def _words(sums: DataFrame, name: str) -> list[Column]:
+    """The bitmap words of a summary as columns of their own (a join compares very many of them): the bits set in
+    all and in any of its bitmaps."""
+    return [F.col(f"{kind}{i}").alias(f"{kind}{name}{i}") for kind in ("all", "any") for i in range(BITMAP_WORDS)]
+
+
+def _summed(nodes: DataFrame, *by: str) -> DataFrame:
+    """Classes summed up: their number, least and greatest size, and the bits that all and any of their bitmaps hold."""
+    return nodes.groupBy(*by).agg(
+        F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+        *[F.bit_and(F.col("bits")[i]).alias(f"all{i}") for i in range(BITMAP_WORDS)],
+        *[F.bit_or(F.col("bits")[i]).alias(f"any{i}") for i in range(BITMAP_WORDS)])
 
 
-def _close(na: Column, nb: Column, percent: int) -> Column:
-    """The size and bitmap filters."""
+def _close(na: Column, nb: Column, percent: int, a: str = "a", b: str = "b") -> Column:
+    """The bitmap filter for summaries of sets of at most these sizes: bits that all of one and none of the other
+    hold bound the symmetric difference."""
+    bits = lambda x, y, i: F.bit_count(F.col(f"all{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"any{y}{i}"))))
+    differ = sum((bits(a, b, i) + bits(b, a, i) for i in range(BITMAP_WORDS)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (na + nb)
+
+
+def _alike(na: Column, bitsa: Column, nb: Column, bitsb: Column, percent: int) -> Column:
+    """The size and bitmap filters for two sets."""
+    differ = sum((F.bit_count(bitsa[i].bitwiseXOR(bitsb[i])) for i in range(BITMAP_WORDS)), F.lit(0))
     return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-            & (_differ("w") <= na + nb - 2 * _limit(na, nb, percent)))
+            & ((100 + percent) * differ <= (100 - percent) * (na + nb)))
 
 
 def _bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that their sizes and parity bitmaps allow, with their rows."""
-    side = lambda s: full.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"),
-                                 *[F.col("bits")[i].alias(f"w{s}{i}") for i in range(BITMAP_WORDS)],
-                                 F.col("size").alias(f"size{s}"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(F.col("na"), F.col("nb"), percent))
+    side = lambda s: full.select(F.col("c").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "bits", "size")])
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .filter(_alike(F.col("na"), F.col("bitsa"), F.col("nb"), F.col("bitsb"), percent))
             .select("a", "b", "sizea", "sizeb").distinct())
 
 
@@ -268,17 +278,23 @@ def _mixed(live: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(live: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of classes to try first, a few for each class: a class with the hub of its
-    group, and a group's hub with the hub of each prefix member. Only different roots."""
-    hubs = nodes.groupBy("g").agg(F.min_by(F.struct("c", "root"), F.xxhash64("c", F.lit(turn))).alias("hub"))
-    inside = (nodes.join(hubs, "g").filter(F.col("root") != F.col("hub.root"))
-              .select("c", F.col("hub.c").alias("other")))
-    posted = _mixed(live, nodes).select("member", "g", "n", "pos").distinct().join(hubs, "g")
-    posted = stage(posted.select("member", "n", "pos", "hub.c", "hub.root"), "op5-hubs")
-    top = posted.groupBy("member").agg(F.min_by(F.struct("n", "pos", "c", "root"), F.xxhash64("c", F.lit(turn))).alias("top"))
-    across = (posted.join(top, "member").filter((F.col("root") != F.col("top.root")) & _fits(
-        F.col("n"), F.col("pos"), F.col("top.n"), F.col("top.pos"), percent)).select("c", F.col("top.c").alias("other")))
-    return inside.union(across).select(F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")).distinct()
+    """Pairs of classes to try first, a few for each class: a class with the hubs of its group, and a group's
+    first hub with the hubs of each prefix member. Only different roots that size, position and bitmap filters allow."""
+    pick = lambda i, *cols: F.min_by(F.struct(*cols), F.xxhash64("c", F.lit(turn * HUBS + i)))
+    picked = lambda rows, by, *cols: (rows.groupBy(by).agg(F.array(*[pick(i, *cols) for i in range(HUBS)]).alias("hubs"))
+                                      .select(by, F.explode(F.array_distinct("hubs")).alias("hub")))
+    pair = [F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")]
+    near = ((F.col("root") != F.col("hub.root"))
+            & _alike(F.col("n"), F.col("bits"), F.col("hub.n"), F.col("hub.bits"), percent))
+    shared = nodes.join(nodes.groupBy("g").count().filter("count > 1").select("g"), "g")
+    inside = shared.join(picked(shared, "g", "c", "n", "root", "bits").withColumnRenamed("g", "hg"),
+                         (F.col("g") == F.col("hg")) & near).select(*pair)
+    first = nodes.groupBy("g").agg(pick(0, "c", "root", "bits").alias("top")).select("g", "top.*")
+    posted = stage(_mixed(live, nodes).select("member", "g", "n", "pos").distinct().join(first, "g").drop("g"), "op5-hubs")
+    across = posted.join(picked(posted, "member", "c", "n", "pos", "root", "bits").withColumnRenamed("member", "hm"),
+                         (F.col("member") == F.col("hm")) & near & _fits(
+                             F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)).select(*pair)
+    return inside.union(across).distinct()
 
 
 def _group_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -305,41 +321,61 @@ def _cross_pairs(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     posted = stage(_mixed(live, nodes), "op5-mixed")
     width = math.log(100 / percent * 1.0001)
     band = F.floor(F.log(F.col("n")) / F.lit(width)).cast("int")
-    words = [f"w{i}" for i in range(BITMAP_WORDS)]
-    single = nodes.groupBy("root").agg(F.count("*").alias("k"), F.first("bits").alias("bits")).select(
-        "root", *[F.when(F.col("k") == 1, F.col("bits")[i]).alias(w) for i, w in enumerate(words)])
+    sums = stage(_summed(nodes, "root").drop("lo", "hi"), "op5-root-sums")
     roots = stage(posted.groupBy("member", "root", band.alias("band")).agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-        .join(single, "root"), "op5-roots-by-member")
-    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest")],
-                                *[F.col(w).alias(f"w{s}{i}") for i, w in enumerate(words)])
+        .join(sums, "root"), "op5-roots-by-member")
+    of = lambda s, b: roots.select("member", b, *[F.col(c).alias(f"{c}{s}") for c in ("root", "lo", "hi", "rest", "k")],
+                                *_words(roots, s))
     # Of two sets the smaller one shares its shortest enough members only (its rest bounds the intersection).
     index = F.col("resta") >= _limit(F.col("loa"), F.col("loa"), percent)
     above = F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")  # b is the larger one
+    first = F.struct(F.col("ka"), F.col("roota")) < F.struct(F.col("kb"), F.col("rootb"))
     meet = (of("a", F.col("band")).filter(index).join(of("b", above), ["member", "band"])
             .filter((F.col("roota") != F.col("rootb")) & (F.col("loa") <= F.col("hib"))
                     & (100 * F.col("hia") >= percent * F.col("lob"))
                     & (F.least("resta", "restb") >= _limit(F.col("loa"), F.col("lob"), percent))
-                    & (F.col("wa0").isNull() | F.col("wb0").isNull() | _close(F.col("loa"), F.col("lob"), percent)))
-            .select("member", F.least("roota", "rootb").alias("ra"), F.greatest("roota", "rootb").alias("rb"),
-                    (F.col("wa0").isNotNull() & F.col("wb0").isNotNull()).alias("plain")).distinct())
+                    & _close(F.col("hia"), F.col("hib"), percent))
+            .select("member", F.when(first, F.col("roota")).otherwise(F.col("rootb")).alias("ra"),
+                    F.when(first, F.col("rootb")).otherwise(F.col("roota")).alias("rb"),
+                    (F.greatest("ka", "kb") == 1).alias("plain")).distinct())
     meet = stage(meet, "op5-meet")
-    # Two roots of one class each are a pair as they are; others meet group by group.
+    # Two roots of one class each are a pair as they are; others meet group by group, the root of fewer classes
+    # first, and what the groups' bitmaps don't allow is dropped where they meet.
     plain = meet.filter("plain").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     meet = meet.filter("NOT plain").select("member", "ra", "rb")
-    side = lambda s: posted.select("member", F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"),
-                                   F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
-    groups = (meet.join(side("a"), ["member", "ra"]).join(side("b"), ["member", "rb"])
-              .filter(_fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
+    parts = _summed(nodes, "g", "root").drop("k", "lo", "hi")
+    side = lambda s: (posted.join(meet.select("member", F.col(f"r{s}").alias("root")).distinct(), ["member", "root"])
+                      .join(parts, ["g", "root"])
+                      .select(F.col("member").alias(f"m{s}"), *[F.col(c).alias(f"{c[0]}{s}") for c in ("root", "g", "n", "pos")],
+                              *_words(parts, s)))
+    b = side("b").withColumnRenamed("rb", "hb")
+    groups = (meet.join(side("a").withColumnRenamed("ma", "member"), ["member", "ra"])
+              .join(b, (F.col("member") == F.col("mb")) & (F.col("rb") == F.col("hb"))
+                    & _fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
+                    & _close(F.col("na"), F.col("nb"), percent))
               .select("ra", "ga", "rb", "gb").distinct())
     # Expand the groups' parts to their classes; a group of several roots also meets itself.
     end = lambda s: nodes.select(F.col("root").alias(f"r{s}"), F.col("g").alias(f"g{s}"), F.col("c").alias(s))
     across = groups.join(end("a"), ["ra", "ga"]).join(end("b"), ["rb", "gb"]).select("a", "b")
     split = nodes.join(nodes.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                        .filter("lo < hi").select("g"), "g")
-    half = lambda s: split.select("g", F.col("c").alias(s), F.col("root").alias(f"r{s}"))
-    within = half("a").join(half("b"), "g").filter("ra < rb").select("a", "b")
-    return (plain.union(across).union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    half = lambda s: split.select(F.col("g").alias(f"g{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("c", "root", "n", "bits")])
+    within = half("a").join(half("b"), (F.col("ga") == F.col("gb")) & (F.col("roota") < F.col("rootb")) & _alike(
+        F.col("na"), F.col("bitsa"), F.col("nb"), F.col("bitsb"), percent)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return plain.union(across).union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _merged(across: DataFrame) -> DataFrame:
+    """(root, to) of linked roots (a, b): each joins its neighbour of most links, if that has more than itself (then the
+    smaller one), so what a hub links goes to it in one turn; and that one's choice."""
+    both = across.union(across.select("b", "a")).distinct()
+    links = both.groupBy("a").agg(F.struct((-F.count("*")).alias("k"), F.col("a").alias("root")).alias("own"))
+    best = (both.join(links.select(F.col("a").alias("b"), F.col("own").alias("other")), "b")
+            .groupBy("a").agg(F.min("other").alias("other")).join(links, "a").filter("other < own")
+            .select(F.col("a").alias("root"), F.col("other.root").alias("to")))
+    step = best.select(F.col("root").alias("to"), F.col("to").alias("next"))
+    return best.join(step, "to", "left").select("root", F.coalesce("next", "to").alias("to"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
@@ -356,7 +392,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
     first, and then only the pairs that no chain of links joins yet: components stay exact.
     """
     d = texts(docs).select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"))
-    rows = stage(_classes(d, words, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "op5-rows")
+    with batches_of(docs.sparkSession):
+        rows = stage(_classes(d, words, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "op5-rows")
     classes = stage(rows.filter("n > 0").groupBy("c", "n", "g").agg(
         F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("size")), "op5-classes")
     live = stage(_live_postings(rows), "op5-live")
@@ -368,14 +405,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
     total, exact = few.count(), count_links
     while True:
         nodes = stage(few.select("g", "n", "c", "bits").join(roots.select("c", "root"), "c"), "op5-nodes")
-        pairs = (_group_pairs(live, few, percent) if count_links else
-                 _cross_pairs(live, nodes, percent) if exact else _hub_pairs(live, nodes, turn, percent))
-        pairs = stage(_bounded(pairs, few, percent), "op5-pairs")
+        pairs = stage(_bounded(_group_pairs(live, few, percent), few, percent) if count_links else
+                      _cross_pairs(live, nodes, percent) if exact else _hub_pairs(live, nodes, turn, percent), "op5-pairs")
         ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
         wanted = few.join(ends, "c", "left_semi").select("c", "_id", "_th")
         if known_sets is not None:
             wanted = wanted.join(known_sets.select("c"), "c", "left_anti")
-        more = stage(_sets(d, stage(wanted, "op5-wanted"), words), "op5-sets")
+        wanted = stage(wanted, "op5-wanted")
+        with batches_of(docs.sparkSession):
+            more = stage(_sets(d, wanted, words), "op5-sets")
         known_sets = more if known_sets is None else known_sets.union(more)
         links = stage(_verified(pairs, known_sets, percent), "op5-links")
         of = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
@@ -384,11 +422,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
             if across.isEmpty():
                 break
             merged = components(across).select(F.col("c").alias("root"), F.col("root").alias("to"))
-        else:  # hubs need no closure: a root joins its smallest neighbour's, what that leaves apart the next turn finds
-            merged = (across.union(across.select("b", "a")).groupBy(F.col("a").alias("root"))
-                      .agg(F.min("b").alias("to")).filter("to < root"))
-            step = merged.select(F.col("root").alias("to"), F.col("to").alias("next"))
-            merged = merged.join(step, "to", "left").select("root", F.coalesce("next", "to").alias("to"))
+        else:  # hubs need no closure: what this leaves apart the next turn finds
+            merged = _merged(across)
         roots = stage(roots.select("c", "root").join(merged, "root", "left").select(
             "c", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")), "op5-roots")
         if exact:

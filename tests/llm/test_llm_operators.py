@@ -10,7 +10,8 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from cartwise.llm import html_extract, licenses, suffix_dedup
+from cartwise.llm import html_extract, jaccard_join, licenses, suffix_dedup
+from cartwise.llm.common import batches_of
 from cartwise.llm.decontaminate import contaminated, decontaminate
 from cartwise.llm.fingerprints import fingerprint_documents
 from cartwise.llm.html_extract import extract_pages, main_text
@@ -201,6 +202,34 @@ def test_jaccard_join(docs, texts, empty, n, percent):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, want))
 
 
+def test_roots_of_several_classes_are_told_apart_by_their_bitmaps(spark):
+    """Classes of one member whose bitmaps are far apart make no pair, in roots of one class or of more."""
+    far, near = [(0, 1), (0, 3)], [(-1, 5), (-1, 5)]
+    rows = [(c, 100, c, root, [first, word, *[first] * 6]) for c, (root, (first, word)) in enumerate(
+        [(0, far[0]), (0, far[1]), (2, near[0]), (2, near[1]), (4, (-1, 7))])]
+    nodes = spark.createDataFrame(rows, "g long, n int, c long, root long, bits array<long>")
+    live = spark.createDataFrame([(7, c, 100, 0) for c in range(5)], "member long, g long, n int, pos int")
+    got = jaccard_join._cross_pairs(live, nodes, 90).collect()
+    assert sorted(map(tuple, got)) == [(2, 4), (3, 4)]
+
+
+def test_classes_go_to_the_hub_that_links_them_in_one_turn(spark):
+    """Whatever its number: smaller roots go to it too."""
+    edges = [(min(5, i), max(5, i)) for i in range(10) if i != 5] + [(20, 21)]
+    got = jaccard_join._merged(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [*((i, 5) for i in range(10) if i != 5), (21, 20)]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """And the session's own number is back afterwards, also if the work fails."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), batches_of(spark, 30):
+        sizes = spark.range(100).coalesce(1).mapInPandas(lambda bs: (b.assign(id=len(b)) for b in bs), "id long").collect()
+        raise ValueError
+    assert max(r["id"] for r in sizes) == 30 and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("anchor_runs,task_bytes", [(2048, 1 << 20), (2, 1 << 12)])
 def test_repeats(docs, texts, empty, anchor_runs, task_bytes, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ANCHOR_RUNS", anchor_runs)
