@@ -159,15 +159,28 @@ def _live_postings(rows: DataFrame) -> DataFrame:
             .filter("before IS NOT NULL OR after IS NOT NULL").select("member", "g", "n", "pos"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, set): the whole sets of the wanted classes (c, _id, _th), a stored frame."""
+def _told_apart(live: DataFrame) -> DataFrame:
+    """The postings (a stored frame) without the members that tell nothing: of members held by the same groups the first
+    in the global order stays. It stands before the others in each of the groups, so every filter lets through with it
+    what one of them lets through. Near copies share most of their prefixes, so this leaves few postings of them."""
+    holders = live.groupBy("member").agg(
+        F.count("*").alias("k"), F.min(F.struct("g", "pos")).alias("at"),
+        *[F.bit_xor(F.xxhash64(F.lit(i), "g")).alias(f"x{i}") for i in (1, 2)])
+    first = stage(holders.groupBy("k", "x1", "x2", "at.g").agg(F.min(F.struct("at.pos", "member")).alias("first"))
+                  .select("first.member"), "op5-first")
+    return live.join(small(first), "member", "left_semi")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, repeated: bool) -> DataFrame:
+    """(c, set): the whole sets of the wanted classes (c, _id, _th), a stored frame; ``repeated``: there are rows of
+    equal id and text."""
     def pack(batches):
         words = _Words()
         for b in batches:
             yield pd.DataFrame({"c": b["c"], "set": [shingle_set(t, n, words).view(np.int64) for t in b["text"]]})
 
     found = docs.join(small(wanted), ["_id", "_th"]).select("c", "text").mapInPandas(pack, "c long, set array<long>")
-    return found.dropDuplicates(["c"])  # of repeated rows one
+    return found.dropDuplicates(["c"]) if repeated else found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -396,7 +409,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
         rows = stage(_classes(d, words, percent).withColumn("c", F.xxhash64("n", "s1", "s2")), "op5-rows")
     classes = stage(rows.filter("n > 0").groupBy("c", "n", "g").agg(
         F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("size")), "op5-classes")
-    live = stage(_live_postings(rows), "op5-live")
+    live = stage(_told_apart(stage(_live_postings(rows), "op5-live")), "op5-told-apart")
+    repeated = not rows.groupBy("_id", "_th").count().filter("count > 1").isEmpty()
     groups = live.select("g").union(classes.groupBy("g").count().filter("count > 1").select("g")).distinct()
     few = stage(classes.join(groups, "g").select("g", "n", "c", "size", "rep._id", "rep._th")
                 .join(rows.select("_id", "_th", "bits").distinct(), ["_id", "_th"]), "op5-few")
@@ -413,9 +427,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, count
             wanted = wanted.join(known_sets.select("c"), "c", "left_anti")
         wanted = stage(wanted, "op5-wanted")
         with batches_of(docs.sparkSession):
-            more = stage(_sets(d, wanted, words), "op5-sets")
+            more = stage(_sets(d, wanted, words, repeated), "op5-sets")
         known_sets = more if known_sets is None else known_sets.union(more)
-        links = stage(_verified(pairs, known_sets, percent), "op5-links")
+        ends = stage(ends, "op5-ends")
+        links = stage(_verified(pairs, known_sets.join(small(ends), "c", "left_semi"), percent), "op5-links")
         of = lambda s: roots.select(F.col("c").alias(s), F.col("root").alias(f"r{s}"))
         across = links.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         if exact:

@@ -220,6 +220,17 @@ def test_classes_go_to_the_hub_that_links_them_in_one_turn(spark):
     assert sorted(map(tuple, got)) == [*((i, 5) for i in range(10) if i != 5), (21, 20)]
 
 
+def test_of_members_held_by_the_same_groups_the_first_stays(spark):
+    """It has the least place in all of them; members that other groups hold too are kept."""
+    held = {10: [(1, 4), (2, 2), (3, 5)], 11: [(1, 3), (2, 1), (3, 2)], 12: [(1, 5), (2, 7), (3, 6)], 13: [(1, 0), (2, 0)],
+            14: [(2, 9), (3, 9)], 15: [(1, 8), (2, 8)]}
+    live = spark.createDataFrame([(m, g, 100, p) for m, gs in held.items() for g, p in gs],
+                                 "member long, g long, n int, pos int")
+    got = jaccard_join._told_apart(live)
+    assert got.columns == live.columns
+    assert sorted(map(tuple, got.collect())) == [(m, g, 100, p) for m in (11, 13, 14) for g, p in held[m]]
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     """And the session's own number is back afterwards, also if the work fails."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
