@@ -468,12 +468,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     repeated rows one. Rows without words all stay. Columns as they were, whatever their names."""
     found = stage(jaccard_components(docs, words, percent, count_links=False).withColumn(
         "k", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.lit(NO_ID)))), "op5-found")
-    first = (found.filter(F.col("k").isNotNull()).groupBy("k")
-             .agg(F.min(F.struct("_id", "_th")).alias("r")).select("r.*"))
-    empty = found.filter(F.col("k").isNull()).select("_id", "_th").distinct()
+    first = found.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min(F.struct("_id", "_th")).alias("r"))
+    gone = stage(found.join(first, "k").filter(F.struct("_id", "_th") != F.col("r")).select("_id", "_th").distinct(), "op5-gone")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
                         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), F.struct("*").alias("row"))
-    kept = keyed.join(first, ["_id", "_th"], "left_semi")
-    if found.groupBy("_id", "_th").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_id", "_th"])
-    return kept.unionByName(keyed.join(empty, ["_id", "_th"], "left_semi")).select("row.*")
+    # The keys of what goes are few and short: whole texts are not dealt out by them.
+    kept = keyed.join(small(gone), ["_id", "_th"], "left_anti")
+    twice = stage(found.filter(F.col("k").isNotNull()).groupBy("_id", "_th").count().filter("count > 1")
+                  .select("_id", "_th"), "op5-twice")
+    if not twice.isEmpty():
+        kept = kept.join(small(twice), ["_id", "_th"], "left_anti").unionByName(
+            kept.join(small(twice), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]))
+    return kept.select("row.*")

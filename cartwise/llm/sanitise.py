@@ -164,11 +164,13 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.8, support: int =
                    .filter(F.col("n") > 1).drop("n"), "op8-copies")
     once = (t.join(small(copies.select("_th")), "_th", "left_anti").select("text").unionByName(
         t.join(small(copies), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text")))
-    of_term = (once.select(F.explode(all_terms(F.col("text"))).alias("t"))
-               .groupBy("t").agg(F.count("*").alias("of_t")))
     limit = of_entity.agg(F.max(most(F.col("of_e"), F.col("of_e")))).first()[0] or 0.0
-    beside = (words.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-              .filter(F.col("n") >= support).select("t"))
+    beside = stage(words.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+                   .filter(F.col("n") >= support).select("t"), "op8-beside")
+    of_term = once.select(F.explode(all_terms(F.col("text"))).alias("t"))
+    if beside.count() <= LIST_ROWS:  # no other term is counted then
+        of_term = of_term.join(F.broadcast(beside), "t", "left_semi")
+    of_term = of_term.groupBy("t").agg(F.count("*").alias("of_t"))
     rare = stage(of_term.filter(F.col("of_t") <= limit).join(beside, "t"), "op8-rare")
 
     # Terms of the same texts, beside entities and in all, are one class too.
@@ -223,22 +225,19 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
         .when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(0))
     mark = lambda x: F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))) \
         .when(x["value"].rlike(r"[\p{Lu}\p{N}]"), F.lit("[REMOVED]")).otherwise(F.lit("[WORD]"))  # noqa: E731,E501
+    whole = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
     walked = in_blocks(s, "string", lambda acc, x: F.struct(
         F.greatest(acc["at"], x["end"]).alias("at"),
         F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(
-            F.col("text").substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), mark(x)))))
+            whole.substr((acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), mark(x)))))
         .alias("out")))
     some = stage(spans.filter(F.size("base") > 0).select("_id", "_th", "base", "terms").distinct(), "op8-found")
-    clean = (row_key(texts(docs)).select("_id", "_th", "text").join(small(some, LIST_ROWS), ["_id", "_th"])
-             .withColumn("w", walked)
-             .select("_id", "_th", F.concat(
-                 F.array_join("w.out", ""),
-                 F.col("text").substr((F.col("w.at") + 1).cast("int"), F.length("text"))).alias("_clean"))
-             .dropDuplicates(["_id", "_th"]))
-    clean = stage(clean, "op8-clean")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
                         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"), F.struct("*").alias("row"))
-    out = keyed.join(clean, ["_id", "_th"], "left")
-    text = F.coalesce("_clean", F.col("row")["text"])
+    # The spans go to the texts: whole texts are not dealt out.
+    out = (keyed.join(small(some, LIST_ROWS), ["_id", "_th"], "left")
+           .withColumn("w", F.when(F.col("base").isNotNull(), walked)))
+    text = F.when(F.col("base").isNull(), F.col("row")["text"]).otherwise(F.concat(
+        F.array_join("w.out", ""), whole.substr((F.col("w.at") + 1).cast("int"), F.length(whole))))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from cartwise.llm import html_extract, jaccard_join, licenses, suffix_dedup
+from cartwise.llm import sanitise as sanitise_module
 from cartwise.llm.common import batches_of
 from cartwise.llm.decontaminate import contaminated, decontaminate
 from cartwise.llm.fingerprints import fingerprint_documents
@@ -231,6 +232,31 @@ def test_of_members_held_by_the_same_groups_the_first_stays(spark):
     assert sorted(map(tuple, got.collect())) == [(m, g, 100, p) for m in (11, 13, 14) for g, p in held[m]]
 
 
+def test_whole_texts_are_not_dealt_out_for_a_few_keys_or_spans(spark, monkeypatch):
+    """Neither where near copies go nor where personal data are replaced; both give the same rows when the keys are many."""
+    rng = random.Random(21)
+    base = prose(rng, 80)
+    rows = [(1, base), (2, base + " end"), (3, prose(rng, 60)), (3, "a@b.org, 10.0.0.1 and a@b.org: " + base), (None, "a@b.org"),
+            (4, None), (5, "a@b.org"), (5, "a@b.org"), (6, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        outs = [f(d) for f in (drop_near_duplicates, sanitise)]
+        for out in outs:
+            plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            # Only what repeats is dealt out, to drop it.
+            dealt = [x for x in plan.splitlines() if re.search(r"\bExchange hashpartitioning", x)]
+            assert "SortMergeJoin" not in plan and len(dealt) <= (out is outs[0]), plan
+        few = [sorted(map(str, out.collect())) for out in outs]
+        monkeypatch.setattr(jaccard_join, "small", lambda df, *rows: df)
+        monkeypatch.setattr(sanitise_module, "LIST_ROWS", 0)
+        assert few == [sorted(map(str, f(d).collect())) for f in (drop_near_duplicates, sanitise)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     """And the session's own number is back afterwards, also if the work fails."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
